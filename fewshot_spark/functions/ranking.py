@@ -25,17 +25,19 @@ def number_by_hash(
     df: DataFrame,
     group_cols: list[str],
     hash_col: str,
-    id_col: str,
+    id_col: str | list[str],
     out: str = "pos",
     bits: int = 4,
     with_counts: bool = False,
 ) -> DataFrame:
     """Add ``out`` = 0-based position inside ``group_cols`` ordered by (hash_col, id_col).
 
-    With ``with_counts`` also adds ``group_n`` (rows in the group).
+    With ``with_counts`` also adds ``group_n`` (rows in the group). ``id_col`` may be a list of
+    tie-break columns.
     """
+    ties = [id_col] if isinstance(id_col, str) else list(id_col)
     if bits <= 0:
-        w = Window.partitionBy(*group_cols).orderBy(hash_col, id_col)
+        w = Window.partitionBy(*group_cols).orderBy(hash_col, *ties)
         res = df.withColumn(out, F.row_number().over(w) - 1)
         if with_counts:
             res = res.withColumn("group_n", F.count(F.lit(1)).over(Window.partitionBy(*group_cols)))
@@ -48,7 +50,7 @@ def number_by_hash(
     if with_counts:
         offsets = offsets.withColumn("group_n", F.sum("_n").over(Window.partitionBy(*group_cols)))
     offsets = offsets.drop("_n")
-    w = Window.partitionBy(*group_cols, sub).orderBy(hash_col, id_col)
+    w = Window.partitionBy(*group_cols, sub).orderBy(hash_col, *ties)
     numbered = shifted.withColumn("_rn", F.row_number().over(w) - 1)
     return (
         numbered.join(offsets, [*group_cols, sub])
@@ -63,6 +65,8 @@ def kth_smallest(df: DataFrame, k: int, hash_col: str = "h", id_col: str = "row_
     ``df`` should be narrow (hash, id) and persisted by the caller; each pass is one aggregation.
     Raises when k is outside [1, n].
     """
+    if total is not None and not 1 <= k <= total:
+        raise ValueError(f"cannot take {k} rows from a table of {total}")
     cand = df.select(hash_col, id_col)
     need = k
     shift = HASH_BITS - RADIX_BITS
