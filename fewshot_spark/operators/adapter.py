@@ -33,28 +33,45 @@ def _cos_and_grads(U, V):
     return c, gu, gv
 
 
+def grad_triplet(W: np.ndarray, A: np.ndarray, P: np.ndarray, N: np.ndarray, margin: float):
+    """(loss sum, gradient sum) of the cosine triplet loss under ``W``."""
+    UA, UP, UN = A @ W.T, P @ W.T, N @ W.T
+    c_ap, g_a1, g_p = _cos_and_grads(UA, UP)
+    c_an, g_a2, g_n = _cos_and_grads(UA, UN)
+    val = (1 - c_ap) - (1 - c_an) + margin
+    act = val > 0
+    # loss = c_an - c_ap + margin on active rows
+    G = -(g_a1[act]).T @ A[act] - g_p[act].T @ P[act] + g_a2[act].T @ A[act] + g_n[act].T @ N[act]
+    return float(np.sum(val[act])), G
+
+
+def grad_cosine(W: np.ndarray, X: np.ndarray, Y: np.ndarray, t: np.ndarray):
+    """(loss sum, gradient sum) of the cosine-similarity loss under ``W``."""
+    UX, UY = X @ W.T, Y @ W.T
+    c, gx, gy = _cos_and_grads(UX, UY)
+    r = c - t
+    G = (2 * r[:, None] * gx).T @ X + (2 * r[:, None] * gy).T @ Y
+    return float(np.sum(r * r)), G
+
+
+def lr_at(step: int, steps: int, lr: float) -> float:
+    """Linear warm-up over ceil(0.1 * steps) steps, then linear decay to 0."""
+    warm = math.ceil(steps * 0.1)
+    if step < warm:
+        return lr * (step + 1) / warm
+    return lr * max(0.0, (steps - step) / max(1, steps - warm))
+
+
 def _partials(W: np.ndarray, batch: pd.DataFrame, loss: str, margin: float):
-    """(loss sum, gradient sum wrt W) of one batch."""
+    """(loss sum, gradient sum wrt W) of one Arrow batch."""
     if loss == "triplet":
         A = np.vstack(batch["a"].to_numpy()).astype(np.float64)
         P = np.vstack(batch["p"].to_numpy()).astype(np.float64)
         N = np.vstack(batch["n"].to_numpy()).astype(np.float64)
-        UA, UP, UN = A @ W.T, P @ W.T, N @ W.T
-        c_ap, g_a1, g_p = _cos_and_grads(UA, UP)
-        c_an, g_a2, g_n = _cos_and_grads(UA, UN)
-        val = (1 - c_ap) - (1 - c_an) + margin
-        act = val > 0
-        # d loss = -dc_ap + dc_an on active rows
-        G = (-(g_a1[act]).T @ A[act] - g_p[act].T @ P[act] + g_a2[act].T @ A[act] + g_n[act].T @ N[act])
-        return float(np.sum(val[act])), G
+        return grad_triplet(W, A, P, N, margin)
     X = np.vstack(batch["u"].to_numpy()).astype(np.float64)
     Y = np.vstack(batch["v"].to_numpy()).astype(np.float64)
-    t = batch["target"].to_numpy().astype(np.float64)
-    UX, UY = X @ W.T, Y @ W.T
-    c, gx, gy = _cos_and_grads(UX, UY)
-    r = c - t
-    G = (2 * r[:, None] * gx).T @ X + (2 * r[:, None] * gy).T @ Y
-    return float(np.sum(r * r)), G
+    return grad_cosine(W, X, Y, batch["target"].to_numpy().astype(np.float64))
 
 
 def fit_adapter(
@@ -88,7 +105,6 @@ def fit_adapter(
         T.StructField("grad", T.ArrayType(T.DoubleType())),
     ])
     W = np.eye(d)
-    warm = math.ceil(steps * 0.1)
     history: list[float] = []
     try:
         for step in range(steps):
@@ -112,8 +128,7 @@ def fit_adapter(
             n = sum(r["n"] for r in parts)
             G = sum(np.asarray(r["grad"]) for r in parts).reshape(d, d) / n
             history.append(sum(r["loss"] for r in parts) / n)
-            rate = lr * ((step + 1) / warm if step < warm else max(0.0, (steps - step) / max(1, steps - warm)))
-            W = W - rate * G
+            W = W - lr_at(step, steps, lr) * G
     finally:
         data.unpersist()
     return W, history

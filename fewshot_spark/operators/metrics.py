@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 DIGITS = 9
 
 
-def confusion(pred: DataFrame, keys: list[str], y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
-    return pred.groupBy(*keys, F.col(y_true).alias("y_true"), F.col(y_pred).alias("y_pred")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+def confusion(pred: DataFrame, keys: list[str], y_true: str = "y_true", y_pred: str = "y_pred", n_col: str | None = None) -> DataFrame:
+    """Confusion counts; ``n_col`` names a count column when the input is already aggregated."""
+    n = F.count(F.lit(1)) if n_col is None else F.sum(n_col)
+    return pred.groupBy(*keys, F.col(y_true).alias("y_true"), F.col(y_pred).alias("y_pred")).agg(n.cast("bigint").alias("n"))
 
 
-def class_counts(pred: DataFrame, keys: list[str], y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
+def class_counts(pred: DataFrame, keys: list[str], y_true: str = "y_true", y_pred: str = "y_pred", n_col: str | None = None) -> DataFrame:
     """Per (split, class): ``tp``, ``support`` (true count), ``predicted`` (predicted count)."""
-    conf = confusion(pred, keys, y_true, y_pred)
+    conf = confusion(pred, keys, y_true, y_pred, n_col)
     tp = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(F.lit(0))
     sides = F.explode(F.array(
         F.struct(F.col("y_true").alias("label"), tp.alias("tp"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("predicted")),
@@ -33,19 +33,19 @@ def class_counts(pred: DataFrame, keys: list[str], y_true: str = "y_true", y_pre
     )
 
 
-def f1_per_class(pred: DataFrame, keys: list[str], y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
+def f1_per_class(pred: DataFrame, keys: list[str], y_true: str = "y_true", y_pred: str = "y_pred", n_col: str | None = None) -> DataFrame:
     """``f1 = 2 tp / (support + predicted)`` per class of true ∪ predicted."""
-    cc = class_counts(pred, keys, y_true, y_pred)
+    cc = class_counts(pred, keys, y_true, y_pred, n_col)
     return cc.withColumn("f1", F.round(F.lit(2.0) * F.col("tp") / (F.col("support") + F.col("predicted")), DIGITS))
 
 
-def summary(pred: DataFrame, keys: list[str], y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
+def summary(pred: DataFrame, keys: list[str], y_true: str = "y_true", y_pred: str = "y_pred", n_col: str | None = None) -> DataFrame:
     """One row per split: ``n, accuracy, macro_f1, micro_f1, weighted_f1, mcc``.
 
     MCC is the multi-class form ``(c s - Σ p_k t_k) / sqrt((s² - Σ p_k²)(s² - Σ t_k²))`` in DOUBLE,
     0 when the denominator is 0.
     """
-    cc = class_counts(pred, keys, y_true, y_pred).withColumn(
+    cc = class_counts(pred, keys, y_true, y_pred, n_col).withColumn(
         "_f1", F.lit(2.0) * F.col("tp") / (F.col("support") + F.col("predicted"))
     )
     s = F.sum("support").cast("double")
@@ -72,13 +72,16 @@ def summary(pred: DataFrame, keys: list[str], y_true: str = "y_true", y_pred: st
     )
 
 
-def multilabel_counts(pred: DataFrame, keys: list[str], n_labels: int, true_mask: str = "true_mask", pred_mask: str = "pred_mask") -> DataFrame:
+def multilabel_counts(pred: DataFrame, keys: list[str], n_labels: int, true_mask: str = "true_mask", pred_mask: str = "pred_mask",
+                      n_col: str | None = None) -> DataFrame:
     """Per (split, label): ``tp``, ``support``, ``predicted`` from bitmasks, one pass over the rows
     (3·L sums per split), then one row per label."""
     t, p = F.col(true_mask), F.col(pred_mask)
 
+    w = F.lit(1) if n_col is None else F.col(n_col)
+
     def bit(x, i):
-        return F.shiftright(x, i).bitwiseAND(F.lit(1))
+        return F.shiftright(x, i).bitwiseAND(F.lit(1)) * w
 
     aggs = []
     for i in range(n_labels):
@@ -87,8 +90,8 @@ def multilabel_counts(pred: DataFrame, keys: list[str], n_labels: int, true_mask
             F.sum(bit(t, i)).alias(f"t{i}"),
             F.sum(bit(p, i)).alias(f"p{i}"),
         ]
-    wide = pred.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_rows"),
-                                   F.sum((t == p).cast("int")).alias("_exact"))
+    wide = pred.groupBy(*keys).agg(*aggs, F.sum(w).alias("_rows"),
+                                   F.sum((t == p).cast("int") * w).alias("_exact"))
     per = F.explode(F.array(*[
         F.struct(F.lit(i).alias("label"), F.col(f"tp{i}").cast("bigint").alias("tp"),
                  F.col(f"t{i}").cast("bigint").alias("support"), F.col(f"p{i}").cast("bigint").alias("predicted"))
@@ -98,17 +101,17 @@ def multilabel_counts(pred: DataFrame, keys: list[str], n_labels: int, true_mask
 
 
 def multilabel_f1_per_label(pred: DataFrame, keys: list[str], n_labels: int, zero_division: float = 0.0,
-                            true_mask: str = "true_mask", pred_mask: str = "pred_mask") -> DataFrame:
-    cc = multilabel_counts(pred, keys, n_labels, true_mask, pred_mask)
+                            true_mask: str = "true_mask", pred_mask: str = "pred_mask", n_col: str | None = None) -> DataFrame:
+    cc = multilabel_counts(pred, keys, n_labels, true_mask, pred_mask, n_col)
     den = F.col("support") + F.col("predicted")
     f1 = F.when(den > 0, F.lit(2.0) * F.col("tp") / den).otherwise(F.lit(float(zero_division)))
     return cc.select(*keys, "label", "tp", "support", "predicted", F.round(f1, DIGITS).alias("f1"))
 
 
 def multilabel_summary(pred: DataFrame, keys: list[str], n_labels: int, zero_division: float = 0.0,
-                       true_mask: str = "true_mask", pred_mask: str = "pred_mask") -> DataFrame:
+                       true_mask: str = "true_mask", pred_mask: str = "pred_mask", n_col: str | None = None) -> DataFrame:
     """One row per split: subset ``accuracy`` and macro / micro / weighted F1 over all L labels."""
-    cc = multilabel_counts(pred, keys, n_labels, true_mask, pred_mask)
+    cc = multilabel_counts(pred, keys, n_labels, true_mask, pred_mask, n_col)
     den = F.col("support") + F.col("predicted")
     f1 = F.when(den > 0, F.lit(2.0) * F.col("tp") / den).otherwise(F.lit(float(zero_division)))
     agg = cc.withColumn("_f1", f1).groupBy(*keys).agg(

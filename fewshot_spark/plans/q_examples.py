@@ -152,20 +152,20 @@ def q_iter_repeat(spark, sf):
     return X.repeat_iterations(rows, ITERS).select(*SPLIT, "iteration", "row_id")
 
 
-def _neg_sql(src: str, split: list[str], cls: str, cols: str, tag: str = "neg") -> str:
+def _neg_sql(src: str, split: list[str], cls: str, cols: str, tag: str = "neg", iters: int = ITERS) -> str:
     return f"""
     WITH laid AS {laid_sql(src, split, cls)},
-    e AS (SELECT l.*, i.iteration FROM laid l CROSS JOIN {_iters()} i),
+    e AS (SELECT l.*, i.iteration FROM laid l CROSS JOIN {_iters(iters)} i),
     d AS (SELECT e.*, {_draw_sql(split, tag)} % (e.tot - e.n_c) AS r FROM e)
     SELECT {cols} FROM d JOIN laid o ON {_on(split, 'o', 'd')}
       AND o.pos = CASE WHEN d.r < d.off_c THEN d.r ELSE d.r + d.n_c END
     """
 
 
-def _pos_sql(src: str, split: list[str], cls: str, cols: str, tag: str = "pos") -> str:
+def _pos_sql(src: str, split: list[str], cls: str, cols: str, tag: str = "pos", iters: int = ITERS) -> str:
     return f"""
     WITH laid AS {laid_sql(src, split, cls)},
-    e AS (SELECT l.*, i.iteration FROM laid l CROSS JOIN {_iters()} i)
+    e AS (SELECT l.*, i.iteration FROM laid l CROSS JOIN {_iters(iters)} i)
     SELECT {cols} FROM e d JOIN laid o ON {_on(split, 'o', 'd')}
       AND o.pos = d.off_c + {_draw_sql(split, tag, 'd')} % d.n_c
     """
