@@ -1,12 +1,17 @@
 """Text encoders with one contract: ``(row_id, text) -> (row_id, embedding ARRAY<DOUBLE>)``.
 
-* ``encode_hash`` (default): signed feature hashing, all in Spark SQL. Tokens are the non-empty
-  pieces of ``split(lower(text), '[ \\t\\r\\n]+')``; token t adds ``sign(t)`` to bucket
-  ``h60(t) % dim`` with ``sign(t) = +1`` when ``h60('s', t)`` is even, else -1; the vector is L2
-  normalised (a text without tokens gives the zero vector) and rounded to 6 digits.
-  Plan: explode -> partial aggregation on (row, bucket) in the same stage -> one shuffle of at
-  most ``dim`` entries per row -> aggregation per row. The whole text is encoded unless
-  ``max_tokens`` is given.
+* ``encode_hash`` (default): signed feature hashing. Tokens are the non-empty pieces of
+  ``split(lower(text), '[ \\t\\r\\n]+')``; token t adds ``sign(t)`` to bucket ``h60(t) % dim``
+  with ``sign(t) = +1`` when ``h60('s', t)`` is even, else -1; the vector is L2 normalised (a text
+  without tokens gives the zero vector) and rounded to 6 digits. The whole text is encoded
+  unless ``max_tokens`` is given. Two physical forms with equal output:
+  - ``method="map"`` (default): documents are independent, so each partition encodes its rows in
+    Arrow batches (``mapInPandas``): no shuffle at all, one md5 per distinct token per task
+    (cached), ``numpy.bincount`` per row. This is the form that holds at corpus scale.
+  - ``method="sql"``: the same definition in Spark SQL only: explode -> partial aggregation on
+    (row, bucket) -> shuffle of at most ``dim`` cells per row -> per-row aggregation. It is the
+    relational statement of the encoder (and what the DuckDB oracle mirrors), but it shuffles
+    about ``dim`` cells per document twice.
 * ``encode_hashing_tf``: MLlib ``HashingTF`` + ``IDF`` + ``Normalizer``.
 * ``encode_with_model``: any per-batch model (a function ``list[str] -> ndarray``) through
   ``mapInPandas``; the model is built once per task by its factory.
@@ -42,7 +47,12 @@ def encode_hash(
     dim: int = 256,
     max_tokens: int | None = None,
     out: str = "embedding",
+    method: str = "map",
 ) -> DataFrame:
+    if method == "map":
+        return _encode_hash_map(df, id_col, text_col, dim, max_tokens, out)
+    if method != "sql":
+        raise ValueError("method is 'map' or 'sql'")
     toks = tokens(text_col)
     if max_tokens is not None:
         toks = truncate_tokens(toks, max_tokens)
@@ -68,6 +78,49 @@ def encode_hash(
     return per_row.select(id_col, dense.alias(out))
 
 
+def _encode_hash_map(df: DataFrame, id_col: str, text_col: str, dim: int, max_tokens: int | None, out: str) -> DataFrame:
+    import hashlib
+
+    import numpy as np
+    import pandas as pd
+
+    schema = T.StructType([df.schema[id_col], T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def h60_py(s: str) -> int:
+        return int(hashlib.md5(s.encode("utf-8")).hexdigest()[:15], 16)
+
+    def run(batches):
+        cache: dict[str, tuple[int, int]] = {}
+        for pdf in batches:
+            n = len(pdf)
+            if n == 0:
+                continue
+            toks = pdf[text_col].fillna("").str.lower().str.split(TOKEN_SPLIT, regex=True).explode()
+            toks = toks[toks.notna() & (toks != "")]
+            rowpos = toks.index.to_numpy()
+            if max_tokens is not None:
+                keep = (toks.groupby(level=0).cumcount() < max_tokens).to_numpy()
+                toks, rowpos = toks[keep], rowpos[keep]
+            codes, uniques = pd.factorize(toks.to_numpy())
+            ub = np.empty(len(uniques), dtype=np.int64)
+            us = np.empty(len(uniques), dtype=np.float64)
+            for i, t in enumerate(uniques):
+                e = cache.get(t)
+                if e is None:
+                    e = (h60_py(t) % dim, 1 - 2 * (h60_py("s:" + t) % 2))
+                    if len(cache) < 2_000_000:
+                        cache[t] = e
+                ub[i], us[i] = e
+            pos = np.asarray(rowpos, dtype=np.int64)
+            M = np.bincount(pos * dim + ub[codes], weights=us[codes], minlength=n * dim).reshape(n, dim)
+            nrm = np.sqrt(np.einsum("ij,ij->i", M, M))
+            safe = np.where(nrm > 0, nrm, 1.0)
+            V = np.where(nrm[:, None] > 0, np.round(M / safe[:, None], 6), 0.0)
+            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), out: list(V)})
+
+    return df.select(id_col, text_col).mapInPandas(run, schema)
+
+
 def l2_normalize(arr: Column | str) -> Column:
     """``v / |v|``; the zero vector stays zero."""
     a = F.col(arr) if isinstance(arr, str) else arr
