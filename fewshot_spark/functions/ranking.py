@@ -19,6 +19,18 @@ from .hashing import HASH_BITS
 
 RADIX_BITS = 12
 BAND_ROWS = 50_000
+GROUP_ROWS_PER_TASK = 200_000
+
+
+def auto_bits(df: DataFrame, group_cols: list[str]) -> int:
+    """Sub-group bits so that no numbering task holds more than ~GROUP_ROWS_PER_TASK rows of one
+    group (0 when every group is small). One small aggregation."""
+    big = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("m")).first()["m"] or 0
+    bits = 0
+    while big > GROUP_ROWS_PER_TASK and bits < 12:
+        big //= 2
+        bits += 1
+    return bits
 
 
 def number_by_hash(
@@ -27,15 +39,19 @@ def number_by_hash(
     hash_col: str,
     id_col: str | list[str],
     out: str = "pos",
-    bits: int = 4,
+    bits: int | None = None,
     with_counts: bool = False,
 ) -> DataFrame:
     """Add ``out`` = 0-based position inside ``group_cols`` ordered by (hash_col, id_col).
 
     With ``with_counts`` also adds ``group_n`` (rows in the group). ``id_col`` may be a list of
-    tie-break columns.
+    tie-break columns. ``bits=None`` picks the sub-group bits from the largest group
+    (``auto_bits``), so a hot group is spread over several tasks and small groups cost no extra
+    shuffle.
     """
     ties = [id_col] if isinstance(id_col, str) else list(id_col)
+    if bits is None:
+        bits = auto_bits(df, group_cols)
     if bits <= 0:
         w = Window.partitionBy(*group_cols).orderBy(hash_col, *ties)
         res = df.withColumn(out, F.row_number().over(w) - 1)

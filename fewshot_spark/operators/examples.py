@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import h60
 from ..functions.ranking import number_by_hash
 
-POS_BITS = 4
+POS_BITS = None  # sub-group bits of the position numbering: chosen from the largest class
 
 
 # ---- anchors (G1, J1) ----------------------------------------------------------------------
@@ -81,13 +81,31 @@ def class_layout(df: DataFrame, split_keys: list[str], class_col: str) -> DataFr
     ).withColumn("tot", F.sum("n_c").over(Window.partitionBy(*split_keys)))
 
 
-def lay_out(df: DataFrame, split_keys: list[str], class_col: str, id_col: str = "row_id", bits: int = POS_BITS) -> DataFrame:
+def lay_out(df: DataFrame, split_keys: list[str], class_col: str, id_col: str = "row_id", bits: int | None = POS_BITS,
+            check_other: bool = False) -> DataFrame:
     """Dense positions: class c of a split occupies ``[off_c, off_c + n_c)``, rows inside a class
-    ordered by ``h60('pos', id)``. Adds ``pos_c``, ``pos``, ``n_c``, ``off_c``, ``tot``."""
+    ordered by ``h60('pos', id)``. Adds ``pos_c``, ``pos``, ``n_c``, ``off_c``, ``tot``.
+
+    The class layout (one row per split and class) is computed once and persisted; with
+    ``check_other`` a split with a single class raises. The result is persisted because every
+    partner draw reads it twice (the drawing rows and the partner lookup).
+    """
+    layout = class_layout(df, split_keys, class_col).persist()
+    if check_other or bits is None:
+        # one small job: largest class and the first split with a single class
+        single = F.when(F.col("n_c") == F.col("tot"), F.to_json(F.struct(*split_keys, class_col)))
+        stats = layout.agg(F.max("n_c").alias("m"), F.min(single).alias("single")).first()
+        if check_other and stats["single"] is not None:
+            raise ValueError(f"split with one class only, no negative can be drawn: {stats['single']}")
+    if bits is None:
+        m = stats["m"] or 0
+        bits = 0
+        while m > 200_000 and bits < 12:
+            m //= 2
+            bits += 1
     hp = df.withColumn("_hp", h60(F.lit("pos"), F.col(id_col)))
     numbered = number_by_hash(hp, [*split_keys, class_col], "_hp", id_col, out="pos_c", bits=bits).drop("_hp")
-    layout = class_layout(df, split_keys, class_col)
-    return numbered.join(layout, [*split_keys, class_col]).withColumn("pos", F.col("off_c") + F.col("pos_c"))
+    return numbered.join(layout, [*split_keys, class_col]).withColumn("pos", F.col("off_c") + F.col("pos_c")).persist()
 
 
 def _check_other_class(layout: DataFrame, split_keys: list[str], class_col: str) -> None:
@@ -167,8 +185,7 @@ def gen_triplets(
     Output: ``split keys, iteration, row_id, label, neg_row_id, anchor, positive, negative``.
     A split with a single class raises.
     """
-    laid = lay_out(rows, split_keys, label_col, id_col, bits)
-    _check_other_class(class_layout(rows, split_keys, label_col), split_keys, label_col)
+    laid = lay_out(rows, split_keys, label_col, id_col, bits, check_other=True)
     ex = repeat_iterations(laid, iterations)
     if isinstance(anchors, dict):
         ex = ex.withColumn("anchor", anchors_lookup(anchors, label_col))
@@ -194,8 +211,7 @@ def gen_pairs(
     """Per row and iteration one positive pair (same class, target 1.0) and one negative pair
     (another class, target 0.0). Output: ``split keys, iteration, row_id, other_row_id, text_a,
     text_b, target``."""
-    laid = lay_out(rows, split_keys, label_col, id_col, bits)
-    _check_other_class(class_layout(rows, split_keys, label_col), split_keys, label_col)
+    laid = lay_out(rows, split_keys, label_col, id_col, bits, check_other=True)
     ex = repeat_iterations(laid, iterations)
     pos = positive_sample(ex, laid, split_keys, seed, out_id="other_row_id", out_text="text_b",
                           text_col=text_col, id_col=id_col).withColumn("target", F.lit(1.0))

@@ -97,7 +97,7 @@ def fit_logreg_np(X: np.ndarray, y: np.ndarray, classes: np.ndarray, C: float =
         def fun(w):
             z = X @ w[:d] + w[d]
             loss = np.sum(np.logaddexp(0.0, z) - t * z)
-            p = 1.0 / (1.0 + np.exp(-z))
+            p = np.exp(-np.logaddexp(0.0, -z))  # sigmoid without overflow
             g = np.empty(d + 1)
             g[:d] = C * (X.T @ (p - t)) + w[:d]
             g[d] = C * np.sum(p - t)

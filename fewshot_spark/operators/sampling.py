@@ -82,9 +82,10 @@ def fewshot_grid(
     """
     keys = _ranked_keys(df.select(id_col, label_col), label_col, sizes, seeds, id_col).drop(label_col)
     out = attach_payload(keys, df, id_col, max_broadcast_rows)
+    # the sample is bounded (checked in attach_payload) and read by several branches downstream
     return out.select(
         F.col("sample_size").cast("int"), F.col("seed_idx").cast("int"), *[F.col(c) for c in df.columns]
-    )
+    ).persist()
 
 
 def fewshot_sample(df: DataFrame, k: int, seed: int, label_col: str = "label", id_col: str = "row_id") -> DataFrame:
@@ -116,7 +117,7 @@ def fewshot_grid_multilabel(
     return first.select(
         F.col("sample_size").cast("int"), F.col("seed_idx").cast("int"),
         *[F.col(c) if c in group else F.col(f"_first.{c}").alias(c) for c in df.columns]
-    )
+    ).persist()
 
 
 def fewshot_sample_multilabel(df: DataFrame, label_cols: list[str], k: int, seed: int, id_col: str = "row_id") -> DataFrame:
