@@ -1,0 +1 @@
+"""Structured Streaming entry points (scoring new texts with trained weights)."""

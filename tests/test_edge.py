@@ -189,3 +189,20 @@ def test_relabel_demo(spark):
     rows = out.collect()
     assert len(rows) == 4 and out.columns == ["row_id", "pred_0", "name_0", "pred_1", "name_1"]
     assert {r.name_0 for r in rows} <= {"positive", "negative"}
+
+
+def test_csv_source_and_embeddings_sink(spark):
+    d = tempfile.mkdtemp(prefix="fewshot-csv-", dir="/tmp")
+    with open(f"{d}/abstract.csv", "w") as f:
+        f.write('ID,TITLE,ABSTRACT,Computer Science,Physics\n1,"A title","line one\nline two, with comma",1,0\n2,B,"plain",0,1\n')
+    schema = "ID int, TITLE string, ABSTRACT string, `Computer Science` int, Physics int"
+    df = R.read_csv_labelled(spark, f"{d}/abstract.csv", schema)
+    df = P.rename(P.with_text(df, "TITLE", "ABSTRACT"), C.ABSTRACT_RENAMES)
+    ml = R.read_multilabel(P.project(df, drop=["TITLE", "ABSTRACT"]), ["ComputerScience", "Physics"], "text", "ID")
+    rows = {r.row_id: (r.text, r.label_mask) for r in ml.collect()}
+    assert rows[1] == ("A title line one\nline two, with comma", 1) and rows[2] == ("B plain", 2)
+    from fewshot_spark.operators.encode import encode_hash
+
+    RS.write_embeddings(encode_hash(ml, dim=16), d, "abstract")
+    back = spark.read.parquet(f"{d}/embeddings/abstract")
+    assert back.count() == 2 and len(back.first().embedding) == 16
