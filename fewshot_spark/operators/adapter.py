@@ -40,8 +40,8 @@ def grad_triplet(W: np.ndarray, A: np.ndarray, P: np.ndarray, N: np.ndarray, mar
     c_an, g_a2, g_n = _cos_and_grads(UA, UN)
     val = (1 - c_ap) - (1 - c_an) + margin
     act = val > 0
-    # loss = c_an - c_ap + margin on active rows
-    G = -(g_a1[act]).T @ A[act] - g_p[act].T @ P[act] + g_a2[act].T @ A[act] + g_n[act].T @ N[act]
+    # loss = c_an - c_ap + margin on active rows; the four outer-product sums as one product
+    G = np.concatenate([(g_a2 - g_a1)[act], -g_p[act], g_n[act]]).T @ np.concatenate([A[act], P[act], N[act]])
     return float(np.sum(val[act])), G
 
 
@@ -50,7 +50,7 @@ def grad_cosine(W: np.ndarray, X: np.ndarray, Y: np.ndarray, t: np.ndarray):
     UX, UY = X @ W.T, Y @ W.T
     c, gx, gy = _cos_and_grads(UX, UY)
     r = c - t
-    G = (2 * r[:, None] * gx).T @ X + (2 * r[:, None] * gy).T @ Y
+    G = np.concatenate([2 * r[:, None] * gx, 2 * r[:, None] * gy]).T @ np.concatenate([X, Y])
     return float(np.sum(r * r)), G
 
 

@@ -78,44 +78,54 @@ def encode_hash(
     return per_row.select(id_col, dense.alias(out))
 
 
-def _encode_hash_map(df: DataFrame, id_col: str, text_col: str, dim: int, max_tokens: int | None, out: str) -> DataFrame:
+def _h60_py(s: str) -> int:
     import hashlib
 
+    return int(hashlib.md5(s.encode("utf-8")).hexdigest()[:15], 16)
+
+
+def hash_vectors(texts: list, dim: int, max_tokens: int | None = None, cache: dict | None = None):
+    """The hashed encoding of a list of texts as a ``len(texts) x dim`` numpy array (the per-batch
+    kernel of ``encode_hash(method="map")``; also used for small bounded lists such as anchors)."""
     import numpy as np
     import pandas as pd
 
-    schema = T.StructType([df.schema[id_col], T.StructField(out, T.ArrayType(T.DoubleType()))])
+    cache = {} if cache is None else cache
+    n = len(texts)
+    toks = pd.Series(texts, dtype=object).fillna("").str.lower().str.split(TOKEN_SPLIT, regex=True).explode()
+    toks = toks[toks.notna() & (toks != "")]
+    rowpos = toks.index.to_numpy()
+    if max_tokens is not None:
+        keep = (toks.groupby(level=0).cumcount() < max_tokens).to_numpy()
+        toks, rowpos = toks[keep], rowpos[keep]
+    codes, uniques = pd.factorize(toks.to_numpy())
+    ub = np.empty(len(uniques), dtype=np.int64)
+    us = np.empty(len(uniques), dtype=np.float64)
+    for i, t in enumerate(uniques):
+        e = cache.get(t)
+        if e is None:
+            e = (_h60_py(t) % dim, 1 - 2 * (_h60_py("s:" + t) % 2))
+            if len(cache) < 2_000_000:
+                cache[t] = e
+        ub[i], us[i] = e
+    pos = np.asarray(rowpos, dtype=np.int64)
+    M = np.bincount(pos * dim + ub[codes], weights=us[codes], minlength=n * dim).reshape(n, dim)
+    nrm = np.sqrt(np.einsum("ij,ij->i", M, M))
+    safe = np.where(nrm > 0, nrm, 1.0)
+    return np.where(nrm[:, None] > 0, np.round(M / safe[:, None], 6), 0.0)
 
-    def h60_py(s: str) -> int:
-        return int(hashlib.md5(s.encode("utf-8")).hexdigest()[:15], 16)
+
+def _encode_hash_map(df: DataFrame, id_col: str, text_col: str, dim: int, max_tokens: int | None, out: str) -> DataFrame:
+    import pandas as pd
+
+    schema = T.StructType([df.schema[id_col], T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         cache: dict[str, tuple[int, int]] = {}
         for pdf in batches:
-            n = len(pdf)
-            if n == 0:
+            if len(pdf) == 0:
                 continue
-            toks = pdf[text_col].fillna("").str.lower().str.split(TOKEN_SPLIT, regex=True).explode()
-            toks = toks[toks.notna() & (toks != "")]
-            rowpos = toks.index.to_numpy()
-            if max_tokens is not None:
-                keep = (toks.groupby(level=0).cumcount() < max_tokens).to_numpy()
-                toks, rowpos = toks[keep], rowpos[keep]
-            codes, uniques = pd.factorize(toks.to_numpy())
-            ub = np.empty(len(uniques), dtype=np.int64)
-            us = np.empty(len(uniques), dtype=np.float64)
-            for i, t in enumerate(uniques):
-                e = cache.get(t)
-                if e is None:
-                    e = (h60_py(t) % dim, 1 - 2 * (h60_py("s:" + t) % 2))
-                    if len(cache) < 2_000_000:
-                        cache[t] = e
-                ub[i], us[i] = e
-            pos = np.asarray(rowpos, dtype=np.int64)
-            M = np.bincount(pos * dim + ub[codes], weights=us[codes], minlength=n * dim).reshape(n, dim)
-            nrm = np.sqrt(np.einsum("ij,ij->i", M, M))
-            safe = np.where(nrm > 0, nrm, 1.0)
-            V = np.where(nrm[:, None] > 0, np.round(M / safe[:, None], 6), 0.0)
+            V = hash_vectors(pdf[text_col].tolist(), dim, max_tokens, cache)
             yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), out: list(V)})
 
     return df.select(id_col, text_col).mapInPandas(run, schema)

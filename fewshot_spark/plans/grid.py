@@ -60,23 +60,55 @@ def _split_parts(pdf: pd.DataFrame):
     return pdf[pdf["_kind"] == 0], pdf[pdf["_kind"] == 1]
 
 
-def _adapt(W0: np.ndarray, vec: dict, ex: pd.DataFrame, anchors: dict, loss: str, lr: float, margin: float) -> np.ndarray:
-    """Mini-batch adapter steps over the examples of one split (batches in ``batch_id`` order)."""
+def with_batch_key(ex: DataFrame, keys: list[str], seed: int, key_cols: list[str]) -> DataFrame:
+    """Add ``batch_key`` = the shuffle hash of ``assign_batches`` (a projection, no window): the
+    split task orders its examples by (batch_key, iteration, row_id) and cuts batches of
+    ``batch_size``, which gives exactly the batches ``assign_batches`` numbers."""
+    from ..functions.hashing import h60
+
+    return ex.withColumn("batch_key", h60(F.lit(int(seed)), *[F.col(k) for k in keys], F.lit("batch"),
+                                              *[F.col(c) for c in key_cols]))
+
+
+def _order_cols(examples: DataFrame) -> list[str]:
+    return ["batch_id"] if "batch_id" in examples.columns else ["batch_key", "iteration"]
+
+
+def _adapt(W0: np.ndarray, X: np.ndarray, row_index: pd.Index, ex: pd.DataFrame, anchors: dict, loss: str, lr: float,
+           margin: float, batch_size: int) -> np.ndarray:
+    """Mini-batch adapter steps over the examples of one split, in shuffled batch order, with
+    warm-up and linear decay; rows are fetched by index arrays (no per-row Python)."""
     W = W0.copy()
     if ex is None or len(ex) == 0:
         return W
-    ex = ex.sort_values(["batch_id", "_ord"]) if "_ord" in ex else ex.sort_values("batch_id")
-    batches = [g for _, g in ex.groupby("batch_id", sort=True)]
-    steps = len(batches)
-    for step, b in enumerate(batches):
-        P = np.vstack([vec[r] for r in b["row_id"].to_numpy()])
-        O = np.vstack([vec[r] for r in b["other_row_id"].to_numpy()])
+    if "batch_id" in ex.columns:
+        ex = ex.sort_values(["batch_id", "row_id"], kind="stable")
+        b = ex["batch_id"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+    else:
+        ex = ex.sort_values(["batch_key", "iteration", "row_id"], kind="stable")
+        starts = np.arange(0, len(ex), batch_size)
+    ends = np.r_[starts[1:], len(ex)]
+    ip = row_index.get_indexer(ex["row_id"].to_numpy())
+    io = row_index.get_indexer(ex["other_row_id"].to_numpy())
+    if (ip < 0).any() or (io < 0).any():
+        raise ValueError("an example refers to a row that is not in its split")
+    if loss == "triplet":
+        akeys = list(anchors)
+        A_all = np.vstack([anchors[k] for k in akeys])
+        ia = pd.Index(akeys).get_indexer(ex["anchor_key"].to_numpy().astype(np.int64))
+        if (ia < 0).any():
+            raise KeyError("an example's anchor key has no anchor vector")
+    else:
+        t_all = ex["target"].to_numpy().astype(np.float64)
+    steps = len(starts)
+    for step, (a, z) in enumerate(zip(starts, ends)):
+        P, O = X[ip[a:z]], X[io[a:z]]
         if loss == "triplet":
-            A = np.vstack([anchors[int(k)] for k in b["anchor_key"].to_numpy()])
-            _, G = grad_triplet(W, A, P, O, margin)
+            _, G = grad_triplet(W, A_all[ia[a:z]], P, O, margin)
         else:
-            _, G = grad_cosine(W, P, O, b["target"].to_numpy().astype(np.float64))
-        W = W - lr_at(step, steps, lr) * (G / len(b))
+            _, G = grad_cosine(W, P, O, t_all[a:z])
+        W = W - lr_at(step, steps, lr) * (G / (z - a))
     return W
 
 
@@ -92,11 +124,13 @@ def train_splits(
     use_adapter: bool = True,
     label_col: str = "label",
     vec_col: str = "embedding",
+    batch_size: int = 16,
 ) -> DataFrame:
     """Single-label: ``(keys, label, weights, bias)`` per split, adapter folded in.
 
-    ``rows``: keys, row_id, label, embedding. ``examples``: keys, batch_id, row_id, other_row_id,
-    anchor_key (the label, triplets) or target (pairs). ``anchor_vectors``: anchor_key -> vector
+    ``rows``: keys, row_id, label, embedding. ``examples``: keys, row_id, other_row_id, anchor_key
+    (the label, triplets) or target (pairs), and either ``batch_id`` (``assign_batches``) or
+    ``batch_key`` + ``iteration`` (``with_batch_key``). ``anchor_vectors``: anchor_key -> vector
     (a catalogue-sized dict, broadcast with the function).
     """
     _check_sizes(rows, keys, MAX_SPLIT_ROWS, "rows")
@@ -108,17 +142,16 @@ def train_splits(
         T.StructField("bias", T.DoubleType()),
     ])
     anchors = {k: np.asarray(v, dtype=np.float64) for k, v in (anchor_vectors or {}).items()}
-    ex_cols = [*keys, "batch_id", "row_id", "other_row_id"] + (["anchor_key"] if loss == "triplet" else ["target"])
+    ex_cols = [*keys, *_order_cols(examples), "row_id", "other_row_id"] + (["anchor_key"] if loss == "triplet" else ["target"])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         r, ex = _split_parts(pdf)
         if len(r) == 0:
             return pd.DataFrame(columns=[f.name for f in schema.fields])
         X = np.vstack(r[vec_col].to_numpy()).astype(np.float64)
-        vec = dict(zip(r["row_id"].to_numpy(), X))
         W = np.eye(X.shape[1])
         if use_adapter:
-            W = _adapt(W, vec, ex, anchors, loss, lr, margin)
+            W = _adapt(W, X, pd.Index(r["row_id"].to_numpy()), ex, anchors, loss, lr, margin, batch_size)
         Xa = X @ W.T
         y = r[label_col].to_numpy().astype(np.int64)
         classes = np.unique(y)
@@ -149,6 +182,7 @@ def train_splits_multilabel(
     margin: float = 0.25,
     use_adapter: bool = True,
     vec_col: str = "embedding",
+    batch_size: int = 16,
 ) -> DataFrame:
     """Multi-label: per split and label ``(keys, label, weights, chain ARRAY<DOUBLE>, bias,
     constant INT)``. ``chain`` holds the weights of the earlier labels (classifier chain only);
@@ -164,17 +198,16 @@ def train_splits_multilabel(
         T.StructField("constant", T.IntegerType()),
     ])
     anchors = {k: np.asarray(v, dtype=np.float64) for k, v in (anchor_vectors or {}).items()}
-    ex_cols = [*keys, "batch_id", "row_id", "other_row_id"] + (["anchor_key"] if loss == "triplet" else ["target"])
+    ex_cols = [*keys, *_order_cols(examples), "row_id", "other_row_id"] + (["anchor_key"] if loss == "triplet" else ["target"])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         r, ex = _split_parts(pdf)
         if len(r) == 0:
             return pd.DataFrame(columns=[f.name for f in schema.fields])
         X = np.vstack(r[vec_col].to_numpy()).astype(np.float64)
-        vec = dict(zip(r["row_id"].to_numpy(), X))
         W = np.eye(X.shape[1])
         if use_adapter:
-            W = _adapt(W, vec, ex, anchors, loss, lr, margin)
+            W = _adapt(W, X, pd.Index(r["row_id"].to_numpy()), ex, anchors, loss, lr, margin, batch_size)
         Xa = X @ W.T
         Y = r[label_cols].to_numpy().astype(np.int64)
         recs = []

@@ -49,13 +49,16 @@ def _encode(df: DataFrame, cfg: RunConfig, id_col: str = "row_id", text_col: str
 
 
 def _vectors_of(spark: SparkSession, texts: dict, cfg: RunConfig) -> dict:
-    """Encode a bounded set of sentences (anchors) and bring the vectors to the driver."""
+    """Hashed vectors of a bounded set of sentences (anchors: one per class or label set),
+    computed with the encoder's own kernel on the driver; the size is checked first."""
     if len(texts) > MAX_ANCHORS:
         raise ValueError(f"{len(texts)} anchor sentences exceed the bound of {MAX_ANCHORS}")
-    df = spark.createDataFrame([(str(k), v) for k, v in texts.items()], "key string, text string")
-    rows = _encode(df, cfg, "key").collect()
-    keyed = {str(k): k for k in texts}
-    return {keyed[r["key"]]: np.asarray(r["embedding"], dtype=np.float64) for r in rows}
+    keys = list(texts)
+    V = E.hash_vectors([texts[k] for k in keys], cfg.encoder_dim)
+    if cfg.add_normalization_layer:
+        n = np.linalg.norm(V, axis=1, keepdims=True)
+        V = np.where(n > 0, V / np.where(n > 0, n, 1.0), 0.0)
+    return {k: V[i] for i, k in enumerate(keys)}
 
 
 def _grid_single(ds: LabelledSet, cfg: RunConfig, done: DataFrame | None) -> DataFrame:
@@ -95,16 +98,17 @@ def run_fewshot(spark: SparkSession, cfg: RunConfig, datasets: list[LabelledSet]
                                   cfg.draw_seed, keys)
             ex = trip.select(*keys, "iteration", "row_id", F.col("label").alias("anchor_key"),
                              F.col("neg_row_id").alias("other_row_id"))
-            ex = X.assign_batches(ex, keys, cfg.batch_size, cfg.draw_seed, ["iteration", "row_id"])
+            ex = G.with_batch_key(ex, keys, cfg.draw_seed, ["iteration", "row_id"])
             anchor_vecs = _vectors_of(spark, anchors, cfg)
             loss = "triplet"
         else:
             pairs = X.gen_pairs(grid.select(*keys, "row_id", "text", "label"), cfg.num_iterations, cfg.draw_seed, keys)
-            ex = X.assign_batches(pairs.select(*keys, "iteration", "row_id", "other_row_id", "target"), keys,
-                                  cfg.batch_size, cfg.draw_seed, ["iteration", "row_id", "target"])
+            ex = G.with_batch_key(pairs.select(*keys, "iteration", "row_id", "other_row_id", "target"), keys,
+                                  cfg.draw_seed, ["iteration", "row_id", "target"])
             anchor_vecs = None
             loss = "cosine"
-        weights = G.train_splits(rows, ex, keys, anchor_vecs, loss, cfg.classifier, cfg.adapter_lr, cfg.margin)
+        weights = G.train_splits(rows, ex, keys, anchor_vecs, loss, cfg.classifier, cfg.adapter_lr, cfg.margin,
+                                 batch_size=cfg.batch_size)
         weights = weights.persist()
         test = _encode(ds.test, cfg).join(ds.test.select("row_id", "label"), "row_id")
         conf = HD.predict(test, weights, keys, aggregate=True)
@@ -143,7 +147,7 @@ def run_fewshot_multilabel(spark: SparkSession, cfg: RunConfig, datasets: list[L
                                              keys, on_empty="skip")
             ex = trip.select(*keys, "iteration", "row_id", F.col("label_mask").alias("anchor_key"),
                              F.col("neg_row_id").alias("other_row_id"))
-            ex = X.assign_batches(ex, keys, cfg.batch_size, cfg.draw_seed, ["iteration", "row_id"])
+            ex = G.with_batch_key(ex, keys, cfg.draw_seed, ["iteration", "row_id"])
             masks = grid.where(F.col("label_mask") != 0).select(
                 "label_mask", multilabel_anchor(ds.template, lc, list(ds.names)).alias("anchor")).distinct()
             n_masks = masks.count()
@@ -153,12 +157,12 @@ def run_fewshot_multilabel(spark: SparkSession, cfg: RunConfig, datasets: list[L
             loss = "triplet"
         else:
             pairs = X.gen_pairs_multilabel(grid, lc, cfg.num_iterations, cfg.draw_seed, keys)
-            ex = X.assign_batches(pairs.select(*keys, "iteration", "row_id", "label_id", "other_row_id", "target"), keys,
-                                  cfg.batch_size, cfg.draw_seed, ["iteration", "row_id", "label_id"])
+            ex = G.with_batch_key(pairs.select(*keys, "iteration", "row_id", "label_id", "other_row_id", "target"), keys,
+                                  cfg.draw_seed, ["iteration", "row_id", "label_id"])
             anchor_vecs = None
             loss = "cosine"
         weights = G.train_splits_multilabel(rows, ex, keys, lc, anchor_vecs, loss, cfg.multi_target_strategy,
-                                            cfg.adapter_lr, cfg.margin).persist()
+                                            cfg.adapter_lr, cfg.margin, batch_size=cfg.batch_size).persist()
         test = _encode(ds.test, cfg).join(ds.test.select("row_id", "label_mask"), "row_id")
         conf = G.predict_multilabel(test, weights, keys)
         summary = V.multilabel_summary(conf, keys, len(lc), n_col="n")
@@ -199,11 +203,11 @@ def run_relabel_demo(spark: SparkSession, cfg: RunConfig, train: DataFrame, rows
         anchors = X.generate_anchors(template, list(names))
         split = base.withColumn("anchor_set", F.lit(i))
         trip = X.gen_triplets(split, anchors, cfg.num_iterations, cfg.draw_seed, keys)
-        ex = X.assign_batches(trip.select(*keys, "iteration", "row_id", F.col("label").alias("anchor_key"),
+        ex = G.with_batch_key(trip.select(*keys, "iteration", "row_id", F.col("label").alias("anchor_key"),
                                           F.col("neg_row_id").alias("other_row_id")),
-                              keys, cfg.batch_size, cfg.draw_seed, ["iteration", "row_id"])
+                              keys, cfg.draw_seed, ["iteration", "row_id"])
         w = G.train_splits(enc_train.withColumn("anchor_set", F.lit(i)), ex, keys, _vectors_of(spark, anchors, cfg),
-                           "triplet", cfg.classifier, cfg.adapter_lr, cfg.margin)
+                           "triplet", cfg.classifier, cfg.adapter_lr, cfg.margin, batch_size=cfg.batch_size)
         weights_all = w if weights_all is None else weights_all.unionByName(w)
     enc_rows = _encode(rows, cfg)
     pred = HD.predict(enc_rows, weights_all, keys, label_col=None)
