@@ -13,6 +13,7 @@
     relational statement of the encoder (and what the DuckDB oracle mirrors), but it shuffles
     about ``dim`` cells per document twice.
 * ``encode_hashing_tf``: MLlib ``HashingTF`` + ``IDF`` + ``Normalizer``.
+* ``encode_word2vec``: MLlib ``Word2Vec`` fitted on the table's tokens (mean word vector per row).
 * ``encode_with_model``: any per-batch model (a function ``list[str] -> ndarray``) through
   ``mapInPandas``; the model is built once per task by its factory.
 """
@@ -156,6 +157,18 @@ def encode_hashing_tf(df: DataFrame, id_col: str = "row_id", text_col: str = "te
     return model.transform(base).select(id_col, vector_to_array("_n").alias(out))
 
 
+def encode_word2vec(df: DataFrame, id_col: str = "row_id", text_col: str = "text", dim: int = 64,
+                    min_count: int = 1, seed: int = 0, max_iter: int = 1, out: str = "embedding"):
+    """MLlib Word2Vec: the model is fitted on the tokens of ``df`` (distributed) and each row gets
+    the mean of its word vectors. Returns ``(encoded DataFrame, fitted model)``."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    base = df.select(id_col, tokens(text_col).alias("_tok"))
+    model = Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, maxIter=max_iter, inputCol="_tok", outputCol="_v").fit(base)
+    return model.transform(base).select(id_col, vector_to_array("_v").alias(out)), model
+
+
 def encode_with_model(
     df: DataFrame,
     model_factory: Callable[[], Callable[[list[str]], "object"]],

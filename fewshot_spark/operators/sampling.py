@@ -21,7 +21,7 @@ from ..functions.hashing import h60
 from ..functions.ranking import kth_smallest
 from .prepare import label_unpivot
 
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000  # sample keys are ~40 bytes a row: at most ~40 MB broadcast
 
 
 def attach_payload(keys: DataFrame, table: DataFrame, id_col: str = "row_id", max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -107,6 +107,9 @@ def run_fewshot(spark: SparkSession, cfg: RunConfig, datasets: list[LabelledSet]
                                   cfg.draw_seed, ["iteration", "row_id", "target"])
             anchor_vecs = None
             loss = "cosine"
+        # bounded per split (checked in train_splits); persisted so the size checks and the fit
+        # read the same materialised rows instead of regenerating the examples
+        rows, ex = rows.persist(), ex.persist()
         weights = G.train_splits(rows, ex, keys, anchor_vecs, loss, cfg.classifier, cfg.adapter_lr, cfg.margin,
                                  batch_size=cfg.batch_size)
         weights = weights.persist()
@@ -161,6 +164,7 @@ def run_fewshot_multilabel(spark: SparkSession, cfg: RunConfig, datasets: list[L
                                   cfg.draw_seed, ["iteration", "row_id", "label_id"])
             anchor_vecs = None
             loss = "cosine"
+        rows, ex = rows.persist(), ex.persist()
         weights = G.train_splits_multilabel(rows, ex, keys, lc, anchor_vecs, loss, cfg.multi_target_strategy,
                                             cfg.adapter_lr, cfg.margin, batch_size=cfg.batch_size).persist()
         test = _encode(ds.test, cfg).join(ds.test.select("row_id", "label_mask"), "row_id")

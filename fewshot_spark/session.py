@@ -53,5 +53,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+_SCHEMAS: dict[tuple[str, str], object] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Parquet table ``<sf_dir>/<name>.parquet``. Its schema is inferred once per session and path
+    and then given explicitly, so repeated reads skip the footer-inference job (files are still
+    listed on every read)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    schema = _SCHEMAS.get(key)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[key] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)

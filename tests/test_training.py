@@ -138,3 +138,22 @@ def test_mllib_logreg_and_svc(spark):
         m = fit(train, max_iter=20)
         pred = HD.mllib_predict(m, rows).select(F.col("label").alias("y_true"), "y_pred")
         assert V.summary(pred, []).first()["accuracy"] > 0.1
+
+
+def test_other_encoders(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select(F.col("doc_id").alias("row_id"), "text").limit(200)
+    tf = E.encode_hashing_tf(docs, dim=32).collect()
+    assert len(tf) == 200 and all(len(r.embedding) == 32 for r in tf)
+    norms = [sum(x * x for x in r.embedding) for r in tf]
+    assert all(abs(n - 1.0) < 1e-6 or n == 0.0 for n in norms)
+    w2v, model = E.encode_word2vec(docs, dim=8)
+    assert w2v.count() == 200 and model.getVectors().count() > 0
+
+    def factory():
+        import numpy as np
+
+        return lambda texts: np.array([[len(t), t.count(" ")] for t in texts], dtype=float)
+
+    user = {r.row_id: r.embedding for r in E.encode_with_model(docs, factory, 2).collect()}
+    one = docs.first()
+    assert user[one.row_id] == [float(len(one.text)), float(one.text.count(" "))]
