@@ -200,7 +200,7 @@ def q_predict(spark, sf):
 
 
 _SUMMARY_SQL = PRED_SQL + """,
-    cc AS (SELECT label, sum(tp) AS tp, sum(sup) AS support, sum(prd) AS predicted FROM (
+    cc AS (SELECT label, sum(tp)::BIGINT AS tp, sum(sup)::BIGINT AS support, sum(prd)::BIGINT AS predicted FROM (
             SELECT y_true AS label, CASE WHEN y_true = y_pred THEN 1 ELSE 0 END AS tp, 1 AS sup, 0 AS prd FROM pred
             UNION ALL SELECT y_pred, 0, 0, 1 FROM pred) GROUP BY label),
     agg AS (SELECT sum(support)::DOUBLE AS s, sum(tp)::DOUBLE AS c, avg(2.0 * tp / (support + predicted)) AS macro,
