@@ -213,12 +213,7 @@ def fit_centroids(train: DataFrame, keys: list[str], label_col: str = "label", v
 # ---- prediction (T11) -----------------------------------------------------------------------
 
 
-def _collect_weights(weights: DataFrame, keys: list[str]):
-    n = weights.count()
-    dim = weights.select(F.size("weights").alias("d")).first()["d"] if n else 0
-    if n * max(dim, 1) > MAX_BROADCAST_WEIGHTS:
-        raise ValueError(f"weights table of {n} x {dim} is over the broadcast bound; predict per split group")
-    rows = weights.select(*keys, "label", "weights", "bias").collect()
+def _pack(rows, keys: list[str]):
     groups: dict[tuple, list] = {}
     for r in rows:
         groups.setdefault(tuple(r[k] for k in keys), []).append(r)
@@ -230,6 +225,28 @@ def _collect_weights(weights: DataFrame, keys: list[str]):
     return out
 
 
+def weight_chunks(weights: DataFrame, keys: list[str], bound: int | None = None) -> list[list[tuple]]:
+    """Split keys packed into chunks whose weights (classes x dim doubles) each fit ``bound``
+    (default ``MAX_BROADCAST_WEIGHTS``). One small aggregation: one row per split."""
+    bound = MAX_BROADCAST_WEIGHTS if bound is None else bound
+    sizes = weights.groupBy(*keys).agg(F.sum(F.size("weights")).alias("_cells")).collect()
+    chunks: list[list[tuple]] = []
+    cur: list[tuple] = []
+    used = 0
+    for r in sorted(sizes, key=lambda r: tuple(r[k] for k in keys)):
+        c = int(r["_cells"])
+        if c > bound:
+            raise ValueError(f"the weights of split {r.asDict()} alone exceed the broadcast bound")
+        if cur and used + c > bound:
+            chunks.append(cur)
+            cur, used = [], 0
+        cur.append(tuple(r[k] for k in keys))
+        used += c
+    if cur:
+        chunks.append(cur)
+    return chunks
+
+
 def _argmax(scores: np.ndarray) -> np.ndarray:
     """Arg-max with ties to the lowest class (scores rounded to 9 digits first)."""
     return np.argmax(np.round(scores, 9), axis=1)
@@ -248,10 +265,32 @@ def predict(
 
     ``aggregate=False``: ``(keys, row_id, y_true, y_pred)``; ``aggregate=True``: confusion counts
     ``(keys, y_true, y_pred, n)`` summed inside each task, so the output is splits x classes^2 per
-    task rather than splits x rows. The test table is never shuffled.
+    task rather than splits x rows. The test table is never shuffled. The weights are broadcast
+    when they fit ``MAX_BROADCAST_WEIGHTS`` doubles; beyond that the splits are scored in chunks
+    that each fit, one pass over the rows per chunk.
     """
+    chunks = weight_chunks(weights, keys)
+    if len(chunks) > 1:
+        # beyond the broadcast bound: one pass over the rows per chunk of splits
+        spark = rows.sparkSession
+        key_schema = T.StructType([weights.schema[k] for k in keys])
+        parts = []
+        for ch in chunks:
+            sel = weights.join(F.broadcast(spark.createDataFrame(ch, key_schema)), keys, "left_semi")
+            parts.append(_predict_packed(rows, _pack(sel.select(*keys, "label", "weights", "bias").collect(), keys),
+                                         weights, keys, id_col, vec_col, label_col, aggregate))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    packed = _pack(weights.select(*keys, "label", "weights", "bias").collect(), keys) if chunks else []
+    return _predict_packed(rows, packed, weights, keys, id_col, vec_col, label_col, aggregate)
+
+
+def _predict_packed(rows: DataFrame, packed: list, weights: DataFrame, keys: list[str], id_col: str, vec_col: str,
+                    label_col: str | None, aggregate: bool) -> DataFrame:
     sc = rows.sparkSession.sparkContext
-    bc = sc.broadcast(_collect_weights(weights, keys))
+    bc = sc.broadcast(packed)
     key_fields = [weights.schema[k] for k in keys]
     label_type = weights.schema["label"].dataType
     true_type = rows.schema[label_col].dataType if label_col else label_type

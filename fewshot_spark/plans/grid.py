@@ -57,6 +57,7 @@ def _tagged(rows: DataFrame, examples: DataFrame, keys: list[str], row_cols: lis
 
 
 def _split_parts(pdf: pd.DataFrame):
+    """(rows, examples) of one split; kind 2 rows are per-split anchor vectors."""
     return pdf[pdf["_kind"] == 0], pdf[pdf["_kind"] == 1]
 
 
@@ -198,17 +199,30 @@ def train_splits_multilabel(
         T.StructField("bias", T.DoubleType()),
         T.StructField("constant", T.IntegerType()),
     ])
-    anchors = {k: np.asarray(v, dtype=np.float64) for k, v in (anchor_vectors or {}).items()}
+    anchors = ({} if isinstance(anchor_vectors, DataFrame)
+               else {k: np.asarray(v, dtype=np.float64) for k, v in (anchor_vectors or {}).items()})
     ex_cols = [*keys, *_order_cols(examples), "row_id", "other_row_id"] + (["anchor_key"] if loss == "triplet" else ["target"])
+    anchor_rows = None
+    if isinstance(anchor_vectors, DataFrame):
+        # too many label-set anchors to broadcast: each split receives the anchors its examples use
+        anchor_rows = (examples.select(*keys, "anchor_key").distinct()
+                       .join(anchor_vectors.select(F.col("anchor_key").cast("long").alias("anchor_key"), vec_col), "anchor_key")
+                       .select(*keys, F.col("anchor_key").alias("row_id"), vec_col))
+        anchors = {}
+    per_split_anchors = anchor_rows is not None
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         r, ex = _split_parts(pdf)
+        split_anchors = anchors
+        if per_split_anchors:
+            a = pdf[pdf["_kind"] == 2]
+            split_anchors = {int(k): np.asarray(v, dtype=np.float64) for k, v in zip(a["row_id"], a[vec_col])}
         if len(r) == 0:
             return pd.DataFrame(columns=[f.name for f in schema.fields])
         X = np.vstack(r[vec_col].to_numpy()).astype(np.float64)
         W = np.eye(X.shape[1])
         if use_adapter:
-            W = _adapt(W, X, pd.Index(r["row_id"].to_numpy()), ex, anchors, loss, lr, margin, batch_size)
+            W = _adapt(W, X, pd.Index(r["row_id"].to_numpy()), ex, split_anchors, loss, lr, margin, batch_size)
         Xa = X @ W.T
         Y = r[label_cols].to_numpy().astype(np.int64)
         recs = []
@@ -232,6 +246,13 @@ def train_splits_multilabel(
         return pd.DataFrame(out)
 
     both = _tagged(rows, examples, keys, ["row_id", *label_cols, vec_col], [c for c in ex_cols if c not in keys])
+    if anchor_rows is not None:
+        filled = anchor_rows
+        for c in both.columns:
+            if c not in filled.columns and c != "_kind":
+                dt = both.schema[c].dataType
+                filled = filled.withColumn(c, F.lit(None).cast(dt) if isinstance(dt, T.ArrayType) else F.lit(-1).cast(dt))
+        both = both.unionByName(filled.select(*[c for c in both.columns if c != "_kind"]).withColumn("_kind", F.lit(2)))
     return both.groupBy(*keys).applyInPandas(fit, schema)
 
 

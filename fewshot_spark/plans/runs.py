@@ -24,7 +24,7 @@ from ..operators import sampling as M
 from . import grid as G
 from . import results as RS
 
-MAX_ANCHORS = 100_000
+MAX_ANCHORS = 10_000  # anchor sentences encoded on the driver; more go through Spark
 
 
 @dataclass
@@ -154,9 +154,12 @@ def run_fewshot_multilabel(spark: SparkSession, cfg: RunConfig, datasets: list[L
             masks = grid.where(F.col("label_mask") != 0).select(
                 "label_mask", multilabel_anchor(ds.template, lc, list(ds.names)).alias("anchor")).distinct()
             n_masks = masks.count()
-            if n_masks > MAX_ANCHORS:
-                raise ValueError(f"{n_masks} distinct label sets exceed the anchor bound")
-            anchor_vecs = _vectors_of(spark, {int(r["label_mask"]): r["anchor"] for r in masks.collect()}, cfg)
+            if n_masks <= MAX_ANCHORS:
+                anchor_vecs = _vectors_of(spark, {int(r["label_mask"]): r["anchor"] for r in masks.collect()}, cfg)
+            else:
+                # too many label sets for the driver: encode them in Spark, ship them per split
+                anchor_vecs = _encode(masks.select(F.col("label_mask").alias("anchor_key"), F.col("anchor").alias("text")),
+                                      cfg, "anchor_key")
             loss = "triplet"
         else:
             pairs = X.gen_pairs_multilabel(grid, lc, cfg.num_iterations, cfg.draw_seed, keys)

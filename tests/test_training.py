@@ -157,3 +157,30 @@ def test_other_encoders(spark):
     user = {r.row_id: r.embedding for r in E.encode_with_model(docs, factory, 2).collect()}
     one = docs.first()
     assert user[one.row_id] == [float(len(one.text)), float(one.text.count(" "))]
+
+
+def test_predict_beyond_broadcast_bound(spark, monkeypatch):
+    rows = R.embeddings_labelled(spark, SF01)
+    w = HD.fit_centroids(M.fewshot_grid(rows, [8, 16], [0, 1]), SPLIT).persist()
+    whole = sorted(map(tuple, HD.predict(rows, w, SPLIT, aggregate=True).collect()))
+    monkeypatch.setattr(HD, "MAX_BROADCAST_WEIGHTS", 10 * 64 * 2)  # two splits per chunk
+    assert len(HD.weight_chunks(w, SPLIT)) == 2
+    chunked = sorted(map(tuple, HD.predict(rows, w, SPLIT, aggregate=True).collect()))
+    assert chunked == whole
+
+
+def test_multilabel_anchors_through_spark(spark, monkeypatch):
+    from fewshot_spark.config import RunConfig
+    from fewshot_spark.plans import runs as RN
+    from fewshot_spark.sources import catalogue as C
+
+    base = R.documents_multilabel(spark, SF01, six=True)
+    parts = M.fraction_split(base, 0.75, 42)
+    spec = C.spec("documents_flags6")
+    ds = RN.LabelledSet("six", parts.where("split = 'train'").drop("split"), parts.where("split = 'test'").drop("split"),
+                        list(spec.labels), spec.template, "f1", C.FLAGS6)
+    cfg = RunConfig(kind="multilabel", loss="TripletLoss", sample_sizes=(4,), seeds_num=2, num_iterations=2)
+    a = sorted((r.seed_idx, r.macro_f1, r.metric_value) for r in RN.run_fewshot_multilabel(spark, cfg, [ds], write=False).collect())
+    monkeypatch.setattr(RN, "MAX_ANCHORS", 0)
+    b = sorted((r.seed_idx, r.macro_f1, r.metric_value) for r in RN.run_fewshot_multilabel(spark, cfg, [ds], write=False).collect())
+    assert a == b
