@@ -260,9 +260,14 @@ def predict(
     vec_col: str = "embedding",
     label_col: str | None = "label",
     aggregate: bool = False,
+    encode: tuple[str, int] | None = None,
 ) -> DataFrame:
     """Score every row with the weights of every split (keys) and take the arg-max class.
 
+    ``encode=(text_col, dim)`` encodes the text with the hashed encoder inside the same Arrow
+    pass instead of reading ``vec_col``, so no vector column is ever materialised for the test
+    table.
+
     ``aggregate=False``: ``(keys, row_id, y_true, y_pred)``; ``aggregate=True``: confusion counts
     ``(keys, y_true, y_pred, n)`` summed inside each task, so the output is splits x classes^2 per
     task rather than splits x rows. The test table is never shuffled. The weights are broadcast
@@ -278,17 +283,19 @@ def predict(
         for ch in chunks:
             sel = weights.join(F.broadcast(spark.createDataFrame(ch, key_schema)), keys, "left_semi")
             parts.append(_predict_packed(rows, _pack(sel.select(*keys, "label", "weights", "bias").collect(), keys),
-                                         weights, keys, id_col, vec_col, label_col, aggregate))
+                                         weights, keys, id_col, vec_col, label_col, aggregate, encode))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
     packed = _pack(weights.select(*keys, "label", "weights", "bias").collect(), keys) if chunks else []
-    return _predict_packed(rows, packed, weights, keys, id_col, vec_col, label_col, aggregate)
+    return _predict_packed(rows, packed, weights, keys, id_col, vec_col, label_col, aggregate, encode)
 
 
 def _predict_packed(rows: DataFrame, packed: list, weights: DataFrame, keys: list[str], id_col: str, vec_col: str,
-                    label_col: str | None, aggregate: bool) -> DataFrame:
+                    label_col: str | None, aggregate: bool, encode: tuple[str, int] | None = None) -> DataFrame:
+    from .encode import hash_vectors
+
     sc = rows.sparkSession.sparkContext
     bc = sc.broadcast(packed)
     key_fields = [weights.schema[k] for k in keys]
@@ -300,15 +307,19 @@ def _predict_packed(rows: DataFrame, packed: list, weights: DataFrame, keys: lis
     else:
         schema = T.StructType(key_fields + [rows.schema[id_col], T.StructField("y_true", true_type),
                                             T.StructField("y_pred", label_type)])
-    cols = [id_col, vec_col] + ([label_col] if label_col else [])
+    cols = [id_col, encode[0] if encode else vec_col] + ([label_col] if label_col else [])
 
     def run(batches):
         groups = bc.value
         acc: dict = {}
+        cache: dict = {}
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            X = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64)
+            if encode:
+                X = hash_vectors(pdf[encode[0]].tolist(), encode[1], cache=cache)
+            else:
+                X = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64)
             y = pdf[label_col].to_numpy() if label_col else np.zeros(len(pdf))
             for gk, labels, W, b in groups:
                 pred = labels[_argmax(X @ W.T + b)]

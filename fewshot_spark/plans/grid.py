@@ -263,9 +263,13 @@ def predict_multilabel(
     id_col: str = "row_id",
     vec_col: str = "embedding",
     mask_col: str = "label_mask",
+    encode: tuple[str, int] | None = None,
 ) -> DataFrame:
     """Confusion counts ``(keys, true_mask, pred_mask, n)`` of every split on the test rows
-    (labels predicted in order, so chain weights see the earlier predictions)."""
+    (labels predicted in order, so chain weights see the earlier predictions). ``encode=(text_col,
+    dim)`` encodes the text in the same Arrow pass."""
+    from ..operators.encode import hash_vectors
+
     from ..operators.heads import MAX_BROADCAST_WEIGHTS
 
     n = weights.count()
@@ -286,10 +290,14 @@ def predict_multilabel(
 
     def run(batches):
         acc: dict = {}
+        cache: dict = {}
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            X = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64)
+            if encode:
+                X = hash_vectors(pdf[encode[0]].tolist(), encode[1], cache=cache)
+            else:
+                X = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64)
             tmask = pdf[mask_col].to_numpy().astype(np.int64)
             for gk, labs in bc.value:
                 preds = np.zeros((len(pdf), len(labs)), dtype=np.int64)
@@ -309,4 +317,4 @@ def predict_multilabel(
             yield pd.DataFrame([dict(zip(keys, gk), true_mask=t, pred_mask=p, n=c) for (gk, t, p), c in acc.items()],
                                columns=[*keys, "true_mask", "pred_mask", "n"])
 
-    return rows.select(id_col, vec_col, mask_col).mapInPandas(run, schema)
+    return rows.select(id_col, encode[0] if encode else vec_col, mask_col).mapInPandas(run, schema)

@@ -42,6 +42,8 @@ class LabelledSet:
 
 
 def _encode(df: DataFrame, cfg: RunConfig, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
+    """Hashed encoding; its vectors are already unit length (or zero), so the optional
+    normalisation layer leaves them unchanged and the fused test scoring needs no extra step."""
     enc = E.encode_hash(df.select(id_col, text_col), id_col, text_col, dim=cfg.encoder_dim)
     if cfg.add_normalization_layer:
         enc = enc.withColumn("embedding", E.l2_normalize("embedding"))
@@ -113,8 +115,8 @@ def run_fewshot(spark: SparkSession, cfg: RunConfig, datasets: list[LabelledSet]
         weights = G.train_splits(rows, ex, keys, anchor_vecs, loss, cfg.classifier, cfg.adapter_lr, cfg.margin,
                                  batch_size=cfg.batch_size)
         weights = weights.persist()
-        test = _encode(ds.test, cfg).join(ds.test.select("row_id", "label"), "row_id")
-        conf = HD.predict(test, weights, keys, aggregate=True)
+        conf = HD.predict(ds.test.select("row_id", "text", "label"), weights, keys, aggregate=True,
+                          encode=("text", cfg.encoder_dim))
         summary = V.summary(conf, keys, n_col="n")
         per_class = V.f1_per_class(conf, keys, n_col="n")
         rec = V.result_record(summary, per_class, keys, ds.metric, list(ds.names)).withColumn("run_id", F.lit(rid))
@@ -170,8 +172,8 @@ def run_fewshot_multilabel(spark: SparkSession, cfg: RunConfig, datasets: list[L
         rows, ex = rows.persist(), ex.persist()
         weights = G.train_splits_multilabel(rows, ex, keys, lc, anchor_vecs, loss, cfg.multi_target_strategy,
                                             cfg.adapter_lr, cfg.margin, batch_size=cfg.batch_size).persist()
-        test = _encode(ds.test, cfg).join(ds.test.select("row_id", "label_mask"), "row_id")
-        conf = G.predict_multilabel(test, weights, keys)
+        conf = G.predict_multilabel(ds.test.select("row_id", "text", "label_mask"), weights, keys,
+                                    encode=("text", cfg.encoder_dim))
         summary = V.multilabel_summary(conf, keys, len(lc), n_col="n")
         per_label = V.multilabel_f1_per_label(conf, keys, len(lc), n_col="n")
         rec = V.result_record(summary, per_label, keys, "f1", list(ds.names)).withColumn("run_id", F.lit(rid)).persist()

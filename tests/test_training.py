@@ -184,3 +184,13 @@ def test_multilabel_anchors_through_spark(spark, monkeypatch):
     monkeypatch.setattr(RN, "MAX_ANCHORS", 0)
     b = sorted((r.seed_idx, r.macro_f1, r.metric_value) for r in RN.run_fewshot_multilabel(spark, cfg, [ds], write=False).collect())
     assert a == b
+
+
+def test_fused_encode_predict(spark):
+    dl = R.documents_labelled(spark, SF01)
+    train = M.fewshot_grid(dl, [8, 16], [0])
+    enc = E.encode_hash(dl.select("row_id", "text"), dim=64)
+    w = HD.fit_heads_per_split(train.select(*SPLIT, "row_id", "label").join(enc, "row_id"), SPLIT)
+    a = HD.predict(dl.select("row_id", "label").join(enc, "row_id"), w, SPLIT, aggregate=True)
+    b = HD.predict(dl.select("row_id", "text", "label"), w, SPLIT, aggregate=True, encode=("text", 64))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
