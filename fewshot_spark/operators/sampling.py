@@ -45,7 +45,26 @@ def _seed_table(seeds: list[int]):
     ).alias("_s")
 
 
-def _ranked_keys(long: DataFrame, class_col: str, sizes: list[int], seeds: list[int], id_col: str) -> DataFrame:
+CANDIDATE_FACTOR = 4
+CANDIDATE_SLACK = 64
+MAX_THRESHOLD_CLASSES = 1_000_000
+
+
+def _rank_top(draws: DataFrame, class_col: str, id_col: str, kmax: int) -> DataFrame:
+    w = Window.partitionBy("seed_idx", class_col).orderBy("_h", id_col)
+    return draws.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= kmax)
+
+
+def _ranked_keys(long: DataFrame, class_col: str, sizes: list[int], seeds: list[int], id_col: str,
+                 prefilter: bool = True) -> DataFrame:
+    """(id, class, seed_idx, sample_size) of every split.
+
+    With ``prefilter`` the draws are first cut at a per-class hash threshold set so that about
+    ``4 k + 64`` candidates per (seed, class) are expected (the hash is uniform); only those reach
+    the window, so no task sorts a large class. A (seed, class) left with fewer candidates than it
+    needs is ranked again without the cut, so the result is exact. The threshold table (one row
+    per class) is broadcast after a size check; beyond it the plain window is used.
+    """
     sizes = sorted({int(s) for s in sizes})
     if not sizes or sizes[0] < 1:
         raise ValueError("sample sizes must be positive")
@@ -56,8 +75,27 @@ def _ranked_keys(long: DataFrame, class_col: str, sizes: list[int], seeds: list[
         F.col("_s.seed_idx").alias("seed_idx"),
         h60(F.col("_s.seed"), F.col(id_col)).alias("_h"),
     )
-    w = Window.partitionBy("seed_idx", class_col).orderBy("_h", id_col)
-    top = draws.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= kmax)
+    top = None
+    if prefilter:
+        want = CANDIDATE_FACTOR * kmax + CANDIDATE_SLACK
+        full = F.lit(1 << 60).cast("bigint")
+        thr = long.groupBy(class_col).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+            "_t", F.when(F.col("_n") <= want, full).otherwise(
+                F.floor(F.lit(float(1 << 60)) * F.lit(float(want)) / F.col("_n")).cast("bigint"))
+        ).persist()
+        if thr.count() <= MAX_THRESHOLD_CLASSES:
+            cand = draws.join(F.broadcast(thr.select(class_col, "_t")), class_col).where(F.col("_h") < F.col("_t")).drop("_t")
+            have = cand.groupBy("seed_idx", class_col).agg(F.count(F.lit(1)).alias("_c"))
+            expected = thr.select(class_col, "_n", F.explode(F.array(*[F.lit(i) for i in range(len(seeds))])).alias("seed_idx"))
+            short = (expected.join(have, ["seed_idx", class_col], "left")
+                     .where(F.coalesce(F.col("_c"), F.lit(0)) < F.least(F.col("_n"), F.lit(kmax)))
+                     .select("seed_idx", class_col))
+            # usually empty: the broadcast side is empty and the re-ranking branch is pruned at run time
+            good = _rank_top(cand, class_col, id_col, kmax).join(F.broadcast(short), ["seed_idx", class_col], "left_anti")
+            redo = _rank_top(draws.join(F.broadcast(short), ["seed_idx", class_col], "left_semi"), class_col, id_col, kmax)
+            top = good.unionByName(redo)
+    if top is None:
+        top = _rank_top(draws, class_col, id_col, kmax)
     size_arr = F.array(*[F.lit(s) for s in sizes])
     return top.select(
         id_col,

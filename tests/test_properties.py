@@ -153,3 +153,16 @@ def test_permutation_no_fixed_point(spark):
         for rs in by_set.values():
             assert all(r["shown_name"] != r["label_name"] for r in rs)
             assert sorted(r["shown_name"] for r in rs) == sorted(r["label_name"] for r in rs)
+
+
+def test_prefilter_exact_including_fallback(spark, monkeypatch):
+    dl = _dl(spark)
+    ref = {tuple(r) for r in M._ranked_keys(dl.select("row_id", "label"), "label", [2, 8, 64], [0, 1, 2], "row_id",
+                                            prefilter=False).collect()}
+    got = {tuple(r) for r in M._ranked_keys(dl.select("row_id", "label"), "label", [2, 8, 64], [0, 1, 2], "row_id").collect()}
+    assert got == ref
+    # a cut far too tight: most (seed, class) groups fall short and are ranked again in full
+    monkeypatch.setattr(M, "CANDIDATE_FACTOR", 0)
+    monkeypatch.setattr(M, "CANDIDATE_SLACK", 1)
+    tight = {tuple(r) for r in M._ranked_keys(dl.select("row_id", "label"), "label", [2, 8, 64], [0, 1, 2], "row_id").collect()}
+    assert tight == ref
