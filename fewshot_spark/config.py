@@ -22,7 +22,11 @@ RUN_ID_FORMATS = {
 class RunConfig:
     """Settings of one run. Defaults follow the original experiments where they are defined
     (iterations 40, batch 16, max tokens 256, logistic regression, cosine-similarity loss,
-    margin 0.25, 10 seeds, one-vs-rest); the sample-size default is the list ``(16,)``."""
+    margin 0.25, 10 seeds, one-vs-rest); the sample-size default is the list ``(16,)``.
+
+    ``checkpoint_intermediates`` cuts the lineage of a run's example and row tables with a reliable
+    ``checkpoint()`` (into ``spark.checkpoint.dir``) instead of ``persist()``, so a lost executor
+    does not trigger recomputation of the sampling and partner joins."""
 
     model: str = "hash-256"
     datasets: tuple[str, ...] = ()
@@ -47,6 +51,7 @@ class RunConfig:
     adapter_steps: int = 20
     adapter_lr: float = 2.0
     results_dir: str | None = None
+    checkpoint_intermediates: bool = False
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self):

@@ -31,7 +31,9 @@ def results_path(results_dir: str) -> str:
 
 
 def write_results(records: DataFrame, results_dir: str) -> None:
-    records.write.mode("append").partitionBy("run_id", "dataset").parquet(results_path(results_dir))
+    """Append the result rows (one per split: at most a few thousand per run) as one file per
+    partition."""
+    records.coalesce(1).write.mode("append").partitionBy("run_id", "dataset").parquet(results_path(results_dir))
 
 
 def finished_splits(spark: SparkSession, results_dir: str | None, run: str) -> DataFrame | None:

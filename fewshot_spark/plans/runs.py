@@ -50,6 +50,12 @@ def _encode(df: DataFrame, cfg: RunConfig, id_col: str = "row_id", text_col: str
     return enc
 
 
+def _keep(df: DataFrame, cfg: RunConfig) -> DataFrame:
+    """Reuse a bounded intermediate: ``persist()``, or a reliable ``checkpoint()`` into the
+    cluster's checkpoint folder when the run asks for cut lineage."""
+    return df.checkpoint(eager=False) if cfg.checkpoint_intermediates else df.persist()
+
+
 def _vectors_of(spark: SparkSession, texts: dict, cfg: RunConfig) -> dict:
     """Hashed vectors of a bounded set of sentences (anchors: one per class or label set),
     computed with the encoder's own kernel on the driver; the size is checked first."""
@@ -111,7 +117,7 @@ def run_fewshot(spark: SparkSession, cfg: RunConfig, datasets: list[LabelledSet]
             loss = "cosine"
         # bounded per split (checked in train_splits); persisted so the size checks and the fit
         # read the same materialised rows instead of regenerating the examples
-        rows, ex = rows.persist(), ex.persist()
+        rows, ex = _keep(rows, cfg), _keep(ex, cfg)
         weights = G.train_splits(rows, ex, keys, anchor_vecs, loss, cfg.classifier, cfg.adapter_lr, cfg.margin,
                                  batch_size=cfg.batch_size)
         weights = weights.persist()
@@ -169,7 +175,7 @@ def run_fewshot_multilabel(spark: SparkSession, cfg: RunConfig, datasets: list[L
                                   cfg.draw_seed, ["iteration", "row_id", "label_id"])
             anchor_vecs = None
             loss = "cosine"
-        rows, ex = rows.persist(), ex.persist()
+        rows, ex = _keep(rows, cfg), _keep(ex, cfg)
         weights = G.train_splits_multilabel(rows, ex, keys, lc, anchor_vecs, loss, cfg.multi_target_strategy,
                                             cfg.adapter_lr, cfg.margin, batch_size=cfg.batch_size).persist()
         conf = G.predict_multilabel(ds.test.select("row_id", "text", "label_mask"), weights, keys,

@@ -206,3 +206,11 @@ def test_csv_source_and_embeddings_sink(spark):
     RS.write_embeddings(encode_hash(ml, dim=16), d, "abstract")
     back = spark.read.parquet(f"{d}/embeddings/abstract")
     assert back.count() == 2 and len(back.first().embedding) == 16
+
+
+def test_run_with_checkpointed_intermediates(spark):
+    cfg = RunConfig(loss="CosineSimilarityLoss", sample_sizes=(2,), seeds_num=2, num_iterations=2, checkpoint_intermediates=True)
+    a = sorted((r.seed_idx, r.macro_f1) for r in RN.run_fewshot(spark, cfg, [_small_set(spark)], write=False).collect())
+    cfg2 = RunConfig(loss="CosineSimilarityLoss", sample_sizes=(2,), seeds_num=2, num_iterations=2)
+    b = sorted((r.seed_idx, r.macro_f1) for r in RN.run_fewshot(spark, cfg2, [_small_set(spark)], write=False).collect())
+    assert a == b

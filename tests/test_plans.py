@@ -48,3 +48,11 @@ def test_scan_reads_needed_columns_only(spark):
     labels = spark.read.parquet(f"{SF01}/labels.parquet").where("quality = 1").select("doc_id")
     lp = labels._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(quality), EqualTo(quality,1)]" in lp
+
+
+def test_default_encoder_has_no_shuffle(spark):
+    from fewshot_spark.operators import encode as E
+
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select(F.col("doc_id").alias("row_id"), "text")
+    assert "Exchange" not in _plan(E.encode_hash(docs))
+    assert "Exchange" in _plan(E.encode_hash(docs, method="sql"))
