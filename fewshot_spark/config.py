@@ -49,7 +49,7 @@ class RunConfig:
     draw_seed: int = 0
     encoder_dim: int = 256
     adapter_steps: int = 20
-    adapter_lr: float = 2.0
+    adapter_lr: float = 0.5
     results_dir: str | None = None
     checkpoint_intermediates: bool = False
     extra: dict = field(default_factory=dict)
