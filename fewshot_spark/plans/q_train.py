@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
-from ..functions.hashing import sql_h60 as H
 from ..operators import adapter as AD
 from ..operators import encode as E
 from ..operators import examples as X
@@ -17,10 +16,9 @@ from ..operators import metrics as V
 from ..operators import sampling as M
 from ..sources import catalogue as C
 from ..sources import readers as R
-from . import grid as G
 from . import runs as RN
 from .q_examples import _neg_sql, grid_select
-from .q_models import TOKENS_SQL, _encode_sql
+from .q_models import _encode_sql
 from .registry import DL_SQL, SEEDS, SIZES, dl, register
 
 QUALITY = C.spec("documents_quality")

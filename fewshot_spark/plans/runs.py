@@ -182,7 +182,14 @@ def run_fewshot_multilabel(spark: SparkSession, cfg: RunConfig, datasets: list[L
                                     encode=("text", cfg.encoder_dim))
         summary = V.multilabel_summary(conf, keys, len(lc), n_col="n")
         per_label = V.multilabel_f1_per_label(conf, keys, len(lc), n_col="n")
-        rec = V.result_record(summary, per_label, keys, "f1", list(ds.names)).withColumn("run_id", F.lit(rid)).persist()
+        # labelled rows of a split with no disjoint-label partner (skipped as triplet anchors)
+        blocks = X.disjoint_blocks(grid.select(*keys, "label_mask"), keys).select(*keys, F.col("a_mask").alias("label_mask"))
+        skipped = (grid.where(F.col("label_mask") != 0).select(*keys, "label_mask")
+                   .join(blocks, [*keys, "label_mask"], "left_anti")
+                   .groupBy(*keys).agg(F.count(F.lit(1)).alias("skipped_rows")))
+        rec = (V.result_record(summary, per_label, keys, "f1", list(ds.names)).withColumn("run_id", F.lit(rid))
+               .join(skipped, keys, "left").withColumn("skipped_rows", F.coalesce("skipped_rows", F.lit(0)).cast("bigint"))
+               .persist())
         if cfg.results_dir and write:
             RS.write_results(rec, cfg.results_dir)
         weights.unpersist()

@@ -214,3 +214,18 @@ def test_run_with_checkpointed_intermediates(spark):
     cfg2 = RunConfig(loss="CosineSimilarityLoss", sample_sizes=(2,), seeds_num=2, num_iterations=2)
     b = sorted((r.seed_idx, r.macro_f1) for r in RN.run_fewshot(spark, cfg2, [_small_set(spark)], write=False).collect())
     assert a == b
+
+
+def test_multilabel_run_reports_skipped_rows(spark):
+    base = R.documents_multilabel(spark, SF01)
+    parts = M.fraction_split(base, 0.75, 42)
+    spec = C.spec("documents_flags")
+    ds = RN.LabelledSet("flags", parts.where("split = 'train'").drop("split"), parts.where("split = 'test'").drop("split"),
+                        list(spec.labels), spec.template, "f1", ["quality", "toxic"])
+    cfg = RunConfig(kind="multilabel", loss="TripletLoss", sample_sizes=(8,), seeds_num=2, num_iterations=2)
+    rec = RN.run_fewshot_multilabel(spark, cfg, [ds], write=False)
+    grid = M.fewshot_grid_multilabel(ds.train, ["quality", "toxic"], [8], [0, 1])
+    both = {r.seed_idx: r["count"] for r in grid.where("label_mask = 3").groupBy("seed_idx").count().collect()}
+    for r in rec.collect():
+        # (1,1) rows have only unlabelled rows as disjoint partners, and sampled splits hold none
+        assert r.skipped_rows == both.get(r.seed_idx, 0)
