@@ -56,6 +56,15 @@ def _tagged(rows: DataFrame, examples: DataFrame, keys: list[str], row_cols: lis
     return r.select(*cols).withColumn("_kind", F.lit(0)).unionByName(e.select(*cols).withColumn("_kind", F.lit(1)))
 
 
+def _spread(both: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition the split groups over at least as many partitions as there are cores.
+    The grouped fit reuses this partitioning (no extra shuffle), and unlike a plain shuffle it is
+    not merged by AQE into one or two partitions just because the input bytes are few: the fits
+    are CPU-bound, so many small splits should run in parallel."""
+    n = max(both.sparkSession.sparkContext.defaultParallelism, 1)
+    return both.repartition(n, *keys)
+
+
 def _split_parts(pdf: pd.DataFrame):
     """(rows, examples) of one split; kind 2 rows are per-split anchor vectors."""
     return pdf[pdf["_kind"] == 0], pdf[pdf["_kind"] == 1]
@@ -168,7 +177,7 @@ def train_splits(
         return pd.DataFrame(out)
 
     both = _tagged(rows, examples, keys, ["row_id", label_col, vec_col], [c for c in ex_cols if c not in keys])
-    return both.groupBy(*keys).applyInPandas(fit, schema)
+    return _spread(both, keys).groupBy(*keys).applyInPandas(fit, schema)
 
 
 def train_splits_multilabel(
@@ -253,7 +262,7 @@ def train_splits_multilabel(
                 dt = both.schema[c].dataType
                 filled = filled.withColumn(c, F.lit(None).cast(dt) if isinstance(dt, T.ArrayType) else F.lit(-1).cast(dt))
         both = both.unionByName(filled.select(*[c for c in both.columns if c != "_kind"]).withColumn("_kind", F.lit(2)))
-    return both.groupBy(*keys).applyInPandas(fit, schema)
+    return _spread(both, keys).groupBy(*keys).applyInPandas(fit, schema)
 
 
 def predict_multilabel(

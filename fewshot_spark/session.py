@@ -28,6 +28,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
         .config("spark.driver.memory", os.environ.get("FEWSHOT_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
