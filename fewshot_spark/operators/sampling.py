@@ -48,6 +48,7 @@ def _seed_table(seeds: list[int]):
 CANDIDATE_FACTOR = 4
 CANDIDATE_SLACK = 64
 MAX_THRESHOLD_CLASSES = 1_000_000
+PREFILTER_MIN_CLASS_ROWS = 1_000_000  # below this the per-task top-k sort is cheap
 
 
 def _rank_top(draws: DataFrame, class_col: str, id_col: str, kmax: int) -> DataFrame:
@@ -59,11 +60,13 @@ def _ranked_keys(long: DataFrame, class_col: str, sizes: list[int], seeds: list[
                  prefilter: bool = True) -> DataFrame:
     """(id, class, seed_idx, sample_size) of every split.
 
-    With ``prefilter`` the draws are first cut at a per-class hash threshold set so that about
-    ``4 k + 64`` candidates per (seed, class) are expected (the hash is uniform); only those reach
-    the window, so no task sorts a large class. A (seed, class) left with fewer candidates than it
-    needs is ranked again without the cut, so the result is exact. The threshold table (one row
-    per class) is broadcast after a size check; beyond it the plain window is used.
+    With ``prefilter`` (used when the largest class has more than ``PREFILTER_MIN_CLASS_ROWS``
+    rows; one small job counts the classes) the draws are first cut at a per-class hash threshold
+    set so that about ``4 k + 64`` candidates per (seed, class) are expected (the hash is
+    uniform); only those reach the window, so no task sorts a large class. A (seed, class) left
+    with fewer candidates than it needs is ranked again without the cut, so the result is exact.
+    The threshold table (one row per class) is broadcast after a size check; beyond it the plain
+    window is used.
     """
     sizes = sorted({int(s) for s in sizes})
     if not sizes or sizes[0] < 1:
@@ -83,7 +86,8 @@ def _ranked_keys(long: DataFrame, class_col: str, sizes: list[int], seeds: list[
             "_t", F.when(F.col("_n") <= want, full).otherwise(
                 F.floor(F.lit(float(1 << 60)) * F.lit(float(want)) / F.col("_n")).cast("bigint"))
         ).persist()
-        if thr.count() <= MAX_THRESHOLD_CLASSES:
+        stats = thr.agg(F.count(F.lit(1)).alias("classes"), F.max("_n").alias("largest")).first()
+        if stats["classes"] <= MAX_THRESHOLD_CLASSES and (stats["largest"] or 0) > PREFILTER_MIN_CLASS_ROWS:
             cand = draws.join(F.broadcast(thr.select(class_col, "_t")), class_col).where(F.col("_h") < F.col("_t")).drop("_t")
             have = cand.groupBy("seed_idx", class_col).agg(F.count(F.lit(1)).alias("_c"))
             expected = thr.select(class_col, "_n", F.explode(F.array(*[F.lit(i) for i in range(len(seeds))])).alias("seed_idx"))
