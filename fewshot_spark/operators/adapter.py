@@ -2,8 +2,9 @@
 cosine-similarity loss (the stand-in for fine-tuning the sentence encoder).
 
 Each step is one distributed job: ``W`` is broadcast, every partition returns its partial
-(loss sum, count, gradient) from ``mapInPandas``, the driver adds the d x d partials (one per
-partition, bounded) and takes a step. The learning rate warms up linearly over the first 10 % of
+(loss sum, count, gradient) from ``mapInPandas``; the partials are summed in about sqrt(p) tasks
+(a tree reduction in Spark), so the driver receives at most sqrt(p) d x d arrays per step, and
+takes the step. The learning rate warms up linearly over the first 10 % of
 the steps (rounded up) and then decays linearly to 0. ``W`` starts at the identity for every
 fit, so fits are pure functions of their input (the weight reset between splits).
 
@@ -74,6 +75,20 @@ def _partials(W: np.ndarray, batch: pd.DataFrame, loss: str, margin: float):
     return grad_cosine(W, X, Y, batch["target"].to_numpy().astype(np.float64))
 
 
+def _sum_partials(batches):
+    """Add the partial (loss, n, gradient) rows of one partition into one row."""
+    tot, n, G = 0.0, 0, None
+    for b in batches:
+        if len(b) == 0:
+            continue
+        tot += float(b["loss"].sum())
+        n += int(b["n"].sum())
+        g = np.sum(np.vstack(b["grad"].to_numpy()), axis=0)
+        G = g if G is None else G + g
+    if n:
+        yield pd.DataFrame({"loss": [tot], "n": [n], "grad": [G]})
+
+
 def fit_adapter(
     examples: DataFrame,
     loss: str = "triplet",
@@ -123,7 +138,11 @@ def fit_adapter(
                 if n:
                     yield pd.DataFrame({"loss": [tot], "n": [n], "grad": [G.ravel()]})
 
-            parts = data.mapInPandas(part, schema).collect()
+            partials = data.mapInPandas(part, schema)
+            groups = max(1, math.isqrt(max(1, partials.rdd.getNumPartitions())))
+            if groups > 1:
+                partials = partials.repartition(groups).mapInPandas(_sum_partials, schema)
+            parts = partials.collect()
             bw.unpersist()
             n = sum(r["n"] for r in parts)
             G = sum(np.asarray(r["grad"]) for r in parts).reshape(d, d) / n
