@@ -22,20 +22,31 @@ from ..functions.ranking import kth_smallest
 from .prepare import label_unpivot
 
 BROADCAST_ROWS = 1_000_000  # sample keys are ~40 bytes a row: at most ~40 MB broadcast
+MAX_BROADCAST_IDS = 20_000_000  # distinct sampled ids, 8 bytes each: at most ~160 MB broadcast
 
 
-def attach_payload(keys: DataFrame, table: DataFrame, id_col: str = "row_id", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join the payload columns of ``table`` to the (small) key table by id.
+def attach_payload(keys: DataFrame, table: DataFrame, id_col: str = "row_id", max_rows: int = BROADCAST_ROWS,
+                   max_ids: int | None = None) -> DataFrame:
+    """Join the payload columns of ``table`` to the (small) key table by id, without shuffling the
+    payload when the sample allows it:
 
-    The key table is persisted and counted; it is broadcast only below ``max_rows`` rows, else
-    both sides are shuffled on the id.
+    1. keys up to ``max_rows`` rows: the keys are broadcast;
+    2. else distinct sampled ids up to ``max_ids`` (8 bytes each): the id set is broadcast to
+       filter the table in its scan stage (left semi join), and only the surviving rows are
+       shuffled to meet the keys;
+    3. else both sides are shuffled on the id.
+    The key table is persisted and counted (the size checks).
     """
+    max_ids = MAX_BROADCAST_IDS if max_ids is None else max_ids
     keys = keys.persist()
     n = keys.count()
     payload_cols = [c for c in table.columns if c not in keys.columns or c == id_col]
     payload = table.select(*payload_cols)
     if n <= max_rows:
         return payload.join(F.broadcast(keys), id_col)
+    ids = keys.select(id_col).distinct().persist()
+    if ids.count() <= max_ids:
+        payload = payload.join(F.broadcast(ids), id_col, "left_semi")
     return keys.join(payload, id_col)
 
 

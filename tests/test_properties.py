@@ -167,3 +167,13 @@ def test_prefilter_exact_including_fallback(spark, monkeypatch):
     monkeypatch.setattr(M, "CANDIDATE_SLACK", 1)
     tight = {tuple(r) for r in M._ranked_keys(dl.select("row_id", "label"), "label", [2, 8, 64], [0, 1, 2], "row_id").collect()}
     assert tight == ref
+
+
+def test_attach_payload_tiers(spark):
+    dl = _dl(spark)
+    ref = sorted(tuple(r) for r in M.fewshot_grid(dl, [4, 16], [0, 1]).collect())
+    keys = M._ranked_keys(dl.select("row_id", "label"), "label", [4, 16], [0, 1], "row_id").drop("label")
+    for max_rows, max_ids in ((0, 10 ** 9), (0, 0)):  # id-set filter tier, then full shuffle join
+        out = M.attach_payload(keys, dl, "row_id", max_rows, max_ids).select(
+            F.col("sample_size").cast("int"), F.col("seed_idx").cast("int"), *dl.columns)
+        assert sorted(tuple(r) for r in out.collect()) == ref
