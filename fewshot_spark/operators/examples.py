@@ -18,6 +18,7 @@ from ..functions.hashing import h60
 from ..functions.ranking import number_by_hash
 
 POS_BITS = None  # sub-group bits of the position numbering: chosen from the largest class
+MAX_BROADCAST_ANCHORS = 1_000_000
 
 
 # ---- anchors (G1, J1) ----------------------------------------------------------------------
@@ -47,12 +48,13 @@ def join_anchor(
     A label with no anchor raises (naming the label) when ``check``.
     """
     on = on or []
-    a = anchors.select(*on, F.col("label_id").alias(label_col), "anchor")
+    a = anchors.select(*on, F.col("label_id").alias(label_col), "anchor").persist()
+    side = F.broadcast(a) if a.count() <= MAX_BROADCAST_ANCHORS else a  # one anchor per class: small
     if check:
-        missing = df.select(*on, label_col).distinct().join(F.broadcast(a), [*on, label_col], "left_anti").limit(5).collect()
+        missing = df.select(*on, label_col).distinct().join(side, [*on, label_col], "left_anti").limit(5).collect()
         if missing:
             raise KeyError(f"no anchor for label(s) {[tuple(r) for r in missing]}")
-    return df.join(F.broadcast(a), [*on, label_col])
+    return df.join(side, [*on, label_col])
 
 
 def anchors_lookup(anchors: dict[int, str], label_col: str = "label") -> Column:

@@ -80,8 +80,9 @@ def _grid_single(ds: LabelledSet, cfg: RunConfig, done: DataFrame | None) -> Dat
 
 def _encode_grid_rows(grid: DataFrame, train: DataFrame, cfg: RunConfig) -> DataFrame:
     """Encode each sampled row once (not once per split) and attach its vector to every split."""
-    ids = grid.select("row_id").distinct()
-    texts = train.select("row_id", "text").join(F.broadcast(ids), "row_id", "left_semi")
+    ids = grid.select("row_id").distinct().persist()
+    small = ids.count() <= M.MAX_BROADCAST_IDS  # 8 bytes an id; beyond the bound a plain semi join
+    texts = train.select("row_id", "text").join(F.broadcast(ids) if small else ids, "row_id", "left_semi")
     return _encode(texts, cfg)
 
 
