@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h60
+from ..functions import ranking
 from ..functions.ranking import number_by_hash
 
 POS_BITS = None  # sub-group bits of the position numbering: chosen from the largest class
@@ -102,7 +103,7 @@ def lay_out(df: DataFrame, split_keys: list[str], class_col: str, id_col: str =
     if bits is None:
         m = stats["m"] or 0
         bits = 0
-        while m > 200_000 and bits < 12:
+        while m > ranking.GROUP_ROWS_PER_TASK and bits < 12:
             m //= 2
             bits += 1
     hp = df.withColumn("_hp", h60(F.lit("pos"), F.col(id_col)))

@@ -68,3 +68,33 @@ def test_metrics_match_brute_force(spark, pairs):
     assert abs(r.accuracy - acc) < 1e-8 and abs(r.micro_f1 - acc) < 1e-8
     assert abs(r.macro_f1 - macro) < 1e-8 and abs(r.weighted_f1 - weighted) < 1e-8
     assert abs(r.mcc - mcc) < 1e-8
+
+
+def test_queries_independent_of_shuffle_partitions(spark):
+    import __spark_entry__ as E
+
+    qs = E.queries()
+    names = ["fewshot_grid", "gen_triplets", "negative_sample_multilabel", "batch_assign", "metric_f1"]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        results = {}
+        for parts in ("1", "8", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            results[parts] = {n: sorted(map(tuple, qs[n](spark, SF01).collect())) for n in names}
+        assert results["1"] == results["8"] == results["64"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_hot_class_sub_buckets_in_layout(spark, monkeypatch):
+    from fewshot_spark.operators import examples as X
+
+    em = spark.read.parquet(f"{SF01}/embeddings.parquet").select(F.lit("e").alias("dataset"), F.col("vec_id").alias("row_id"), "label")
+    laid = X.lay_out(em, ["dataset"], "label")
+    ref = sorted(map(tuple, X.negative_sample(X.repeat_iterations(laid, 3), laid, ["dataset"], 0, out_text=None)
+                     .select("iteration", "row_id", "neg_row_id").collect()))
+    monkeypatch.setattr(RK, "GROUP_ROWS_PER_TASK", 4)  # every class counts as hot: numbered in sub-buckets
+    laid2 = X.lay_out(em, ["dataset"], "label")
+    got = sorted(map(tuple, X.negative_sample(X.repeat_iterations(laid2, 3), laid2, ["dataset"], 0, out_text=None)
+                     .select("iteration", "row_id", "neg_row_id").collect()))
+    assert got == ref
