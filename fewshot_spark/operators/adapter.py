@@ -2,9 +2,9 @@
 cosine-similarity loss (the stand-in for fine-tuning the sentence encoder).
 
 Each step is one distributed job: ``W`` is broadcast, every partition returns its partial
-(loss sum, count, gradient) from ``mapInPandas``; the partials are summed in about sqrt(p) tasks
-(a tree reduction in Spark), so the driver receives at most sqrt(p) d x d arrays per step, and
-takes the step. The learning rate warms up linearly over the first 10 % of
+(loss sum, count, gradient) from ``mapInPandas``; with more than 64 partitions the partials are
+first summed in about sqrt(p) tasks (a tree reduction in Spark), so the driver receives at most
+max(64, sqrt(p)) d x d arrays per step, and takes the step. The learning rate warms up linearly over the first 10 % of
 the steps (rounded up) and then decays linearly to 0. ``W`` starts at the identity for every
 fit, so fits are pure functions of their input (the weight reset between splits).
 
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EPS = 1e-8
+DIRECT_PARTIALS = 64  # up to this many partial gradients go straight to the driver
 
 
 def _cos_and_grads(U, V):
@@ -121,6 +122,7 @@ def fit_adapter(
     ])
     W = np.eye(d)
     history: list[float] = []
+    n_parts = data.rdd.getNumPartitions()
     try:
         for step in range(steps):
             bw = sc.broadcast(W)
@@ -139,9 +141,8 @@ def fit_adapter(
                     yield pd.DataFrame({"loss": [tot], "n": [n], "grad": [G.ravel()]})
 
             partials = data.mapInPandas(part, schema)
-            groups = max(1, math.isqrt(max(1, partials.rdd.getNumPartitions())))
-            if groups > 1:
-                partials = partials.repartition(groups).mapInPandas(_sum_partials, schema)
+            if n_parts > DIRECT_PARTIALS:
+                partials = partials.repartition(math.isqrt(n_parts)).mapInPandas(_sum_partials, schema)
             parts = partials.collect()
             bw.unpersist()
             n = sum(r["n"] for r in parts)

@@ -194,3 +194,11 @@ def test_fused_encode_predict(spark):
     a = HD.predict(dl.select("row_id", "label").join(enc, "row_id"), w, SPLIT, aggregate=True)
     b = HD.predict(dl.select("row_id", "text", "label"), w, SPLIT, aggregate=True, encode=("text", 64))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_adapter_tree_reduction(spark, monkeypatch):
+    ex = _em_triplets(spark, iters=1).select("a", "p", "n").persist()
+    W1, h1 = AD.fit_adapter(ex, "triplet", steps=3, lr=2.0, partitions=9)
+    monkeypatch.setattr(AD, "DIRECT_PARTIALS", 1)  # force the sqrt(p) tree
+    W2, h2 = AD.fit_adapter(ex, "triplet", steps=3, lr=2.0, partitions=9)
+    assert np.allclose(W1, W2, atol=1e-9) and np.allclose(h1, h2, atol=1e-12)
