@@ -179,26 +179,27 @@ def gen_triplets(
     seed: int,
     split_keys: list[str],
     label_col: str = "label",
-    text_col: str = "text",
+    text_col: str | None = "text",
     id_col: str = "row_id",
     bits: int = POS_BITS,
 ) -> DataFrame:
     """(anchor of the row's class, row, random row of another class) per row and iteration.
 
-    Output: ``split keys, iteration, row_id, label, neg_row_id, anchor, positive, negative``.
+    Output: ``split keys, iteration, row_id, label, neg_row_id, anchor, positive, negative``;
+    with ``text_col=None`` the ids only (no text is laid out or cached).
     A split with a single class raises.
     """
-    laid = lay_out(rows, split_keys, label_col, id_col, bits, check_other=True)
+    base = rows if text_col else rows.select(*split_keys, id_col, label_col)
+    laid = lay_out(base, split_keys, label_col, id_col, bits, check_other=True)
     ex = repeat_iterations(laid, iterations)
     if isinstance(anchors, dict):
         ex = ex.withColumn("anchor", anchors_lookup(anchors, label_col))
     else:
         ex = join_anchor(ex, anchors, label_col=label_col)
-    out = negative_sample(ex, laid, split_keys, seed, text_col=text_col, id_col=id_col)
-    return out.select(
-        *split_keys, "iteration", id_col, label_col, "neg_row_id", "anchor",
-        F.col(text_col).alias("positive"), "negative",
-    )
+    out = negative_sample(ex, laid, split_keys, seed, out_text="negative" if text_col else None,
+                          text_col=text_col or "text", id_col=id_col)
+    texts = [F.col(text_col).alias("positive"), "negative"] if text_col else []
+    return out.select(*split_keys, "iteration", id_col, label_col, "neg_row_id", "anchor", *texts)
 
 
 def gen_pairs(
@@ -207,20 +208,23 @@ def gen_pairs(
     seed: int,
     split_keys: list[str],
     label_col: str = "label",
-    text_col: str = "text",
+    text_col: str | None = "text",
     id_col: str = "row_id",
     bits: int = POS_BITS,
 ) -> DataFrame:
     """Per row and iteration one positive pair (same class, target 1.0) and one negative pair
     (another class, target 0.0). Output: ``split keys, iteration, row_id, other_row_id, text_a,
-    text_b, target``."""
-    laid = lay_out(rows, split_keys, label_col, id_col, bits, check_other=True)
+    text_b, target``; with ``text_col=None`` the ids and target only."""
+    base = rows if text_col else rows.select(*split_keys, id_col, label_col)
+    laid = lay_out(base, split_keys, label_col, id_col, bits, check_other=True)
     ex = repeat_iterations(laid, iterations)
-    pos = positive_sample(ex, laid, split_keys, seed, out_id="other_row_id", out_text="text_b",
-                          text_col=text_col, id_col=id_col).withColumn("target", F.lit(1.0))
-    neg = negative_sample(ex, laid, split_keys, seed, out_id="other_row_id", out_text="text_b",
-                          text_col=text_col, id_col=id_col).withColumn("target", F.lit(0.0))
-    cols = [*split_keys, "iteration", id_col, "other_row_id", F.col(text_col).alias("text_a"), "text_b", "target"]
+    out_text = "text_b" if text_col else None
+    pos = positive_sample(ex, laid, split_keys, seed, out_id="other_row_id", out_text=out_text,
+                          text_col=text_col or "text", id_col=id_col).withColumn("target", F.lit(1.0))
+    neg = negative_sample(ex, laid, split_keys, seed, out_id="other_row_id", out_text=out_text,
+                          text_col=text_col or "text", id_col=id_col).withColumn("target", F.lit(0.0))
+    texts = [F.col(text_col).alias("text_a"), "text_b"] if text_col else []
+    cols = [*split_keys, "iteration", id_col, "other_row_id", *texts, "target"]
     return pos.select(*cols).unionByName(neg.select(*cols))
 
 

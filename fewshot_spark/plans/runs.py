@@ -103,15 +103,16 @@ def run_fewshot(spark: SparkSession, cfg: RunConfig, datasets: list[LabelledSet]
         enc = _encode_grid_rows(grid, ds.train, cfg)
         rows = grid.select(*keys, "row_id", "label").join(enc, "row_id")
         if cfg.triplet:
-            trip = X.gen_triplets(grid.select(*keys, "row_id", "text", "label"), anchors, cfg.num_iterations,
-                                  cfg.draw_seed, keys)
+            trip = X.gen_triplets(grid.select(*keys, "row_id", "label"), anchors, cfg.num_iterations,
+                                  cfg.draw_seed, keys, text_col=None)
             ex = trip.select(*keys, "iteration", "row_id", F.col("label").alias("anchor_key"),
                              F.col("neg_row_id").alias("other_row_id"))
             ex = G.with_batch_key(ex, keys, cfg.draw_seed, ["iteration", "row_id"])
             anchor_vecs = _vectors_of(spark, anchors, cfg)
             loss = "triplet"
         else:
-            pairs = X.gen_pairs(grid.select(*keys, "row_id", "text", "label"), cfg.num_iterations, cfg.draw_seed, keys)
+            pairs = X.gen_pairs(grid.select(*keys, "row_id", "label"), cfg.num_iterations, cfg.draw_seed, keys,
+                                text_col=None)
             ex = G.with_batch_key(pairs.select(*keys, "iteration", "row_id", "other_row_id", "target"), keys,
                                   cfg.draw_seed, ["iteration", "row_id", "target"])
             anchor_vecs = None
@@ -225,7 +226,7 @@ def run_relabel_demo(spark: SparkSession, cfg: RunConfig, train: DataFrame, rows
     for i, (template, names) in enumerate(anchor_sets):
         anchors = X.generate_anchors(template, list(names))
         split = base.withColumn("anchor_set", F.lit(i))
-        trip = X.gen_triplets(split, anchors, cfg.num_iterations, cfg.draw_seed, keys)
+        trip = X.gen_triplets(split, anchors, cfg.num_iterations, cfg.draw_seed, keys, text_col=None)
         ex = G.with_batch_key(trip.select(*keys, "iteration", "row_id", F.col("label").alias("anchor_key"),
                                           F.col("neg_row_id").alias("other_row_id")),
                               keys, cfg.draw_seed, ["iteration", "row_id"])
