@@ -222,7 +222,9 @@ def q_run_ablation(spark, sf):
     cfg = RunConfig(loss="TripletLoss", kind="ablation", setting_name="PEM", sample_sizes=(2, 8, 32), seeds_num=5)
     ds = _dl_set(spark, sf)
     ds = RN.LabelledSet(ds.name, ds.train, ds.test, list(C.DEV_LABELS["sst2"]), C.DEV_TEMPLATES["sst2"], "accuracy")
-    return _records(RN.run_ablation(spark, cfg, [ds], C.label_catalogue(spark), {ds.name: "sst2"}, write=False))
+    rec = RN.run_ablation(spark, cfg, [ds], C.label_catalogue(spark), {ds.name: "sst2"}, write=False)
+    return _records(rec).join(rec.select("dataset", "sample_size", "seed_idx", "shown_names"),
+                              ["dataset", "sample_size", "seed_idx"])
 
 
 @register("run_relabel_demo")

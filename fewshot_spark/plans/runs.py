@@ -212,7 +212,17 @@ def run_ablation(spark: SparkSession, cfg: RunConfig, datasets: list[LabelledSet
         if not rows:
             raise KeyError(f"variant {cfg.setting_name!r} has no tables for {src!r}")
         names[ds.name] = (rows[0]["template"], [r["shown_name"] for r in rows])
-    return run_fewshot(spark, cfg, datasets, anchor_names=names, write=write)
+    rec = run_fewshot(spark, cfg, datasets, anchor_names=names, write=False)
+    # per-class F1 stays keyed by the real class names; the names the anchors showed are kept too
+    shown = None
+    for d, (_, shown_names) in names.items():
+        m = F.map_from_arrays(F.array(*[F.lit(i) for i in range(len(shown_names))]),
+                              F.array(*[F.lit(n) for n in shown_names]))
+        shown = F.when(F.col("dataset") == d, m) if shown is None else shown.when(F.col("dataset") == d, m)
+    rec = rec.withColumn("shown_names", shown).persist()
+    if cfg.results_dir and write:
+        RS.write_results(rec, cfg.results_dir)
+    return rec
 
 
 def run_relabel_demo(spark: SparkSession, cfg: RunConfig, train: DataFrame, rows: DataFrame,

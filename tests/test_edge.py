@@ -229,3 +229,13 @@ def test_multilabel_run_reports_skipped_rows(spark):
     for r in rec.collect():
         # (1,1) rows have only unlabelled rows as disjoint partners, and sampled splits hold none
         assert r.skipped_rows == both.get(r.seed_idx, 0)
+
+
+def test_ablation_keeps_real_and_shown_names(spark):
+    ds = _small_set(spark)
+    ds = RN.LabelledSet(ds.name, ds.train, ds.test, list(C.DEV_LABELS["sst2"]), C.DEV_TEMPLATES["sst2"], "accuracy")
+    cfg = RunConfig(loss="TripletLoss", kind="ablation", setting_name="PEM", sample_sizes=(2,), seeds_num=1, num_iterations=2)
+    r = RN.run_ablation(spark, cfg, [ds], C.label_catalogue(spark), {ds.name: "sst2"}, write=False).first()
+    assert r.shown_names == {0: "positive", 1: "negative"}  # two labels: the derangement swaps them
+    assert set(r.per_class) <= {"negative", "positive"}
+    assert r.run_id.startswith("TEM-") and r.run_id.endswith("--PEM")
