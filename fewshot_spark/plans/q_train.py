@@ -180,9 +180,9 @@ def _dl_set(spark, sf) -> RN.LabelledSet:
                           QUALITY.metric)
 
 
-def _records(rec):
+def _records(rec, *extra: str):
     return rec.select("run_id", "dataset", "sample_size", "seed_idx", "macro_f1", "micro_f1", "weighted_f1",
-                      "metric", "metric_value", "per_class")
+                      "metric", "metric_value", "per_class", *extra)
 
 
 @register("run_fewshot")
@@ -223,8 +223,7 @@ def q_run_ablation(spark, sf):
     ds = _dl_set(spark, sf)
     ds = RN.LabelledSet(ds.name, ds.train, ds.test, list(C.DEV_LABELS["sst2"]), C.DEV_TEMPLATES["sst2"], "accuracy")
     rec = RN.run_ablation(spark, cfg, [ds], C.label_catalogue(spark), {ds.name: "sst2"}, write=False)
-    return _records(rec).join(rec.select("dataset", "sample_size", "seed_idx", "shown_names"),
-                              ["dataset", "sample_size", "seed_idx"])
+    return _records(rec, "shown_names")
 
 
 @register("run_relabel_demo")
