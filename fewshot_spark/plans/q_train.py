@@ -212,7 +212,7 @@ def q_run_fewshot_multilabel(spark, sf):
                         parts.where(F.col("split") == "test").drop("split"), list(spec.labels), spec.template, "f1",
                         ["quality", "toxic"])
     cfg = RunConfig(loss="TripletLoss", kind="multilabel", sample_sizes=(2, 4, 8, 16), seeds_num=5, setting_name="multilabel")
-    return _records(RN.run_fewshot_multilabel(spark, cfg, [ds], write=False))
+    return _records(RN.run_fewshot_multilabel(spark, cfg, [ds], write=False), "skipped_rows")
 
 
 @register("run_ablation")
