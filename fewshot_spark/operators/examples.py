@@ -256,11 +256,11 @@ def disjoint_negative(
     split_keys: list[str],
     seed: int,
     mask_col: str = "label_mask",
-    text_col: str = "text",
+    text_col: str | None = "text",
     id_col: str = "row_id",
     on_empty: str = "skip",
     out_id: str = "neg_row_id",
-    out_text: str = "negative",
+    out_text: str | None = "negative",
     bits: int = POS_BITS,
     tag: str = "neg",
 ) -> DataFrame:
@@ -284,8 +284,9 @@ def disjoint_negative(
         *[c for c in ex.columns], F.col("_blk.b_mask").alias("_b"), (F.col("_r") - F.col("_blk.lo")).alias("_p")
     )
     hp = rows.withColumn("_hp", h60(F.lit("pos"), F.col(id_col)))
+    texts = [F.col(text_col).alias(out_text)] if (out_text and text_col) else []
     laid = number_by_hash(hp, [*split_keys, mask_col], "_hp", id_col, out="_p", bits=bits).select(
-        *split_keys, F.col(mask_col).alias("_b"), "_p", F.col(id_col).alias(out_id), F.col(text_col).alias(out_text)
+        *split_keys, F.col(mask_col).alias("_b"), "_p", F.col(id_col).alias(out_id), *texts
     )
     return drawn.join(laid, [*split_keys, "_b", "_p"]).drop("_b", "_p")
 
@@ -324,25 +325,28 @@ def positive_sample_multilabel(
     iterations: int,
     seed: int,
     split_keys: list[str],
-    text_col: str = "text",
+    text_col: str | None = "text",
     id_col: str = "row_id",
     bits: int = POS_BITS,
 ) -> DataFrame:
     """For each row of ``ex_rows``, iteration and set label: a uniform row of ``rows`` carrying that
     label (itself allowed). Output: ``split keys, iteration, row_id, label_id, other_row_id,
-    text_a, text_b``."""
+    text_a, text_b`` (ids only with ``text_col=None``)."""
     from .prepare import label_unpivot
 
-    laid = lay_out(label_unpivot(rows, [*split_keys, id_col, text_col], label_cols), split_keys, "label_id", id_col, bits)
+    tcols = [text_col] if text_col else []
+    laid = lay_out(label_unpivot(rows, [*split_keys, id_col, *tcols], label_cols), split_keys, "label_id", id_col, bits)
     sizes = class_layout(label_unpivot(rows, [*split_keys, id_col], label_cols), split_keys, "label_id").select(
         *split_keys, "label_id", "n_c", "off_c"
     )
-    ex = repeat_iterations(label_unpivot(ex_rows, [*split_keys, id_col, text_col], label_cols), iterations)
+    ex = repeat_iterations(label_unpivot(ex_rows, [*split_keys, id_col, *tcols], label_cols), iterations)
     ex = ex.join(sizes, [*split_keys, "label_id"])
     target = F.col("off_c") + _draw(seed, split_keys, "pos", id_col, ["label_id"]) % F.col("n_c")
-    other = laid.select(*split_keys, F.col("pos").alias("_t"), F.col(id_col).alias("other_row_id"), F.col(text_col).alias("text_b"))
+    other = laid.select(*split_keys, F.col("pos").alias("_t"), F.col(id_col).alias("other_row_id"),
+                        *([F.col(text_col).alias("text_b")] if text_col else []))
+    texts = [F.col(text_col).alias("text_a"), "text_b"] if text_col else []
     return ex.withColumn("_t", target).join(other, [*split_keys, "_t"]).select(
-        *split_keys, "iteration", id_col, "label_id", "other_row_id", F.col(text_col).alias("text_a"), "text_b"
+        *split_keys, "iteration", id_col, "label_id", "other_row_id", *texts
     )
 
 
@@ -353,21 +357,22 @@ def gen_pairs_multilabel(
     seed: int,
     split_keys: list[str],
     mask_col: str = "label_mask",
-    text_col: str = "text",
+    text_col: str | None = "text",
     id_col: str = "row_id",
     bits: int = POS_BITS,
 ) -> DataFrame:
     """Per row and iteration: for each set label one positive (a row with that label, itself
     allowed, target 1.0) and one negative sharing no label (target 0.0). Rows with no disjoint
     partner are skipped entirely. Output: ``split keys, iteration, row_id, label_id, other_row_id,
-    text_a, text_b, target`` (label_id is -1 on negatives)."""
+    text_a, text_b, target`` (label_id is -1 on negatives; no texts with ``text_col=None``)."""
     blocks = disjoint_blocks(rows, split_keys, mask_col).select(*split_keys, F.col("a_mask").alias(mask_col))
     eligible = rows.join(blocks, [*split_keys, mask_col], "left_semi")
     ex = repeat_iterations(eligible, iterations)
     neg = disjoint_negative(ex, rows, split_keys, seed, mask_col, text_col, id_col, "skip",
-                            out_id="other_row_id", out_text="text_b", bits=bits)
+                            out_id="other_row_id", out_text="text_b" if text_col else None, bits=bits)
+    texts = [F.col(text_col).alias("text_a"), "text_b"] if text_col else []
     neg = neg.select(*split_keys, "iteration", id_col, F.lit(-1).alias("label_id"), "other_row_id",
-                     F.col(text_col).alias("text_a"), "text_b", F.lit(0.0).alias("target"))
+                     *texts, F.lit(0.0).alias("target"))
     pos = positive_sample_multilabel(eligible, rows, label_cols, iterations, seed, split_keys, text_col, id_col, bits)
     return pos.withColumn("target", F.lit(1.0)).unionByName(neg)
 

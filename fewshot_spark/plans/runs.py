@@ -172,7 +172,8 @@ def run_fewshot_multilabel(spark: SparkSession, cfg: RunConfig, datasets: list[L
                                       cfg, "anchor_key")
             loss = "triplet"
         else:
-            pairs = X.gen_pairs_multilabel(grid, lc, cfg.num_iterations, cfg.draw_seed, keys)
+            pairs = X.gen_pairs_multilabel(grid.select(*keys, "row_id", *lc, "label_mask"), lc, cfg.num_iterations,
+                                           cfg.draw_seed, keys, text_col=None)
             ex = G.with_batch_key(pairs.select(*keys, "iteration", "row_id", "label_id", "other_row_id", "target"), keys,
                                   cfg.draw_seed, ["iteration", "row_id", "label_id"])
             anchor_vecs = None
