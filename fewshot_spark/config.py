@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 LOSSES = ("CosineSimilarityLoss", "TripletLoss")
@@ -52,6 +53,9 @@ class RunConfig:
     adapter_lr: float = 0.5
     results_dir: str | None = None
     checkpoint_intermediates: bool = False
+    # optional encoder for runs: DataFrame(row_id, text) -> DataFrame(row_id, embedding ARRAY<DOUBLE>),
+    # e.g. ``lambda df: encode_with_model(df, factory, dim)``; None = the hashed encoder
+    encoder: Callable | None = field(default=None, compare=False, repr=False)
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
@@ -80,7 +84,9 @@ class RunConfig:
         return self.loss == "TripletLoss"
 
     def as_dict(self) -> dict:
-        return asdict(self)
+        d = {k: v for k, v in asdict(self).items() if k != "encoder"}
+        d["encoder"] = None if self.encoder is None else getattr(self.encoder, "__name__", "custom")
+        return d
 
 
 def run_id(cfg: RunConfig) -> str:

@@ -44,7 +44,11 @@ class LabelledSet:
 def _encode(df: DataFrame, cfg: RunConfig, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
     """Hashed encoding; its vectors are already unit length (or zero), so the optional
     normalisation layer leaves them unchanged and the fused test scoring needs no extra step."""
-    enc = E.encode_hash(df.select(id_col, text_col), id_col, text_col, dim=cfg.encoder_dim)
+    if cfg.encoder is not None:
+        enc = cfg.encoder(df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")))
+        enc = enc.select(F.col("row_id").alias(id_col), F.col("embedding").cast("array<double>").alias("embedding"))
+    else:
+        enc = E.encode_hash(df.select(id_col, text_col), id_col, text_col, dim=cfg.encoder_dim)
     if cfg.add_normalization_layer:
         enc = enc.withColumn("embedding", E.l2_normalize("embedding"))
     return enc
@@ -62,6 +66,10 @@ def _vectors_of(spark: SparkSession, texts: dict, cfg: RunConfig) -> dict:
     if len(texts) > MAX_ANCHORS:
         raise ValueError(f"{len(texts)} anchor sentences exceed the bound of {MAX_ANCHORS}")
     keys = list(texts)
+    if cfg.encoder is not None:
+        df = spark.createDataFrame([(str(k), texts[k]) for k in keys], "row_id string, text string")
+        got = {r["row_id"]: r["embedding"] for r in _encode(df, cfg).collect()}
+        return {k: np.asarray(got[str(k)], dtype=np.float64) for k in keys}
     V = E.hash_vectors([texts[k] for k in keys], cfg.encoder_dim)
     if cfg.add_normalization_layer:
         n = np.linalg.norm(V, axis=1, keepdims=True)
@@ -123,8 +131,12 @@ def run_fewshot(spark: SparkSession, cfg: RunConfig, datasets: list[LabelledSet]
         weights = G.train_splits(rows, ex, keys, anchor_vecs, loss, cfg.classifier, cfg.adapter_lr, cfg.margin,
                                  batch_size=cfg.batch_size)
         weights = weights.persist()
-        conf = HD.predict(ds.test.select("row_id", "text", "label"), weights, keys, aggregate=True,
-                          encode=("text", cfg.encoder_dim))
+        if cfg.encoder is None:  # encode inside the scoring pass
+            conf = HD.predict(ds.test.select("row_id", "text", "label"), weights, keys, aggregate=True,
+                              encode=("text", cfg.encoder_dim))
+        else:
+            test = _encode(ds.test, cfg).join(ds.test.select("row_id", "label"), "row_id")
+            conf = HD.predict(test, weights, keys, aggregate=True)
         summary = V.summary(conf, keys, n_col="n")
         per_class = V.f1_per_class(conf, keys, n_col="n")
         rec = V.result_record(summary, per_class, keys, ds.metric, list(ds.names)).withColumn("run_id", F.lit(rid))
@@ -181,8 +193,12 @@ def run_fewshot_multilabel(spark: SparkSession, cfg: RunConfig, datasets: list[L
         rows, ex = _keep(rows, cfg), _keep(ex, cfg)
         weights = G.train_splits_multilabel(rows, ex, keys, lc, anchor_vecs, loss, cfg.multi_target_strategy,
                                             cfg.adapter_lr, cfg.margin, batch_size=cfg.batch_size).persist()
-        conf = G.predict_multilabel(ds.test.select("row_id", "text", "label_mask"), weights, keys,
-                                    encode=("text", cfg.encoder_dim))
+        if cfg.encoder is None:
+            conf = G.predict_multilabel(ds.test.select("row_id", "text", "label_mask"), weights, keys,
+                                        encode=("text", cfg.encoder_dim))
+        else:
+            test = _encode(ds.test, cfg).join(ds.test.select("row_id", "label_mask"), "row_id")
+            conf = G.predict_multilabel(test, weights, keys)
         summary = V.multilabel_summary(conf, keys, len(lc), n_col="n")
         per_label = V.multilabel_f1_per_label(conf, keys, len(lc), n_col="n")
         # labelled rows of a split with no disjoint-label partner (skipped as triplet anchors)

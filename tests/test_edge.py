@@ -239,3 +239,27 @@ def test_ablation_keeps_real_and_shown_names(spark):
     assert r.shown_names == {0: "positive", 1: "negative"}  # two labels: the derangement swaps them
     assert set(r.per_class) <= {"negative", "positive"}
     assert r.run_id.startswith("TEM-") and r.run_id.endswith("--PEM")
+
+
+def test_run_with_user_encoder(spark):
+    from fewshot_spark.operators.encode import encode_hash, encode_with_model
+
+    def factory():
+        import numpy as np
+
+        from fewshot_spark.operators.encode import hash_vectors
+
+        return lambda texts: hash_vectors(texts, 32) * 2.0  # any model: here a scaled hashed encoding
+
+    ds = _small_set(spark)
+    base = RunConfig(loss="TripletLoss", sample_sizes=(2,), seeds_num=2, num_iterations=2, encoder_dim=32)
+    user = RunConfig(loss="TripletLoss", sample_sizes=(2,), seeds_num=2, num_iterations=2, encoder_dim=32,
+                     encoder=lambda df: encode_with_model(df, factory, 32))
+    a = RN.run_fewshot(spark, user, [ds], write=False).collect()
+    assert len(a) == 2 and all(0.0 <= r.metric_value <= 1.0 for r in a)
+    assert "encoder" in user.as_dict()
+    same = RunConfig(loss="TripletLoss", sample_sizes=(2,), seeds_num=2, num_iterations=2, encoder_dim=32,
+                     encoder=lambda df: encode_hash(df, dim=32))
+    b = sorted((r.seed_idx, r.metric_value) for r in RN.run_fewshot(spark, same, [ds], write=False).collect())
+    c = sorted((r.seed_idx, r.metric_value) for r in RN.run_fewshot(spark, base, [ds], write=False).collect())
+    assert b == c  # the pluggable path gives the built-in result for the built-in encoder
