@@ -8,6 +8,8 @@ state and no shuffle; the weights (a bounded, size-checked table) are broadcast
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,9 @@ def start_scoring(stream: DataFrame, weights: DataFrame, keys: list[str], sink_p
     """Start a query appending predictions as Parquet to ``sink_path``; the stream checkpoint goes
     under the cluster's checkpoint folder unless given."""
     scored = score_texts(stream, weights, keys, id_col, text_col, dim, names)
-    ckpt = checkpoint or f"{ensure_checkpoint_dir(stream.sparkSession).rstrip('/')}/scoring-{abs(hash(sink_path))}"
+    # deterministic per sink, so a restarted query finds its own checkpoint again
+    tag = hashlib.md5(sink_path.encode("utf-8")).hexdigest()[:16]
+    ckpt = checkpoint or f"{ensure_checkpoint_dir(stream.sparkSession).rstrip('/')}/scoring-{tag}"
     writer = scored.writeStream.format("parquet").option("path", sink_path).option("checkpointLocation", ckpt).outputMode("append")
     if trigger_once:
         writer = writer.trigger(availableNow=True)
