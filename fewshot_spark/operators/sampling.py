@@ -183,6 +183,10 @@ def sample_exact(df: DataFrame, n: int, seed: int, id_col: str = "row_id") -> Da
     The n-th draw is found by radix selection (``kth_smallest``); the sample is then a filter, so
     there is no global sort and nothing is merged in one task.
     """
+    if n == 0:
+        return df.where(F.lit(False))
+    if n < 0:
+        raise ValueError("sample size must be >= 0")
     hashed = df.select(id_col, h60(F.lit(int(seed)), F.col(id_col)).alias("_h")).persist()
     try:
         h_k, id_k, _ = kth_smallest(hashed, n, "_h", id_col)

@@ -177,3 +177,12 @@ def test_attach_payload_tiers(spark):
         out = M.attach_payload(keys, dl, "row_id", max_rows, max_ids).select(
             F.col("sample_size").cast("int"), F.col("seed_idx").cast("int"), *dl.columns)
         assert sorted(tuple(r) for r in out.collect()) == ref
+
+
+def test_sample_and_split_extremes(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id")
+    n = docs.count()
+    assert M.sample_exact(docs, 0, 1, "doc_id").count() == 0
+    assert M.sample_exact(docs, n, 1, "doc_id").count() == n
+    assert M.fraction_split(docs, 0.0, 1, "doc_id").where("split = 'train'").count() == 0
+    assert M.fraction_split(docs, 1.0, 1, "doc_id").where("split = 'test'").count() == 0
