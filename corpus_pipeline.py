@@ -16,39 +16,36 @@ from fewshot_spark.llm.graph import sized
 from fewshot_spark.llm.queries import vocabulary
 from fewshot_spark.session import prepare_session, read_table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score of 0.5 or more)."""
     prepare_session(spark)
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, keep=COLUMNS)
-    return scored.where("quality_score >= 0.5").select(*COLUMNS)
+    return quality.score(docs, model).where("quality_score >= 0.5").drop("quality_score")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines; a document that loses all its text goes."""
     prepare_session(spark)
-    done = line_dedup.drop_recurring(docs.select(*COLUMNS), min_docs=3)
+    done = line_dedup.drop_recurring(docs, min_docs=3)
     changed = done.where((F.col("cut_units") == 0) | (F.trim("text") != ""))
     n_chars = F.when(F.col("cut_units") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return changed.withColumn("n_chars", n_chars).select(*COLUMNS)
+    return changed.withColumn("n_chars", n_chars).drop("cut_units")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (smallest id) of each group of near-duplicates: five words, similarity 0.8."""
     prepare_session(spark)
     judged = minhash.near_duplicates(docs, width=5, percent=80)
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(sized(gone), F.col("doc_id") == F.col("gone_id"), "left_anti").select(*COLUMNS)
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id")).distinct()
+    return docs.join(sized(gone), F.col("doc_id") == F.col("__gone_id"), "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item: five words, containment 0.8."""
     prepare_session(spark)
     leaks = decontaminate.find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
-    return decontaminate.drop_leaking(docs, leaks).select(*COLUMNS)
+    return decontaminate.drop_leaking(docs, leaks)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -172,7 +172,7 @@ def _rewrite(batches):
             drop = drops[int(i)].values.to_numpy()
             raw, cuts[i] = _cut(data, offsets[i : i + 2], drop)
             texts[i] = raw.decode()
-        yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(texts, pa.string()), pa.array(cuts)], [*b.schema.names[2:], "kept_text", "cut_units"])
+        yield pa.RecordBatch.from_arrays([b.column(2), pa.array(texts, pa.string()), pa.array(cuts)], ["row", "kept_text", "cut_units"])
 
 
 def recurring(docs: DataFrame, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,10 +208,8 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, id_col: str = "doc_id", t
     id_field = src.schema["doc_id"].dataType.simpleString()
     found = sized(recurring(docs, min_docs, id_col, text_col).checkpoint())
     units = src.mapInArrow(_parse(False), f"template long, doc_id {id_field}")
-    drops = units.join(found, "template").where("doc_id != first_doc").groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("template").alias("_drops"))
-    rows = docs.join(drops, F.col(id_col) == F.col("_drop_id"), "left")
-    rest = [c for c in docs.columns if c != text_col]
-    rows = rows.select(F.col(text_col).alias("_text"), "_drops", *rest)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
-    done = rows.mapInArrow(_rewrite, f"{types}, kept_text string, cut_units long")
-    return done.select(*[F.col("kept_text").alias(c) if c == text_col else F.col(c) for c in docs.columns], "cut_units")
+    drops = units.join(found, "template").where("doc_id != first_doc").groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("template").alias("drops"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[c for c in docs.columns if c != text_col]).alias("row"))
+    rows = rows.join(drops, F.col("id") == F.col("drop_id"), "left").select("text", "drops", "row")
+    done = rows.mapInArrow(_rewrite, f"row {rows.schema['row'].dataType.simpleString()}, kept_text string, cut_units long")
+    return done.select(*[F.col("kept_text" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns], "cut_units")

@@ -217,7 +217,7 @@ def _score(model: Model):
         index = _index_vectors()
         for b in batches:
             s = np.full(b.num_rows, model.constant) if model.network is None else model.network.probabilities(_features(b.column(0), model.vectors, index))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64())], [*b.schema.names[1:], "quality_score"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(s, pa.float64())], ["row", "quality_score"])
 
     return run
 
@@ -225,8 +225,9 @@ def _score(model: Model):
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) of every row of ``docs`` and ``quality_score`` (0 to
     1), from the whole text and nothing else. Null and empty texts are scored by their all-zero
-    features; repeated rows get equal scores; no rows give no rows."""
-    keep = docs.columns if keep is None else keep
-    src = docs.select(F.col(text_col).alias("_scored_text"), *keep)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:])
-    return src.mapInArrow(_score(model), f"{types}, quality_score double")
+    features; repeated rows get equal scores; columns may have any other names; no rows give no
+    rows."""
+    row = F.struct(*(docs.columns if keep is None else keep)).alias("row")
+    src = docs.select(F.col(text_col).alias("text"), row)
+    done = src.mapInArrow(_score(model), f"row {src.schema['row'].dataType.simpleString()}, quality_score double")
+    return done.select("row.*", "quality_score")
