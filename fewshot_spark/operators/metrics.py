@@ -136,7 +136,9 @@ def result_record(summary_df: DataFrame, per_class: DataFrame, keys: list[str],
                   names: list[str] | None = None, label_col: str = "label", f1_col: str = "f1") -> DataFrame:
     """One row per split: ``macro_f1, micro_f1, weighted_f1, metric, metric_value`` and
     ``per_class MAP<STRING, DOUBLE>`` (class name -> F1; names joined by id, never by position)."""
-    metric_col = {"accuracy": "accuracy", "matthews_correlation": "mcc", "f1": "accuracy"}.get(metric, "accuracy")
+    metric_col = {"accuracy": "accuracy", "matthews_correlation": "mcc"}.get(metric)
+    if metric_col is None or metric_col not in summary_df.columns:
+        raise ValueError(f"no metric {metric!r} in this summary")
     if names is not None:
         m = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(n))])
         name = F.coalesce(F.try_element_at(m, F.col(label_col)), F.col(label_col).cast("string"))

@@ -1,9 +1,11 @@
 """Result, embedding and manifest tables (the sinks of a run).
 
-Results are one Parquet table partitioned by ``run_id`` and ``dataset``; a split is finished
-when its row exists, which is what ``finished_splits`` reads back for resuming. Writes are
-appends committed per job, so a failed job leaves no partial rows and a rerun only adds the
-missing splits. Result folders must be on shared storage (the cluster's file system).
+Results are one Parquet table partitioned by ``run_id`` and the split keys, with one fixed schema
+for every kind of run; a split is finished when its row exists, which is what ``finished_splits``
+reads back for resuming. A write replaces the partitions of the splits it holds and no others
+(committed per job), so a failed job leaves no partial rows, a rerun only adds the missing splits
+and an override leaves one row per split. Result folders must be on shared storage (the cluster's
+file system).
 """
 
 from __future__ import annotations
@@ -30,17 +32,38 @@ def results_path(results_dir: str) -> str:
     return f"{results_dir.rstrip('/')}/results"
 
 
+RECORD_SCHEMA = (
+    "run_id string, dataset string, sample_size int, seed_idx int, macro_f1 double, micro_f1 double, weighted_f1 double, "
+    "metric string, metric_value double, per_class map<string,double>, skipped_rows bigint, shown_names map<int,string>"
+)
+
+
+def as_records(records: DataFrame) -> DataFrame:
+    """``records`` in the fixed schema; columns that a kind of run does not have are null."""
+    fields = [c.strip().split(" ", 1) for c in RECORD_SCHEMA.replace("string,double", "string;double").replace("int,string", "int;string").split(",")]
+    return records.select(*[
+        (F.col(n) if n in records.columns else F.lit(None)).cast(t.replace(";", ",")).alias(n) for n, t in fields
+    ])
+
+
 def write_results(records: DataFrame, results_dir: str) -> None:
-    """Append the result rows (one per split: at most a few thousand per run) as one file per
-    partition."""
-    records.coalesce(1).write.mode("append").partitionBy("run_id", "dataset").parquet(results_path(results_dir))
+    """Store the result rows (one per split: at most a few thousand per run), replacing any stored
+    row of the same split."""
+    out = as_records(records).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy("run_id", *SPLIT_KEYS).parquet(results_path(results_dir))
+
+
+def read_results(spark: SparkSession, results_dir: str) -> DataFrame:
+    """All stored result rows in the fixed schema."""
+    names = [f.name for f in spark.createDataFrame([], RECORD_SCHEMA).schema]
+    return spark.read.schema(RECORD_SCHEMA).parquet(results_path(results_dir)).select(*names)
 
 
 def finished_splits(spark: SparkSession, results_dir: str | None, run: str) -> DataFrame | None:
     """Split keys with a stored result for ``run`` (partition pruning on run_id), or None."""
     if not results_dir or not _exists(spark, results_path(results_dir)):
         return None
-    return spark.read.parquet(results_path(results_dir)).where(F.col("run_id") == run).select(*SPLIT_KEYS).distinct()
+    return read_results(spark, results_dir).where(F.col("run_id") == run).select(*SPLIT_KEYS).distinct()
 
 
 def results_json(records: DataFrame) -> DataFrame:

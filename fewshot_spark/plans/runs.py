@@ -151,6 +151,8 @@ def run_fewshot(spark: SparkSession, cfg: RunConfig, datasets: list[LabelledSet]
 def run_fewshot_multilabel(spark: SparkSession, cfg: RunConfig, datasets: list[LabelledSet], write: bool = True) -> DataFrame:
     """Multi-label run: label-wise sampling with de-duplication, anchors naming every set label,
     disjoint-label negatives, one binary head per label (one-vs-rest / multi-output / chain)."""
+    if cfg.kind != "multilabel":
+        raise ValueError("a multi-label run needs kind='multilabel'")
     rid = run_id(cfg)
     keys = RS.SPLIT_KEYS
     done = RS.finished_splits(spark, cfg.results_dir, rid)
@@ -206,7 +208,7 @@ def run_fewshot_multilabel(spark: SparkSession, cfg: RunConfig, datasets: list[L
         skipped = (grid.where(F.col("label_mask") != 0).select(*keys, "label_mask")
                    .join(blocks, [*keys, "label_mask"], "left_anti")
                    .groupBy(*keys).agg(F.count(F.lit(1)).alias("skipped_rows")))
-        rec = (V.result_record(summary, per_label, keys, "f1", list(ds.names)).withColumn("run_id", F.lit(rid))
+        rec = (V.result_record(summary, per_label, keys, "accuracy", list(ds.names)).withColumn("run_id", F.lit(rid))
                .join(skipped, keys, "left").withColumn("skipped_rows", F.coalesce("skipped_rows", F.lit(0)).cast("bigint"))
                .persist())
         if cfg.results_dir and write:
@@ -222,6 +224,10 @@ def run_ablation(spark: SparkSession, cfg: RunConfig, datasets: list[LabelledSet
     per dataset, shared by all splits). Result keys keep the real class names."""
     from ..operators.variants import anchors_variant
 
+    if cfg.kind != "ablation":
+        raise ValueError("an ablation run needs kind='ablation'")
+    if cfg.results_dir and write:
+        RS.write_manifest(spark, cfg, cfg.results_dir)
     names = {}
     for ds in datasets:
         src = (catalogue_dataset or {}).get(ds.name, ds.name)

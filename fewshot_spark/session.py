@@ -64,8 +64,8 @@ def prepare_session(spark: SparkSession) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is. Only when it is
-    unset (tests, local runs) a fresh scratch folder is created and registered.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is; without it a
+    cluster session is refused. Only a local master (tests, local runs) gets a fresh scratch folder.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -75,6 +75,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="fewshot-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)
     return local

@@ -8,14 +8,11 @@ state and no shuffle; the weights (a bounded, size-checked table) are broadcast
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.encode import encode_hash
 from ..operators.heads import predict
-from ..session import ensure_checkpoint_dir
 
 
 def score_texts(texts: DataFrame, weights: DataFrame, keys: list[str], id_col: str = "row_id", text_col: str = "text",
@@ -32,12 +29,10 @@ def score_texts(texts: DataFrame, weights: DataFrame, keys: list[str], id_col: s
 def start_scoring(stream: DataFrame, weights: DataFrame, keys: list[str], sink_path: str, checkpoint: str | None = None,
                   id_col: str = "row_id", text_col: str = "text", dim: int = 256, names: list[str] | None = None,
                   trigger_once: bool = False):
-    """Start a query appending predictions as Parquet to ``sink_path``; the stream checkpoint goes
-    under the cluster's checkpoint folder unless given."""
+    """Start a query appending predictions as Parquet to ``sink_path``; the stream checkpoint lies
+    beside the sink unless given, so a restarted application finds it and scores nothing twice."""
     scored = score_texts(stream, weights, keys, id_col, text_col, dim, names)
-    # deterministic per sink, so a restarted query finds its own checkpoint again
-    tag = hashlib.md5(sink_path.encode("utf-8")).hexdigest()[:16]
-    ckpt = checkpoint or f"{ensure_checkpoint_dir(stream.sparkSession).rstrip('/')}/scoring-{tag}"
+    ckpt = checkpoint or f"{sink_path.rstrip('/')}-checkpoint"
     writer = scored.writeStream.format("parquet").option("path", sink_path).option("checkpointLocation", ckpt).outputMode("append")
     if trigger_once:
         writer = writer.trigger(availableNow=True)

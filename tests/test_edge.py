@@ -79,8 +79,8 @@ def test_all_rows_share_a_label(spark):
 
 def test_label_names_missing_id(spark):
     df = spark.createDataFrame([(0,), (1,), (5,)], "label int")
-    out = [r.label_name for r in P.map_label_names(df, {0: "positve", 1: "negative"}).orderBy("label").collect()]
-    assert out == ["positve", "negative", None]
+    out = [r.label_name for r in P.map_label_names(df, {0: "savoury", 1: "sweet"}).orderBy("label").collect()]
+    assert out == ["savoury", "sweet", None]
 
 
 def test_anchor_missing_label_raises(spark):
@@ -149,6 +149,8 @@ def test_resume_and_override(spark):
     cfg3 = RunConfig(loss="TripletLoss", sample_sizes=(2,), seeds_num=2, num_iterations=3, results_dir=out_dir,
                      override_results=True)
     assert RN.run_fewshot(spark, cfg3, [_small_set(spark)]).count() == 2
+    stored = RS.read_results(spark, out_dir)
+    assert stored.count() == 6 and stored.select(*RS.SPLIT_KEYS).distinct().count() == 6  # replaced, not repeated
     js = RS.results_json(first).first().json
     assert '"macro-f1"' in js and '"accuracy"' in js
     assert spark.read.parquet(f"{out_dir}/runs").count() == 4
@@ -166,29 +168,29 @@ def test_multilabel_run(spark):
                             multi_target_strategy=strategy)
             rec = RN.run_fewshot_multilabel(spark, cfg, [ds], write=False).collect()
             assert len(rec) == 2 and all(0.0 <= r.metric_value <= 1.0 for r in rec)
+            assert {r.metric for r in rec} == {"accuracy"}
 
 
 def test_relabel_demo(spark):
-    # hand-made frame of the demo's shape: three label-1 rows about the plot in a negative tone,
-    # three label-0 rows about the actors in a positive tone; four rows to predict
+    # hand-made frame: three delivery complaints (label 1) and three notes of praise for a recipe (label 0)
     train = spark.createDataFrame([
-        (1, "the story drags and the plot never lands", 1),
-        (2, "a dull plot stitched from tired twists", 1),
-        (3, "I could not stand how the story ended", 1),
-        (4, "the two leads shine in every scene", 0),
-        (5, "the cast gives a warm and lively performance", 0),
-        (6, "the actor was simply wonderful", 0),
+        (1, "parcel came four days late and the box was crushed", 1),
+        (2, "courier left my order in the rain", 1),
+        (3, "tracking page shows nothing since monday", 1),
+        (4, "this lentil soup is now a family favourite", 0),
+        (5, "crisp crust, soft crumb, easy steps", 0),
+        (6, "added more garlic and it tasted great", 0),
     ], "row_id long, text string, label int")
     pred = spark.createDataFrame([
-        (11, "the actor was not at his best here"), (12, "the story line is thin"),
-        (13, "the casting was a fine choice"), (14, "the plot is really clever"),
+        (11, "driver rang the wrong door"), (12, "dough needed an hour longer"), (13, "box arrived open"),
     ], "row_id long, text string")
-    cfg = RunConfig(loss="TripletLoss", num_iterations=20, max_seq_length=128)
-    out = RN.run_relabel_demo(spark, cfg, train, pred, [("The movie review is ", ["positive", "negative"]),
-                                                         ("The movie review is concerning ", ["the actors", "the plot"])])
+    cfg = RunConfig(loss="TripletLoss", num_iterations=6)
+    sets = [("This note is about ", ["cooking", "shipping"]), ("The writer feels ", ["pleased", "annoyed"])]
+    out = RN.run_relabel_demo(spark, cfg, train, pred, sets)
     rows = out.collect()
-    assert len(rows) == 4 and out.columns == ["row_id", "pred_0", "name_0", "pred_1", "name_1"]
-    assert {r.name_0 for r in rows} <= {"positive", "negative"}
+    assert len(rows) == 3 and out.columns == ["row_id", "pred_0", "name_0", "pred_1", "name_1"]
+    assert {r.name_0 for r in rows} <= {"cooking", "shipping"} and {r.name_1 for r in rows} <= {"pleased", "annoyed"}
+    assert all((r.name_0, r.name_1) == (sets[0][1][r.pred_0], sets[1][1][r.pred_1]) for r in rows)
 
 
 def test_csv_source_and_embeddings_sink(spark):

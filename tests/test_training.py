@@ -202,3 +202,29 @@ def test_adapter_tree_reduction(spark, monkeypatch):
     monkeypatch.setattr(AD, "DIRECT_PARTIALS", 1)  # force the sqrt(p) tree
     W2, h2 = AD.fit_adapter(ex, "triplet", steps=3, lr=2.0, partitions=9)
     assert np.allclose(W1, W2, atol=1e-9) and np.allclose(h1, h2, atol=1e-12)
+
+
+def test_heads_reach_the_optimum():
+    """Every entry of the objective's gradient is at most 1e-4 at the returned weights."""
+    rng = np.random.default_rng(3)
+    for n, k, d in ((60, 2, 20), (640, 10, 64), (2000, 10, 64), (30, 3, 5)):
+        X = rng.standard_normal((n, d))
+        X /= np.linalg.norm(X, axis=1, keepdims=True)
+        y = rng.integers(0, k, n)
+        W, b = HD.fit_logreg_np(X, y, np.arange(k))
+        if k == 2:
+            w, c = W[1] - W[0], b[1] - b[0]
+            p = 1 / (1 + np.exp(-(X @ w + c)))
+            g = np.concatenate([X.T @ (p - y) + w, [np.sum(p - y)]])
+        else:
+            Z = X @ W.T + b
+            P = np.exp(Z - Z.max(1, keepdims=True))
+            P /= P.sum(1, keepdims=True)
+            G = P - np.eye(k)[y]
+            g = np.concatenate([(G.T @ X + W).ravel(), G.sum(0)])
+        assert np.abs(g).max() < 1e-4
+        Ws, bs = HD.fit_linear_svc_np(X, y, np.arange(k))
+        t = np.where(y == 1, 1.0, -1.0)
+        w = np.append(Ws[1] - Ws[0], bs[1] - bs[0]) if k == 2 else np.append(Ws[1], bs[1])
+        Xb = np.hstack([X, np.ones((n, 1))])
+        assert np.abs(w - 2 * Xb.T @ (t * np.maximum(1 - t * (Xb @ w), 0))).max() < 1e-4
