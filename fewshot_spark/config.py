@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 LOSSES = ("CosineSimilarityLoss", "TripletLoss")
-CLASSIFIERS = ("logistic_regression", "LinearSVC")
+CLASSIFIERS = ("logistic_regression", "LinearSVC", "centroid")
 STRATEGIES = ("one-vs-rest", "multi-output", "classifier-chain")
 KINDS = ("single", "multilabel", "ablation")
 
@@ -22,8 +22,14 @@ RUN_ID_FORMATS = {
 @dataclass(frozen=True)
 class RunConfig:
     """Settings of one run. Defaults follow the original experiments where they are defined
-    (iterations 40, batch 16, max tokens 256, logistic regression, cosine-similarity loss,
-    margin 0.25, 10 seeds, one-vs-rest); the sample-size default is the list ``(16,)``.
+    (iterations 40, batch 16, logistic regression, cosine-similarity loss, margin 0.25, 10 seeds,
+    one-vs-rest); the sample-size default is the list ``(16,)``. ``datasets``, ``is_dev_set`` and
+    ``is_test_set`` choose the sets that ``loading.load_sets`` reads by name. Texts are whole unless
+    ``max_seq_length`` names a number of tokens. ``max_fit_rows`` bounds the rows one split's head
+    and adapter are fitted on (those with the smallest seeded hash of their id). ``on_empty`` says
+    what happens to a multi-label row without a disjoint partner: ``skip`` (counted in the result)
+    or ``raise``. The classifier ``centroid`` (class means) with ``use_adapter=False`` is a baseline
+    that SQL can restate. ``save_embeddings`` stores test and anchor vectors beside the results.
 
     ``checkpoint_intermediates`` cuts the lineage of a run's example and row tables with a reliable
     ``checkpoint()`` (into ``spark.checkpoint.dir``) instead of ``persist()``, so a lost executor
@@ -34,7 +40,7 @@ class RunConfig:
     sample_sizes: tuple[int, ...] = (16,)
     num_iterations: int = 40
     batch_size: int = 16
-    max_seq_length: int = 256
+    max_seq_length: int | None = None
     classifier: str = "logistic_regression"
     loss: str = "CosineSimilarityLoss"
     margin: float = 0.25
@@ -49,14 +55,16 @@ class RunConfig:
     kind: str = "single"
     draw_seed: int = 0
     encoder_dim: int = 256
-    adapter_steps: int = 20
+    use_adapter: bool = True
     adapter_lr: float = 0.5
+    max_fit_rows: int | None = 200_000
+    on_empty: str = "skip"
+    save_embeddings: bool = False
     results_dir: str | None = None
     checkpoint_intermediates: bool = False
     # optional encoder for runs: DataFrame(row_id, text) -> DataFrame(row_id, embedding ARRAY<DOUBLE>),
     # e.g. ``lambda df: encode_with_model(df, factory, dim)``; None = the hashed encoder
     encoder: Callable | None = field(default=None, compare=False, repr=False)
-    extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
         if self.loss not in LOSSES:
@@ -67,12 +75,16 @@ class RunConfig:
             raise ValueError(f"multi_target_strategy must be one of {STRATEGIES}")
         if self.kind not in KINDS:
             raise ValueError(f"kind must be one of {KINDS}")
+        if self.kind == "multilabel" and self.classifier == "LinearSVC":
+            raise ValueError("multi-label heads are logistic_regression or centroid")
         if self.kind == "ablation" and self.setting_name == "B":
             raise ValueError("setting 'B' has no label or template tables")
         if isinstance(self.sample_sizes, int) or not self.sample_sizes or min(self.sample_sizes) < 1:
             raise ValueError("sample_sizes must be a non-empty sequence of positive integers")
-        for name in ("num_iterations", "batch_size", "max_seq_length", "seeds_num", "encoder_dim"):
-            if getattr(self, name) < 1:
+        if self.on_empty not in ("skip", "raise"):
+            raise ValueError("on_empty must be 'skip' or 'raise'")
+        for name in ("num_iterations", "batch_size", "max_seq_length", "seeds_num", "encoder_dim", "max_fit_rows"):
+            if getattr(self, name) is not None and getattr(self, name) < 1:
                 raise ValueError(f"{name} must be >= 1")
 
     @property

@@ -3,7 +3,7 @@
 Two execution shapes, chosen by the size of what one fit sees:
 
 * many small splits (the few-shot grid): ``fit_heads_per_split`` runs one numpy fit per split
-  inside ``groupBy(split).applyInPandas``; a split holds at most k x classes rows (checked), so
+  inside ``groupBy(split).applyInPandas``; a split holds at most k x classes rows, so
   every group fits one task and all splits train in parallel;
 * one large training set: MLlib estimators (``mllib_*``), which aggregate gradients across the
   cluster.
@@ -31,7 +31,6 @@ from pyspark.sql import types as T
 from .losses import mean_vectors
 
 MAX_BROADCAST_WEIGHTS = 50_000_000  # doubles (400 MB)
-MAX_SPLIT_ROWS = 200_000
 
 
 # ---- numpy solvers (run inside tasks) -------------------------------------------------------
@@ -173,6 +172,17 @@ def fit_binary_np(X: np.ndarray, t: np.ndarray, C: float = 1.0, constant: str =
     return (W[1] - W[0]), float(b[1] - b[0])
 
 
+def fit_head_np(head: str, X: np.ndarray, y: np.ndarray, classes: np.ndarray, C: float = 1.0):
+    """``(W [k x d], b [k])`` of the named head."""
+    if head == "logistic_regression":
+        return fit_logreg_np(X, y, classes, C)
+    if head == "LinearSVC":
+        return fit_linear_svc_np(X, y, classes, C)
+    if head == "centroid":
+        return np.vstack([X[y == c].mean(axis=0) for c in classes]), np.zeros(len(classes))
+    raise ValueError(f"unknown head {head!r}")
+
+
 # ---- split-parallel fits (T10) ---------------------------------------------------------------
 
 
@@ -183,12 +193,11 @@ def fit_heads_per_split(
     label_col: str = "label",
     vec_col: str = "embedding",
     C: float = 1.0,
-    max_split_rows: int = MAX_SPLIT_ROWS,
 ) -> DataFrame:
-    """One fit per split, all splits in parallel: ``(keys, label, weights ARRAY<DOUBLE>, bias)``."""
-    big = train.groupBy(*keys).count().where(F.col("count") > max_split_rows).limit(1).collect()
-    if big:
-        raise ValueError(f"split {big[0].asDict()} has more than {max_split_rows} rows; use the MLlib heads")
+    """One fit per split, all splits in parallel: ``(keys, label, weights ARRAY<DOUBLE>, bias)``.
+
+    A split's rows are one group: bound them beforehand (``grid.bounded_rows``) or use the MLlib
+    heads for one large set. Splits are spread over as many partitions as there are cores."""
     key_fields = [train.schema[k] for k in keys]
     schema = T.StructType(key_fields + [
         T.StructField("label", train.schema[label_col].dataType),
@@ -200,22 +209,15 @@ def fit_heads_per_split(
         X = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64)
         y = pdf[label_col].to_numpy()
         classes = np.unique(y)
-        if head == "logistic_regression":
-            W, b = fit_logreg_np(X, y, classes, C)
-        elif head == "LinearSVC":
-            W, b = fit_linear_svc_np(X, y, classes, C)
-        elif head == "centroid":
-            W = np.vstack([X[y == c].mean(axis=0) for c in classes])
-            b = np.zeros(len(classes))
-        else:
-            raise ValueError(f"unknown head {head!r}")
+        W, b = fit_head_np(head, X, y, classes, C)
         out = {k: [pdf[k].iloc[0]] * len(classes) for k in keys}
         out["label"] = classes
         out["weights"] = [row for row in W]
         out["bias"] = b
         return pd.DataFrame(out)
 
-    return train.select(*keys, label_col, vec_col).groupBy(*keys).applyInPandas(fit, schema)
+    n = max(train.sparkSession.sparkContext.defaultParallelism, 1)
+    return train.select(*keys, label_col, vec_col).repartition(n, *keys).groupBy(*keys).applyInPandas(fit, schema)
 
 
 def fit_centroids(train: DataFrame, keys: list[str], label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
@@ -227,21 +229,47 @@ def fit_centroids(train: DataFrame, keys: list[str], label_col: str = "label", v
 # ---- prediction (T11) -----------------------------------------------------------------------
 
 
-def _pack(rows, keys: list[str]):
-    groups: dict[tuple, list] = {}
-    for r in rows:
-        groups.setdefault(tuple(r[k] for k in keys), []).append(r)
+def _pack(weights: DataFrame, keys: list[str]):
+    """Weights of some splits as numpy arrays (collected through Arrow), by split in label order."""
+    pdf = weights.select(*keys, "label", "weights", "bias").toPandas()
     out = []
-    for gk, rs in groups.items():
-        rs.sort(key=lambda r: r["label"])
-        out.append((gk, np.array([r["label"] for r in rs]), np.array([r["weights"] for r in rs], dtype=np.float64),
-                    np.array([r["bias"] for r in rs], dtype=np.float64)))
+    for gk, rs in pdf.sort_values("label", kind="stable").groupby(keys, sort=False, dropna=False):
+        out.append((gk if isinstance(gk, tuple) else (gk,), rs["label"].to_numpy(), np.vstack(rs["weights"].to_numpy()).astype(np.float64),
+                    rs["bias"].to_numpy(np.float64)))
     return out
 
 
+def chosen(weights: DataFrame, keys: list[str], chunk: list[tuple], chunks: list) -> DataFrame:
+    """The weights of one chunk of splits."""
+    if len(chunks) <= 1:
+        return weights
+    schema = T.StructType([weights.schema[k] for k in keys])
+    return weights.join(F.broadcast(weights.sparkSession.createDataFrame(chunk, schema)), keys, "left_semi")
+
+
+def scored_rows(rows: DataFrame, chunks: list, id_col: str, vec_col: str, label_col: str | None, encode):
+    """``rows`` to score and how to encode them on the way. With several chunks the vectors are
+    written once (``checkpoint``), so no chunk encodes the texts again."""
+    if len(chunks) <= 1 or not encode:
+        return rows, encode
+    from .encode import hash_vectors
+
+    cols = [id_col, *([label_col] if label_col else [])]
+    schema = T.StructType([*[rows.schema[c] for c in cols], T.StructField(vec_col, T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        cache: dict = {}
+        for pdf in batches:
+            if len(pdf):
+                yield pdf[cols].assign(**{vec_col: list(hash_vectors(pdf[encode[0]].tolist(), encode[1], cache=cache))})
+
+    return rows.select(*cols, encode[0]).mapInPandas(run, schema).checkpoint(), None
+
+
 def weight_chunks(weights: DataFrame, keys: list[str], bound: int | None = None) -> list[list[tuple]]:
     """Split keys packed into chunks whose weights (classes x dim doubles) each fit ``bound``
-    (default ``MAX_BROADCAST_WEIGHTS``). One small aggregation: one row per split."""
+    (default ``MAX_BROADCAST_WEIGHTS``); a larger split is a chunk of its own. One small
+    aggregation: one row per split."""
     bound = MAX_BROADCAST_WEIGHTS if bound is None else bound
     sizes = weights.groupBy(*keys).agg(F.sum(F.size("weights")).alias("_cells")).collect()
     chunks: list[list[tuple]] = []
@@ -249,8 +277,6 @@ def weight_chunks(weights: DataFrame, keys: list[str], bound: int | None = None)
     used = 0
     for r in sorted(sizes, key=lambda r: tuple(r[k] for k in keys)):
         c = int(r["_cells"])
-        if c > bound:
-            raise ValueError(f"the weights of split {r.asDict()} alone exceed the broadcast bound")
         if cur and used + c > bound:
             chunks.append(cur)
             cur, used = [], 0
@@ -286,24 +312,16 @@ def predict(
     ``(keys, y_true, y_pred, n)`` summed inside each task, so the output is splits x classes^2 per
     task rather than splits x rows. The test table is never shuffled. The weights are broadcast
     when they fit ``MAX_BROADCAST_WEIGHTS`` doubles; beyond that the splits are scored in chunks
-    that each fit, one pass over the rows per chunk.
+    that each fit, and texts are encoded once for all chunks.
     """
     chunks = weight_chunks(weights, keys)
-    if len(chunks) > 1:
-        # beyond the broadcast bound: one pass over the rows per chunk of splits
-        spark = rows.sparkSession
-        key_schema = T.StructType([weights.schema[k] for k in keys])
-        parts = []
-        for ch in chunks:
-            sel = weights.join(F.broadcast(spark.createDataFrame(ch, key_schema)), keys, "left_semi")
-            parts.append(_predict_packed(rows, _pack(sel.select(*keys, "label", "weights", "bias").collect(), keys),
-                                         weights, keys, id_col, vec_col, label_col, aggregate, encode))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    packed = _pack(weights.select(*keys, "label", "weights", "bias").collect(), keys) if chunks else []
-    return _predict_packed(rows, packed, weights, keys, id_col, vec_col, label_col, aggregate, encode)
+    rows, encode = scored_rows(rows, chunks, id_col, vec_col, label_col, encode)
+    out = None
+    for ch in chunks or [[]]:
+        packed = _pack(chosen(weights, keys, ch, chunks), keys)
+        part = _predict_packed(rows, packed, weights, keys, id_col, vec_col, label_col, aggregate, encode)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _predict_packed(rows: DataFrame, packed: list, weights: DataFrame, keys: list[str], id_col: str, vec_col: str,
@@ -325,6 +343,7 @@ def _predict_packed(rows: DataFrame, packed: list, weights: DataFrame, keys: lis
 
     def run(batches):
         groups = bc.value
+        stacked = np.vstack([g[2] for g in groups]) if groups else None
         acc: dict = {}
         cache: dict = {}
         for pdf in batches:
@@ -335,12 +354,20 @@ def _predict_packed(rows: DataFrame, packed: list, weights: DataFrame, keys: lis
             else:
                 X = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64)
             y = pdf[label_col].to_numpy() if label_col else np.zeros(len(pdf))
+            if not groups:
+                continue
+            scores, at = X @ stacked.T, 0  # one product for all splits
+            true, t_code = np.unique(y, return_inverse=True)
             for gk, labels, W, b in groups:
-                pred = labels[_argmax(X @ W.T + b)]
+                best = _argmax(scores[:, at : at + len(W)] + b)
+                at += len(W)
                 if aggregate:
-                    for (t, p), c in pd.Series(1, index=pd.MultiIndex.from_arrays([y, pred])).groupby(level=[0, 1]).sum().items():
-                        acc[(gk, t, p)] = acc.get((gk, t, p), 0) + int(c)
+                    counts = np.bincount(t_code * len(labels) + best, minlength=len(true) * len(labels))
+                    for i in np.flatnonzero(counts):
+                        k = (gk, true[i // len(labels)], labels[i % len(labels)])
+                        acc[k] = acc.get(k, 0) + int(counts[i])
                 else:
+                    pred = labels[best]
                     out = {k: [v] * len(pdf) for k, v in zip(keys, gk)}
                     out[id_col] = pdf[id_col].to_numpy()
                     out["y_true"] = y

@@ -30,11 +30,11 @@ def attach_payload(keys: DataFrame, table: DataFrame, id_col: str = "row_id", ma
     """Join the payload columns of ``table`` to the (small) key table by id, without shuffling the
     payload when the sample allows it:
 
-    1. keys up to ``max_rows`` rows: the keys are broadcast;
-    2. else distinct sampled ids up to ``max_ids`` (8 bytes each): the id set is broadcast to
-       filter the table in its scan stage (left semi join), and only the surviving rows are
-       shuffled to meet the keys;
-    3. else both sides are shuffled on the id.
+    1. distinct sampled ids up to ``max_ids`` (8 bytes each): the id set is broadcast as a left
+       semi join, which Catalyst pushes below the joins of ``table`` into the scan that holds the
+       text, so only sampled rows leave that scan stage, whatever ``table`` is joined from;
+    2. keys up to ``max_rows`` rows are broadcast too, else the surviving rows are shuffled;
+    3. beyond ``max_ids`` both sides are shuffled on the id.
     The key table is persisted and counted (the size checks).
     """
     max_ids = MAX_BROADCAST_IDS if max_ids is None else max_ids
@@ -42,12 +42,10 @@ def attach_payload(keys: DataFrame, table: DataFrame, id_col: str = "row_id", ma
     n = keys.count()
     payload_cols = [c for c in table.columns if c not in keys.columns or c == id_col]
     payload = table.select(*payload_cols)
-    if n <= max_rows:
-        return payload.join(F.broadcast(keys), id_col)
-    ids = keys.select(id_col).distinct().persist()
-    if ids.count() <= max_ids:
+    ids = keys.select(id_col).distinct()
+    if n <= max_rows or ids.count() <= max_ids:
         payload = payload.join(F.broadcast(ids), id_col, "left_semi")
-    return keys.join(payload, id_col)
+    return payload.join(F.broadcast(keys), id_col) if n <= max_rows else keys.join(payload, id_col)
 
 
 def _seed_table(seeds: list[int]):

@@ -1,27 +1,28 @@
 """Split-parallel training over the few-shot grid, and the resume filter.
 
-Every (dataset, sample size, seed) split is independent and small (at most k x classes rows,
-checked), so one split is one group of ``groupBy(split).applyInPandas``: the task receives the
-split's rows with their embeddings and the ids of its training examples (triplets or pairs, in
-the shuffled batch order of ``assign_batches``) as one tagged union grouped by the split key, fits the adapter by mini-batch steps with
-warm-up and linear decay (W reset to the identity for every split), fits the head on the
-adapted embeddings and returns the head folded through the adapter: one linear map per split.
+Every (dataset, sample size, seed) split is independent, so all splits train in parallel. Rows,
+anchor vectors and examples are one tagged table, partitioned by split and sorted by kind and
+batch order, which each task reads as a stream (``mapInPandas``): it holds one split's rows and
+anchors (rows bounded by ``max_fit_rows``), takes the adapter's mini-batch steps while the
+examples pass (warm-up and linear decay, W reset to the identity for every split), fits the head
+on the adapted embeddings and returns the head folded through the adapter: one linear map per
+split. There is no bound on the number of examples.
 Prediction then scores the test table against all splits' maps in Arrow batches and returns
 only confusion counts, so nothing grows with splits x test rows.
 """
 
 from __future__ import annotations
 
+from itertools import chain, groupby
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.adapter import grad_cosine, grad_triplet, lr_at
-from ..operators.heads import MAX_SPLIT_ROWS, fit_binary_np, fit_linear_svc_np, fit_logreg_np
-
-MAX_EXAMPLES_PER_SPLIT = 2_000_000
+from ..operators.heads import chosen, fit_binary_np, fit_head_np, scored_rows, weight_chunks
 
 
 def pending_splits(wanted: DataFrame, done: DataFrame | None, keys: list[str], override: bool = False) -> DataFrame:
@@ -32,42 +33,59 @@ def pending_splits(wanted: DataFrame, done: DataFrame | None, keys: list[str], o
     return wanted.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def _check_sizes(df: DataFrame, keys: list[str], limit: int, what: str) -> None:
-    big = df.groupBy(*keys).count().where(F.col("count") > limit).limit(1).collect()
-    if big:
-        raise ValueError(f"{what} of split {big[0].asDict()} exceed {limit} rows; a split must fit one task")
-
-
-def _tagged(rows: DataFrame, examples: DataFrame, keys: list[str], row_cols: list[str], ex_cols: list[str]) -> DataFrame:
-    """Rows and examples of every split as one table (``_kind`` 0 = row, 1 = example) so a single
-    grouped map sees both. Examples carry no vectors, so they stay narrow; integer columns of the
-    other kind are filled with -1 (not null) so ids keep their exact int64 values in pandas."""
-    r = rows.select(*keys, *row_cols)
-    e = examples.select(*keys, *ex_cols)
-    for c in ex_cols:
-        if c not in r.columns:
-            dt = e.schema[c].dataType
-            r = r.withColumn(c, F.lit(-1).cast(dt) if not isinstance(dt, T.ArrayType) else F.lit(None).cast(dt))
-    for c in row_cols:
-        if c not in e.columns:
-            dt = r.schema[c].dataType
-            e = e.withColumn(c, F.lit(None).cast(dt) if isinstance(dt, T.ArrayType) else F.lit(-1).cast(dt))
-    cols = [*keys, *dict.fromkeys(row_cols + ex_cols)]
-    return r.select(*cols).withColumn("_kind", F.lit(0)).unionByName(e.select(*cols).withColumn("_kind", F.lit(1)))
-
-
-def _spread(both: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash-partition the split groups over at least as many partitions as there are cores.
-    The grouped fit reuses this partitioning (no extra shuffle), and unlike a plain shuffle it is
-    not merged by AQE into one or two partitions just because the input bytes are few: the fits
-    are CPU-bound, so many small splits should run in parallel."""
+def bounded_rows(df: DataFrame, keys: list[str], limit: int | None, seed: int, id_col: str = "row_id") -> DataFrame:
+    """At most ``limit`` rows per split, those with the smallest seeded hash of their id (a
+    documented bound on what one head is fitted on; ``None``: all rows)."""
+    if limit is None:
+        return df
+    from ..functions.hashing import h60
+
+    w = Window.partitionBy(*keys).orderBy(h60(F.lit(int(seed)), F.lit("fit"), F.col(id_col)), id_col)
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
+
+
+def _stream(both: DataFrame, keys: list[str], order: list[str], fit, schema) -> DataFrame:
+    """Run ``fit`` once per split over a sorted stream.
+
+    Splits are hash-partitioned (over at least as many partitions as there are cores, and not
+    merged by AQE: the fits are CPU-bound) and sorted by kind (rows, anchors, examples), then by
+    batch order. A task holds the rows and anchors of one split (bounded by ``max_fit_rows``) and
+    one Arrow batch of its examples, however many examples there are.
+    """
     n = max(both.sparkSession.sparkContext.defaultParallelism, 1)
-    return both.repartition(n, *keys)
+    sorted_ = both.repartition(n, *keys).sortWithinPartitions(*keys, "_kind", *order, "row_id")
+
+    def chunks(batches):
+        """``(split key, frame)`` pieces in order; a split may come in several."""
+        for pdf in batches:
+            if len(pdf):
+                code = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+                cut = np.flatnonzero(np.r_[True, code[1:] != code[:-1], True])
+                for s, e in zip(cut[:-1], cut[1:]):
+                    part = pdf.iloc[s:e]
+                    yield tuple(part[k].iloc[0] for k in keys), part
+
+    def run(batches):
+        for key, parts in groupby(chunks(batches), key=lambda x: x[0]):
+            out = fit(key, (p for _, p in parts))
+            if out is not None:
+                yield out
 
+    return sorted_.mapInPandas(run, schema)
 
-def _split_parts(pdf: pd.DataFrame):
-    """(rows, examples) of one split; kind 2 rows are per-split anchor vectors."""
-    return pdf[pdf["_kind"] == 0], pdf[pdf["_kind"] == 1]
+
+def _rows_then_examples(parts):
+    """Rows and anchor vectors of a split (held), and an iterator over its example frames."""
+    held, rest = [], None
+    for p in parts:
+        ex = p[p["_kind"] == 2]
+        held.append(p[p["_kind"] < 2])
+        if len(ex):
+            rest = ex
+            break
+    head = pd.concat(held)
+    examples = chain([] if rest is None else [rest], parts)
+    return head[head["_kind"] == 0], head[head["_kind"] == 1], examples
 
 
 def with_batch_key(ex: DataFrame, keys: list[str], seed: int, key_cols: list[str]) -> DataFrame:
@@ -84,49 +102,86 @@ def _order_cols(examples: DataFrame) -> list[str]:
     return ["batch_id"] if "batch_id" in examples.columns else ["batch_key", "iteration"]
 
 
-def _adapt(W0: np.ndarray, X: np.ndarray, row_index: pd.Index, ex: pd.DataFrame, anchors: dict, loss: str, lr: float,
-           margin: float, batch_size: int) -> np.ndarray:
-    """Mini-batch adapter steps over the examples of one split, in shuffled batch order, with
-    warm-up and linear decay; rows are fetched by index arrays (no per-row Python)."""
-    W = W0.copy()
-    if ex is None or len(ex) == 0:
-        return W
-    if "batch_id" in ex.columns:
-        ex = ex.sort_values(["batch_id", "row_id"], kind="stable")
-        b = ex["batch_id"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-    else:
-        ex = ex.sort_values(["batch_key", "iteration", "row_id"], kind="stable")
-        starts = np.arange(0, len(ex), batch_size)
-    ends = np.r_[starts[1:], len(ex)]
-    ip = row_index.get_indexer(ex["row_id"].to_numpy())
-    io = row_index.get_indexer(ex["other_row_id"].to_numpy())
-    if (ip < 0).any() or (io < 0).any():
-        raise ValueError("an example refers to a row that is not in its split")
+def _adapt(X: np.ndarray, row_index: pd.Index, examples, anchors: dict, loss: str, lr: float, margin: float, steps: int,
+           batch_size: int, by_id: bool) -> np.ndarray:
+    """Mini-batch adapter steps over the ordered example frames of one split, with warm-up and
+    linear decay over ``steps``; a batch that a frame cuts is completed from the next one."""
+    W = np.eye(X.shape[1])
     if loss == "triplet":
-        akeys = list(anchors)
-        A_all = np.vstack([anchors[k] for k in akeys])
-        ia = pd.Index(akeys).get_indexer(ex["anchor_key"].to_numpy().astype(np.int64))
-        if (ia < 0).any():
-            raise KeyError("an example's anchor key has no anchor vector")
-    else:
-        t_all = ex["target"].to_numpy().astype(np.float64)
-    steps = len(starts)
-    for step, (a, z) in enumerate(zip(starts, ends)):
-        P, O = X[ip[a:z]], X[io[a:z]]
+        akeys = pd.Index(list(anchors))
+        A_all = np.vstack(list(anchors.values())) if anchors else np.zeros((0, X.shape[1]))
+    step, left = 0, None
+
+    def apply(part, step):
+        nonlocal W
+        ip = row_index.get_indexer(part["row_id"].to_numpy())
+        io = row_index.get_indexer(part["other_row_id"].to_numpy())
+        if (ip < 0).any() or (io < 0).any():
+            raise ValueError("an example refers to a row that is not in its split")
         if loss == "triplet":
-            _, G = grad_triplet(W, A_all[ia[a:z]], P, O, margin)
+            ia = akeys.get_indexer(part["anchor_key"].to_numpy().astype(np.int64))
+            if (ia < 0).any():
+                raise KeyError("an example's anchor key has no anchor vector")
+            _, G = grad_triplet(W, A_all[ia], X[ip], X[io], margin)
         else:
-            _, G = grad_cosine(W, P, O, t_all[a:z])
-        W = W - lr_at(step, steps, lr) * (G / (z - a))
+            _, G = grad_cosine(W, X[ip], X[io], part["target"].to_numpy().astype(np.float64))
+        W = W - lr_at(step, steps, lr) * (G / len(part))
+
+    def starts_of(ex):
+        if by_id:
+            b = ex["batch_id"].to_numpy()
+            return np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+        return np.arange(0, len(ex), batch_size)
+
+    for ex in examples:
+        ex = ex if left is None else pd.concat([left, ex])
+        starts = starts_of(ex)
+        for a, z in zip(starts[:-1], starts[1:]):
+            apply(ex.iloc[a:z], step)
+            step += 1
+        left = ex.iloc[starts[-1]:]
+    if left is not None and len(left):
+        apply(left, step)
     return W
 
 
+def _prepared(rows, examples, keys, row_cols, anchors: DataFrame | None, loss: str, vec_col: str, batch_size: int):
+    """Rows (kind 0), used anchor vectors (1) and examples (2) of every split in one table, with
+    the split's number of adapter steps on its rows; also the order columns of the examples."""
+    order = _order_cols(examples)
+    by_id = order == ["batch_id"]
+    count = F.count_distinct("batch_id") if by_id else F.ceil(F.count(F.lit(1)) / batch_size)
+    rows = rows.select(*keys, *row_cols).join(examples.groupBy(*keys).agg(count.cast("int").alias("_steps")), keys, "left")
+    rows = rows.withColumn("_steps", F.coalesce("_steps", F.lit(0)))
+    ex_cols = [*order, "row_id", "other_row_id", "anchor_key" if loss == "triplet" else "target"]
+    parts = [rows.withColumn("_kind", F.lit(0)), examples.select(*keys, *ex_cols).withColumn("_kind", F.lit(2))]
+    if loss == "triplet":
+        used = examples.select(*keys, "anchor_key").distinct()
+        vec = anchors.select(F.col("anchor_key").cast(examples.schema["anchor_key"].dataType).alias("anchor_key"), vec_col)
+        parts.append(used.join(vec, "anchor_key").select(*keys, F.col("anchor_key").cast("long").alias("row_id"), vec_col).withColumn("_kind", F.lit(1)))
+    types = {f.name: f.dataType for p in parts for f in p.schema.fields}
+    # integer columns of another kind are -1 (not null), so ids keep their exact int64 values in pandas
+    fill = {c: F.lit(None).cast(t) if isinstance(t, T.ArrayType) else F.lit(-1).cast(t) for c, t in types.items()}
+    whole = None
+    for p in parts:
+        p = p.select(*[p[c] if c in p.columns else fill[c].alias(c) for c in types])
+        whole = p if whole is None else whole.unionByName(p)
+    return whole, order, by_id
+
+
+def _anchor_table(spark, anchors, vec_col: str) -> DataFrame | None:
+    """Anchor vectors ``(anchor_key, vector)``; a dict (anchor key -> vector) becomes a table."""
+    if anchors is None or isinstance(anchors, DataFrame):
+        return anchors
+    rows = [(int(k), [float(x) for x in v]) for k, v in anchors.items()]
+    return spark.createDataFrame(rows, f"anchor_key long, {vec_col} array<double>")
+
+
 def train_splits(
     rows: DataFrame,
     examples: DataFrame,
     keys: list[str],
-    anchor_vectors: dict | None,
+    anchor_vectors: dict | DataFrame | None,
     loss: str = "triplet",
     head: str = "logistic_regression",
     lr: float = 0.5,
@@ -140,44 +195,37 @@ def train_splits(
 
     ``rows``: keys, row_id, label, embedding. ``examples``: keys, row_id, other_row_id, anchor_key
     (the label, triplets) or target (pairs), and either ``batch_id`` (``assign_batches``) or
-    ``batch_key`` + ``iteration`` (``with_batch_key``). ``anchor_vectors``: anchor_key -> vector
-    (a catalogue-sized dict, broadcast with the function).
+    ``batch_key`` + ``iteration`` (``with_batch_key``). ``anchor_vectors``: a table
+    ``(anchor_key, <vec_col>)`` or a dict; each split gets those its examples use.
     """
-    _check_sizes(rows, keys, MAX_SPLIT_ROWS, "rows")
-    _check_sizes(examples, keys, MAX_EXAMPLES_PER_SPLIT, "examples")
     key_fields = [rows.schema[k] for k in keys]
     schema = T.StructType(key_fields + [
         T.StructField("label", rows.schema[label_col].dataType),
         T.StructField("weights", T.ArrayType(T.DoubleType())),
         T.StructField("bias", T.DoubleType()),
     ])
-    anchors = {k: np.asarray(v, dtype=np.float64) for k, v in (anchor_vectors or {}).items()}
-    ex_cols = [*keys, *_order_cols(examples), "row_id", "other_row_id"] + (["anchor_key"] if loss == "triplet" else ["target"])
+    anchors = _anchor_table(rows.sparkSession, anchor_vectors, vec_col)
+    both, order, by_id = _prepared(rows, examples, keys, ["row_id", label_col, vec_col], anchors, loss, vec_col, batch_size)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, ex = _split_parts(pdf)
+    def fit(key, parts):
+        r, a, ex = _rows_then_examples(parts)
         if len(r) == 0:
-            return pd.DataFrame(columns=[f.name for f in schema.fields])
+            return None
         X = np.vstack(r[vec_col].to_numpy()).astype(np.float64)
         W = np.eye(X.shape[1])
         if use_adapter:
-            W = _adapt(W, X, pd.Index(r["row_id"].to_numpy()), ex, anchors, loss, lr, margin, batch_size)
-        Xa = X @ W.T
+            vecs = {int(k): np.asarray(v, dtype=np.float64) for k, v in zip(a["row_id"], a[vec_col])}
+            W = _adapt(X, pd.Index(r["row_id"].to_numpy()), ex, vecs, loss, lr, margin, int(r["_steps"].iloc[0]), batch_size, by_id)
         y = r[label_col].to_numpy().astype(np.int64)
         classes = np.unique(y)
-        if head == "LinearSVC":
-            Hh, b = fit_linear_svc_np(Xa, y, classes)
-        else:
-            Hh, b = fit_logreg_np(Xa, y, classes)
-        folded = Hh @ W
-        out = {k: [r[k].iloc[0]] * len(classes) for k in keys}
+        Hh, b = fit_head_np(head, X @ W.T, y, classes)
+        out = {k: [v] * len(classes) for k, v in zip(keys, key)}
         out["label"] = classes
-        out["weights"] = list(folded)
+        out["weights"] = list(Hh @ W)
         out["bias"] = b
         return pd.DataFrame(out)
 
-    both = _tagged(rows, examples, keys, ["row_id", label_col, vec_col], [c for c in ex_cols if c not in keys])
-    return _spread(both, keys).groupBy(*keys).applyInPandas(fit, schema)
+    return _stream(both, keys, order, fit, schema)
 
 
 def train_splits_multilabel(
@@ -185,7 +233,7 @@ def train_splits_multilabel(
     examples: DataFrame,
     keys: list[str],
     label_cols: list[str],
-    anchor_vectors: dict | None,
+    anchor_vectors: dict | DataFrame | None,
     loss: str = "triplet",
     strategy: str = "one-vs-rest",
     lr: float = 0.5,
@@ -193,13 +241,12 @@ def train_splits_multilabel(
     use_adapter: bool = True,
     vec_col: str = "embedding",
     batch_size: int = 16,
+    head: str = "logistic_regression",
 ) -> DataFrame:
     """Multi-label: per split and label ``(keys, label, weights, chain ARRAY<DOUBLE>, bias,
     constant INT)``. ``chain`` holds the weights of the earlier labels (classifier chain only);
     ``constant`` is set when a label column is constant in the split (one-vs-rest predicts it,
     multi-output raises)."""
-    _check_sizes(rows, keys, MAX_SPLIT_ROWS, "rows")
-    _check_sizes(examples, keys, MAX_EXAMPLES_PER_SPLIT, "examples")
     key_fields = [rows.schema[k] for k in keys]
     schema = T.StructType(key_fields + [
         T.StructField("label", T.IntegerType()),
@@ -208,30 +255,18 @@ def train_splits_multilabel(
         T.StructField("bias", T.DoubleType()),
         T.StructField("constant", T.IntegerType()),
     ])
-    anchors = ({} if isinstance(anchor_vectors, DataFrame)
-               else {k: np.asarray(v, dtype=np.float64) for k, v in (anchor_vectors or {}).items()})
-    ex_cols = [*keys, *_order_cols(examples), "row_id", "other_row_id"] + (["anchor_key"] if loss == "triplet" else ["target"])
-    anchor_rows = None
-    if isinstance(anchor_vectors, DataFrame):
-        # too many label-set anchors to broadcast: each split receives the anchors its examples use
-        anchor_rows = (examples.select(*keys, "anchor_key").distinct()
-                       .join(anchor_vectors.select(F.col("anchor_key").cast("long").alias("anchor_key"), vec_col), "anchor_key")
-                       .select(*keys, F.col("anchor_key").alias("row_id"), vec_col))
-        anchors = {}
-    per_split_anchors = anchor_rows is not None
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, ex = _split_parts(pdf)
-        split_anchors = anchors
-        if per_split_anchors:
-            a = pdf[pdf["_kind"] == 2]
-            split_anchors = {int(k): np.asarray(v, dtype=np.float64) for k, v in zip(a["row_id"], a[vec_col])}
+    anchors = _anchor_table(rows.sparkSession, anchor_vectors, vec_col)
+    both, order, by_id = _prepared(rows, examples, keys, ["row_id", *label_cols, vec_col], anchors, loss, vec_col, batch_size)
+
+    def fit(key, parts):
+        r, a, ex = _rows_then_examples(parts)
         if len(r) == 0:
-            return pd.DataFrame(columns=[f.name for f in schema.fields])
+            return None
         X = np.vstack(r[vec_col].to_numpy()).astype(np.float64)
         W = np.eye(X.shape[1])
         if use_adapter:
-            W = _adapt(W, X, pd.Index(r["row_id"].to_numpy()), ex, split_anchors, loss, lr, margin, batch_size)
+            vecs = {int(k): np.asarray(v, dtype=np.float64) for k, v in zip(a["row_id"], a[vec_col])}
+            W = _adapt(X, pd.Index(r["row_id"].to_numpy()), ex, vecs, loss, lr, margin, int(r["_steps"].iloc[0]), batch_size, by_id)
         Xa = X @ W.T
         Y = r[label_cols].to_numpy().astype(np.int64)
         recs = []
@@ -240,13 +275,16 @@ def train_splits_multilabel(
             feats = Xa if strategy != "classifier-chain" or j == 0 else np.hstack([Xa, Y[:, :j].astype(np.float64)])
             if t.min() == t.max():
                 if strategy == "multi-output":
-                    raise ValueError(f"label column {label_cols[j]!r} has one value only in split {[r[k].iloc[0] for k in keys]}")
+                    raise ValueError(f"label column {label_cols[j]!r} has one value only in split {key}")
                 recs.append((j, np.zeros(X.shape[1]), [], 0.0, int(t[0])))
                 continue
-            w, b = fit_binary_np(feats, t)
+            if head == "centroid":
+                w, b = feats[t == 1].mean(axis=0) - feats[t == 0].mean(axis=0), 0.0
+            else:
+                w, b = fit_binary_np(feats, t)
             wx, wc = w[: X.shape[1]], w[X.shape[1]:]
             recs.append((j, wx @ W, list(wc), b, None))
-        out = {k: [r[k].iloc[0]] * len(recs) for k in keys}
+        out = {k: [v] * len(recs) for k, v in zip(keys, key)}
         out["label"] = [x[0] for x in recs]
         out["weights"] = [x[1] for x in recs]
         out["chain"] = [x[2] for x in recs]
@@ -254,15 +292,7 @@ def train_splits_multilabel(
         out["constant"] = pd.array([x[4] for x in recs], dtype="Int32")
         return pd.DataFrame(out)
 
-    both = _tagged(rows, examples, keys, ["row_id", *label_cols, vec_col], [c for c in ex_cols if c not in keys])
-    if anchor_rows is not None:
-        filled = anchor_rows
-        for c in both.columns:
-            if c not in filled.columns and c != "_kind":
-                dt = both.schema[c].dataType
-                filled = filled.withColumn(c, F.lit(None).cast(dt) if isinstance(dt, T.ArrayType) else F.lit(-1).cast(dt))
-        both = both.unionByName(filled.select(*[c for c in both.columns if c != "_kind"]).withColumn("_kind", F.lit(2)))
-    return _spread(both, keys).groupBy(*keys).applyInPandas(fit, schema)
+    return _stream(both, keys, order, fit, schema)
 
 
 def predict_multilabel(
@@ -277,21 +307,26 @@ def predict_multilabel(
     """Confusion counts ``(keys, true_mask, pred_mask, n)`` of every split on the test rows
     (labels predicted in order, so chain weights see the earlier predictions). ``encode=(text_col,
     dim)`` encodes the text in the same Arrow pass."""
-    from ..operators.encode import hash_vectors
+    chunks = weight_chunks(weights, keys)
+    rows, encode = scored_rows(rows, chunks, id_col, vec_col, mask_col, encode)
+    out = None
+    for ch in chunks or [[]]:
+        part = _predict_multilabel(rows, chosen(weights, keys, ch, chunks), weights, keys, id_col, vec_col, mask_col, encode)
+        out = part if out is None else out.unionByName(part)
+    return out
+
 
-    from ..operators.heads import MAX_BROADCAST_WEIGHTS
+def _predict_multilabel(rows, chosen_weights, weights, keys, id_col, vec_col, mask_col, encode):
+    from ..operators.encode import hash_vectors
 
-    n = weights.count()
-    dim = weights.select(F.size("weights").alias("d")).first()["d"] if n else 0
-    if n * max(dim, 1) > MAX_BROADCAST_WEIGHTS:
-        raise ValueError("multi-label weights are over the broadcast bound")
     groups: dict = {}
-    for r in weights.collect():
-        groups.setdefault(tuple(r[k] for k in keys), []).append(r)
+    for r in chosen_weights.toPandas().itertuples(index=False):
+        groups.setdefault(tuple(getattr(r, k) for k in keys), []).append(r)
     packed = []
     for gk, rs in groups.items():
-        rs.sort(key=lambda r: r["label"])
-        packed.append((gk, [(r["label"], np.asarray(r["weights"]), np.asarray(r["chain"] or []), r["bias"], r["constant"]) for r in rs]))
+        rs.sort(key=lambda r: r.label)
+        packed.append((gk, np.array([r.weights for r in rs]), [np.asarray(r.chain) for r in rs], np.array([r.bias for r in rs]),
+                       [None if pd.isna(r.constant) else int(r.constant) for r in rs]))
     bc = rows.sparkSession.sparkContext.broadcast(packed)
     key_fields = [weights.schema[k] for k in keys]
     schema = T.StructType(key_fields + [T.StructField("true_mask", T.LongType()), T.StructField("pred_mask", T.LongType()),
@@ -300,28 +335,30 @@ def predict_multilabel(
     def run(batches):
         acc: dict = {}
         cache: dict = {}
+        stacked = np.vstack([p[1] for p in bc.value]) if bc.value else None
         for pdf in batches:
-            if len(pdf) == 0:
+            if len(pdf) == 0 or stacked is None:
                 continue
             if encode:
                 X = hash_vectors(pdf[encode[0]].tolist(), encode[1], cache=cache)
             else:
                 X = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64)
-            tmask = pdf[mask_col].to_numpy().astype(np.int64)
-            for gk, labs in bc.value:
-                preds = np.zeros((len(pdf), len(labs)), dtype=np.int64)
-                for j, (lab, w, c, b, const) in enumerate(labs):
-                    if const is not None:
-                        preds[:, j] = const
-                        continue
-                    s = X @ w + b
-                    if len(c):
-                        s = s + preds[:, : len(c)] @ c
-                    preds[:, j] = (s > 0).astype(np.int64)
-                pmask = (preds << np.arange(len(labs))).sum(axis=1)
-                vc = pd.Series(1, index=pd.MultiIndex.from_arrays([tmask, pmask])).groupby(level=[0, 1]).sum()
-                for (t, p), cnt in vc.items():
-                    acc[(gk, int(t), int(p))] = acc.get((gk, int(t), int(p)), 0) + int(cnt)
+            true, t_code = np.unique(pdf[mask_col].to_numpy().astype(np.int64), return_inverse=True)
+            scores, at = X @ stacked.T, 0  # one product for all splits
+            for gk, W, chains, b, const in bc.value:
+                S = scores[:, at : at + len(W)] + b
+                at += len(W)
+                preds = np.zeros(S.shape, dtype=np.int64)
+                for j, c in enumerate(chains):
+                    if const[j] is not None:
+                        preds[:, j] = const[j]
+                    else:
+                        preds[:, j] = (S[:, j] + (preds[:, : len(c)] @ c if len(c) else 0.0)) > 0
+                pred, p_code = np.unique((preds << np.arange(len(W))).sum(axis=1), return_inverse=True)
+                counts = np.bincount(t_code * len(pred) + p_code, minlength=len(true) * len(pred))
+                for i in np.flatnonzero(counts):
+                    k = (gk, int(true[i // len(pred)]), int(pred[i % len(pred)]))
+                    acc[k] = acc.get(k, 0) + int(counts[i])
         if acc:
             yield pd.DataFrame([dict(zip(keys, gk), true_mask=t, pred_mask=p, n=c) for (gk, t, p), c in acc.items()],
                                columns=[*keys, "true_mask", "pred_mask", "n"])

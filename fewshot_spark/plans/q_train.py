@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
+from ..functions.hashing import sql_h60 as H
 from ..operators import adapter as AD
 from ..operators import encode as E
 from ..operators import examples as X
@@ -17,9 +18,9 @@ from ..operators import sampling as M
 from ..sources import catalogue as C
 from ..sources import readers as R
 from . import runs as RN
-from .q_examples import _neg_sql, grid_select
+from .q_examples import _neg_sql, grid_ml_select, grid_select
 from .q_models import _encode_sql
-from .registry import DL_SQL, SEEDS, SIZES, dl, register
+from .registry import DL_SQL, DLM_SQL, SEEDS, SIZES, dl, register
 
 QUALITY = C.spec("documents_quality")
 TOXIC = C.spec("documents_toxic")
@@ -60,7 +61,8 @@ def _flagship_sql() -> str:
 def q_flagship(spark, sf):
     """Minimum end-to-end slice: 8 rows per quality class (seed 0) -> anchors -> triplets with a
     random other-class negative (2 iterations) -> hashed 256-d encoding of anchors and texts ->
-    cosine triplet loss (margin 0.25) per class. All in Spark SQL operators, no Python UDF."""
+    cosine triplet loss (margin 0.25) per class. The encoder is an Arrow map (``mapInPandas``);
+    everything else is Spark SQL operators."""
     rows = M.fewshot_grid(dl(spark, sf), [8], [0])
     anchors = X.generate_anchors(QUALITY.template, list(QUALITY.labels))
     trip = X.gen_triplets(rows, anchors, FLAG_ITERS, 0, SPLIT).select("row_id", "label", "neg_row_id", "anchor")
@@ -226,12 +228,160 @@ def q_run_ablation(spark, sf):
     return _records(rec, "shown_names")
 
 
+# ---- the same runs with class-mean heads and no adapter, restated in SQL ------------------------
+
+
+def _cut_sql(base: str) -> str:
+    return f"""base AS (SELECT * FROM {base}),
+    cut AS (SELECT b.*, row_number() OVER (ORDER BY {H('42', 'row_id')}, row_id) <= round_even(0.75 * count(*) OVER (), 0) AS is_train FROM base b),
+    train AS (SELECT * FROM cut WHERE is_train), test AS (SELECT * FROM cut WHERE NOT is_train)"""
+
+
+def _centroid_run_sql(sizes: list[int], seeds: list[int], shown: str = "") -> str:
+    """Records of a run with class-mean heads: one row per split."""
+    return f"""
+    WITH {_cut_sql(DL_SQL)},
+    split AS {grid_select('train', 'label', sizes, seeds, 'b.row_id, b.label')},
+    {_encode_sql('cut', 'row_id', 'text').strip()},
+    sz AS (SELECT sample_size, seed_idx, label, count(*) AS n FROM split GROUP BY ALL),
+    cent AS (SELECT s.sample_size, s.seed_idx, s.label, e.b, sum(e.value) / any_value(sz.n) AS c
+             FROM split s JOIN enc e ON e.id = s.row_id JOIN sz USING (sample_size, seed_idx, label) GROUP BY ALL),
+    dots AS (SELECT e.id, c.sample_size, c.seed_idx, c.label, sum(e.value * c.c) AS s
+             FROM enc e JOIN cent c USING (b) WHERE e.id IN (SELECT row_id FROM test) GROUP BY ALL),
+    ranked AS (SELECT t.row_id, t.label AS y_true, sz.sample_size, sz.seed_idx, sz.label AS y_pred,
+                      row_number() OVER (PARTITION BY t.row_id, sz.sample_size, sz.seed_idx ORDER BY round(coalesce(d.s, 0), 9) DESC, sz.label) AS rk
+               FROM test t CROSS JOIN sz LEFT JOIN dots d ON d.id = t.row_id AND d.sample_size = sz.sample_size
+                    AND d.seed_idx = sz.seed_idx AND d.label = sz.label),
+    pred AS (SELECT * FROM ranked WHERE rk = 1),
+    cc AS (SELECT sample_size, seed_idx, label, sum(tp) AS tp, sum(sup) AS sup, sum(prd) AS prd FROM (
+            SELECT sample_size, seed_idx, y_true AS label, (y_true = y_pred)::INTEGER AS tp, 1 AS sup, 0 AS prd FROM pred
+            UNION ALL SELECT sample_size, seed_idx, y_pred, 0, 0, 1 FROM pred) GROUP BY ALL)
+    SELECT 'documents_quality' AS dataset, sample_size, seed_idx, round(avg(2.0 * tp / (sup + prd)), 9) AS macro_f1,
+           round(2.0 * sum(tp) / sum(sup + prd), 9) AS micro_f1,
+           round(sum(2.0 * tp / (sup + prd) * sup) / sum(sup), 9) AS weighted_f1,
+           'accuracy' AS metric, round(sum(tp) / sum(sup)::DOUBLE, 9) AS metric_value,
+           max(CASE WHEN label = 0 THEN round(2.0 * tp / (sup + prd), 9) END) AS f1_0,
+           max(CASE WHEN label = 1 THEN round(2.0 * tp / (sup + prd), 9) END) AS f1_1{shown}
+    FROM cc GROUP BY sample_size, seed_idx
+    """
+
+
+def _plain(kind: str, **other) -> RunConfig:
+    return RunConfig(loss="TripletLoss", kind=kind, classifier="centroid", use_adapter=False, num_iterations=1, **other)
+
+
+def _flat(rec, names: list[str], *extra):
+    return rec.select("dataset", "sample_size", "seed_idx", "macro_f1", "micro_f1", "weighted_f1", "metric", "metric_value",
+                      *[F.try_element_at("per_class", F.lit(n)).alias(f"f1_{i}") for i, n in enumerate(names)], *extra)
+
+
+@register("run_fewshot_plain", _centroid_run_sql(SIZES, SEEDS[:5]))
+def q_run_fewshot_plain(spark, sf):
+    """The whole single-label run (cut, grid, anchors, examples, encoding, heads, scoring, records)
+    with class-mean heads and no adapter: sizes 2..64 x 5 seeds."""
+    cfg = _plain("single", sample_sizes=tuple(SIZES), seeds_num=5, setting_name="DRIVER")
+    return _flat(RN.run_fewshot(spark, cfg, [_dl_set(spark, sf)], write=False), list(QUALITY.labels))
+
+
+_REVIEW_NAMES = list(C.DEV_LABELS["sst2"])
+_SHOWN_SQL = "".join(
+    f""",
+           (SELECT shown_name FROM (SELECT label_id, coalesce(lead(label_name) OVER w, first_value(label_name) OVER w) AS shown_name
+              FROM {C.catalogue_values_sql()} WHERE dataset = 'sst2'
+              WINDOW w AS (ORDER BY {H('0', 'dataset', 'label_id')}, label_id)) WHERE label_id = {i}) AS shown_{i}"""
+    for i in range(len(_REVIEW_NAMES))
+)
+
+
+@register("run_ablation_plain", _centroid_run_sql([2, 8, 32], SEEDS[:5], _SHOWN_SQL))
+def q_run_ablation_plain(spark, sf):
+    """The ablation run with permuted label names, class-mean heads and no adapter; the names that
+    the anchors showed stand beside the F1 of the real classes."""
+    ds = _dl_set(spark, sf)
+    ds = RN.LabelledSet(ds.name, ds.train, ds.test, _REVIEW_NAMES, C.DEV_TEMPLATES["sst2"], "accuracy")
+    cfg = _plain("ablation", setting_name="PEM", sample_sizes=(2, 8, 32), seeds_num=5)
+    rec = RN.run_ablation(spark, cfg, [ds], C.label_catalogue(spark), {ds.name: "sst2"}, write=False)
+    return _flat(rec, _REVIEW_NAMES, *[F.try_element_at("shown_names", F.lit(i)).alias(f"shown_{i}") for i in range(len(_REVIEW_NAMES))])
+
+
+def _multilabel_run_sql(sizes: list[int], seeds: list[int]) -> str:
+    flags = ["quality", "toxic"]
+    pos = " UNION ALL ".join(f"SELECT sample_size, seed_idx, row_id, {i} AS l, {c} AS f FROM split" for i, c in enumerate(flags))
+    return f"""
+    WITH {_cut_sql(DLM_SQL)},
+    split AS {grid_ml_select('train', flags, sizes, seeds)},
+    {_encode_sql('cut', 'row_id', 'text').strip()},
+    fl AS ({pos}),
+    sz AS (SELECT sample_size, seed_idx, l, count(*) FILTER (WHERE f = 1) AS n1, count(*) FILTER (WHERE f = 0) AS n0 FROM fl GROUP BY ALL),
+    w AS (SELECT fl.sample_size, fl.seed_idx, fl.l, e.b,
+                 coalesce(sum(e.value) FILTER (WHERE f = 1), 0) / any_value(n1) - coalesce(sum(e.value) FILTER (WHERE f = 0), 0) / any_value(n0) AS c
+          FROM fl JOIN enc e ON e.id = fl.row_id JOIN sz USING (sample_size, seed_idx, l) WHERE n1 > 0 AND n0 > 0 GROUP BY ALL),
+    dots AS (SELECT e.id, w.sample_size, w.seed_idx, w.l, sum(e.value * w.c) AS s
+             FROM enc e JOIN w USING (b) WHERE e.id IN (SELECT row_id FROM test) GROUP BY ALL),
+    lab AS (SELECT t.row_id, sz.sample_size, sz.seed_idx, sz.l, CASE WHEN sz.l = 0 THEN t.quality ELSE t.toxic END AS t,
+                   CASE WHEN n0 = 0 THEN 1 WHEN n1 = 0 THEN 0 WHEN coalesce(d.s, 0) > 0 THEN 1 ELSE 0 END AS p
+            FROM test t CROSS JOIN sz LEFT JOIN dots d ON d.id = t.row_id AND d.sample_size = sz.sample_size
+                 AND d.seed_idx = sz.seed_idx AND d.l = sz.l),
+    f AS (SELECT sample_size, seed_idx, l, sum(t * p) AS tp, sum(t) AS sup, sum(p) AS prd,
+                 CASE WHEN sum(t) + sum(p) > 0 THEN 2.0 * sum(t * p) / (sum(t) + sum(p)) ELSE 0 END AS f1 FROM lab GROUP BY ALL),
+    ex AS (SELECT sample_size, seed_idx, avg(ok) AS acc FROM (
+             SELECT sample_size, seed_idx, row_id, min((t = p)::INTEGER) AS ok FROM lab GROUP BY ALL) GROUP BY ALL),
+    sk AS (SELECT sample_size, seed_idx, sum((label_mask <> 0 AND NOT EXISTS (SELECT 1 FROM split o WHERE o.sample_size = s.sample_size
+             AND o.seed_idx = s.seed_idx AND (o.label_mask & s.label_mask) = 0))::BIGINT)::BIGINT AS skipped_rows FROM split s GROUP BY ALL)
+    SELECT 'documents_flags' AS dataset, sample_size, seed_idx, round(avg(f1), 9) AS macro_f1,
+           round(CASE WHEN sum(sup + prd) > 0 THEN 2.0 * sum(tp) / sum(sup + prd) ELSE 0 END, 9) AS micro_f1,
+           round(CASE WHEN sum(sup) > 0 THEN sum(f1 * sup) / sum(sup) ELSE 0 END, 9) AS weighted_f1,
+           'accuracy' AS metric, round(any_value(ex.acc), 9) AS metric_value,
+           max(CASE WHEN l = 0 THEN round(f1, 9) END) AS f1_0, max(CASE WHEN l = 1 THEN round(f1, 9) END) AS f1_1,
+           any_value(sk.skipped_rows) AS skipped_rows
+    FROM f JOIN ex USING (sample_size, seed_idx) JOIN sk USING (sample_size, seed_idx) GROUP BY sample_size, seed_idx
+    """
+
+
+@register("run_fewshot_multilabel_plain", _multilabel_run_sql([2, 4, 8, 16], SEEDS[:5]))
+def q_run_fewshot_multilabel_plain(spark, sf):
+    """The whole multi-label run with class-mean heads per label and no adapter: the stored metric
+    is the subset accuracy; rows without a disjoint partner are counted."""
+    parts = M.fraction_split(R.documents_multilabel(spark, sf), 0.75, 42)
+    spec = C.spec("documents_flags")
+    ds = RN.LabelledSet("documents_flags", parts.where(F.col("split") == "train").drop("split"),
+                        parts.where(F.col("split") == "test").drop("split"), list(spec.labels), spec.template, "accuracy",
+                        ["quality", "toxic"])
+    cfg = _plain("multilabel", sample_sizes=(2, 4, 8, 16), seeds_num=5, setting_name="multilabel")
+    return _flat(RN.run_fewshot_multilabel(spark, cfg, [ds], write=False), list(spec.labels), "skipped_rows")
+
+
+_RELABEL_SETS = [(QUALITY.template, list(QUALITY.labels)), (TOXIC.template, list(TOXIC.labels))]
+
+
+@register(
+    "run_relabel_plain",
+    f"""
+    WITH base AS (SELECT * FROM {DL_SQL}),
+    split AS {grid_select('base', 'label', [8], [0], 'b.row_id, b.label')},
+    {_encode_sql('base', 'row_id', 'text').strip()},
+    sz AS (SELECT label, count(*) AS n FROM split GROUP BY ALL),
+    cent AS (SELECT s.label, e.b, sum(e.value) / any_value(sz.n) AS c FROM split s JOIN enc e ON e.id = s.row_id JOIN sz USING (label) GROUP BY ALL),
+    dots AS (SELECT e.id, c.label, sum(e.value * c.c) AS s FROM enc e JOIN cent c USING (b) GROUP BY ALL),
+    r AS (SELECT b.row_id, sz.label AS p, row_number() OVER (PARTITION BY b.row_id ORDER BY round(coalesce(d.s, 0), 9) DESC, sz.label) AS rk
+          FROM base b CROSS JOIN sz LEFT JOIN dots d ON d.id = b.row_id AND d.label = sz.label)
+    SELECT row_id, p AS pred_0, CASE p WHEN 0 THEN '{QUALITY.labels[0]}' ELSE '{QUALITY.labels[1]}' END AS name_0,
+           p AS pred_1, CASE p WHEN 0 THEN '{TOXIC.labels[0]}' ELSE '{TOXIC.labels[1]}' END AS name_1
+    FROM r WHERE rk = 1
+    """,
+)
+def q_run_relabel_plain(spark, sf):
+    """Two anchor sets over the same training rows, class-mean heads and no adapter."""
+    rows = dl(spark, sf)
+    return RN.run_relabel_demo(spark, _plain("single"), M.fewshot_sample(rows, 8, 0), rows.select("row_id", "text"), _RELABEL_SETS)
+
+
 @register("run_relabel_demo")
 def q_run_relabel_demo(spark, sf):
     """Same 16 training rows, two anchor sets (text quality vs. tone): both predictions for every
     labelled document side by side."""
     rows = dl(spark, sf)
     train = M.fewshot_sample(rows, 8, 0)
-    cfg = RunConfig(loss="TripletLoss", num_iterations=20, max_seq_length=128)
+    cfg = RunConfig(loss="TripletLoss", num_iterations=20)
     return RN.run_relabel_demo(spark, cfg, train, rows.select("row_id", "text"),
-                               [(QUALITY.template, list(QUALITY.labels)), (TOXIC.template, list(TOXIC.labels))])
+                               _RELABEL_SETS)

@@ -1,17 +1,16 @@
 """End-to-end runs: load -> few-shot grid -> resume filter -> anchors + examples -> encode ->
 per-split adapter and head -> predict the test table -> metrics -> result table.
 
-One lazy plan per dataset; the only driver round-trips are bounded: the anchor vectors
-(classes x dim), the per-split weights (size-checked) and the row counts of size checks.
+One lazy plan per dataset; the only driver round-trips are bounded: the pending split keys
+(sizes x seeds), the per-split weights (chunk by chunk) and the row counts of size checks.
 Every draw is a seeded hash and every fit is deterministic, so a task recomputed after a lost
 executor produces the same rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +23,6 @@ from ..operators import sampling as M
 from . import grid as G
 from . import results as RS
 
-MAX_ANCHORS = 10_000  # anchor sentences encoded on the driver; more go through Spark
-
 
 @dataclass
 class LabelledSet:
@@ -60,30 +57,50 @@ def _keep(df: DataFrame, cfg: RunConfig) -> DataFrame:
     return df.checkpoint(eager=False) if cfg.checkpoint_intermediates else df.persist()
 
 
-def _vectors_of(spark: SparkSession, texts: dict, cfg: RunConfig) -> dict:
-    """Hashed vectors of a bounded set of sentences (anchors: one per class or label set),
-    computed with the encoder's own kernel on the driver; the size is checked first."""
-    if len(texts) > MAX_ANCHORS:
-        raise ValueError(f"{len(texts)} anchor sentences exceed the bound of {MAX_ANCHORS}")
-    keys = list(texts)
-    if cfg.encoder is not None:
-        df = spark.createDataFrame([(str(k), texts[k]) for k in keys], "row_id string, text string")
-        got = {r["row_id"]: r["embedding"] for r in _encode(df, cfg).collect()}
-        return {k: np.asarray(got[str(k)], dtype=np.float64) for k in keys}
-    V = E.hash_vectors([texts[k] for k in keys], cfg.encoder_dim)
-    if cfg.add_normalization_layer:
-        n = np.linalg.norm(V, axis=1, keepdims=True)
-        V = np.where(n > 0, V / np.where(n > 0, n, 1.0), 0.0)
-    return {k: V[i] for i, k in enumerate(keys)}
+def _anchor_vectors(spark: SparkSession, anchors, cfg: RunConfig) -> DataFrame:
+    """Anchor sentences (a dict, or a table ``(anchor_key, text)``) as ``(anchor_key, embedding)``,
+    encoded in Spark like any other text; each split is joined to those it uses."""
+    if isinstance(anchors, dict):
+        anchors = spark.createDataFrame([(int(k), t) for k, t in anchors.items()], "anchor_key long, text string")
+    return _encode(anchors, cfg, "anchor_key")
+
+
+def _texts(ds: LabelledSet, cfg: RunConfig) -> LabelledSet:
+    """The set with whole texts, or with the first ``max_seq_length`` tokens where a run asks so."""
+    if cfg.max_seq_length is None:
+        return ds
+    cut = F.array_join(E.truncate_tokens(E.tokens("text"), cfg.max_seq_length), " ")
+    return replace(ds, train=ds.train.withColumn("text", cut), test=ds.test.withColumn("text", cut))
+
+
+def _save_embeddings(spark: SparkSession, ds: LabelledSet, anchors, cfg: RunConfig, write: bool) -> None:
+    """Embeddings of the test texts and of the anchors, once per dataset, where a run asks so."""
+    if cfg.save_embeddings and cfg.results_dir and write:
+        name = f"{run_id(cfg)}/{ds.name}"
+        RS.write_embeddings(_encode(ds.test, cfg), cfg.results_dir, f"{name}/test")
+        RS.write_embeddings(_anchor_vectors(spark, anchors, cfg), cfg.results_dir, f"{name}/anchors")
+
+
+def _pending_sizes(spark: SparkSession, ds: LabelledSet, cfg: RunConfig, done: DataFrame | None) -> DataFrame:
+    """Split keys still to run, from sizes x seeds (no row is sampled to learn them)."""
+    wanted = spark.createDataFrame([(ds.name, s, i) for s in cfg.sample_sizes for i in range(len(cfg.seeds))],
+                                   "dataset string, sample_size int, seed_idx int")
+    return G.pending_splits(wanted, done, RS.SPLIT_KEYS, cfg.override_results)
 
 
 def _grid_single(ds: LabelledSet, cfg: RunConfig, done: DataFrame | None) -> DataFrame:
-    grid = M.fewshot_grid(ds.train.select("row_id", "text", "label"), list(cfg.sample_sizes), cfg.seeds)
-    grid = grid.withColumn("dataset", F.lit(ds.name))
-    if done is not None:
-        pending = G.pending_splits(grid.select(*RS.SPLIT_KEYS).distinct(), done, RS.SPLIT_KEYS, cfg.override_results)
-        grid = grid.join(F.broadcast(pending), RS.SPLIT_KEYS, "left_semi")
-    return grid
+    """Pending splits of the grid. The grid of a finished dataset is not sampled at all."""
+    pending = _pending_sizes(ds.train.sparkSession, ds, cfg, done).collect()
+    sizes = sorted({r["sample_size"] for r in pending}) or [min(cfg.sample_sizes)]
+    grid = M.fewshot_grid(ds.train.select("row_id", "text", "label"), sizes, cfg.seeds)
+    grid = _only(grid.withColumn("dataset", F.lit(ds.name)), pending)
+    return G.bounded_rows(grid, RS.SPLIT_KEYS, cfg.max_fit_rows, cfg.draw_seed)
+
+
+def _only(grid: DataFrame, pending: list) -> DataFrame:
+    """Rows of the pending splits (at most sizes x seeds keys)."""
+    keys = grid.sparkSession.createDataFrame([tuple(r) for r in pending], "dataset string, sample_size int, seed_idx int")
+    return grid.join(F.broadcast(keys), RS.SPLIT_KEYS, "left_semi")
 
 
 def _encode_grid_rows(grid: DataFrame, train: DataFrame, cfg: RunConfig) -> DataFrame:
@@ -105,9 +122,11 @@ def run_fewshot(spark: SparkSession, cfg: RunConfig, datasets: list[LabelledSet]
         RS.write_manifest(spark, cfg, cfg.results_dir)
     out = None
     for ds in datasets:
+        ds = _texts(ds, cfg)
         grid = _grid_single(ds, cfg, done)
         template, shown = (anchor_names or {}).get(ds.name, (ds.template, ds.names))
         anchors = X.generate_anchors(template, list(shown))
+        _save_embeddings(spark, ds, anchors, cfg, write)
         enc = _encode_grid_rows(grid, ds.train, cfg)
         rows = grid.select(*keys, "row_id", "label").join(enc, "row_id")
         if cfg.triplet:
@@ -116,7 +135,7 @@ def run_fewshot(spark: SparkSession, cfg: RunConfig, datasets: list[LabelledSet]
             ex = trip.select(*keys, "iteration", "row_id", F.col("label").alias("anchor_key"),
                              F.col("neg_row_id").alias("other_row_id"))
             ex = G.with_batch_key(ex, keys, cfg.draw_seed, ["iteration", "row_id"])
-            anchor_vecs = _vectors_of(spark, anchors, cfg)
+            anchor_vecs = _anchor_vectors(spark, anchors, cfg)
             loss = "triplet"
         else:
             pairs = X.gen_pairs(grid.select(*keys, "row_id", "label"), cfg.num_iterations, cfg.draw_seed, keys,
@@ -129,7 +148,7 @@ def run_fewshot(spark: SparkSession, cfg: RunConfig, datasets: list[LabelledSet]
         # read the same materialised rows instead of regenerating the examples
         rows, ex = _keep(rows, cfg), _keep(ex, cfg)
         weights = G.train_splits(rows, ex, keys, anchor_vecs, loss, cfg.classifier, cfg.adapter_lr, cfg.margin,
-                                 batch_size=cfg.batch_size)
+                                 use_adapter=cfg.use_adapter, batch_size=cfg.batch_size)
         weights = weights.persist()
         if cfg.encoder is None:  # encode inside the scoring pass
             conf = HD.predict(ds.test.select("row_id", "text", "label"), weights, keys, aggregate=True,
@@ -160,30 +179,27 @@ def run_fewshot_multilabel(spark: SparkSession, cfg: RunConfig, datasets: list[L
         RS.write_manifest(spark, cfg, cfg.results_dir)
     out = None
     for ds in datasets:
+        ds = _texts(ds, cfg)
         lc = list(ds.label_cols or [])
-        grid = M.fewshot_grid_multilabel(ds.train, lc, list(cfg.sample_sizes), cfg.seeds).withColumn("dataset", F.lit(ds.name))
-        if done is not None:
-            pending = G.pending_splits(grid.select(*keys).distinct(), done, keys, cfg.override_results)
-            grid = grid.join(F.broadcast(pending), keys, "left_semi")
+        pending = _pending_sizes(spark, ds, cfg, done).collect()
+        sizes = sorted({r["sample_size"] for r in pending}) or [min(cfg.sample_sizes)]
+        grid = _only(M.fewshot_grid_multilabel(ds.train, lc, sizes, cfg.seeds).withColumn("dataset", F.lit(ds.name)), pending)
+        grid = G.bounded_rows(grid, keys, cfg.max_fit_rows, cfg.draw_seed)
         enc = _encode_grid_rows(grid, ds.train, cfg)
         rows = grid.select(*keys, "row_id", *lc, "label_mask").join(enc, "row_id")
         if cfg.triplet:
             from ..operators.prepare import multilabel_anchor
 
             trip = X.gen_triplets_multilabel(grid, ds.template, lc, list(ds.names), cfg.num_iterations, cfg.draw_seed,
-                                             keys, on_empty="skip")
+                                             keys, on_empty=cfg.on_empty)
             ex = trip.select(*keys, "iteration", "row_id", F.col("label_mask").alias("anchor_key"),
                              F.col("neg_row_id").alias("other_row_id"))
             ex = G.with_batch_key(ex, keys, cfg.draw_seed, ["iteration", "row_id"])
             masks = grid.where(F.col("label_mask") != 0).select(
                 "label_mask", multilabel_anchor(ds.template, lc, list(ds.names)).alias("anchor")).distinct()
-            n_masks = masks.count()
-            if n_masks <= MAX_ANCHORS:
-                anchor_vecs = _vectors_of(spark, {int(r["label_mask"]): r["anchor"] for r in masks.collect()}, cfg)
-            else:
-                # too many label sets for the driver: encode them in Spark, ship them per split
-                anchor_vecs = _encode(masks.select(F.col("label_mask").alias("anchor_key"), F.col("anchor").alias("text")),
-                                      cfg, "anchor_key")
+            anchors = masks.select(F.col("label_mask").alias("anchor_key"), F.col("anchor").alias("text"))
+            anchor_vecs = _anchor_vectors(spark, anchors, cfg)
+            _save_embeddings(spark, ds, anchors, cfg, write)
             loss = "triplet"
         else:
             pairs = X.gen_pairs_multilabel(grid.select(*keys, "row_id", *lc, "label_mask"), lc, cfg.num_iterations,
@@ -194,7 +210,8 @@ def run_fewshot_multilabel(spark: SparkSession, cfg: RunConfig, datasets: list[L
             loss = "cosine"
         rows, ex = _keep(rows, cfg), _keep(ex, cfg)
         weights = G.train_splits_multilabel(rows, ex, keys, lc, anchor_vecs, loss, cfg.multi_target_strategy,
-                                            cfg.adapter_lr, cfg.margin, batch_size=cfg.batch_size).persist()
+                                            cfg.adapter_lr, cfg.margin, cfg.use_adapter,
+                                            batch_size=cfg.batch_size, head=cfg.classifier).persist()
         if cfg.encoder is None:
             conf = G.predict_multilabel(ds.test.select("row_id", "text", "label_mask"), weights, keys,
                                         encode=("text", cfg.encoder_dim))
@@ -251,8 +268,10 @@ def run_ablation(spark: SparkSession, cfg: RunConfig, datasets: list[LabelledSet
 def run_relabel_demo(spark: SparkSession, cfg: RunConfig, train: DataFrame, rows: DataFrame,
                      anchor_sets: list[tuple[str, list[str]]]) -> DataFrame:
     """Same training rows, several anchor sets: one adapter + head per set, predictions side by
-    side ``(row_id, pred_0, name_0, pred_1, name_1, ...)``. The whole train table is one split."""
+    side ``(row_id, pred_0, name_0, pred_1, name_1, ...)``. The train table is one split, of which
+    at most ``cfg.max_fit_rows`` rows are fitted on."""
     keys = ["anchor_set"]
+    train = G.bounded_rows(train.withColumn("anchor_set", F.lit(0)), keys, cfg.max_fit_rows, cfg.draw_seed).drop("anchor_set")
     enc_train = _encode(train, cfg).join(train.select("row_id", "label"), "row_id")
     base = train.select("row_id", "text", "label")
     weights_all = None
@@ -263,8 +282,8 @@ def run_relabel_demo(spark: SparkSession, cfg: RunConfig, train: DataFrame, rows
         ex = G.with_batch_key(trip.select(*keys, "iteration", "row_id", F.col("label").alias("anchor_key"),
                                           F.col("neg_row_id").alias("other_row_id")),
                               keys, cfg.draw_seed, ["iteration", "row_id"])
-        w = G.train_splits(enc_train.withColumn("anchor_set", F.lit(i)), ex, keys, _vectors_of(spark, anchors, cfg),
-                           "triplet", cfg.classifier, cfg.adapter_lr, cfg.margin, batch_size=cfg.batch_size)
+        w = G.train_splits(enc_train.withColumn("anchor_set", F.lit(i)), ex, keys, _anchor_vectors(spark, anchors, cfg),
+                           "triplet", cfg.classifier, cfg.adapter_lr, cfg.margin, cfg.use_adapter, batch_size=cfg.batch_size)
         weights_all = w if weights_all is None else weights_all.unionByName(w)
     enc_rows = _encode(rows, cfg)
     pred = HD.predict(enc_rows, weights_all, keys, label_col=None)

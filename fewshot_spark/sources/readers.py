@@ -6,7 +6,7 @@ columns (``ReadSchema`` in the plan) and filters reach the scan (``PushedFilters
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,22 +28,49 @@ def read_labelled(
 ) -> DataFrame:
     """Single-label table ``(row_id BIGINT, text STRING, label INT)``.
 
-    Without ``id_col`` the row id is ``monotonically_increasing_id`` (stable for one read of one
-    file set); pass a real key column for results that must repeat across reads.
-    A null label raises unless ``drop_null_labels``.
+    Without ``id_col`` the row id is a hash of the content (``content_ids``). A null label raises
+    (one narrow job that reads the label column only) unless ``drop_null_labels``; the label
+    itself stays a plain column, so filters and semi joins on the result reach the scan.
     """
-    rid = F.monotonically_increasing_id() if id_col is None else _col(id_col)
     out = df.select(
-        rid.cast("bigint").alias("row_id"),
+        _row_id(df, id_col).alias("row_id"),
         _col(text_col).cast("string").alias("text"),
         _col(label_col).alias("label"),
     )
+    if id_col is None:
+        out = content_ids(out)
     if drop_null_labels:
         return out.where(F.col("label").isNotNull())
-    return out.withColumn(
-        "label",
-        F.when(F.col("label").isNull(), F.raise_error(F.lit("null label in labelled table"))).otherwise(F.col("label")),
-    )
+    check_labels(df.select(_col(label_col).alias("label")))
+    return out
+
+
+def check_labels(labels: DataFrame) -> None:
+    """Raise when the column ``label`` holds a null."""
+    if not labels.where(F.col("label").isNull()).select(F.lit(1)).isEmpty():
+        raise ValueError("null label in labelled table")
+
+
+def _row_id(df: DataFrame, id_col: str | Column | None) -> Column:
+    """BIGINT row id of a key column: integers as they are, any other type (text keys) by its
+    64-bit hash without the sign bit. Null without a key column."""
+    if id_col is None:
+        return F.lit(None).cast("bigint")
+    kind = df.select(_col(id_col).alias("k")).schema["k"].dataType
+    if isinstance(kind, T.IntegralType):
+        return _col(id_col).cast("bigint")
+    return F.xxhash64(_col(id_col)).bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def content_ids(df: DataFrame, id_col: str = "row_id") -> DataFrame:
+    """Row ids from the content: the 64-bit hash of all other columns; the n-th of several equal
+    rows adds n to the hash. The ids are the same on every read and in every file layout. Equal
+    rows are numbered inside their hash, so a row that is repeated very often is one group here;
+    tables with a key should pass it."""
+    rest = [c for c in df.columns if c != id_col]
+    keyed = df.withColumn("_h", F.xxhash64(*rest).bitwiseAND(F.lit((1 << 62) - 1)))
+    w = Window.partitionBy("_h").orderBy(F.lit(0))
+    return keyed.withColumn(id_col, F.col("_h") + F.row_number().over(w) - 1).drop("_h").select(*df.columns)
 
 
 def with_label_mask(df: DataFrame, label_cols: list[str], out: str = "label_mask") -> DataFrame:
@@ -65,15 +92,14 @@ def read_multilabel(
     """Wide multi-label table ``(row_id, text, <flags INT 0/1>, label_mask)``.
 
     Flags may be INT or BOOLEAN; they are cast to INT. The label order is the order of
-    ``label_cols`` (it must equal the catalogue name order).
+    ``label_cols`` (it must equal the catalogue name order). Row ids as in ``read_labelled``.
     """
-    rid = F.monotonically_increasing_id() if id_col is None else _col(id_col)
     out = df.select(
-        rid.cast("bigint").alias("row_id"),
+        _row_id(df, id_col).alias("row_id"),
         _col(text_col).cast("string").alias("text"),
         *[F.col(c).cast("int").alias(c) for c in label_cols],
     )
-    return with_label_mask(out, label_cols)
+    return with_label_mask(content_ids(out) if id_col is None else out, label_cols)
 
 
 def read_csv_labelled(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -93,12 +119,15 @@ def documents_labelled(spark: SparkSession, sf_dir: str, label: str = "quality")
     """``documents ⋈ labels`` as a single-label table; ``label`` is ``quality``, ``toxic`` or ``lang``."""
     docs = read_table(spark, sf_dir, "documents")
     if label == "lang":
-        lang_id = F.array_position(F.array(*[F.lit(c) for c in LANG_CODES]), F.col("lang")).cast("int") - 1
-        base = docs.select("doc_id", "text", lang_id.alias("label"))
-        return read_labelled(base.join(read_table(spark, sf_dir, "labels").select("doc_id"), "doc_id"),
-                             "text", "label", "doc_id")
-    labels = read_table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label"))
-    return read_labelled(docs.select("doc_id", "text").join(labels, "doc_id"), "text", "label", "doc_id")
+        codes = F.array(*[F.lit(c) for c in LANG_CODES])
+        check_labels(docs.select(F.when(F.array_contains(codes, F.col("lang")), 1).alias("label")))
+        base = docs.select("doc_id", "text", (F.array_position(codes, F.col("lang")).cast("int") - 1).alias("label"))
+        joined = base.join(read_table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    else:
+        labels = read_table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label"))
+        check_labels(labels)
+        joined = docs.select("doc_id", "text").join(labels, "doc_id")
+    return joined.select(F.col("doc_id").cast("bigint").alias("row_id"), "text", "label")
 
 
 def documents_multilabel(spark: SparkSession, sf_dir: str, six: bool = False) -> DataFrame:

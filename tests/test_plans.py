@@ -24,6 +24,26 @@ def test_window_group_limit_before_shuffle(spark):
     assert plan.count("WindowGroupLimit") >= 2  # partial before the exchange, final after
 
 
+def test_sampling_never_shuffles_text(spark):
+    """With automatic broadcasts off (a labels table that is large), no exchange carries ``text``."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for grid in (M.fewshot_grid(R.documents_labelled(spark, SF01), [4], [0, 1]),):
+            plan = grid._jdf.queryExecution().optimizedPlan().toString() + _plan(grid)
+            tree = grid._jdf.queryExecution().withCachedData().toString()
+            assert "LeftSemi" in plan or "InMemoryRelation" in tree
+        payload = M.attach_payload(spark.range(5).withColumnRenamed("id", "row_id"), R.documents_labelled(spark, SF01))
+        payload.collect()
+        for line in _plan(payload).splitlines():
+            if "Exchange hashpartitioning" in line:
+                assert "doc_id" in line
+        plan = payload._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        semi = next(i for i, line in enumerate(plan) if "LeftSemi" in line)
+        assert any("text" in line and "Relation" in line for line in plan[semi : semi + 4])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_no_cross_join_in_draws(spark):
     em = spark.read.parquet(f"{SF01}/embeddings.parquet").select(F.lit("e").alias("dataset"), F.col("vec_id").alias("row_id"), "label")
     laid = X.lay_out(em, ["dataset"], "label")

@@ -163,13 +163,14 @@ def test_predict_beyond_broadcast_bound(spark, monkeypatch):
     rows = R.embeddings_labelled(spark, SF01)
     w = HD.fit_centroids(M.fewshot_grid(rows, [8, 16], [0, 1]), SPLIT).persist()
     whole = sorted(map(tuple, HD.predict(rows, w, SPLIT, aggregate=True).collect()))
-    monkeypatch.setattr(HD, "MAX_BROADCAST_WEIGHTS", 10 * 64 * 2)  # two splits per chunk
-    assert len(HD.weight_chunks(w, SPLIT)) == 2
-    chunked = sorted(map(tuple, HD.predict(rows, w, SPLIT, aggregate=True).collect()))
-    assert chunked == whole
+    for bound, n in ((10 * 64 * 2, 2), (1, 4)):  # two splits per chunk; every split over the bound
+        monkeypatch.setattr(HD, "MAX_BROADCAST_WEIGHTS", bound)
+        assert len(HD.weight_chunks(w, SPLIT)) == n
+        assert sorted(map(tuple, HD.predict(rows, w, SPLIT, aggregate=True).collect())) == whole
 
 
-def test_multilabel_anchors_through_spark(spark, monkeypatch):
+def test_fits_do_not_depend_on_arrow_batches(spark):
+    """Examples and rows that arrive in many small batches give the same heads and records."""
     from fewshot_spark.config import RunConfig
     from fewshot_spark.plans import runs as RN
     from fewshot_spark.sources import catalogue as C
@@ -178,12 +179,27 @@ def test_multilabel_anchors_through_spark(spark, monkeypatch):
     parts = M.fraction_split(base, 0.75, 42)
     spec = C.spec("documents_flags6")
     ds = RN.LabelledSet("six", parts.where("split = 'train'").drop("split"), parts.where("split = 'test'").drop("split"),
-                        list(spec.labels), spec.template, "f1", C.FLAGS6)
+                        list(spec.labels), spec.template, "accuracy", C.FLAGS6)
     cfg = RunConfig(kind="multilabel", loss="TripletLoss", sample_sizes=(4,), seeds_num=2, num_iterations=2)
-    a = sorted((r.seed_idx, r.macro_f1, r.metric_value) for r in RN.run_fewshot_multilabel(spark, cfg, [ds], write=False).collect())
-    monkeypatch.setattr(RN, "MAX_ANCHORS", 0)
-    b = sorted((r.seed_idx, r.macro_f1, r.metric_value) for r in RN.run_fewshot_multilabel(spark, cfg, [ds], write=False).collect())
-    assert a == b
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    out = []
+    for n in ("10000", "5"):
+        spark.conf.set(key, n)
+        rec = RN.run_fewshot_multilabel(spark, cfg, [ds], write=False).collect()
+        out.append(sorted((r.seed_idx, r.macro_f1, r.metric_value) for r in rec))
+        spark.catalog.clearCache()
+    spark.conf.unset(key)
+    assert out[0] == out[1] and len(out[0]) == 2
+
+
+def test_fit_row_bound(spark):
+    from fewshot_spark.plans import grid as G
+
+    rows = M.fewshot_grid(R.embeddings_labelled(spark, SF01), [16], [0, 1])
+    got = G.bounded_rows(rows, SPLIT, 25, 3)
+    assert {r["count"] for r in got.groupBy(*SPLIT).count().collect()} == {25}
+    assert sorted(r.row_id for r in got.collect()) == sorted(r.row_id for r in G.bounded_rows(rows.repartition(9), SPLIT, 25, 3).collect())
+    assert G.bounded_rows(rows, SPLIT, None, 3).count() == rows.count()
 
 
 def test_fused_encode_predict(spark):
