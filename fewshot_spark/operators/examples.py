@@ -49,7 +49,7 @@ def join_anchor(
     A label with no anchor raises (naming the label) when ``check``.
     """
     on = on or []
-    a = anchors.select(*on, F.col("label_id").alias(label_col), "anchor").persist()
+    a = anchors.select(*on, F.col("label_id").alias(label_col), "anchor")
     side = F.broadcast(a) if a.count() <= MAX_BROADCAST_ANCHORS else a  # one anchor per class: small
     if check:
         missing = df.select(*on, label_col).distinct().join(side, [*on, label_col], "left_anti").limit(5).collect()
@@ -89,11 +89,10 @@ def lay_out(df: DataFrame, split_keys: list[str], class_col: str, id_col: str =
     """Dense positions: class c of a split occupies ``[off_c, off_c + n_c)``, rows inside a class
     ordered by ``h60('pos', id)``. Adds ``pos_c``, ``pos``, ``n_c``, ``off_c``, ``tot``.
 
-    The class layout (one row per split and class) is computed once and persisted; with
-    ``check_other`` a split with a single class raises. The result is persisted because every
-    partner draw reads it twice (the drawing rows and the partner lookup).
+    With ``check_other`` a split with a single class raises. Nothing is cached here: a caller that
+    draws several partners from a layout over a large table may persist it, and free it again.
     """
-    layout = class_layout(df, split_keys, class_col).persist()
+    layout = class_layout(df, split_keys, class_col)
     if check_other or bits is None:
         # one small job: largest class and the first split with a single class
         single = F.when(F.col("n_c") == F.col("tot"), F.to_json(F.struct(*split_keys, class_col)))
@@ -108,7 +107,7 @@ def lay_out(df: DataFrame, split_keys: list[str], class_col: str, id_col: str =
             bits += 1
     hp = df.withColumn("_hp", h60(F.lit("pos"), F.col(id_col)))
     numbered = number_by_hash(hp, [*split_keys, class_col], "_hp", id_col, out="pos_c", bits=bits).drop("_hp")
-    return numbered.join(layout, [*split_keys, class_col]).withColumn("pos", F.col("off_c") + F.col("pos_c")).persist()
+    return numbered.join(layout, [*split_keys, class_col]).withColumn("pos", F.col("off_c") + F.col("pos_c"))
 
 
 def _check_other_class(layout: DataFrame, split_keys: list[str], class_col: str) -> None:
@@ -300,22 +299,22 @@ def gen_triplets_multilabel(
     seed: int,
     split_keys: list[str],
     mask_col: str = "label_mask",
-    text_col: str = "text",
+    text_col: str | None = "text",
     id_col: str = "row_id",
     on_empty: str = "raise",
     bits: int = POS_BITS,
 ) -> DataFrame:
     """(template + ', '.join(set label names), row, random row sharing no label) per labelled row
-    and iteration. Unlabelled rows are never anchors but may be negatives."""
+    and iteration (ids and anchor only with ``text_col=None``). Unlabelled rows are never anchors
+    but may be negatives."""
     from .prepare import multilabel_anchor
 
     ex = repeat_iterations(rows.where(F.col(mask_col) != 0), iterations).withColumn(
         "anchor", multilabel_anchor(template, label_cols, names)
     )
     out = disjoint_negative(ex, rows, split_keys, seed, mask_col, text_col, id_col, on_empty, bits=bits)
-    return out.select(
-        *split_keys, "iteration", id_col, mask_col, "neg_row_id", "anchor", F.col(text_col).alias("positive"), "negative"
-    )
+    texts = [F.col(text_col).alias("positive"), "negative"] if text_col else []
+    return out.select(*split_keys, "iteration", id_col, mask_col, "neg_row_id", "anchor", *texts)
 
 
 def positive_sample_multilabel(

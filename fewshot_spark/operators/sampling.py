@@ -35,10 +35,9 @@ def attach_payload(keys: DataFrame, table: DataFrame, id_col: str = "row_id", ma
        text, so only sampled rows leave that scan stage, whatever ``table`` is joined from;
     2. keys up to ``max_rows`` rows are broadcast too, else the surviving rows are shuffled;
     3. beyond ``max_ids`` both sides are shuffled on the id.
-    The key table is persisted and counted (the size checks).
+    The key table is narrow; it is counted once more for the size checks. Nothing is cached here.
     """
     max_ids = MAX_BROADCAST_IDS if max_ids is None else max_ids
-    keys = keys.persist()
     n = keys.count()
     payload_cols = [c for c in table.columns if c not in keys.columns or c == id_col]
     payload = table.select(*payload_cols)
@@ -94,7 +93,7 @@ def _ranked_keys(long: DataFrame, class_col: str, sizes: list[int], seeds: list[
         thr = long.groupBy(class_col).agg(F.count(F.lit(1)).alias("_n")).withColumn(
             "_t", F.when(F.col("_n") <= want, full).otherwise(
                 F.floor(F.lit(float(1 << 60)) * F.lit(float(want)) / F.col("_n")).cast("bigint"))
-        ).persist()
+        )
         stats = thr.agg(F.count(F.lit(1)).alias("classes"), F.max("_n").alias("largest")).first()
         if stats["classes"] <= MAX_THRESHOLD_CLASSES and (stats["largest"] or 0) > PREFILTER_MIN_CLASS_ROWS:
             cand = draws.join(F.broadcast(thr.select(class_col, "_t")), class_col).where(F.col("_h") < F.col("_t")).drop("_t")
@@ -133,10 +132,9 @@ def fewshot_grid(
     """
     keys = _ranked_keys(df.select(id_col, label_col), label_col, sizes, seeds, id_col).drop(label_col)
     out = attach_payload(keys, df, id_col, max_broadcast_rows)
-    # the sample is bounded (checked in attach_payload) and read by several branches downstream
     return out.select(
         F.col("sample_size").cast("int"), F.col("seed_idx").cast("int"), *[F.col(c) for c in df.columns]
-    ).persist()
+    )
 
 
 def fewshot_sample(df: DataFrame, k: int, seed: int, label_col: str = "label", id_col: str = "row_id") -> DataFrame:
@@ -168,7 +166,7 @@ def fewshot_grid_multilabel(
     return first.select(
         F.col("sample_size").cast("int"), F.col("seed_idx").cast("int"),
         *[F.col(c) if c in group else F.col(f"_first.{c}").alias(c) for c in df.columns]
-    ).persist()
+    )
 
 
 def fewshot_sample_multilabel(df: DataFrame, label_cols: list[str], k: int, seed: int, id_col: str = "row_id") -> DataFrame:

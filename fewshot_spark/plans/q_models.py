@@ -328,7 +328,7 @@ def _ml_f1_sql(zero: float) -> str:
 
 
 def _ml_f1(spark, sf, zero: float):
-    pred = dl_multilabel_predictions(spark, sf).persist()
+    pred = dl_multilabel_predictions(spark, sf)
     s = V.multilabel_summary(pred, [], 2, zero_division=zero).withColumn("_k", F.lit(1))
     per = V.multilabel_f1_per_label(pred, [], 2, zero_division=zero).groupBy().agg(
         F.max(F.when(F.col("label") == 0, F.col("f1"))).alias("f1_quality"),

@@ -68,7 +68,7 @@ def q_flagship(spark, sf):
     trip = X.gen_triplets(rows, anchors, FLAG_ITERS, 0, SPLIT).select("row_id", "label", "neg_row_id", "anchor")
     texts = rows.select(F.concat(F.lit("r:"), F.col("row_id").cast("string")).alias("tid"), "text").unionByName(
         trip.select(F.concat(F.lit("a:"), F.col("label").cast("string")).alias("tid"), F.col("anchor").alias("text")).distinct())
-    enc = E.encode_hash(texts, "tid", "text", dim=256).persist()
+    enc = E.encode_hash(texts, "tid", "text", dim=256)
     j = (trip.withColumn("ta", F.concat(F.lit("a:"), F.col("label").cast("string")))
          .withColumn("tp", F.concat(F.lit("r:"), F.col("row_id").cast("string")))
          .withColumn("tn", F.concat(F.lit("r:"), F.col("neg_row_id").cast("string"))))
@@ -167,7 +167,7 @@ def q_train_grid(spark, sf):
     all splits fitted in parallel, every split scored on the whole table (confusion counts only)."""
     rows = _em(spark, sf)
     train = M.fewshot_grid(rows, SIZES, SEEDS)
-    weights = HD.fit_heads_per_split(train, SPLIT, "logistic_regression").persist()
+    weights = HD.fit_heads_per_split(train, SPLIT, "logistic_regression").checkpoint()
     conf = HD.predict(rows, weights, SPLIT, aggregate=True)
     return V.summary(conf, SPLIT, n_col="n")
 

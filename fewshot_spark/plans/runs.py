@@ -94,7 +94,7 @@ def _grid_single(ds: LabelledSet, cfg: RunConfig, done: DataFrame | None) -> Dat
     sizes = sorted({r["sample_size"] for r in pending}) or [min(cfg.sample_sizes)]
     grid = M.fewshot_grid(ds.train.select("row_id", "text", "label"), sizes, cfg.seeds)
     grid = _only(grid.withColumn("dataset", F.lit(ds.name)), pending)
-    return G.bounded_rows(grid, RS.SPLIT_KEYS, cfg.max_fit_rows, cfg.draw_seed)
+    return _keep(G.bounded_rows(grid, RS.SPLIT_KEYS, cfg.max_fit_rows, cfg.draw_seed).select(*RS.SPLIT_KEYS, "row_id", "label"), cfg)
 
 
 def _only(grid: DataFrame, pending: list) -> DataFrame:
@@ -105,7 +105,7 @@ def _only(grid: DataFrame, pending: list) -> DataFrame:
 
 def _encode_grid_rows(grid: DataFrame, train: DataFrame, cfg: RunConfig) -> DataFrame:
     """Encode each sampled row once (not once per split) and attach its vector to every split."""
-    ids = grid.select("row_id").distinct().persist()
+    ids = grid.select("row_id").distinct()
     small = ids.count() <= M.MAX_BROADCAST_IDS  # 8 bytes an id; beyond the bound a plain semi join
     texts = train.select("row_id", "text").join(F.broadcast(ids) if small else ids, "row_id", "left_semi")
     return _encode(texts, cfg)
@@ -159,14 +159,23 @@ def run_fewshot(spark: SparkSession, cfg: RunConfig, datasets: list[LabelledSet]
         summary = V.summary(conf, keys, n_col="n")
         per_class = V.f1_per_class(conf, keys, n_col="n")
         rec = V.result_record(summary, per_class, keys, ds.metric, list(ds.names)).withColumn("run_id", F.lit(rid))
-        rec = rec.persist()
-        if cfg.results_dir and write:
-            RS.write_results(rec, cfg.results_dir)
-        weights.unpersist()
+        rec = _finished(spark, rec, cfg, write, [rows, ex, weights, grid])
         out = rec if out is None else out.unionByName(rec)
     return out
 
 
+def _finished(spark: SparkSession, rec: DataFrame, cfg: RunConfig, write: bool, cached: list[DataFrame]) -> DataFrame:
+    """Compute one dataset's records (one row per split), store them, free the run's caches, and
+    return the records as a plain table (sizes x seeds rows)."""
+    rows = rec.collect()
+    rec = spark.createDataFrame(rows, rec.schema)
+    if cfg.results_dir and write and rows:
+        RS.write_results(rec, cfg.results_dir)
+    for df in cached:
+        df.unpersist()
+    return rec
+
+
 def run_fewshot_multilabel(spark: SparkSession, cfg: RunConfig, datasets: list[LabelledSet], write: bool = True) -> DataFrame:
     """Multi-label run: label-wise sampling with de-duplication, anchors naming every set label,
     disjoint-label negatives, one binary head per label (one-vs-rest / multi-output / chain)."""
@@ -184,14 +193,14 @@ def run_fewshot_multilabel(spark: SparkSession, cfg: RunConfig, datasets: list[L
         pending = _pending_sizes(spark, ds, cfg, done).collect()
         sizes = sorted({r["sample_size"] for r in pending}) or [min(cfg.sample_sizes)]
         grid = _only(M.fewshot_grid_multilabel(ds.train, lc, sizes, cfg.seeds).withColumn("dataset", F.lit(ds.name)), pending)
-        grid = G.bounded_rows(grid, keys, cfg.max_fit_rows, cfg.draw_seed)
+        grid = _keep(G.bounded_rows(grid, keys, cfg.max_fit_rows, cfg.draw_seed).drop("text"), cfg)
         enc = _encode_grid_rows(grid, ds.train, cfg)
         rows = grid.select(*keys, "row_id", *lc, "label_mask").join(enc, "row_id")
         if cfg.triplet:
             from ..operators.prepare import multilabel_anchor
 
             trip = X.gen_triplets_multilabel(grid, ds.template, lc, list(ds.names), cfg.num_iterations, cfg.draw_seed,
-                                             keys, on_empty=cfg.on_empty)
+                                             keys, text_col=None, on_empty=cfg.on_empty)
             ex = trip.select(*keys, "iteration", "row_id", F.col("label_mask").alias("anchor_key"),
                              F.col("neg_row_id").alias("other_row_id"))
             ex = G.with_batch_key(ex, keys, cfg.draw_seed, ["iteration", "row_id"])
@@ -226,11 +235,8 @@ def run_fewshot_multilabel(spark: SparkSession, cfg: RunConfig, datasets: list[L
                    .join(blocks, [*keys, "label_mask"], "left_anti")
                    .groupBy(*keys).agg(F.count(F.lit(1)).alias("skipped_rows")))
         rec = (V.result_record(summary, per_label, keys, "accuracy", list(ds.names)).withColumn("run_id", F.lit(rid))
-               .join(skipped, keys, "left").withColumn("skipped_rows", F.coalesce("skipped_rows", F.lit(0)).cast("bigint"))
-               .persist())
-        if cfg.results_dir and write:
-            RS.write_results(rec, cfg.results_dir)
-        weights.unpersist()
+               .join(skipped, keys, "left").withColumn("skipped_rows", F.coalesce("skipped_rows", F.lit(0)).cast("bigint")))
+        rec = _finished(spark, rec, cfg, write, [rows, ex, weights, grid])
         out = rec if out is None else out.unionByName(rec)
     return out
 
@@ -259,7 +265,7 @@ def run_ablation(spark: SparkSession, cfg: RunConfig, datasets: list[LabelledSet
         m = F.map_from_arrays(F.array(*[F.lit(i) for i in range(len(shown_names))]),
                               F.array(*[F.lit(n) for n in shown_names]))
         shown = F.when(F.col("dataset") == d, m) if shown is None else shown.when(F.col("dataset") == d, m)
-    rec = rec.withColumn("shown_names", shown).persist()
+    rec = rec.withColumn("shown_names", shown)
     if cfg.results_dir and write:
         RS.write_results(rec, cfg.results_dir)
     return rec
