@@ -270,6 +270,13 @@ def test_url_rules_equal_brute_force(spark):
     assert url_rules.judge(pages.limit(0), empty).count() == 0
 
 
+def test_no_query_leaves_a_cached_table(spark):
+    spark.catalog.clearCache()
+    for name in ("op1_reshard", "op4_minhash_dedup", "op6_decontaminate", "op8_embedding_dedup", "op9_line_dedup"):
+        E.queries()[name](spark, SF001).collect()
+        assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0, name
+
+
 def test_native_plans(spark):
     for name in ("op3_url_rules", "op6_decontaminate"):
         plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
