@@ -123,6 +123,7 @@ def fit_adapter(
     W = np.eye(d)
     history: list[float] = []
     n_parts = data.rdd.getNumPartitions()
+    most = max(1, min(DIRECT_PARTIALS, (1 << 26) // (8 * d * d)))
     try:
         for step in range(steps):
             bw = sc.broadcast(W)
@@ -141,8 +142,10 @@ def fit_adapter(
                     yield pd.DataFrame({"loss": [tot], "n": [n], "grad": [G.ravel()]})
 
             partials = data.mapInPandas(part, schema)
-            if n_parts > DIRECT_PARTIALS:
-                partials = partials.repartition(math.isqrt(n_parts)).mapInPandas(_sum_partials, schema)
+            left = n_parts
+            while left > most:  # sum in Spark until the driver gets at most 64 MB of partials
+                left = math.isqrt(left)
+                partials = partials.repartition(left).mapInPandas(_sum_partials, schema)
             parts = partials.collect()
             bw.unpersist()
             n = sum(r["n"] for r in parts)

@@ -18,8 +18,8 @@ from ..operators import sampling as M
 from ..sources import catalogue as C
 from ..sources import readers as R
 from . import runs as RN
-from .q_examples import _neg_sql, grid_ml_select, grid_select
-from .q_models import _encode_sql
+from .q_examples import EM_SQL, _neg_sql, grid_ml_select, grid_select
+from .q_models import _CENT_SQL, _EMV_SQL, _cos_sql, _encode_sql
 from .registry import DL_SQL, DLM_SQL, SEEDS, SIZES, dl, register
 
 QUALITY = C.spec("documents_quality")
@@ -86,6 +86,16 @@ def q_fit_adapter(spark, sf):
     """Distributed full-batch adapter fit on the whole embeddings table: triplets (class centroid,
     row, random other-class row) x 5 iterations, 20 steps. Returns the loss before each step and
     after the last (the loss must fall)."""
+    ex = _adapter_examples(spark, sf).persist()
+    W, hist = AD.fit_adapter(ex, "triplet", steps=20, lr=2.0, margin=0.25)
+    final = AD.adapter_loss(ex, W, "triplet", 0.25)
+    ex.unpersist()
+    data = [(i, float(v)) for i, v in enumerate(hist)] + [(len(hist), float(final))]
+    return spark.createDataFrame(data, "step int, loss double")
+
+
+def _adapter_examples(spark, sf):
+    """Triplets (class centroid, row, random other-class row) x 5 iterations with their vectors."""
     rows = R.embeddings_labelled(spark, sf).withColumn("dataset", F.lit("embeddings"))
     laid = X.lay_out(rows.select("dataset", "row_id", "label"), ["dataset"], "label")
     trip = X.negative_sample(X.repeat_iterations(laid, 5), laid, ["dataset"], 0, out_text=None)
@@ -94,12 +104,7 @@ def q_fit_adapter(spark, sf):
     ex = (trip.select("row_id", "label", "neg_row_id").join(F.broadcast(cents), "label")
           .join(vecs.withColumnRenamed("embedding", "p"), "row_id")
           .join(vecs.select(F.col("row_id").alias("neg_row_id"), F.col("embedding").alias("n")), "neg_row_id"))
-    ex = ex.select("a", "p", "n").persist()
-    W, hist = AD.fit_adapter(ex, "triplet", steps=20, lr=2.0, margin=0.25, partitions=8)
-    final = AD.adapter_loss(ex, W, "triplet", 0.25)
-    ex.unpersist()
-    data = [(i, float(v)) for i, v in enumerate(hist)] + [(len(hist), float(final))]
-    return spark.createDataFrame(data, "step int, loss double")
+    return ex.select("a", "p", "n")
 
 
 # ---- heads (T5-T9) and the split grid (T10) -------------------------------------------------------
@@ -175,11 +180,10 @@ def q_train_grid(spark, sf):
 # ---- whole runs (R1-R4) -------------------------------------------------------------------------
 
 
-def _dl_set(spark, sf) -> RN.LabelledSet:
-    parts = M.fraction_split(dl(spark, sf), 0.75, 42)
-    return RN.LabelledSet("documents_quality", parts.where(F.col("split") == "train").drop("split"),
-                          parts.where(F.col("split") == "test").drop("split"), list(QUALITY.labels), QUALITY.template,
-                          QUALITY.metric)
+def _dl_set(spark, sf, label: str = "quality", spec: C.DatasetSpec = QUALITY) -> RN.LabelledSet:
+    parts = M.fraction_split(R.documents_labelled(spark, sf, label), 0.75, 42)
+    return RN.LabelledSet(spec.dataset, parts.where(F.col("split") == "train").drop("split"),
+                          parts.where(F.col("split") == "test").drop("split"), list(spec.labels), spec.template, spec.metric)
 
 
 def _records(rec, *extra: str):
@@ -237,10 +241,20 @@ def _cut_sql(base: str) -> str:
     train AS (SELECT * FROM cut WHERE is_train), test AS (SELECT * FROM cut WHERE NOT is_train)"""
 
 
-def _centroid_run_sql(sizes: list[int], seeds: list[int], shown: str = "") -> str:
+_ACCURACY_SQL = "'accuracy' AS metric, round(sum(tp) / sum(sup)::DOUBLE, 9) AS metric_value"
+# multi-class Matthews correlation from the class counts, as the metric operator computes it
+_MCC_SQL = """'matthews_correlation' AS metric, round(CASE
+    WHEN (sum(sup)::DOUBLE * sum(sup) - sum(prd::DOUBLE * prd)) * (sum(sup)::DOUBLE * sum(sup) - sum(sup::DOUBLE * sup)) > 0
+    THEN (sum(tp)::DOUBLE * sum(sup) - sum(prd::DOUBLE * sup))
+         / sqrt((sum(sup)::DOUBLE * sum(sup) - sum(prd::DOUBLE * prd)) * (sum(sup)::DOUBLE * sum(sup) - sum(sup::DOUBLE * sup)))
+    ELSE 0.0 END, 9) AS metric_value"""
+
+
+def _centroid_run_sql(sizes: list[int], seeds: list[int], shown: str = "", base: str = DL_SQL,
+                      dataset: str = "documents_quality", metric: str = _ACCURACY_SQL) -> str:
     """Records of a run with class-mean heads: one row per split."""
     return f"""
-    WITH {_cut_sql(DL_SQL)},
+    WITH {_cut_sql(base)},
     split AS {grid_select('train', 'label', sizes, seeds, 'b.row_id, b.label')},
     {_encode_sql('cut', 'row_id', 'text').strip()},
     sz AS (SELECT sample_size, seed_idx, label, count(*) AS n FROM split GROUP BY ALL),
@@ -256,10 +270,10 @@ def _centroid_run_sql(sizes: list[int], seeds: list[int], shown: str = "") -> st
     cc AS (SELECT sample_size, seed_idx, label, sum(tp) AS tp, sum(sup) AS sup, sum(prd) AS prd FROM (
             SELECT sample_size, seed_idx, y_true AS label, (y_true = y_pred)::INTEGER AS tp, 1 AS sup, 0 AS prd FROM pred
             UNION ALL SELECT sample_size, seed_idx, y_pred, 0, 0, 1 FROM pred) GROUP BY ALL)
-    SELECT 'documents_quality' AS dataset, sample_size, seed_idx, round(avg(2.0 * tp / (sup + prd)), 9) AS macro_f1,
+    SELECT '{dataset}' AS dataset, sample_size, seed_idx, round(avg(2.0 * tp / (sup + prd)), 9) AS macro_f1,
            round(2.0 * sum(tp) / sum(sup + prd), 9) AS micro_f1,
            round(sum(2.0 * tp / (sup + prd) * sup) / sum(sup), 9) AS weighted_f1,
-           'accuracy' AS metric, round(sum(tp) / sum(sup)::DOUBLE, 9) AS metric_value,
+           {metric},
            max(CASE WHEN label = 0 THEN round(2.0 * tp / (sup + prd), 9) END) AS f1_0,
            max(CASE WHEN label = 1 THEN round(2.0 * tp / (sup + prd), 9) END) AS f1_1{shown}
     FROM cc GROUP BY sample_size, seed_idx
@@ -283,6 +297,46 @@ def q_run_fewshot_plain(spark, sf):
     return _flat(RN.run_fewshot(spark, cfg, [_dl_set(spark, sf)], write=False), list(QUALITY.labels))
 
 
+TOXIC_SQL = DL_SQL.replace("l.quality AS label", "l.toxic AS label")
+
+
+@register("run_fewshot_matthews_plain", _centroid_run_sql([4, 16, 64], SEEDS[:5], "", TOXIC_SQL, "documents_toxic", _MCC_SQL))
+def q_run_fewshot_matthews_plain(spark, sf):
+    """The single-label run on the toxic flag, whose stored metric is the Matthews correlation."""
+    cfg = _plain("single", sample_sizes=(4, 16, 64), seeds_num=5, setting_name="DRIVER")
+    return _flat(RN.run_fewshot(spark, cfg, [_dl_set(spark, sf, "toxic", TOXIC)], write=False), list(TOXIC.labels))
+
+
+@register("run_fewshot_svc")
+def q_run_fewshot_svc(spark, sf):
+    """The single-label run with LinearSVC heads."""
+    cfg = RunConfig(loss="TripletLoss", classifier="LinearSVC", sample_sizes=(4, 16), seeds_num=3, num_iterations=10, setting_name="DRIVER")
+    return _records(RN.run_fewshot(spark, cfg, [_dl_set(spark, sf)], write=False))
+
+
+def _run_flags(spark, sf, strategy: str, loss: str):
+    parts = M.fraction_split(R.documents_multilabel(spark, sf), 0.75, 42)
+    spec = C.spec("documents_flags")
+    ds = RN.LabelledSet("documents_flags", parts.where(F.col("split") == "train").drop("split"),
+                        parts.where(F.col("split") == "test").drop("split"), list(spec.labels), spec.template, "accuracy",
+                        ["quality", "toxic"])
+    cfg = RunConfig(loss=loss, kind="multilabel", sample_sizes=(4, 16), seeds_num=3, num_iterations=10,
+                    multi_target_strategy=strategy, setting_name="multilabel")
+    return _records(RN.run_fewshot_multilabel(spark, cfg, [ds], write=False), "skipped_rows")
+
+
+@register("run_fewshot_multilabel_chain")
+def q_run_fewshot_multilabel_chain(spark, sf):
+    """The multi-label run with classifier-chain heads."""
+    return _run_flags(spark, sf, "classifier-chain", "TripletLoss")
+
+
+@register("run_fewshot_multilabel_pairs")
+def q_run_fewshot_multilabel_pairs(spark, sf):
+    """The multi-label run on pairs with the cosine-similarity loss."""
+    return _run_flags(spark, sf, "one-vs-rest", "CosineSimilarityLoss")
+
+
 _REVIEW_NAMES = list(C.DEV_LABELS["sst2"])
 _SHOWN_SQL = "".join(
     f""",
@@ -304,6 +358,66 @@ def q_run_ablation_plain(spark, sf):
     return _flat(rec, _REVIEW_NAMES, *[F.try_element_at("shown_names", F.lit(i)).alias(f"shown_{i}") for i in range(len(_REVIEW_NAMES))])
 
 
+def _stored_variant_sql(variant: str) -> str:
+    """Shown names of a stored variant (or of the letters)."""
+    if variant == "ALF":
+        return "".join(f", chr(97 + {i}) AS shown_{i}" for i in range(len(_REVIEW_NAMES)))
+    return "".join(
+        f", (SELECT label_name FROM {C.catalogue_values_sql(variant)} WHERE dataset = 'sst2' AND label_id = {i}) AS shown_{i}"
+        for i in range(len(_REVIEW_NAMES))
+    )
+
+
+def _register_variant(variant: str) -> None:
+    @register(f"run_ablation_{variant.lower()}_plain", _centroid_run_sql([2, 8], SEEDS[:3], _stored_variant_sql(variant)))
+    def run(spark, sf):
+        ds = _dl_set(spark, sf)
+        ds = RN.LabelledSet(ds.name, ds.train, ds.test, _REVIEW_NAMES, C.DEV_TEMPLATES["sst2"], "accuracy")
+        cfg = _plain("ablation", setting_name=variant, sample_sizes=(2, 8), seeds_num=3)
+        rec = RN.run_ablation(spark, cfg, [ds], C.label_catalogue(spark), {ds.name: "sst2"}, write=False)
+        return _flat(rec, _REVIEW_NAMES, *[F.try_element_at("shown_names", F.lit(i)).alias(f"shown_{i}") for i in range(len(_REVIEW_NAMES))])
+
+
+for _v in ("ALF", "SHORT", "QA", "A"):
+    _register_variant(_v)
+
+
+@register(
+    "split_plan",
+    "WITH " + f"""split AS {grid_select(DL_SQL, 'label', SIZES, SEEDS, 'b.row_id, b.label')},
+    n AS (SELECT sample_size, seed_idx, count(*) AS n_train, 40 * count(*) AS n_examples FROM split GROUP BY ALL)
+    SELECT sample_size, seed_idx, n_train, n_examples, ceil(n_examples / 16.0)::BIGINT AS steps,
+           ceil(0.1 * ceil(n_examples / 16.0))::BIGINT AS warmup_steps FROM n""",
+)
+def q_split_plan(spark, sf):
+    """What every split of the full grid trains on: rows, triplets (40 iterations), adapter steps
+    (batch 16) and warm-up steps, counted from the generated examples."""
+    grid = M.fewshot_grid(dl(spark, sf).select("row_id", "label"), SIZES, SEEDS)
+    ex = X.gen_triplets(grid, X.generate_anchors(QUALITY.template, list(QUALITY.labels)), 40, 0, SPLIT, text_col=None)
+    steps = X.assign_batches(ex.select(*SPLIT, "iteration", "row_id"), SPLIT, 16, 0, ["iteration", "row_id"])
+    return steps.groupBy(*SPLIT).agg(
+        F.count_distinct("row_id").alias("n_train"), F.count(F.lit(1)).alias("n_examples"),
+        F.count_distinct("batch_id").alias("steps"), F.max("warmup_steps").alias("warmup_steps"))
+
+
+@register(
+    "adapter_initial_loss",
+    "WITH q AS (" + _neg_sql(EM_SQL, ["dataset"], "label", "d.row_id, d.label, o.row_id AS neg_row_id", iters=5)
+    + f""")
+    SELECT count(*) AS n, round(avg(greatest((1 - {_cos_sql('c.c', 'p.v')}) - (1 - {_cos_sql('c.c', 'n.v')}) + 0.25, 0.0)), 6) AS loss
+    FROM q JOIN {_CENT_SQL} c ON c.label = q.label JOIN {_EMV_SQL} p ON p.vec_id = q.row_id JOIN {_EMV_SQL} n ON n.vec_id = q.neg_row_id
+    """,
+)
+def q_adapter_initial_loss(spark, sf):
+    """Loss that the adapter starts from (identity map) over all its training triplets."""
+    import numpy as np
+
+    ex = _adapter_examples(spark, sf)
+    n = ex.count()
+    dim = ex.select(F.size("p")).first()[0]
+    return spark.createDataFrame([(n, round(float(AD.adapter_loss(ex, np.eye(dim), "triplet", 0.25)), 6))], "n long, loss double")
+
+
 def _multilabel_run_sql(sizes: list[int], seeds: list[int]) -> str:
     flags = ["quality", "toxic"]
     pos = " UNION ALL ".join(f"SELECT sample_size, seed_idx, row_id, {i} AS l, {c} AS f FROM split" for i, c in enumerate(flags))
