@@ -49,11 +49,14 @@ def encode_hash(
     max_tokens: int | None = None,
     out: str = "embedding",
     method: str = "map",
+    keep: list[str] | None = None,
 ) -> DataFrame:
+    """Hashed encoding ``(id_col, <keep columns>, out)``. ``keep`` (map form) carries columns through
+    the Arrow pass, so vectors need not be joined back to their rows."""
     if method == "map":
-        return _encode_hash_map(df, id_col, text_col, dim, max_tokens, out)
-    if method != "sql":
-        raise ValueError("method is 'map' or 'sql'")
+        return _encode_hash_map(df, id_col, text_col, dim, max_tokens, out, keep or [])
+    if method != "sql" or keep:
+        raise ValueError("method is 'map' or 'sql' (which carries no columns)")
     toks = tokens(text_col)
     if max_tokens is not None:
         toks = truncate_tokens(toks, max_tokens)
@@ -116,10 +119,10 @@ def hash_vectors(texts: list, dim: int, max_tokens: int | None = None, cache: di
     return np.where(nrm[:, None] > 0, np.round(M / safe[:, None], 6), 0.0)
 
 
-def _encode_hash_map(df: DataFrame, id_col: str, text_col: str, dim: int, max_tokens: int | None, out: str) -> DataFrame:
-    import pandas as pd
-
-    schema = T.StructType([df.schema[id_col], T.StructField(out, T.ArrayType(T.DoubleType()))])
+def _encode_hash_map(df: DataFrame, id_col: str, text_col: str, dim: int, max_tokens: int | None, out: str,
+                     keep: list[str]) -> DataFrame:
+    cols = [id_col, *keep]
+    schema = T.StructType([*[df.schema[c] for c in cols], T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         cache: dict[str, tuple[int, int]] = {}
@@ -127,9 +130,9 @@ def _encode_hash_map(df: DataFrame, id_col: str, text_col: str, dim: int, max_to
             if len(pdf) == 0:
                 continue
             V = hash_vectors(pdf[text_col].tolist(), dim, max_tokens, cache)
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), out: list(V)})
+            yield pdf[cols].assign(**{out: list(V)})
 
-    return df.select(id_col, text_col).mapInPandas(run, schema)
+    return df.select(*cols, text_col).mapInPandas(run, schema)
 
 
 def l2_normalize(arr: Column | str) -> Column:

@@ -132,9 +132,12 @@ def _partner(
     out_text: str | None,
     text_col: str,
     id_col: str,
+    carry: dict[str, str] | None = None,
 ) -> DataFrame:
+    """Fetch the row at ``target``; ``carry`` names further columns of it (source -> output)."""
     other = laid.select(*split_keys, F.col("pos").alias("_target"), F.col(id_col).alias(out_id),
-                        *([F.col(text_col).alias(out_text)] if out_text else []))
+                        *([F.col(text_col).alias(out_text)] if out_text else []),
+                        *[F.col(c).alias(o) for c, o in (carry or {}).items()])
     return ex.withColumn("_target", target).join(other, [*split_keys, "_target"]).drop("_target")
 
 
@@ -148,11 +151,12 @@ def negative_sample(
     text_col: str = "text",
     id_col: str = "row_id",
     tag: str = "neg",
+    carry: dict[str, str] | None = None,
 ) -> DataFrame:
     """Uniform row of another class in the same split: ``r = h % (tot - n_c)``, skip the own block."""
     r = _draw(seed, split_keys, tag, id_col) % (F.col("tot") - F.col("n_c"))
     target = F.when(r < F.col("off_c"), r).otherwise(r + F.col("n_c"))
-    return _partner(ex, laid, split_keys, target, out_id, out_text, text_col, id_col)
+    return _partner(ex, laid, split_keys, target, out_id, out_text, text_col, id_col, carry)
 
 
 def positive_sample(
@@ -165,10 +169,11 @@ def positive_sample(
     text_col: str = "text",
     id_col: str = "row_id",
     tag: str = "pos",
+    carry: dict[str, str] | None = None,
 ) -> DataFrame:
     """Uniform row of the same class (itself allowed): ``off_c + h % n_c``."""
     target = F.col("off_c") + _draw(seed, split_keys, tag, id_col) % F.col("n_c")
-    return _partner(ex, laid, split_keys, target, out_id, out_text, text_col, id_col)
+    return _partner(ex, laid, split_keys, target, out_id, out_text, text_col, id_col, carry)
 
 
 def gen_triplets(

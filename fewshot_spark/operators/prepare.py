@@ -80,7 +80,10 @@ def filter_has_label(df: DataFrame, mask_col: str = "label_mask") -> DataFrame:
 def dedup_rows(df: DataFrame, keys: list[str], id_col: str = "row_id") -> DataFrame:
     """``drop_duplicates`` on ``keys``, keeping the smallest id (deterministic "first").
 
-    One shuffle on the keys, with partial aggregation before it, so a text repeated a million
-    times is folded map-side and never lands whole in one task.
+    The keys are grouped by a 256-bit hash with partial aggregation before the shuffle, so neither
+    texts nor a text's million copies travel; the kept ids then fetch their rows by a semi join.
+    Nulls in the keys compare equal. ``id_col`` must be unique.
     """
-    return df.groupBy(*keys).agg(F.min(id_col).alias(id_col))
+    h = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
+    kept = df.groupBy(h.alias("_h")).agg(F.min(id_col).alias(id_col)).select(id_col)
+    return df.select(*keys, id_col).join(kept, id_col, "left_semi").select(*keys, id_col)

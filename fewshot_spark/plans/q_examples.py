@@ -180,9 +180,8 @@ def q_negative_sample(spark, sf):
     rows = em_rows(spark, sf)
     laid = X.lay_out(rows, ["dataset"], "label")
     ex = X.repeat_iterations(laid, ITERS)
-    other_label = laid.select(F.col("row_id").alias("neg_row_id"), F.col("label").alias("neg_label"))
-    out = X.negative_sample(ex, laid, ["dataset"], DRAW_SEED, out_text=None)
-    return out.join(other_label, "neg_row_id").select("iteration", "row_id", "label", "neg_row_id", "neg_label")
+    out = X.negative_sample(ex, laid, ["dataset"], DRAW_SEED, out_text=None, carry={"label": "neg_label"})
+    return out.select("iteration", "row_id", "label", "neg_row_id", "neg_label")
 
 
 @register(
@@ -193,9 +192,8 @@ def q_positive_sample(spark, sf):
     rows = em_rows(spark, sf)
     laid = X.lay_out(rows, ["dataset"], "label")
     ex = X.repeat_iterations(laid, ITERS)
-    other_label = laid.select(F.col("row_id").alias("pos_row_id"), F.col("label").alias("pos_label"))
-    out = X.positive_sample(ex, laid, ["dataset"], DRAW_SEED, out_text=None)
-    return out.join(other_label, "pos_row_id").select("iteration", "row_id", "label", "pos_row_id", "pos_label")
+    out = X.positive_sample(ex, laid, ["dataset"], DRAW_SEED, out_text=None, carry={"label": "pos_label"})
+    return out.select("iteration", "row_id", "label", "pos_row_id", "pos_label")
 
 
 # ---- triplets and pairs --------------------------------------------------------------------

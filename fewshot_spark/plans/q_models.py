@@ -267,21 +267,27 @@ ML_LABELS = ["quality", "toxic"]
 def dl_multilabel_predictions(spark, sf):
     """Nearest-centroid one-vs-rest on the hashed encoding of DL: label l is predicted when the
     row's vector is closer (dot product) to the centroid of rows with l than of rows without.
-    Relational: sparse cells join the broadcast centroid cells on the bucket."""
-    rows = R.documents_multilabel(spark, sf)
-    cells = _long(E.encode_hash(rows.select("row_id", "text"), dim=DIM), "row_id")
-    flags = rows.select("row_id", F.posexplode(F.array(*[F.col(c) for c in ML_LABELS])).alias("l", "f"))
-    group_n = flags.groupBy("l", "f").agg(F.count(F.lit(1)).alias("g_n"))
-    cents = (cells.join(flags, "row_id").groupBy("l", "f", "dim").agg(F.sum("value").alias("s"))
-             .join(F.broadcast(group_n), ["l", "f"]).select("l", "f", "dim", (F.col("s") / F.col("g_n")).alias("c")))
-    scores = cells.join(F.broadcast(cents), "dim").groupBy("row_id", "l").agg(
-        F.sum(F.when(F.col("f") == 1, F.col("value") * F.col("c")).otherwise(0.0)).alias("s1"),
-        F.sum(F.when(F.col("f") == 0, F.col("value") * F.col("c")).otherwise(0.0)).alias("s0"),
-    )
-    pmask = scores.groupBy("row_id").agg(
-        F.sum(F.when(F.round("s1", 9) > F.round("s0", 9), F.expr("shiftleft(1L, l)")).otherwise(F.lit(0).cast("bigint"))).alias("pred_mask"))
-    return rows.select("row_id", F.col("label_mask").alias("true_mask")).join(pmask, "row_id", "left").select(
-        "row_id", "true_mask", F.coalesce("pred_mask", F.lit(0).cast("bigint")).alias("pred_mask"))
+    The flags ride along the encoder; the driver gets one centroid per label and side."""
+    import numpy as np
+
+    rows = R.documents_multilabel(spark, sf).select("row_id", "text", *ML_LABELS, "label_mask")
+    enc = E.encode_hash(rows, dim=DIM, keep=ML_LABELS)
+    sides = enc.select(F.posexplode(F.array(*ML_LABELS)).alias("l", "f"), "embedding")
+    cents = np.zeros((2, len(ML_LABELS), DIM))
+    for r in L.mean_vectors(sides, ["l", "f"], "embedding").collect():
+        cents[r["f"], r["l"]] = r["centroid"]
+    shifts = 1 << np.arange(len(ML_LABELS))
+
+    def score(batches):
+        cache: dict = {}
+        for pdf in batches:
+            if len(pdf):
+                X = E.hash_vectors(pdf["text"].tolist(), DIM, cache=cache)
+                s0, s1 = (np.round(X @ c.T, 9) for c in cents)
+                yield pdf[["row_id", "true_mask"]].assign(pred_mask=((s1 > s0) * shifts).sum(axis=1))
+
+    scored = rows.select("row_id", "text", F.col("label_mask").alias("true_mask"))
+    return scored.mapInPandas(score, "row_id long, true_mask long, pred_mask long")
 
 
 _ML_PRED_SQL = f"""

@@ -135,11 +135,9 @@ def q_head_linear_svc(spark, sf):
 
 
 def _dl_ml_sets(spark, sf):
-    base = R.documents_multilabel(spark, sf)
-    parts = M.fraction_split(base, 0.75, 42)
-    enc = E.encode_hash(base.select("row_id", "text"), dim=256)
-    full = parts.join(enc, "row_id")
-    return full.where(F.col("split") == "train"), full.where(F.col("split") == "test")
+    parts = M.fraction_split(R.documents_multilabel(spark, sf), 0.75, 42)
+    sides = [parts.where(F.col("split") == s) for s in ("train", "test")]
+    return tuple(E.encode_hash(side, dim=256, keep=["quality", "toxic", "label_mask"]) for side in sides)
 
 
 def _multilabel_head(spark, sf, strategy: str):
