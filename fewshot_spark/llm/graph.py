@@ -53,17 +53,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     )
 
 
-def blocks(df: DataFrame, group: list[str], member: str, size: int) -> DataFrame:
+def blocks(df: DataFrame, group: list[str], member: str, size: int, weight: str | None = None, most: int = 0) -> DataFrame:
     """Rows of groups of two or more members, with ``n_blocks`` of the group and the row's ``block``.
     A group up to ``size`` rows is one block; a larger one has n blocks, n(n+1)/2 cells of block
-    pairs, and each row goes to the n cells of its block (``to_cells``)."""
+    pairs, and each row goes to the n cells of its block (``to_cells``). With ``weight``, a group
+    whose weights add up to more than ``most`` has as many blocks as that sum needs."""
     w = Window.partitionBy(*group)
-    nb = F.ceil(F.col("_n") / F.lit(size)).cast("int")
+    parts = F.col("_n") / F.lit(size)
+    if weight:
+        parts = F.least(F.greatest(parts, F.sum(weight).over(w) / F.lit(most)), F.col("_n"))
     mine = F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.col("n_blocks")).cast("int")
     return (
         df.withColumn("_n", F.count(F.lit(1)).over(w))
         .where("_n > 1")
-        .withColumn("n_blocks", nb)
+        .withColumn("n_blocks", F.ceil(parts).cast("int"))
         .withColumn("block", mine)
         .drop("_n")
     )

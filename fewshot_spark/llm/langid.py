@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .tokens import pieces
 
 DIMS, CODES, FIXED = 1024, 128, 1 << 24
-SLICE_CHARS = 1_000_000
+SLICE_CHARS, COLUMNS = 1_000_000, 16_384
 
 
 @functools.lru_cache(maxsize=1)
@@ -64,11 +64,15 @@ def text_vectors(texts: list[str]) -> np.ndarray:
             return
         row = np.zeros(CODES**3, np.int32)
         row[ids] = np.arange(len(ids))
+        row, who = row[gram], owner[mid].astype(np.int64)
         first, second, third = _letters()
-        bound = (first[ids // CODES**2] * second[ids // CODES % CODES] * third[ids % CODES]).astype(np.float32)
-        flat = owner[mid].astype(np.int64) * len(ids) + row[gram]
-        counts = np.bincount(flat, minlength=len(parts) * len(ids)).reshape(len(parts), -1).astype(np.float32)
-        np.add.at(out, np.array(owners), (counts @ bound).astype(np.float64))
+        for c in range(0, len(ids), COLUMNS):  # some trigrams at a time, so scripts of many letters fit
+            some = ids[c : c + COLUMNS]
+            bound = (first[some // CODES**2] * second[some // CODES % CODES] * third[some % CODES]).astype(np.float32)
+            at = slice(None) if len(ids) <= COLUMNS else (row >= c) & (row < c + COLUMNS)
+            flat = who[at] * len(some) + (row[at] - c)
+            counts = np.bincount(flat, minlength=len(parts) * len(some)).reshape(len(parts), -1).astype(np.float32)
+            np.add.at(out, np.array(owners), (counts @ bound).astype(np.float64))
 
     for i, t in enumerate(texts):
         for p in pieces(t):

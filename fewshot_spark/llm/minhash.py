@@ -25,7 +25,7 @@ from .graph import blocks, clusters, components, sized, to_cells, whole_groups
 from .words import mix, shingles, word_hashes
 
 COMPONENTS, CHUNKS, PER_CHUNK = 35, 7, 5
-BUCKET_BLOCK, SET_BLOCK = 2000, 512
+BUCKET_BLOCK, SET_BLOCK, SET_SHINGLES = 2000, 512, 2_000_000
 _rng = np.random.default_rng(417)
 _XOR = _rng.integers(0, 2**63, COMPONENTS, dtype=np.uint64)
 _MUL = _rng.integers(0, 2**62, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -198,16 +198,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     nodes = (
         sigs.where("skey is not null")
         .groupBy("skey")
-        .agg(F.min(F.struct("doc_id", "text_key")).alias("carrier"), F.min("doc_id").alias("first_id"), F.any_value("sig").alias("sig"))
+        .agg(F.min(F.struct("doc_id", "text_key")).alias("carrier"), F.min("doc_id").alias("first_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig"))
         .checkpoint()
     )
     low = ", ".join(f"{c} long" for c in _LOW)
     buckets = blocks(nodes.select("skey", "sig").mapInArrow(_keys, f"key long, skey long, {low}"), ["key"], "skey", BUCKET_BLOCK)
     maybe = to_cells(buckets, ["key"]).mapInArrow(_bucket_links(keep), "a long, b long")
     groups = components(maybe).select(F.col("node").alias("skey"), F.col("component").alias("grp"))
+    sized_groups = groups.join(nodes.select("skey", "carrier", "n_shingles"), "skey")
     wanted = (
-        blocks(groups, ["grp"], "skey", SET_BLOCK)
-        .join(nodes.select("skey", "carrier"), "skey")
+        blocks(sized_groups, ["grp"], "skey", SET_BLOCK, "n_shingles", SET_SHINGLES)
         .select("grp", "skey", "n_blocks", "block", F.col("carrier.doc_id").alias("c_id"), F.col("carrier.text_key").alias("c_key"))
         .checkpoint()
     )
