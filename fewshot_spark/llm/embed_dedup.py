@@ -16,6 +16,7 @@ per query and a spanning forest of the links, never its pairs.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -40,6 +41,7 @@ def needed_count(window: float, deviation: float, projections: int, recall: floa
     return 0
 
 
+@functools.lru_cache(maxsize=8)
 def directions(dims: int) -> np.ndarray:
     """Rows: projections of a fixed seed, orthogonal as far as the dimension allows."""
     rng = np.random.default_rng(dims)
@@ -50,36 +52,39 @@ def directions(dims: int) -> np.ndarray:
     return np.concatenate(rows)[:PROJECTIONS]
 
 
-def _valid(v) -> bool:
-    return v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(x != 0 for x in v)
+def _matrix(column) -> np.ndarray:
+    """Rows of equal length as doubles."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
+
+
+def _projected(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ directions(x.shape[1]).T
 
 
 def _cells(window: float):
-    """Members (one cell) and queries (all cells their windows touch) of the unit vectors."""
+    """Names of the cells of every vector: its own (member) and those its windows touch (query)."""
 
     def run(batches):
         for b in batches:
-            rows = [(k, g, v) for k, g, v in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) if _valid(v)]
+            length = b.column(2).value_lengths().to_numpy()
+            keys, groups = b.column(0).to_numpy(), b.column(1).to_pylist()
             out: list[tuple] = []
-            for dims in {len(r[2]) for r in rows}:
-                mine = [r for r in rows if len(r[2]) == dims]
-                x = np.array([r[2] for r in mine], np.float64)
-                x /= np.abs(x).max(1, keepdims=True)
-                proj = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ directions(dims).T
-                lead = proj[:, :SORTED]
+            for dims in np.unique(length).tolist():
+                at = np.flatnonzero(length == dims)
+                lead = _projected(_matrix(b.column(2).take(pa.array(at))))[:, :SORTED]
                 low, high = np.floor((lead - window) / (2 * window)), np.floor((lead + window) / (2 * window))
                 home = np.floor(lead / (2 * window))
-                for i, (key, group, v) in enumerate(mine):
-                    raw, p = np.array(v, np.float64).tobytes(), proj[i].astype(np.float32).tobytes()
-                    at = [()]
+                for i, k in enumerate(at):
+                    cells = [()]
                     for a, z in zip(low[i], high[i], strict=True):
-                        at = [(*c, int(k)) for c in at for k in range(int(a), int(z) + 1)]
-                    own = tuple(int(k) for k in home[i])
-                    out += [(f"{group}|{dims}|{c}", key, c == own, p, raw) for c in at]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+                        cells = [(*c, int(p)) for c in cells for p in range(int(a), int(z) + 1)]
+                    own = tuple(int(p) for p in home[i])
+                    out += [(f"{groups[k]}|{dims}|{c}", int(keys[k]), c == own) for c in cells]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)],
-                ["cell_name", "vkey", "member", "proj", "raw"],
+                [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.bool_()), strict=True)], ["name", "vkey", "member"]
             )
 
     return run
@@ -88,15 +93,14 @@ def _cells(window: float):
 def _count(cosine: float, window: float, need: int):
     def run(batches):
         for table, groups in whole_groups(batches, ["cell", "mb", "qb"]):
-            vkey, member = table["vkey"].to_numpy(), table["member"].to_numpy(zero_copy_only=False)
+            vkey, weight = table["vkey"].to_numpy(), table["copies"].to_numpy()
             mine, ask = table["is_member"].to_numpy(zero_copy_only=False), table["is_query"].to_numpy(zero_copy_only=False)
-            weight = table["copies"].to_numpy()
             got: list[tuple] = []
             for s, e in groups:
-                if e - s < 2 or not member[s:e].any():
+                if e - s < 2 or not mine[s:e].any() or not ask[s:e].any():
                     continue
-                proj = np.stack([np.frombuffer(x.as_py(), np.float32) for x in table["proj"].slice(s, e - s)])
-                x = np.stack([np.frombuffer(v.as_py(), np.float64) for v in table["raw"].slice(s, e - s)])
+                x = _matrix(table["v"].slice(s, e - s))
+                proj = _projected(x)
                 norm = np.linalg.norm(x / (top := np.abs(x).max(1, keepdims=True)), axis=1) * top[:, 0]
                 keys, w = vkey[s:e], weight[s:e]
                 members = np.flatnonzero(mine[s:e])
@@ -155,9 +159,9 @@ def near_vectors(
     deviation = math.sqrt(2 - 2 * cosine)
     window = WIDTH * deviation
     need = needed_count(window, deviation, PROJECTIONS)
-    src = vectors.select(
-        F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v")
-    ).withColumn("vkey", F.when(F.col("label").isNotNull() & F.col("v").isNotNull(), F.xxhash64("label", "v")))
+    plain = vectors.select(vector_col).schema[0].dataType.simpleString() in ("array<float>", "array<double>")
+    v = F.col(vector_col) if plain else F.col(vector_col).cast("array<double>")
+    src = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), v.alias("v")).withColumn("vkey", F.when(F.col("label").isNotNull() & F.col("v").isNotNull(), F.xxhash64("label", "v")))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("v", lambda x: x != 0)
     src = src.withColumn("vkey", F.when(~F.coalesce(bad, F.lit(False)) & (F.size("v") > 0), F.col("vkey")))
     nodes = (
@@ -167,22 +171,25 @@ def near_vectors(
         .checkpoint()
     )
     placed = nodes.select("vkey", F.col("label").cast("string").alias("label"), "v").mapInArrow(
-        _cells(window), "cell_name string, vkey long, member boolean, proj binary, raw binary"
+        _cells(window), "name string, vkey long, member boolean"
     )
-    placed = placed.withColumn("cell", F.xxhash64("cell_name")).drop("cell_name")
+    placed = placed.select(F.xxhash64("name").alias("cell"), "vkey", "member")
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("member").alias("any"))
     sizes = sizes.where("rows > 1 and any").select("cell", F.ceil(F.col("rows") / BLOCK).cast("int").alias("nb"))
     block = F.pmod(F.xxhash64("vkey", F.lit(3)), F.col("nb")).cast("int")
     every = F.sequence(F.lit(0), F.col("nb") - 1)
-    whole = placed.join(sizes, "cell").join(nodes.select("vkey", "copies"), "vkey").withColumn("mine", block)
     as_member = F.when(F.col("member"), F.transform(every, lambda k: F.struct(F.col("mine").alias("mb"), k.alias("qb"))))
     as_query = F.transform(every, lambda k: F.struct(k.alias("mb"), F.col("mine").alias("qb")))
     spots = F.array_distinct(F.concat(F.coalesce(as_member, F.array().cast("array<struct<mb:int,qb:int>>")), as_query))
+    narrow = placed.join(sizes, "cell").withColumn("mine", block).withColumn("spot", F.explode(spots))
+    # cells and blocks are settled on narrow rows; only then do vectors go to their cells, once
     dealt = (
-        whole.withColumn("spot", F.explode(spots))
-        .select("cell", "spot.mb", "spot.qb", "vkey", "member", "copies", "proj", "raw", "mine")
-        .withColumn("is_member", F.col("member") & (F.col("mine") == F.col("mb")))
-        .withColumn("is_query", F.col("mine") == F.col("qb"))
+        narrow.join(nodes.select("vkey", "copies", "v"), "vkey")
+        .select(
+            "cell", "spot.mb", "spot.qb", "vkey", "copies", "v",
+            (F.col("member") & (F.col("mine") == F.col("spot.mb"))).alias("is_member"),
+            (F.col("mine") == F.col("spot.qb")).alias("is_query"),
+        )
         .repartition("cell", "mb", "qb")
         .sortWithinPartitions("cell", "mb", "qb")
     )
