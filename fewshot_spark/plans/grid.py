@@ -110,38 +110,42 @@ def _adapt(X: np.ndarray, row_index: pd.Index, examples, anchors: dict, loss: st
     if loss == "triplet":
         akeys = pd.Index(list(anchors))
         A_all = np.vstack(list(anchors.values())) if anchors else np.zeros((0, X.shape[1]))
-    step, left = 0, None
+    step, held = 0, None
 
-    def apply(part, step):
-        nonlocal W
-        ip = row_index.get_indexer(part["row_id"].to_numpy())
-        io = row_index.get_indexer(part["other_row_id"].to_numpy())
+    def indexed(ex):
+        """Row, partner, anchor (or target) positions of a frame's examples, and their batch ids."""
+        ip = row_index.get_indexer(ex["row_id"].to_numpy())
+        io = row_index.get_indexer(ex["other_row_id"].to_numpy())
         if (ip < 0).any() or (io < 0).any():
             raise ValueError("an example refers to a row that is not in its split")
         if loss == "triplet":
-            ia = akeys.get_indexer(part["anchor_key"].to_numpy().astype(np.int64))
-            if (ia < 0).any():
+            x = akeys.get_indexer(ex["anchor_key"].to_numpy().astype(np.int64))
+            if (x < 0).any():
                 raise KeyError("an example's anchor key has no anchor vector")
-            _, G = grad_triplet(W, A_all[ia], X[ip], X[io], margin)
         else:
-            _, G = grad_cosine(W, X[ip], X[io], part["target"].to_numpy().astype(np.float64))
-        W = W - lr_at(step, steps, lr) * (G / len(part))
+            x = ex["target"].to_numpy().astype(np.float64)
+        return [ip, io, x, ex["batch_id"].to_numpy() if by_id else ip]
 
-    def starts_of(ex):
-        if by_id:
-            b = ex["batch_id"].to_numpy()
-            return np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-        return np.arange(0, len(ex), batch_size)
+    def apply(ip, io, x):
+        nonlocal W, step
+        if loss == "triplet":
+            _, G = grad_triplet(W, A_all[x], X[ip], X[io], margin)
+        else:
+            _, G = grad_cosine(W, X[ip], X[io], x)
+        W = W - lr_at(step, steps, lr) * (G / len(ip))
+        step += 1
 
     for ex in examples:
-        ex = ex if left is None else pd.concat([left, ex])
-        starts = starts_of(ex)
+        cols = indexed(ex)
+        if held is not None:
+            cols = [np.concatenate(c) for c in zip(held, cols)]
+        b = cols[3]
+        starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if by_id else np.arange(0, len(b), batch_size)
         for a, z in zip(starts[:-1], starts[1:]):
-            apply(ex.iloc[a:z], step)
-            step += 1
-        left = ex.iloc[starts[-1]:]
-    if left is not None and len(left):
-        apply(left, step)
+            apply(*(c[a:z] for c in cols[:3]))
+        held = [c[starts[-1]:] for c in cols]
+    if held is not None:
+        apply(*held[:3])
     return W
 
 
