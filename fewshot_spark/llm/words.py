@@ -2,7 +2,7 @@
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D (the class ``[^\\x20\\x09-\\x0D]+``); A-Z
 are lower-cased first. UTF-8 continuation bytes never collide with these, so working on bytes
-gives the same words as working on characters. Work goes in slices of about 2 MB, and one long
+gives the same words as working on characters. Work goes in slices of about 1 MB, and one long
 text is cut at white space, so memory does not grow with the length of a text.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]
@@ -77,7 +77,7 @@ def hash_words(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def slices(data: np.ndarray, offsets: np.ndarray, newline: bool = False) -> Iterator[tuple[int, int, np.ndarray]]:
-    """``(first text, past last text, offsets)`` of about 2 MB each. A text of more than 4 MB comes
+    """``(first text, past last text, offsets)`` of about 1 MB each. A text of more than 2 MB comes
     alone, in several slices that are cut at white space (at a line break, where ``newline``)."""
     n, i = len(offsets) - 1, 0
     while i < n:
