@@ -7,7 +7,8 @@ one opened. At the end of a partition the open windows are leftovers: their piec
 ``OPEN`` windows of 1024 ids) carry their ids on, and groups of partitions merge their leftovers
 by laying them end to end, cutting where a window is full. Groups of groups repeat this, a bounded
 number of ids per task, until one group is left; its rest is cut into power-of-two windows, which
-take no padding.
+take no padding. Between the steps every piece holds its ids in two bytes each (four, where an id
+needs them); the result has them as integers.
 """
 
 from __future__ import annotations
@@ -25,7 +26,13 @@ from . import tokens
 WINDOW, OPEN, FAN_IN = 1024, 32, 32
 END_ID = 0
 _SEQ = 1 << 34
-_FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "part"]
+_ROWS = 1000
+_FIELDS = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "raw", "part"]
+_RESULT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+
+
+def _unpacked(raw: bytes, length: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * length else "<u4")
 
 
 class _Out:
@@ -35,14 +42,14 @@ class _Out:
         self.rows: list[tuple] = []
         self.id_type = id_type
 
-    def piece(self, doc, start, ids, total, sequence, offset, keep=False, part=-1):
-        raw = ids.astype("<u4").tobytes()
-        self.rows.append((doc, start, len(ids), zlib.crc32(raw), total, sequence, offset, raw if keep else None, part))
+    def piece(self, doc, start, ids, total, sequence, offset, part=-1):
+        raw = ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes()
+        self.rows.append((doc, start, len(ids), total, sequence, offset, raw, part))
 
     def flush(self):
         rows, self.rows = self.rows, []
         cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_FIELDS)
-        types = [self.id_type, *[pa.int64()] * 6, pa.binary(), pa.int64()]
+        types = [self.id_type, *[pa.int64()] * 5, pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], _FIELDS)
 
 
@@ -68,6 +75,8 @@ def _pack(path: str):
                 whole = len(ids) // WINDOW * WINDOW
                 for start in range(0, whole, WINDOW):
                     emit([WINDOW, [(doc, start, ids[start : start + WINDOW], len(ids))]])
+                    if len(out.rows) >= _ROWS:
+                        yield out.flush()
                 tail = ids[whole:].copy()
                 if len(tail):
                     fits = [w for w in windows if w[0] + len(tail) <= WINDOW]
@@ -90,13 +99,13 @@ def _pack(path: str):
                     if w[0] == WINDOW:
                         windows = [x for x in windows if x is not w]
                         emit(w)
-                if len(out.rows) >= 5000:
+                if len(out.rows) >= _ROWS:
                     yield out.flush()
         if out is not None:
             n = 0
             for w in windows:
                 for doc, start, ids, total in w[1]:
-                    out.piece(doc, start, ids, total, None, n, keep=True, part=part)
+                    out.piece(doc, start, ids, total, None, n, part=part)
                     n += 1
             yield out.flush()
 
@@ -111,8 +120,8 @@ def _merge(level: int, last: bool):
         group = key[0].as_py()
         out = _Out(table.schema.field("doc_id").type)
         table = table.sort_by([("part", "ascending"), ("offset", "ascending")])
-        rows = table.select(["doc_id", "start", "doc_tokens", "ids"]).to_pylist()
-        pieces = [(r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4"), r["doc_tokens"]) for r in rows]
+        rows = table.select(["doc_id", "start", "length", "doc_tokens", "raw"]).to_pylist()
+        pieces = [(r["doc_id"], r["start"], _unpacked(r["raw"], r["length"]), r["doc_tokens"]) for r in rows]
         left = sum(len(p[2]) for p in pieces)
         base = (level << 55) + group * (1 << 30)
         made, filled, room = 0, 0, WINDOW if left >= WINDOW or not last else 1 << (left.bit_length() - 1)
@@ -121,7 +130,7 @@ def _merge(level: int, last: bool):
             while len(ids):
                 if not filled and left < WINDOW:
                     if not last:
-                        out.piece(doc, start, ids, total, None, carried, keep=True, part=group)
+                        out.piece(doc, start, ids, total, None, carried, part=group)
                         carried += 1
                         left -= len(ids)
                         # the rest of this group stays in order, below one window
@@ -137,21 +146,37 @@ def _merge(level: int, last: bool):
     return run
 
 
+def _with_ids(batches):
+    """The result's columns: every piece's ids as integers, and their digest."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            b = batch.slice(at, _ROWS)
+            length = b["length"].to_numpy()
+            ids = [_unpacked(r, n).astype("<u4") for r, n in zip(b["raw"].to_pylist(), length.tolist(), strict=True)]
+            crc = pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())
+            flat = pa.array(np.concatenate(ids).view(np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), flat)
+            made = {"ids_crc32": crc, "ids": lists}
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else b[c] for c in _RESULT], _RESULT)
+
+
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``, one row per piece.
+    """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``, one row per piece.
 
     ``path`` names the vocabulary of ``tokens.encoder``. A text's ids are followed by id 0; null
     and empty texts are that id alone. Every id lies in one piece. Windows hold 1024 ids; only the
-    last group's rest is shorter, in power-of-two windows. ``sequence_id`` is unique, not dense.
+    last group's rest is shorter, in power-of-two windows. ``sequence_id`` is unique, not dense; the
+    ``ids`` (array of int) of its pieces, in the order of ``offset``, are the training sequence, and
+    ``ids_crc32`` is the digest of them as little-endian 32-bit integers.
     Repeated rows and null ids are packed like any others; other columns are ignored. Texts and
     whole windows never leave their partition; only leftovers are shuffled. No rows give no rows."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = src.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, part long"
+    schema = f"doc_id {id_type}, start long, length long, doc_tokens long, sequence_id long, offset long, raw binary, part long"
+    result = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
     parts = src.mapInArrow(_pack(path), schema).checkpoint()
-    cols = _FIELDS[:7]
-    done = parts.where("ids is null").select(*cols)
-    rest, level = parts.where("ids is not null"), 1
+    done = parts.where("sequence_id is not null")
+    rest, level = parts.where("sequence_id is null").checkpoint(), 1
     span = (rest.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         last = span <= FAN_IN
@@ -161,7 +186,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             .applyInArrow(_merge(level, last), schema)
             .checkpoint()
         )
-        done = done.unionByName(rest.where("ids is null").select(*cols))
+        done = done.unionByName(rest.where("sequence_id is not null"))
         if last:
-            return done
-        rest, level, span = rest.where("ids is not null"), level + 1, -(-span // FAN_IN)
+            return done.mapInArrow(_with_ids, result)
+        rest, level, span = rest.where("sequence_id is null"), level + 1, -(-span // FAN_IN)

@@ -240,6 +240,28 @@ def test_packing_odd_and_many_partitions(spark, odd, none):
     assert check_packed(packing.pack(df, vocabulary()).collect(), texts) == 0
 
 
+def test_packing_returns_the_ids_of_every_window(spark, odd):
+    enc = tokens.encoder(vocabulary())
+    rows = packing.pack(odd, vocabulary()).collect()
+    whole = {i: [*tokens.ids_of(enc, t or "").tolist(), 0] for i, t in ODD}
+    for r in rows:
+        assert r.ids == whole[r.doc_id][r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+    query = E.queries()["op7_packing"](spark, SF001)
+    assert dict(query.dtypes)["ids"] == "array<int>"
+    assert all(len(r.ids) == r.length for r in query.collect())
+
+
+def test_packing_keeps_ids_beyond_two_bytes():
+    import pyarrow as pa
+
+    out = packing._Out(pa.int64())
+    for ids in ([3, 65535], [65536, 1, 2]):
+        out.piece(1, 0, np.array(ids, np.uint32), 5, 0, 0)
+    got = next(packing._with_ids([out.flush()]))
+    assert got["ids"].to_pylist() == [[3, 65535], [65536, 1, 2]]
+
+
 # 3 URL rules
 
 

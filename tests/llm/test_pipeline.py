@@ -60,6 +60,15 @@ def test_run_packs_every_id_once(spark, stages):
         assert end == len(want)
 
 
+def test_last_stage_delivers_the_training_sequences(stages):
+    enc = tokens.encoder(vocabulary())
+    want = {r.doc_id: [*tokens.ids_of(enc, r.text or "").tolist(), 0] for r in stages[3].collect()}
+    got = {}
+    for r in sorted(stages[4].collect(), key=lambda r: r.start):
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    assert got == want
+
+
 def test_entry_works_without_the_subpackage():
     root = Path(__file__).resolve().parents[2]
     code = (
