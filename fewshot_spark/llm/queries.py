@@ -3,10 +3,12 @@ can state the result."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fewshot_spark.session import read_table
+from fewshot_spark.session import prepare_session, read_table
 
 from . import decontaminate, embed_dedup, langid, line_dedup, minhash, packing, quality, sharding, tokens, url_rules
 
@@ -33,17 +35,21 @@ def crc_of_id(modulus: int):
 
 def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents from 8 uneven old shards (by hash of the text, so equal texts lie together)
-    into 8 shards of near-equal bytes, moving the fewest bytes."""
+    into 8 shards of near-equal bytes, moving the fewest bytes. The new shards are written to the
+    shared folder; the result is read from their files."""
     text = F.coalesce("text", F.lit(""))
-    rows = read_table(spark, sf_dir, "documents").select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64(text), F.lit(SHARDS)).cast("int").alias("old_shard"),
-    )
-    out = sharding.reshard(rows, SHARDS)
-    return out.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
+    size, crc = (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    old_shard = F.pmod(F.xxhash64(text), F.lit(SHARDS)).cast("int").alias("old_shard")
+    docs = read_table(spark, sf_dir, "documents")
+    placed = sharding.reshard(docs.select("doc_id", size, crc, old_shard), SHARDS).checkpoint()
+    root = f"{prepare_session(spark).rstrip('/')}/reshard-{uuid.uuid4().hex}"
+    paths = sharding.rewrite(spark, docs.select("*", size, crc, old_shard), placed, root, 1)
+    if paths:
+        written = spark.read.schema(f"{docs._jdf.schema().toDDL()}, slot long, shard int").parquet(f"{root}/generation=1")
+    else:
+        written = docs.limit(0).select("*", F.lit(0).cast("long").alias("slot"), F.lit(0).alias("shard"))
+    return written.select(
+        "doc_id", size, crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), old_shard
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SUB, SALT = 16, 32
+TASK_BYTES = 64 << 20
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost=lambda s, t: 0 if s == t else 1) -> dict[tuple[int, int], int]:
@@ -129,15 +130,34 @@ def reshard(
 def rewrite(spark: SparkSession, old: DataFrame, placed: DataFrame, root: str, generation: int, paths: dict[int, str] | None = None) -> dict[int, str]:
     """Write the shards that gave or took rows below ``root`` and return each shard's folder.
 
-    ``old`` has the whole rows with ``doc_id`` (unique) and ``old_shard``; ``placed`` is
-    ``reshard``'s result; ``paths`` the folders of the present shards. A shard without moves keeps
-    its folder and none of its files is read. New folders are written beside the old ones, so a
-    job lost midway leaves the old generation whole; the caller switches once this returns."""
-    moves = placed.where("old_shard != shard").select("old_shard", "shard").distinct().collect()
-    affected = sorted({r[0] for r in moves} | {r[1] for r in moves})
+    ``old`` has the whole rows with ``doc_id`` and ``old_shard``; ``placed`` is ``reshard``'s
+    result; ``paths`` the folders of the present shards. A shard without moves keeps its folder and
+    none of its files is read; one that has no folder yet is written. New folders are written
+    beside the old ones, so a job lost midway leaves the old generation whole; the caller switches
+    once this returns.
+
+    Ids may be null or repeated: each row takes the place of one planned row of its id and old
+    shard and, where ``old`` has the columns ``size`` and ``text_crc32`` (they are not written), of
+    the same size and text, numbered among equals. Without these, rows of one id in one old shard
+    may trade places; none is lost. Rows and plan meet in one shuffle of the whole rows, in tasks
+    of about 64 MB, each of which writes a file per shard, ordered by ``slot``."""
+    have = paths or {}
+    pairs = placed.groupBy("old_shard", "shard").agg(F.sum("size")).collect()
+    moves = {x for o, t, _ in pairs if o != t for x in (o, t)}
+    affected = sorted(moves | {o for o, _, _ in pairs if o not in have})
     out = f"{root.rstrip('/')}/generation={generation}"
     if affected:
-        part = placed.where(F.col("old_shard").isin(affected)).select("doc_id", "shard", "slot")
-        part = part.join(old.where(F.col("old_shard").isin(affected)).drop("old_shard"), "doc_id")
-        part.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(out)
-    return {**(paths or {}), **{s: f"{out}/shard={s}" for s in affected}}
+        own = [c for c in ("size", "text_crc32") if c in old.columns]
+        key = F.struct("doc_id", "old_shard", *[F.col(c).cast("long").alias(c) for c in own]).alias("key")
+        payload = [c for c in old.columns if c not in ("old_shard", *own)]
+        rows = old.where(F.col("old_shard").isin(affected)).select(key, F.struct(*payload).alias("row"), F.xxhash64(*payload).alias("nth"))
+        plan = placed.where(F.col("old_shard").isin(affected)).select(key, "shard", "slot", F.col("slot").alias("nth"))
+        tasks = max(1, -(-sum(r[2] for r in pairs if r[0] in affected) // TASK_BYTES))
+        both = rows.unionByName(plan, allowMissingColumns=True).withColumn("planned", F.col("row").isNull()).repartition(tasks, "key")
+        both = both.withColumn("n", F.row_number().over(Window.partitionBy("key", "planned").orderBy("nth", "shard")))
+        met = Window.partitionBy("key", "n")
+        both = both.withColumn("place", F.max(F.when(F.col("planned"), F.struct("shard", "slot"))).over(met)).where("not planned")
+        place = F.when(F.col("place").isNull(), F.raise_error(F.lit("a row of old is not in placed"))).otherwise(F.col("place.shard"))
+        part = both.select("row.*", place.cast("int").alias("shard"), F.col("place.slot").alias("slot"))
+        part.sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(out)
+    return {**have, **{s: f"{out}/shard={s}" for s in affected}}

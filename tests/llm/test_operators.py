@@ -149,6 +149,34 @@ def test_rewrite_touches_only_affected_shards(spark, tmp_path):
         assert got == {r.doc_id for r in placed.where(f"shard = {k}").collect()}
 
 
+def test_rewrite_keeps_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "a" * 30, 1), (None, "a" * 30, 2), (None, None, 3), (5, "b" * 40, 4), (5, "b" * 40, 4), (5, "c" * 9, 5)]
+    rows += [(i, "t" * 50, i) for i in range(10, 40)] + [(None, "t" * 50, 7)] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other int").repartition(3)
+    text = F.coalesce("text", F.lit(""))
+    old = docs.select("*", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit(0).alias("old_shard"))
+    placed = sharding.reshard(old, 3).checkpoint()
+    paths = sharding.rewrite(spark, old, placed, str(tmp_path), 1)
+    assert sorted(paths) == [0, 1, 2]
+    got, places = Counter(), Counter()
+    for k, path in paths.items():
+        for r in spark.read.parquet(path).collect():
+            got[(r.doc_id, r.text, r.other)] += 1
+            places[(r.doc_id, len(r.text or "") + 1, k, r.slot)] += 1
+    assert got == Counter(rows)
+    assert places == Counter((r.doc_id, r["size"], r.shard, r.slot) for r in placed.collect())
+
+
+def test_reshard_query_is_read_from_rewritten_files(spark):
+    out = E.queries()["op1_reshard"](spark, SF001)
+    files = out.inputFiles()
+    assert files and all("/generation=1/shard=" in f for f in files)
+    whole = spark.read.parquet(files[0].split("/shard=")[0])
+    docs = read_table(spark, SF001, "documents")
+    assert Counter(map(tuple, whole.select(docs.columns).collect())) == Counter(map(tuple, docs.collect()))
+    assert {(r.doc_id, r.shard, r.slot) for r in whole.collect()} == {(r.doc_id, r.shard, r.slot) for r in out.collect()}
+
+
 # 2 token counts, 7 packing
 
 
