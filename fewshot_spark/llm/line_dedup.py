@@ -4,7 +4,9 @@ A line is parsed to a fixed depth: its token count and its ``DEPTH`` leading tok
 tokens with a digit are a variable field (one wildcard). Within a leaf, templates whose remaining
 tokens agree place by place up to a quarter join one template: each template carries a sketch of 8
 bytes, one per eighth of the remaining places, and joins those that differ in at most a quarter of
-the used bytes. The sentences of a longer line are parsed alike but not generalised further.
+the used bytes. The sentences of a longer line are parsed alike but not generalised further. A line
+of fewer than ``TREE_LINE`` tokens is its own exact template, digits included: with so few tokens (in
+scripts without spaces, a whole line) a wildcard would leave nothing that tells lines apart.
 
 A template that occurs in ``min_docs`` documents recurs. Its first document (smallest id) keeps
 it, so copied text stays once; all other documents lose it. Counting is a partial aggregation on
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .graph import blocks, clusters, components, sized, to_cells, whole_groups
 from .words import hash_words, mix, powers, slices, spans, utf8
 
-DEPTH, MIN_LINE, MIN_SENTENCE, LEAF_BLOCK = 4, 3, 6, 2000
+DEPTH, TREE_LINE, MIN_SENTENCE, LEAF_BLOCK = 4, 3, 6, 2000
 _WILD = np.uint64(0x5851F42D4C957F2D)
 _LINE, _SENTENCE = np.uint64(0x1B873593), np.uint64(0xCC9E2D51)
 _DIGIT = np.zeros(256, bool)
@@ -47,8 +49,6 @@ class Units:
         if not n:
             return
         h = hash_words(self.part, self.starts, self.ends)
-        digits = np.concatenate([[0], np.cumsum(_DIGIT[self.part])])
-        self.h = np.where(digits[self.ends] > digits[self.starts], _WILD, h)
         breaks = np.cumsum(self.part == 10)[self.starts]
         new_line = np.ones(n, bool)
         new_line[1:] = (self.doc[1:] != self.doc[:-1]) | (breaks[1:] != breaks[:-1])
@@ -57,6 +57,9 @@ class Units:
         self.line_first, self.sentence_first = np.flatnonzero(new_line), np.flatnonzero(new_sentence)
         self.line_size = np.diff(np.append(self.line_first, n))
         self.sentence_size = np.diff(np.append(self.sentence_first, n))
+        digits = np.concatenate([[0], np.cumsum(_DIGIT[self.part])])
+        wild = (digits[self.ends] > digits[self.starts]) & np.repeat(self.line_size >= TREE_LINE, self.line_size)
+        self.h = np.where(wild, _WILD, h)
         self.line = _template(self.h, self.line_first, self.line_size, _LINE)
         self.sentence = _template(self.h, self.sentence_first, self.sentence_size, _SENTENCE)
         # the line that a sentence is in, and whether it is all of it
@@ -91,9 +94,9 @@ def _parse(tree: bool):
                 u = Units(data, own)
                 if not len(u.starts):
                     continue
-                ln, sn = u.line_size >= MIN_LINE, (u.sentence_size >= MIN_SENTENCE) & ~u.whole
-                template = np.concatenate([u.line[ln], u.sentence[sn]]).view(np.int64)
-                doc = np.concatenate([u.doc[u.line_first[ln]], u.doc[u.sentence_first[sn]]])
+                sn = (u.sentence_size >= MIN_SENTENCE) & ~u.whole
+                template = np.concatenate([u.line, u.sentence[sn]]).view(np.int64)
+                doc = np.concatenate([u.doc[u.line_first], u.doc[u.sentence_first[sn]]])
                 order = np.lexsort((template, doc))
                 new = np.ones(len(order), bool)
                 new[1:] = (template[order][1:] != template[order][:-1]) | (doc[order][1:] != doc[order][:-1])
@@ -102,9 +105,9 @@ def _parse(tree: bool):
                 if tree:
                     leaf, sketch = u.leaves()
                     none = np.zeros(int(sn.sum()), np.int64)
-                    leaf = np.concatenate([leaf[ln].view(np.int64), none])[at]
-                    gone = at >= ln.sum()
-                    sketch = np.concatenate([sketch[ln], none])[at]
+                    leaf = np.concatenate([leaf.view(np.int64), none])[at]
+                    gone = np.concatenate([u.line_size < TREE_LINE, none == 0])[at]
+                    sketch = np.concatenate([sketch, none])[at]
                     cols = [pa.array(leaf, mask=gone), pa.array(sketch, mask=gone), *cols]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -138,7 +141,7 @@ def _cut(data: np.ndarray, offsets: np.ndarray, drop: np.ndarray) -> tuple[bytes
         if not len(u.starts):
             out.append(raw)
             continue
-        ln = np.isin(u.line.view(np.int64), drop) & (u.line_size >= MIN_LINE)
+        ln = np.isin(u.line.view(np.int64), drop)
         sn = np.isin(u.sentence.view(np.int64), drop) & (u.sentence_size >= MIN_SENTENCE) & ~u.whole
         sn &= ~ln[u.in_line]
         cut += int(ln.sum() + sn.sum())
@@ -199,9 +202,9 @@ def recurring(docs: DataFrame, min_docs: int = 3, id_col: str = "doc_id", text_c
 def drop_recurring(docs: DataFrame, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``text_col`` cut and ``cut_units`` (how many lines and sentences were cut).
 
-    Lines of at least 3 tokens and sentences of at least 6 count. The distinct documents of a
-    generalised template are counted through the first and last document of its members, which is
-    exact up to 3 and a lower bound beyond. Rows of one id are one document; rows with a null id
+    Lines of any length count, those of 1 or 2 tokens as they stand, and sentences of at least 6
+    tokens. The distinct documents of a generalised template are counted through the first and last
+    document of its members, which is exact up to 3 and a lower bound beyond. Rows of one id are one document; rows with a null id
     are left as they are; null and empty texts stay; a text may become empty; repeated rows are
     cut alike; no rows give no rows. ``docs`` must not have a column named ``cut_units``."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")

@@ -574,6 +574,28 @@ def test_line_query_against_brute_force(spark):
     assert cut > 0
 
 
+def test_short_lines_recur_too(spark):
+    docs = [(i, f"Les.\nOwn words of text {'abcd'[i]}\n今日は良い天気です。\nAnd ornd.\n{70 + i}\n第{i}章の内容") for i in range(4)]
+    got = {r.doc_id: r for r in line_dedup.drop_recurring(spark.createDataFrame(docs, "doc_id long, text string"), 3).collect()}
+    assert got[0].text == docs[0][1] and got[0].cut_units == 0
+    for i in range(1, 4):
+        assert got[i].text == f"Own words of text {'abcd'[i]}\n{70 + i}\n第{i}章の内容" and got[i].cut_units == 3
+
+
+def test_line_query_cuts_short_lines(spark):
+    docs = {r.doc_id: r.text or "" for r in read_table(spark, SF01, "documents").collect()}
+    seen = {}
+    for i, t in docs.items():
+        for line in {tuple(words(x)) for x in t.split("\n")}:
+            if 0 < len(line) < 3:
+                seen.setdefault(line, set()).add(i)
+    first = {k: min(v) for k, v in seen.items() if len(v) >= 3}
+    assert first
+    for r in E.queries()["op9_line_dedup"](spark, SF01).collect():
+        left = {x for x in (r.text or "").split("\n")} & set(docs[r.doc_id].split("\n"))
+        assert not [x for x in left if first.get(tuple(words(x)), r.doc_id) != r.doc_id]
+
+
 def test_lines_odd(spark, odd, none):
     got = line_dedup.drop_recurring(odd, 3)
     assert got.columns == [*odd.columns, "cut_units"]
