@@ -24,6 +24,14 @@ def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to clash with no column."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges``; component is the smallest node id
     reachable. Self links and repeated links are harmless; nulls are ignored; no rows give none."""

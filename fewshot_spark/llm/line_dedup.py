@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import blocks, clusters, components, sized, to_cells, whole_groups
+from .graph import blocks, clusters, components, free_name, sized, to_cells, whole_groups
 from .words import hash_words, mix, powers, slices, spans, utf8
 
 DEPTH, TREE_LINE, MIN_SENTENCE, LEAF_BLOCK = 4, 3, 6, 2000
@@ -84,32 +84,48 @@ class Units:
         return leaf, sketch.reshape(-1, 8).view(np.int64).ravel()
 
 
+def _units(data: np.ndarray, own: np.ndarray, tree: bool) -> list[np.ndarray]:
+    """Template and text number of the units of a slice; for the tree also leaf, sketch and
+    whether the unit stays out of the tree."""
+    u = Units(data, own)
+    if not len(u.starts):
+        z = np.zeros(0, np.int64)
+        return [z, z, z, z, z == 1][: 5 if tree else 2]
+    sn = (u.sentence_size >= MIN_SENTENCE) & ~u.whole
+    template = np.concatenate([u.line, u.sentence[sn]]).view(np.int64)
+    doc = np.concatenate([u.doc[u.line_first], u.doc[u.sentence_first[sn]]])
+    if not tree:
+        return [template, doc]
+    leaf, sketch = u.leaves()
+    none = np.zeros(int(sn.sum()), np.int64)
+    gone = np.concatenate([u.line_size < TREE_LINE, none == 0])
+    return [template, doc, np.concatenate([leaf.view(np.int64), none]), np.concatenate([sketch, none]), gone]
+
+
 def _parse(tree: bool):
+    """Distinct units of every text; those of a text of several slices are put together first."""
     names = ["leaf", "sketch", "template", "doc_id"] if tree else ["template", "doc_id"]
 
     def run(batches):
         for b in batches:
             data, offsets = utf8(b.column(1))
-            for i, _, own in slices(data, offsets, newline=True):
-                u = Units(data, own)
-                if not len(u.starts):
+            held: list[list[np.ndarray]] = []
+            for i, j, own in slices(data, offsets, newline=True):
+                held.append(_units(data, own, tree))
+                if own[-1] != offsets[j]:
                     continue
-                sn = (u.sentence_size >= MIN_SENTENCE) & ~u.whole
-                template = np.concatenate([u.line, u.sentence[sn]]).view(np.int64)
-                doc = np.concatenate([u.doc[u.line_first], u.doc[u.sentence_first[sn]]])
+                template, doc, *more = (np.concatenate(x) for x in zip(*held, strict=True))
+                held = []
                 order = np.lexsort((template, doc))
                 new = np.ones(len(order), bool)
                 new[1:] = (template[order][1:] != template[order][:-1]) | (doc[order][1:] != doc[order][:-1])
                 at = order[new]
                 cols = [pa.array(template[at]), b.column(0).take(pa.array(i + doc[at]))]
                 if tree:
-                    leaf, sketch = u.leaves()
-                    none = np.zeros(int(sn.sum()), np.int64)
-                    leaf = np.concatenate([leaf.view(np.int64), none])[at]
-                    gone = np.concatenate([u.line_size < TREE_LINE, none == 0])[at]
-                    sketch = np.concatenate([sketch, none])[at]
+                    leaf, sketch, gone = (x[at] for x in more)
                     cols = [pa.array(leaf, mask=gone), pa.array(sketch, mask=gone), *cols]
-                yield pa.RecordBatch.from_arrays(cols, names)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
@@ -179,10 +195,24 @@ def _rewrite(batches):
 
 
 def recurring(docs: DataFrame, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(template, first_doc)`` of all recurring templates."""
+    """``(template, first_doc)`` of all recurring templates.
+
+    A text gives each of its units once, so a count of units is a count of documents, but for ids
+    of several rows: their units are made distinct before. The documents of a generalised template
+    are the distinct first and last documents of its members where ``min_docs`` is at most 3 (a
+    member of three documents recurs by itself); beyond, those of the undecided ones are counted."""
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_field = src.schema["doc_id"].dataType.simpleString()
-    units = src.mapInArrow(_parse(True), f"leaf long, sketch long, template long, doc_id {id_field}")
+
+    def parsed(rows):
+        return rows.mapInArrow(_parse(True), f"leaf long, sketch long, template long, doc_id {id_field}")
+
+    twice = src.groupBy(F.col("doc_id").alias("twice_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("twice_id").checkpoint()
+    if twice.isEmpty():
+        units = parsed(src)
+    else:
+        again = F.col("doc_id") == F.col("twice_id")
+        units = parsed(src.join(sized(twice), again, "left_anti")).unionByName(parsed(src.join(sized(twice), again, "left_semi")).distinct())
     seen = units.groupBy("template", "leaf", "sketch").agg(
         F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
     )
@@ -191,9 +221,15 @@ def recurring(docs: DataFrame, min_docs: int = 3, id_col: str = "doc_id", text_c
     joined = components(to_cells(leaves, ["leaf"]).mapInArrow(_join_templates, "a long, b long"))
     joined = joined.select(F.col("node").alias("template"), F.col("component").alias("log"))
     member = joined.join(seen, "template")
-    ends = member.select("log", F.explode(F.array("first_doc", "last_doc")).alias("d")).groupBy("log").agg(F.count_distinct("d").alias("n_ends"))
-    logs = member.groupBy("log").agg(F.min("first_doc").alias("low"), F.max("docs").alias("most")).join(ends, "log")
-    logs = logs.where(F.greatest("most", "n_ends") >= min_docs).select("log", "low")
+    logs = member.groupBy("log").agg(F.min("first_doc").alias("low"), F.max("docs").alias("most"), F.sum("docs").alias("all_docs"))
+    if min_docs <= 3:
+        exact = member.select("log", F.explode(F.array("first_doc", "last_doc")).alias("d"))
+    else:
+        open_logs = logs.where((F.col("most") < min_docs) & (F.col("all_docs") >= min_docs)).select("log")
+        undecided = joined.join(open_logs, "log", "left_semi").checkpoint()
+        exact = units.select("template", F.col("doc_id").alias("d")).join(sized(undecided), "template").select("log", "d").distinct()
+    exact = exact.groupBy("log").agg(F.count_distinct("d").alias("n_docs"))
+    logs = logs.join(exact, "log", "left").where(F.greatest("most", "n_docs") >= min_docs).select("log", "low")
     general = joined.join(logs, "log").select("template", F.col("low").alias("first_doc"))
     alone = seen.where(F.col("docs") >= min_docs).select("template", "first_doc")
     return alone.unionByName(general).groupBy("template").agg(F.min("first_doc").alias("first_doc"))
@@ -203,10 +239,10 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, id_col: str = "doc_id", t
     """``docs`` with ``text_col`` cut and ``cut_units`` (how many lines and sentences were cut).
 
     Lines of any length count, those of 1 or 2 tokens as they stand, and sentences of at least 6
-    tokens. The distinct documents of a generalised template are counted through the first and last
-    document of its members, which is exact up to 3 and a lower bound beyond. Rows of one id are one document; rows with a null id
+    tokens. Rows of one id are one document; rows with a null id
     are left as they are; null and empty texts stay; a text may become empty; repeated rows are
-    cut alike; no rows give no rows. ``docs`` must not have a column named ``cut_units``."""
+    cut alike; no rows give no rows. Where ``docs`` has a column ``cut_units``, the new last column
+    gets the first free name of ``cut_units_``, ``cut_units__``, ..."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     id_field = src.schema["doc_id"].dataType.simpleString()
     found = sized(recurring(docs, min_docs, id_col, text_col).checkpoint())
@@ -215,4 +251,5 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[c for c in docs.columns if c != text_col]).alias("row"))
     rows = rows.join(drops, F.col("id") == F.col("drop_id"), "left").select("text", "drops", "row")
     done = rows.mapInArrow(_rewrite, f"row {rows.schema['row'].dataType.simpleString()}, kept_text string, cut_units long")
-    return done.select(*[F.col("kept_text" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns], "cut_units")
+    own = [F.col("kept_text" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns]
+    return done.select(*own, F.col("cut_units").alias(free_name(docs.columns, "cut_units")))

@@ -180,13 +180,19 @@ def _confirmed(percent: int):
     return run
 
 
+def _row():
+    """Order of a class's rows: null ids last, then id and text hash."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+    """``doc_id, n_shingles, component_id, kept, text_key, first`` for every row of ``docs``.
 
     Rows link where ``100 * |intersection| >= percent * |union|`` of their shingle sets.
     ``component_id`` is the smallest id reachable; ``kept`` is ``doc_id = component_id``.
     Null and empty texts: 0 shingles, component = own id, kept. Rows with a null id keep a null
-    ``kept``; they take part in links. Repeated rows are one class and all carry its id. Other
+    ``kept``; they take part in links. ``first`` marks the rows of the smallest (id, ``text_key``
+    = xxhash64 of the text) of a class, null ids last. Repeated rows are one class and all carry its id. Other
     columns are ignored, whatever their names. No rows give no rows."""
     keep = kept_distance(percent)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -198,7 +204,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     nodes = (
         sigs.where("skey is not null")
         .groupBy("skey")
-        .agg(F.min(F.struct("doc_id", "text_key")).alias("carrier"), F.min("doc_id").alias("first_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig"))
+        .agg(F.min(F.struct("doc_id", "text_key")).alias("carrier"), F.min(_row()).alias("first_row"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig"))
         .checkpoint()
     )
     low = ", ".join(f"{c} long" for c in _LOW)
@@ -217,14 +223,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     )
     links = to_cells(sets, ["grp"]).mapInArrow(_confirmed(percent), "a long, b long")
     linked = components(links).select(F.col("node").alias("skey"), F.col("component").alias("comp"))
-    lowest = linked.join(nodes, "skey").groupBy("comp").agg(F.min("first_id").alias("low_id"))
+    lowest = linked.join(nodes, "skey").groupBy("comp").agg(F.min("first_row").alias("low_row"))
     classes = (
-        nodes.select("skey", "first_id")
-        .join(linked.join(lowest, "comp").select("skey", "low_id"), "skey", "left")
-        .select("skey", F.coalesce("low_id", "first_id").alias("class_id"))
+        nodes.select("skey", "first_row")
+        .join(linked.join(lowest, "comp").select("skey", "low_row"), "skey", "left")
+        .select("skey", F.coalesce("low_row", "first_row").alias("class_row"))
     )
     return (
         sigs.join(classes, "skey", "left")
-        .select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("first", F.col("class_row").isNull() | (F.col("class_row") == _row()))
+        .select("doc_id", "n_shingles", F.coalesce("class_row.doc_id", "doc_id").alias("component_id"), "text_key", "first")
+        .select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "text_key", "first")
     )
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when one row of each class of near-duplicates does, with
+    their own columns: the smallest id's (null ids last, then by a hash of the text), and one of
+    rows equal in id and text. Rows without words all stay; so does a row whose id a dropped row
+    shares. No rows give no rows."""
+    judged = near_duplicates(docs, width, percent, id_col, text_col).where("n_shingles > 0").checkpoint()
+    pair = [F.col("doc_id").alias("_near_id"), F.col("text_key").alias("_near_key")]
+    same = F.col(id_col).eqNullSafe(F.col("_near_id")) & (F.xxhash64(F.col(text_col)) == F.col("_near_key"))
+    left = docs.join(sized(judged.where("not first").select(*pair).distinct()), same, "left_anti")
+    twice = judged.where("first").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*pair).checkpoint()
+    if twice.isEmpty():
+        return left
+    once = left.join(sized(twice), same, "left_semi").dropDuplicates([id_col, text_col])
+    return left.join(sized(twice), same, "left_anti").unionByName(once)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import free_name
 from .words import word_hashes
 
 BUCKETS, DIMS, NONZERO, REACH = 1 << 14, 32, 4, 2
@@ -225,9 +226,10 @@ def _score(model: Model):
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) of every row of ``docs`` and ``quality_score`` (0 to
     1), from the whole text and nothing else. Null and empty texts are scored by their all-zero
-    features; repeated rows get equal scores; columns may have any other names; no rows give no
-    rows."""
+    features; repeated rows get equal scores; no rows give no rows. Where the kept columns hold a
+    ``quality_score``, the new last column is ``quality_score_`` (underscores until it is free)."""
     row = F.struct(*(docs.columns if keep is None else keep)).alias("row")
     src = docs.select(F.col(text_col).alias("text"), row)
     done = src.mapInArrow(_score(model), f"row {src.schema['row'].dataType.simpleString()}, quality_score double")
-    return done.select("row.*", "quality_score")
+    names = src.schema["row"].dataType.names
+    return done.select("row.*", F.col("quality_score").alias(free_name(names, "quality_score")))

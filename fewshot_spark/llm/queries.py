@@ -63,7 +63,8 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, percent=85)
+    found = minhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,10 +151,10 @@ from w left join n using (doc_id) left join c on c.node = w.doc_id
     "op6_decontaminate": r"""
 with d as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),
 b as (select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from benchmark),
-ds as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
-  when len(w) > 0 then ['= ' || array_to_string(w, ' ')] else [] end) as g from d),
-bs as (select distinct item_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
-  when len(w) > 0 then ['= ' || array_to_string(w, ' ')] else [] end) as g from b),
+widths as (select distinct least(len(w), 5) as v from b where len(w) > 0),
+ds as (select distinct doc_id, unnest(list_transform(range(1, len(w) - v + 2), lambda i: array_to_string(w[i:i+v-1], ' '))) as g from d, widths where len(w) >= v),
+bs as (select distinct item_id, unnest(list_transform(range(1, len(w) - v + 2), lambda i: array_to_string(w[i:i+v-1], ' '))) as g
+  from (select *, least(len(w), 5) as v from b where len(w) > 0)),
 n as (select item_id, count(*) as n from bs group by 1),
 m as (select doc_id, item_id, count(*) as k from ds join bs using (g) group by 1, 2)
 select doc_id, item_id, n as item_shingles, k as shared_shingles from m join n using (item_id) where 100 * k >= 80 * n

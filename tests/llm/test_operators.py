@@ -439,14 +439,16 @@ def test_language_vectors_do_not_depend_on_slices(monkeypatch):
 def brute_leaks(docs, items):
     norm = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
 
-    def sh(t):
+    def sh(t, v):
         w = norm(t)
-        return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        return {tuple(w[i : i + v]) for i in range(len(w) - v + 1)}
 
     sets = {}
     for i, t in items:
-        sets.setdefault(i, set()).update(sh(t))
-    return {(d, i, len(s), len(s & sh(t))) for d, t in docs for i, s in sets.items() if s and 5 * len(s & sh(t)) >= 4 * len(s)}
+        if norm(t):
+            sets.setdefault(i, set()).update(sh(t, min(5, len(norm(t)))))
+    held = {d: set().union(*(sh(t, v) for v in range(1, 6))) for d, t in enumerate(t for _, t in docs)}
+    return {(d, i, len(s), len(s & held[k])) for k, (d, _) in enumerate(docs) for i, s in sets.items() if 5 * len(s & held[k]) >= 4 * len(s)}
 
 
 def test_leaks_equal_brute_force(spark, odd, none):
@@ -469,13 +471,20 @@ def test_leaks_equal_brute_force(spark, odd, none):
     assert {(r.doc_id, r.item_id, r.item_shingles, r.shared_shingles) for r in got.collect()} == brute_leaks(docs, items)
     bench = spark.createDataFrame([(1, "one two three four five six seven"), (2, "one two")], "item_id long, text string")
     leaks = decontaminate.find_leaks(odd, bench)
-    assert {(r.doc_id, r.item_id) for r in leaks.collect()} == {(None, 1), (7, 1), (4, 2), (5, 2)}
+    assert {(r.doc_id, r.item_id) for r in leaks.collect()} == {(None, 1), (7, 1), (None, 2), (7, 2), (4, 2), (5, 2)}
     clean = decontaminate.drop_leaking(odd, leaks)
     assert clean.columns == odd.columns and {r.doc_id for r in clean.collect()} == {1, 2, 3, 8, 9, 10, 11}
     assert decontaminate.find_leaks(none, bench).count() == 0
     assert decontaminate.find_leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_inside_long_documents(spark):
+    docs = spark.createDataFrame([(1, "so a red green blue flag of many words"), (2, "red green and blue"), (3, "green")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Red, green, blue!"), (2, "green")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == {(1, 1), (1, 2), (2, 2), (3, 2)}
+
+
 # 8 embeddings
 
 
@@ -547,13 +556,17 @@ def test_templates_generalise_variable_places(spark):
     assert [got[i] for i in (1, 2, 3)] == [f"Something {name[i]} else" for i in (1, 2, 3)]
 
 
+def line_key(line):
+    w = words(line)
+    return tuple("<*>" if re.search("[0-9]", x) else x for x in w) if len(w) >= line_dedup.TREE_LINE else tuple(w)
+
+
 def brute_lines(docs, min_docs):
-    """Exact templates only (no generalisation): what has to be dropped at least."""
+    """Exact templates of lines (no generalisation): what has to be dropped at least."""
     seen = {}
     for i, t in docs:
-        for line in {tuple("<*>" if re.search(r"\d", w) else w for w in words(x)) for x in (t or "").split("\n")}:
-            if len(line) >= 3:
-                seen.setdefault(line, set()).add(i)
+        for key in {line_key(x) for x in (t or "").split("\n")} - {()}:
+            seen.setdefault(key, set()).add(i)
     return {k: min(v) for k, v in seen.items() if len(v) >= min_docs}
 
 
@@ -564,7 +577,7 @@ def test_line_query_against_brute_force(spark):
     first = brute_lines(docs, 3)
     cut = 0
     for i, t in docs:
-        left = Counter(tuple("<*>" if re.search(r"\d", w) else w for w in words(x)) for x in (got[i].text or "").split("\n"))
+        left = Counter(line_key(x) for x in (got[i].text or "").split("\n"))
         for k, d in first.items():
             if d != i:
                 assert not left[k]
@@ -596,6 +609,51 @@ def test_line_query_cuts_short_lines(spark):
         assert not [x for x in left if first.get(tuple(words(x)), r.doc_id) != r.doc_id]
 
 
+def brute_drop(rows, min_docs):
+    """Texts without their recurring lines, for lines that are one sentence and join no template."""
+    first = brute_lines(rows, min_docs)
+    out = []
+    for i, t in rows:
+        kept = [x for x in t.splitlines(keepends=True) if first.get(line_key(x.rstrip("\n")), i) == i]
+        out.append((i, "".join(kept)))
+    return out
+
+
+@pytest.mark.parametrize("min_docs", [2, 3, 4])
+def test_lines_count_documents_not_rows_or_slices(spark, min_docs):
+    rng = random.Random(8)
+    alphabet = "bcdfghklmnpqrstvwz"
+    # lines of up to 4 tokens have no place left to generalise
+    lines = [" ".join("".join(rng.choices(alphabet, k=4)) for _ in range(rng.randrange(1, 5))) for _ in range(60)]
+    rows = [(rng.randrange(12), "\n".join(rng.choices(lines, k=6))) for _ in range(30)]
+    rows += [(4, "qq rr"), (5, "qq rr"), (5, "qq rr")]
+    rows += [(50, "\n".join(["aaaa bbbb cccc dddd", *(f"{'x' * 20} {k}" for k in range(120_000))] * 2)), (51, "aaaa bbbb cccc dddd\nown")]
+    got = line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), min_docs)
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(brute_drop(rows, min_docs))
+
+
+def test_templates_of_more_than_three_documents(spark):
+    def line(x, y):
+        return f"Posted in the archive by {x} on the first day of that long month as usual {y}"
+
+    docs = [(i, line("anna", "now")) for i in (1, 2, 9)] + [(i, line("bruno", "now")) for i in (3, 9, 1)]
+    rows = [(i, "\n".join(t for j, t in docs if j == i)) for i in (1, 2, 3, 9)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert got[1] == rows[0][1] and [got[i] for i in (2, 3, 9)] == ["", "", ""]
+    kept = line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    assert {(r.doc_id, r.text) for r in kept} == set(rows)
+
+
+def test_new_columns_take_free_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, 0.5), (2, "c", 6, None)], "doc_id long, text string, Cut_Units int, quality_score double")
+    cut = line_dedup.drop_recurring(docs)
+    assert cut.columns == [*docs.columns, "cut_units_"] and cut.count() == 2
+    model = quality.Model(np.zeros((quality.BUCKETS, quality.DIMS), np.float32), None, 0.25)
+    scored = quality.score(docs, model)
+    assert scored.columns == [*docs.columns, "quality_score_"]
+    assert [(r.quality_score, r.quality_score_) for r in scored.orderBy("doc_id").collect()] == [(0.5, 0.25), (None, 0.25)]
+
+
 def test_lines_odd(spark, odd, none):
     got = line_dedup.drop_recurring(odd, 3)
     assert got.columns == [*odd.columns, "cut_units"]

@@ -82,3 +82,21 @@ def test_entry_works_without_the_subpackage():
         "assert e.queries() and not any(k.startswith('op1_') or k == 'pipeline' for k in e.queries())\n"
     ) % str(root)
     subprocess.run([sys.executable, "-c", code], check=True, cwd=root)
+
+
+def test_near_copies_go_by_id_and_text(spark):
+    copy, own = "one two three four five six seven eight", "nine ten eleven twelve other words of its own here"
+    rows = [(1, copy), (2, copy), (2, own), (3, own + " x"), (4, copy), (4, copy), (5, "alone and unlike the other rows of this"), (5, "alone and unlike the other rows of this")]
+    rows += [(None, copy), (None, "last words that no other row of the table has"), (7, None), (7, None), (8, "")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, near_id string").repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF001)
+    assert got.columns == docs.columns
+    want = [rows[0], rows[2], rows[6], rows[9], (7, None), (7, None), (8, "")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_stages_take_clashing_columns(spark):
+    docs = read_table(spark, SF001, "documents").selectExpr("*", "1 as quality_score", "2 as cut_units").drop("n_chars")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        done = stage(spark, docs, SF001)
+        assert done.columns == docs.columns and done.count() > 0
