@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fewshot_spark.llm import decontaminate, line_dedup, minhash, packing, quality
-from fewshot_spark.llm.graph import sized
 from fewshot_spark.llm.queries import vocabulary
 from fewshot_spark.session import prepare_session, read_table
 
@@ -20,25 +19,27 @@ from fewshot_spark.session import prepare_session, read_table
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score of 0.5 or more)."""
     prepare_session(spark)
-    model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("quality_score >= 0.5").drop("quality_score")
+    scored = quality.score(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+    mark = scored.columns[-1]
+    return scored.where(F.col(mark) >= 0.5).drop(mark)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines; a document that loses all its text goes."""
     prepare_session(spark)
     done = line_dedup.drop_recurring(docs, min_docs=3)
-    changed = done.where((F.col("cut_units") == 0) | (F.trim("text") != ""))
-    n_chars = F.when(F.col("cut_units") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return changed.withColumn("n_chars", n_chars).drop("cut_units")
+    cut = F.col(done.columns[-1])
+    left = done.where((cut == 0) | (F.trim("text") != ""))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(cut > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return left.drop(done.columns[-1])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (smallest id) of each group of near-duplicates: five words, similarity 0.8."""
+    """One document (smallest id) of each group of near-duplicates: five words, similarity 0.8.
+    Rows are told apart by id and text, so a row goes only for its own text."""
     prepare_session(spark)
-    judged = minhash.near_duplicates(docs, width=5, percent=80)
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(sized(gone), F.col("doc_id") == F.col("__gone_id"), "left_anti")
+    return minhash.one_of_each(docs, width=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
