@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fewshot_spark.session import prepare_session, read_table
 
-from . import decontaminate, embed_dedup, langid, line_dedup, minhash, packing, quality, sharding, tokens, url_rules
+from . import decontaminate, embed_dedup, langid, line_dedup, minhash, packing, prefix_trie, quality, sharding, tokens, url_rules
 
 SHARDS = 8
 # The rules that every url is judged by.
@@ -101,6 +101,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = prefix_trie.grafted(prefix_trie.conversations(read_table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_nodes(convs).drop("turn_id")
+
+
 QUERIES = {
     "op1_reshard": op1_reshard,
     "op2_token_counts": op2_token_counts,
@@ -112,6 +117,7 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLE = {
@@ -172,5 +178,32 @@ c as (select node, min(spot) as low from r group by 1),
 k as (select a, count(*) as n from l group by 1)
 select x.vec_id, coalesce(k.n, 0) as n_links, coalesce(c.low, x.vec_id) as component_id, coalesce(c.low, x.vec_id) = x.vec_id as kept
 from embeddings x left join k on k.a = x.vec_id left join c on c.node = x.vec_id
+""",
+    "op11_prefix_trie": """
+with own as (
+  select conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} order by turn nulls first, role, text) as turns
+  from conversations where conv_id is not null group by 1
+), c as (
+  select *, list_reduce(list_transform(range(1, length(conv_id::varchar) + 1), lambda i: ascii(substr(conv_id::varchar, i, 1))::bigint),
+    lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, k: xor(y >> 1, (y & 1) * 3988292384)), 4294967295) as raw from own
+), h as (select conv_id, turns, xor(raw, 4294967295) % 6 as h from c),
+g as (
+  select h.conv_id, list_concat(coalesce(d.turns[1:h.h], []), h.turns[h.h + 1:]) as turns
+  from h left join own d on d.conv_id = h.conv_id - h.conv_id % 100
+), p as (select conv_id, len(turns) as n, depth, turns[1:depth] as prefix from g, lateral (select unnest(range(0, len(turns) + 1)) as depth)),
+node as (
+  select depth, prefix, min(conv_id) as top, count(*) as n_convs, coalesce(length(prefix[depth].t), 0) as size,
+    coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where n = depth), '') as ends from p group by 1, 2
+), m as (select p.conv_id as member, node.depth, top, n_convs, size from p join node using (depth, prefix)),
+kin as (
+  select distinct a.depth as depth, a.top as top, b.depth as d2, b.top as t2, b.n_convs, b.size from m a join m b on a.member = b.member and a.depth <= b.depth
+), leaf as (select depth as d2, top as t2, count(*) filter (where kin.d2 = depth + 1) as n_children from kin group by 1, 2),
+s as (
+  select kin.depth, kin.top, sum((n_convs - 1) * size)::bigint as saved_tokens, count(*) filter (where leaf.n_children = 0) as n_leaves
+  from kin join leaf on leaf.d2 = kin.d2 and leaf.t2 = kin.t2 group by 1, 2
+)
+select node.top as conv_id, node.depth::bigint as depth, up.top as parent_conv_id, node.n_convs, leaf.n_children, s.n_leaves, s.saved_tokens, sha256(ends) as ends_sha256
+from node join s on s.depth = node.depth and s.top = node.top join leaf on leaf.d2 = node.depth and leaf.t2 = node.top
+left join m up on up.member = node.top and up.depth = node.depth - 1
 """,
 }
