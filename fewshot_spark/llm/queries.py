@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fewshot_spark.session import prepare_session, read_table
 
-from . import decontaminate, embed_dedup, langid, line_dedup, minhash, packing, prefix_trie, quality, sharding, tokens, url_rules
+from . import decontaminate, embed_dedup, langid, line_dedup, minhash, packing, prefix_trie, quality, ranked, sharding, tokens, toxicity, url_rules
 
 SHARDS = 8
 # The rules that every url is judged by.
@@ -106,6 +106,19 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_nodes(convs).drop("turn_id")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels").where(crc_of_id(5) != 0)
+    out = toxicity.score(docs, toxicity.fit(docs, labels), keep=["doc_id"])
+    return out.select(
+        "doc_id", (crc_of_id(5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_reshard": op1_reshard,
     "op2_token_counts": op2_token_counts,
@@ -118,6 +131,8 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_toxicity": op12_toxicity,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLE = {
@@ -205,5 +220,24 @@ s as (
 select node.top as conv_id, node.depth::bigint as depth, up.top as parent_conv_id, node.n_convs, leaf.n_children, s.n_leaves, s.saved_tokens, sha256(ends) as ends_sha256
 from node join s on s.depth = node.depth and s.top = node.top join leaf on leaf.d2 = node.depth and leaf.t2 = node.top
 left join m up on up.member = node.top and up.depth = node.depth - 1
+""",
+    "op13_ranked_search": r"""
+with t as (
+  select row_number() over () as doc, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents
+), d as (select * from t where len(w) > 0),
+g as (select count(*)::bigint as n_docs, sum(len(w))::bigint as total from d),
+m as (select doc, doc_id, 25 + (75 * len(w)::bigint * n_docs) // total as m from d, g),
+f as (select doc, term, count(*)::bigint as tf from (select doc, unnest(w) as term from d) group by 1, 2),
+df as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as weight from f, g group by term, n_docs),
+q as (
+  select item_id, term, count(*)::bigint as times from (
+    select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from (select distinct item_id, text from benchmark)) group by 1, 2
+), s as (
+  select item_id, doc, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from q join df using (term) join f using (term) join m using (doc) group by 1, 2, 3
+), r as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0)
+select item_id, rank::integer as rank, doc_id, score from r where rank <= 10
 """,
 }
