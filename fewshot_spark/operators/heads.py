@@ -5,8 +5,8 @@ Two execution shapes, chosen by the size of what one fit sees:
 * many small splits (the few-shot grid): ``fit_heads_per_split`` runs one numpy fit per split
   inside ``groupBy(split).applyInPandas``; a split holds at most k x classes rows, so
   every group fits one task and all splits train in parallel;
-* one large training set: MLlib estimators (``mllib_*``), which aggregate gradients across the
-  cluster.
+* one large training set: ``operators.large`` (the same objectives, sums made in Spark), or MLlib
+  estimators (``mllib_*``).
 
 Objectives (no scikit-learn on the box; these follow its documented defaults):
 * logistic regression: multinomial soft-max, ``0.5 |W|^2 + C Σ log-loss``, C = 1, intercept
@@ -39,14 +39,14 @@ MAX_BROADCAST_WEIGHTS = 50_000_000  # doubles (400 MB)
 GRADIENT_TOL = 1e-5
 
 
-def _line_search(fun, x, f, gd, d, c1: float = 1e-4, c2: float = 0.9):
+def _line_search(x, f, gd, d, c1: float = 1e-4, c2: float = 0.9):
     """Step along ``d`` that meets the sufficient-decrease and the curvature condition (bisection).
     Near the optimum the decrease drowns in rounding, so there the slope alone decides."""
     lo, hi, step = 0.0, np.inf, 1.0
     noise = 1e-13 * max(1.0, abs(f))
     for _ in range(60):
         x_new = x + step * d
-        f_new, g_new = fun(x_new)
+        f_new, g_new = yield x_new
         slope = float(g_new @ d)
         if f_new > f + c1 * step * gd + noise or (f_new > f - noise and slope > -c2 * gd):
             hi = step
@@ -58,11 +58,12 @@ def _line_search(fun, x, f, gd, d, c1: float = 1e-4, c2: float = 0.9):
     return x_new, f_new, g_new
 
 
-def lbfgs(fun, x0: np.ndarray, max_iter: int = 2000, m: int = 10, tol: float = GRADIENT_TOL) -> np.ndarray:
-    """Minimise ``fun(x) -> (value, grad)`` with L-BFGS; ends when no gradient entry exceeds
-    ``tol`` (an objective that stalls is no reason to end)."""
+def lbfgs_steps(x0: np.ndarray, max_iter: int = 2000, m: int = 10, tol: float = GRADIENT_TOL):
+    """L-BFGS as a generator: it yields points, is sent ``(value, gradient)`` there, and returns
+    the optimum. It ends when no gradient entry exceeds ``tol`` (an objective that stalls is no
+    reason to end). Whoever drives it decides where the sums are made."""
     x = x0.astype(np.float64).copy()
-    f, g = fun(x)
+    f, g = yield x
     s_hist: list[np.ndarray] = []
     y_hist: list[np.ndarray] = []
     for _ in range(max_iter):
@@ -84,7 +85,7 @@ def lbfgs(fun, x0: np.ndarray, max_iter: int = 2000, m: int = 10, tol: float = G
         gd = float(g @ d)
         if gd >= 0:
             d, gd = -g, -float(g @ g)
-        x_new, f_new, g_new = _line_search(fun, x, f, gd, d)
+        x_new, f_new, g_new = yield from _line_search(x, f, gd, d)
         s, y = x_new - x, g_new - g
         if float(s @ y) > 1e-16 * float(y @ y):
             s_hist.append(s)
@@ -96,6 +97,17 @@ def lbfgs(fun, x0: np.ndarray, max_iter: int = 2000, m: int = 10, tol: float = G
     return x
 
 
+def lbfgs(fun, x0: np.ndarray, max_iter: int = 2000, m: int = 10, tol: float = GRADIENT_TOL) -> np.ndarray:
+    """Minimise ``fun(x) -> (value, grad)`` by ``lbfgs_steps``."""
+    steps = lbfgs_steps(x0, max_iter, m, tol)
+    x = next(steps)
+    while True:
+        try:
+            x = steps.send(fun(x))
+        except StopIteration as end:
+            return end.value
+
+
 def fit_logreg_np(X: np.ndarray, y: np.ndarray, classes: np.ndarray, C: float = 1.0, max_iter: int = 2000):
     """Soft-max logistic regression; returns ``(W [k x d], b [k])``. Two classes use the binary
     (one weight vector) form, returned as ``[-w/2, w/2]`` so arg-max equals the binary rule."""

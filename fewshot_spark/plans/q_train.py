@@ -12,6 +12,7 @@ from ..operators import adapter as AD
 from ..operators import encode as E
 from ..operators import examples as X
 from ..operators import heads as HD
+from ..operators import large as LG
 from ..operators import losses as L
 from ..operators import metrics as V
 from ..operators import sampling as M
@@ -164,6 +165,63 @@ def q_head_classifier_chain(spark, sf):
     return _multilabel_head(spark, sf, "classifier-chain")
 
 
+# ---- heads on all rows of a table, with a certificate of the optimum --------------------------
+
+OPTIMAL = 2 * HD.GRADIENT_TOL  # bound on the gradient's largest entry, recomputed in SQL functions
+
+
+def _certified(rows, heads, kind: str):
+    """Per label: rows, positives, and whether the fitted weights are an optimum over all rows."""
+    found = LG.gradient_sizes(rows, heads, kind)
+    return found.select("label", "n_rows", "positives", (F.col("gradient") <= OPTIMAL).alias("optimal"))
+
+
+_EM_HEAD_SQL = f"SELECT label, (SELECT count(*) FROM {EM_SQL}) AS n_rows, count(*) AS positives, true AS optimal FROM {EM_SQL} GROUP BY label"
+_FLAG_HEAD_SQL = "SELECT 0 AS label, count(*) AS n_rows, sum(quality)::BIGINT AS positives, true AS optimal FROM {0} UNION ALL " \
+    "SELECT 1, count(*), sum(toxic)::BIGINT, true FROM {0}"
+
+
+def _em_head(spark, sf, fit, kind: str):
+    rows = _em(spark, sf)
+    classes, W, b = fit(rows)
+    one_of = F.transform(F.sequence(F.lit(0), F.lit(int(classes.max()))), lambda i: (i == F.col("label")).cast("int"))
+    heads = LG.class_weights(spark, classes, W, b).withColumn("chain", F.array().cast("array<double>"))
+    return _certified(rows.select("row_id", "embedding", one_of.alias("labels")), heads, kind)
+
+
+@register("head_logreg_all", _EM_HEAD_SQL)
+def q_head_logreg_all(spark, sf):
+    """Soft-max logistic regression on all vectors: sums in Spark, certified at its optimum."""
+    return _em_head(spark, sf, LG.fit_logreg, "softmax")
+
+
+@register("head_linear_svc_all", _EM_HEAD_SQL)
+def q_head_linear_svc_all(spark, sf):
+    """Squared-hinge SVC with penalised intercept on all vectors, all classes in the same passes."""
+    return _em_head(spark, sf, LG.fit_linear_svc, "hinge")
+
+
+def _flag_heads(spark, sf, strategy: str):
+    rows = E.encode_hash(R.documents_multilabel(spark, sf), dim=256, keep=["quality", "toxic"]).persist()
+    try:
+        heads, _ = LG.fit_multilabel(rows, ["quality", "toxic"], strategy)
+    finally:
+        rows.unpersist()
+    return _certified(rows.select("row_id", "embedding", F.array("quality", "toxic").alias("labels")), LG.multilabel_weights(spark, heads), "logistic")
+
+
+def _register_flag_heads(name: str, strategy: str) -> None:
+    @register(name, _FLAG_HEAD_SQL.format(DLM_SQL))
+    def run(spark, sf):
+        return _flag_heads(spark, sf, strategy)
+
+    run.__doc__ = f"Both labels of all documents in one {strategy} fit, certified at its optimum."
+
+
+for _name, _strategy in (("head_one_vs_rest_all", "one-vs-rest"), ("head_multi_output_all", "multi-output"), ("head_classifier_chain_all", "classifier-chain")):
+    _register_flag_heads(_name, _strategy)
+
+
 @register("train_grid")
 def q_train_grid(spark, sf):
     """The full grid (sizes 2..64 x 20 seeds) of the embeddings table: one soft-max LR per split,
