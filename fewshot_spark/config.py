@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
@@ -25,8 +27,11 @@ class RunConfig:
     (iterations 40, batch 16, logistic regression, cosine-similarity loss, margin 0.25, 10 seeds,
     one-vs-rest); the sample-size default is the list ``(16,)``. ``datasets``, ``is_dev_set`` and
     ``is_test_set`` choose the sets that ``loading.load_sets`` reads by name. Texts are whole unless
-    ``max_seq_length`` names a number of tokens. ``max_fit_rows`` bounds the rows one split's head
-    and adapter are fitted on (those with the smallest seeded hash of their id). ``on_empty`` says
+    ``max_seq_length`` names a number of tokens. ``max_fit_rows`` (none by default) bounds the rows one
+    split's head and adapter are fitted on (those with the smallest seeded hash of their id). A split
+    of up to ``stream_rows`` rows streams through one task; a larger one is trained by distributed
+    steps, at most ``max_large_steps`` of them. Records are committed after every
+    ``splits_per_commit`` splits. ``optimizer``: plain steps (``sgd``) or ``adamw``. ``on_empty`` says
     what happens to a multi-label row without a disjoint partner: ``skip`` (counted in the result)
     or ``raise``. The classifier ``centroid`` (class means) with ``use_adapter=False`` is a baseline
     that SQL can restate. ``save_embeddings`` stores test and anchor vectors beside the results.
@@ -57,7 +62,11 @@ class RunConfig:
     encoder_dim: int = 256
     use_adapter: bool = True
     adapter_lr: float = 0.5
-    max_fit_rows: int | None = 200_000
+    optimizer: str = "sgd"
+    max_fit_rows: int | None = None
+    stream_rows: int = 200_000
+    max_large_steps: int = 200
+    splits_per_commit: int = 256
     on_empty: str = "skip"
     save_embeddings: bool = False
     results_dir: str | None = None
@@ -83,7 +92,9 @@ class RunConfig:
             raise ValueError("sample_sizes must be a non-empty sequence of positive integers")
         if self.on_empty not in ("skip", "raise"):
             raise ValueError("on_empty must be 'skip' or 'raise'")
-        for name in ("num_iterations", "batch_size", "max_seq_length", "seeds_num", "encoder_dim", "max_fit_rows"):
+        if self.optimizer not in ("sgd", "adamw"):
+            raise ValueError("optimizer must be 'sgd' or 'adamw'")
+        for name in ("num_iterations", "batch_size", "max_seq_length", "seeds_num", "encoder_dim", "max_fit_rows", "stream_rows", "max_large_steps", "splits_per_commit"):
             if getattr(self, name) is not None and getattr(self, name) < 1:
                 raise ValueError(f"{name} must be >= 1")
 
@@ -97,10 +108,25 @@ class RunConfig:
 
     def as_dict(self) -> dict:
         d = {k: v for k, v in asdict(self).items() if k != "encoder"}
-        d["encoder"] = None if self.encoder is None else getattr(self.encoder, "__name__", "custom")
+        d["encoder"] = None if self.encoder is None else getattr(self.encoder, "__qualname__", type(self.encoder).__qualname__)
         return d
 
 
+# Settings that change no record: which splits are asked for, where and how often they are stored,
+# and how intermediates are kept.
+_NOT_IN_RECORDS = {
+    "datasets", "sample_sizes", "seeds_num", "is_dev_set", "is_test_set", "override_results", "save_embeddings",
+    "results_dir", "checkpoint_intermediates", "splits_per_commit",
+}
+
+
+def settings_key(cfg: RunConfig) -> str:
+    """Fingerprint of every setting that can change a record (a new field of ``RunConfig`` counts
+    until it is named above), beside the run's name in the result table's partitions."""
+    kept = {k: v for k, v in cfg.as_dict().items() if k not in _NOT_IN_RECORDS}
+    return hashlib.sha256(json.dumps(kept, sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
 def run_id(cfg: RunConfig) -> str:
     """Name of the run (the result folder of the original scripts)."""
     text = RUN_ID_FORMATS[cfg.kind].format(

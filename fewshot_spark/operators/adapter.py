@@ -5,7 +5,8 @@ Each step is one distributed job: ``W`` is broadcast, every partition returns it
 (loss sum, count, gradient) from ``mapInPandas``; with more than 64 partitions the partials are
 first summed in about sqrt(p) tasks (a tree reduction in Spark), so the driver receives at most
 max(64, sqrt(p)) d x d arrays per step, and takes the step. The learning rate warms up linearly over the first 10 % of
-the steps (rounded up) and then decays linearly to 0. ``W`` starts at the identity for every
+the steps (rounded up) and then decays linearly to 0. Steps are plain or keep moments of the
+gradient (``Steps``), over all examples or one mini-batch at a time. ``W`` starts at the identity for every
 fit, so fits are pure functions of their input (the weight reset between splits).
 
 Gradient of ``c = cos(Wx, Wy)`` with ``u = Wx``, ``v = Wy``:
@@ -90,6 +91,68 @@ def _sum_partials(batches):
         yield pd.DataFrame({"loss": [tot], "n": [n], "grad": [G]})
 
 
+OPTIMIZERS = ("sgd", "adamw")
+
+
+class Steps:
+    """Takes gradient steps on ``W`` from the identity over ``steps`` steps with warm-up and decay.
+
+    ``sgd``: plain steps. ``adamw``: bias-corrected first and second moments (0.9, 0.999) and
+    decay of ``W - I`` decoupled from the gradient (the identity is the frozen encoder itself)."""
+
+    def __init__(self, d: int, steps: int, lr: float, optimizer: str = "sgd", decay: float = 0.01):
+        if optimizer not in OPTIMIZERS:
+            raise ValueError(f"optimizer must be one of {OPTIMIZERS}")
+        self.W, self.m, self.v = np.eye(d), np.zeros((d, d)), np.zeros((d, d))
+        self.steps, self.lr, self.optimizer, self.decay, self.step = steps, lr, optimizer, decay, 0
+
+    def take(self, G: np.ndarray) -> None:
+        rate = lr_at(self.step, self.steps, self.lr)
+        self.step += 1
+        if self.optimizer == "sgd":
+            self.W = self.W - rate * G
+            return
+        self.m, self.v = 0.9 * self.m + 0.1 * G, 0.999 * self.v + 0.001 * G * G
+        first, second = self.m / (1 - 0.9**self.step), self.v / (1 - 0.999**self.step)
+        self.W = self.W - rate * (first / (np.sqrt(second) + EPS) + self.decay * (self.W - np.eye(len(self.W))))
+
+
+_SUMS = T.StructType([
+    T.StructField("loss", T.DoubleType()), T.StructField("n", T.LongType()),
+    T.StructField("grad", T.ArrayType(T.DoubleType())),
+])
+
+
+def _summed(data: DataFrame, W: np.ndarray, loss: str, margin: float, n_parts: int) -> tuple[float, int, np.ndarray]:
+    """Mean loss, number and mean gradient of all examples of ``data`` under ``W``: one job."""
+    d = len(W)
+    bw = data.sparkSession.sparkContext.broadcast(W)
+
+    def part(batches):
+        Wl = bw.value
+        tot, n, G = 0.0, 0, np.zeros_like(Wl)
+        for b in batches:
+            if len(b) == 0:
+                continue
+            l, g = _partials(Wl, b, loss, margin)
+            tot += l
+            n += len(b)
+            G += g
+        if n:
+            yield pd.DataFrame({"loss": [tot], "n": [n], "grad": [G.ravel()]})
+
+    partials = data.mapInPandas(part, _SUMS)
+    most = max(1, min(DIRECT_PARTIALS, (1 << 26) // (8 * d * d)))
+    while n_parts > most:  # sum in Spark until the driver gets at most 64 MB of partials
+        n_parts = math.isqrt(n_parts)
+        partials = partials.repartition(n_parts).mapInPandas(_sum_partials, _SUMS)
+    parts = partials.collect()
+    bw.unpersist()
+    n = sum(r["n"] for r in parts)
+    G = sum((np.asarray(r["grad"]) for r in parts), np.zeros(d * d)).reshape(d, d) / max(n, 1)
+    return sum(r["loss"] for r in parts) / max(n, 1), n, G
+
+
 def fit_adapter(
     examples: DataFrame,
     loss: str = "triplet",
@@ -97,64 +160,38 @@ def fit_adapter(
     lr: float = 2.0,
     margin: float = 0.25,
     partitions: int | None = None,
+    optimizer: str = "sgd",
 ) -> tuple[np.ndarray, list[float]]:
-    """Learn ``W`` by full-batch gradient steps; returns ``(W, [mean loss before each step])``.
+    """Learn ``W`` by gradient steps; returns ``(W, [mean loss before each step])``.
 
-    ``examples`` holds ``a, p, n`` arrays (triplet) or ``u, v, target`` (cosine). It is persisted
-    once and coalesced to ``partitions`` so that each step has one partial per partition.
+    ``examples`` holds ``a, p, n`` arrays (triplet) or ``u, v, target`` (cosine). With a column
+    ``batch_id`` (0 to steps - 1) each step sees its own mini-batch, in that order; without, all
+    examples. They are persisted once (sorted by batch, so a step skips the cached blocks of the
+    others), coalesced to ``partitions`` where given; each step has one partial per partition.
     """
     if loss not in ("triplet", "cosine"):
         raise ValueError("loss is 'triplet' or 'cosine'")
+    batched = "batch_id" in examples.columns
     cols = ["a", "p", "n"] if loss == "triplet" else ["u", "v", "target"]
-    data = examples.select(*cols)
+    data = examples.select(*cols, *(["batch_id"] if batched else []))
     if partitions:
         data = data.coalesce(partitions)
-    data = data.persist()
-    first = data.select(F.size(cols[0]).alias("d")).first()
-    if first is None:
-        data.unpersist()
-        raise ValueError("no training examples")
-    d = int(first["d"])
-    sc = data.sparkSession.sparkContext
-    schema = T.StructType([
-        T.StructField("loss", T.DoubleType()), T.StructField("n", T.LongType()),
-        T.StructField("grad", T.ArrayType(T.DoubleType())),
-    ])
-    W = np.eye(d)
-    history: list[float] = []
-    n_parts = data.rdd.getNumPartitions()
-    most = max(1, min(DIRECT_PARTIALS, (1 << 26) // (8 * d * d)))
+    data = (data.sortWithinPartitions("batch_id") if batched else data).persist()
     try:
+        first = data.select(F.size(cols[0]).alias("d")).first()
+        if first is None:
+            raise ValueError("no training examples")
+        n_parts = data.rdd.getNumPartitions()
+        run, history = Steps(int(first["d"]), steps, lr, optimizer), []
         for step in range(steps):
-            bw = sc.broadcast(W)
-
-            def part(batches, bw=bw):
-                Wl = bw.value
-                tot, n, G = 0.0, 0, np.zeros_like(Wl)
-                for b in batches:
-                    if len(b) == 0:
-                        continue
-                    l, g = _partials(Wl, b, loss, margin)
-                    tot += l
-                    n += len(b)
-                    G += g
-                if n:
-                    yield pd.DataFrame({"loss": [tot], "n": [n], "grad": [G.ravel()]})
-
-            partials = data.mapInPandas(part, schema)
-            left = n_parts
-            while left > most:  # sum in Spark until the driver gets at most 64 MB of partials
-                left = math.isqrt(left)
-                partials = partials.repartition(left).mapInPandas(_sum_partials, schema)
-            parts = partials.collect()
-            bw.unpersist()
-            n = sum(r["n"] for r in parts)
-            G = sum(np.asarray(r["grad"]) for r in parts).reshape(d, d) / n
-            history.append(sum(r["loss"] for r in parts) / n)
-            W = W - lr_at(step, steps, lr) * G
+            batch = data.where(F.col("batch_id") == step) if batched else data
+            mean, n, G = _summed(batch.select(*cols), run.W, loss, margin, n_parts)
+            if n:
+                history.append(mean)
+                run.take(G)
     finally:
         data.unpersist()
-    return W, history
+    return run.W, history
 
 
 def adapter_loss(examples: DataFrame, W: np.ndarray, loss: str = "triplet", margin: float = 0.25) -> float:

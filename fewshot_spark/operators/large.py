@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .heads import lbfgs_steps
+from .losses import mean_vectors
 
 DIRECT_SUMS, DRIVER_BYTES = 64, 1 << 26
 
@@ -179,6 +180,18 @@ def fit_linear_svc(train: DataFrame, label_col: str = "label", vec_col: str = "e
     return classes, np.stack(ws)[:, :d], np.stack(ws)[:, d]
 
 
+def fit_head(head: str, train: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(classes, W, b)`` of the named head, as ``heads.fit_head_np`` fits it."""
+    if head == "logistic_regression":
+        return fit_logreg(train, label_col, vec_col)
+    if head == "LinearSVC":
+        return fit_linear_svc(train, label_col, vec_col)
+    if head == "centroid":
+        got = sorted(mean_vectors(train.select(F.col(label_col).alias("label"), vec_col), ["label"], vec_col, out="w").collect(), key=lambda r: r["label"])
+        return np.array([r["label"] for r in got]), np.array([r["w"] for r in got]), np.zeros(len(got))
+    raise ValueError(f"unknown head {head!r}")
+
+
 @dataclass
 class LabelHead:
     """Head of one label: ``w`` on the vector, ``chain`` on the earlier labels, or a constant."""
@@ -214,6 +227,29 @@ def fit_multilabel(
     return heads, passes
 
 
+def fit_label_centroids(train: DataFrame, label_cols: list[str], strategy: str, vec_col: str = "embedding") -> list[LabelHead]:
+    """Class-mean heads of all labels: the mean of the rows with a label less that of the others
+    (and so for the earlier labels of a chain)."""
+    long = train.select(vec_col, *label_cols, F.posexplode(F.array(*[F.col(c).cast("int") for c in label_cols])).alias("label", "t"))
+    known = F.slice(F.array(*[F.col(c).cast("double") for c in label_cols]), F.lit(1), F.col("label") if strategy == "classifier-chain" else F.lit(0))
+    long = long.select("label", "t", F.concat(F.col(vec_col).cast("array<double>"), known).alias("x"))
+    means = {(r["label"], r["t"]): np.array(r["w"]) for r in mean_vectors(long, ["label", "t"], "x", out="w").collect()}
+    heads = []
+    for j, c in enumerate(label_cols):
+        one, none = means.get((j, 1)), means.get((j, 0))
+        if one is None or none is None:
+            if strategy == "multi-output":
+                raise ValueError(f"label column {c!r} has one value only")
+            whole = one if one is not None else none
+            d = len(whole) - (j if strategy == "classifier-chain" else 0)
+            heads.append(LabelHead(np.zeros(d), np.zeros(0), 0.0, int(one is not None)))
+        else:
+            w = one - none
+            d = len(w) - (j if strategy == "classifier-chain" else 0)
+            heads.append(LabelHead(w[:d], w[d:], 0.0))
+    return heads
+
+
 def multilabel_weights(spark, heads: list[LabelHead]) -> DataFrame:
     """Heads as the table that ``grid.predict_multilabel`` reads."""
     rows = [(0, j, h.w.tolist(), h.chain.tolist(), h.b, h.constant) for j, h in enumerate(heads)]

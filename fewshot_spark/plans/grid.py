@@ -7,6 +7,9 @@ anchors (rows bounded by ``max_fit_rows``), takes the adapter's mini-batch steps
 examples pass (warm-up and linear decay, W reset to the identity for every split), fits the head
 on the adapted embeddings and returns the head folded through the adapter: one linear map per
 split. There is no bound on the number of examples.
+A split of more rows than a task should hold (``stream_rows``) is trained by distributed steps and
+fits instead (``operators.adapter``, ``operators.large``): no task holds its rows, and with the same
+batches both ways give the same maps.
 Prediction then scores the test table against all splits' maps in Arrow batches and returns
 only confusion counts, so nothing grows with splits x test rows.
 """
@@ -21,7 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.adapter import grad_cosine, grad_triplet, lr_at
+from ..operators import adapter as AD
+from ..operators import large as LG
+from ..operators.adapter import grad_cosine, grad_triplet
 from ..operators.heads import chosen, fit_binary_np, fit_head_np, scored_rows, weight_chunks
 
 
@@ -35,13 +40,33 @@ def pending_splits(wanted: DataFrame, done: DataFrame | None, keys: list[str], o
 
 def bounded_rows(df: DataFrame, keys: list[str], limit: int | None, seed: int, id_col: str = "row_id") -> DataFrame:
     """At most ``limit`` rows per split, those with the smallest seeded hash of their id (a
-    documented bound on what one head is fitted on; ``None``: all rows)."""
+    documented bound on what one head is fitted on; ``None``: all rows).
+
+    A split over the bound is cut by radix selection of its ``limit``-th hash (``kth_smallest``),
+    split by split; no split is sorted in one task, and splits within the bound are left alone."""
     if limit is None:
         return df
     from ..functions.hashing import h60
+    from ..functions.ranking import kth_smallest, upto_pair
+
+    over = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).collect()
+    if not over:
+        return df
+    h = h60(F.lit(int(seed)), F.lit("fit"), F.col(id_col))
+    fits = F.lit(True)
+    for r in over:
+        mine = _is_split(r, keys)
+        hk, ik, _ = kth_smallest(df.where(mine).select(h.alias("h"), F.col(id_col).alias("row_id")), limit, "h", "row_id", r["_n"])
+        fits = fits & (~mine | upto_pair("_h", id_col, hk, ik))
+    return df.withColumn("_h", h).where(fits).drop("_h")
 
-    w = Window.partitionBy(*keys).orderBy(h60(F.lit(int(seed)), F.lit("fit"), F.col(id_col)), id_col)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
+
+def _is_split(row, keys: list[str]):
+    """Condition that a row belongs to the split of ``row``."""
+    found = F.lit(True)
+    for k in keys:
+        found = found & F.col(k).eqNullSafe(F.lit(row[k]))
+    return found
 
 
 def _stream(both: DataFrame, keys: list[str], order: list[str], fit, schema) -> DataFrame:
@@ -103,14 +128,14 @@ def _order_cols(examples: DataFrame) -> list[str]:
 
 
 def _adapt(X: np.ndarray, row_index: pd.Index, examples, anchors: dict, loss: str, lr: float, margin: float, steps: int,
-           batch_size: int, by_id: bool) -> np.ndarray:
+           batch_size: int, by_id: bool, optimizer: str = "sgd") -> np.ndarray:
     """Mini-batch adapter steps over the ordered example frames of one split, with warm-up and
     linear decay over ``steps``; a batch that a frame cuts is completed from the next one."""
-    W = np.eye(X.shape[1])
+    run = AD.Steps(X.shape[1], steps, lr, optimizer)
     if loss == "triplet":
         akeys = pd.Index(list(anchors))
         A_all = np.vstack(list(anchors.values())) if anchors else np.zeros((0, X.shape[1]))
-    step, held = 0, None
+    held = None
 
     def indexed(ex):
         """Row, partner, anchor (or target) positions of a frame's examples, and their batch ids."""
@@ -127,13 +152,11 @@ def _adapt(X: np.ndarray, row_index: pd.Index, examples, anchors: dict, loss: st
         return [ip, io, x, ex["batch_id"].to_numpy() if by_id else ip]
 
     def apply(ip, io, x):
-        nonlocal W, step
         if loss == "triplet":
-            _, G = grad_triplet(W, A_all[x], X[ip], X[io], margin)
+            _, G = grad_triplet(run.W, A_all[x], X[ip], X[io], margin)
         else:
-            _, G = grad_cosine(W, X[ip], X[io], x)
-        W = W - lr_at(step, steps, lr) * (G / len(ip))
-        step += 1
+            _, G = grad_cosine(run.W, X[ip], X[io], x)
+        run.take(G / len(ip))
 
     for ex in examples:
         cols = indexed(ex)
@@ -146,7 +169,7 @@ def _adapt(X: np.ndarray, row_index: pd.Index, examples, anchors: dict, loss: st
         held = [c[starts[-1]:] for c in cols]
     if held is not None:
         apply(*held[:3])
-    return W
+    return run.W
 
 
 def _prepared(rows, examples, keys, row_cols, anchors: DataFrame | None, loss: str, vec_col: str, batch_size: int):
@@ -181,6 +204,47 @@ def _anchor_table(spark, anchors, vec_col: str) -> DataFrame | None:
     return spark.createDataFrame(rows, f"anchor_key long, {vec_col} array<double>")
 
 
+def _routed(rows: DataFrame, examples: DataFrame, keys: list[str], stream_rows: int | None):
+    """``(rows, examples)`` of the splits that a task streams, and the keys of the larger ones."""
+    if stream_rows is None:
+        return rows, examples, []
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > stream_rows).select(*keys).collect()
+    for r in large:
+        rows, examples = (x.where(~_is_split(r, keys)) for x in (rows, examples))
+    return rows, examples, large
+
+
+def _large_rows(rows: DataFrame, examples: DataFrame, keys: list[str], split, anchors: DataFrame | None, loss: str, lr: float,
+                margin: float, use_adapter: bool, vec_col: str, batch_size: int, max_steps: int, optimizer: str) -> tuple[DataFrame, np.ndarray | None]:
+    """Adapted rows of one large split, and its adapter.
+
+    Examples get their vectors by joins and go to mini-batches: those of ``batch_id`` where they
+    have it, else ranges of ``batch_key``, at most ``max_steps`` of them (so a batch grows with the
+    split: every step is a job)."""
+    mine = _is_split(split, keys)
+    rows, examples = rows.where(mine), examples.where(mine)
+    if not use_adapter:
+        return rows, None
+    if "batch_id" in examples.columns:
+        steps = examples.agg(F.max("batch_id")).first()[0]
+        steps, batch = 0 if steps is None else int(steps) + 1, F.col("batch_id")
+    else:
+        from ..functions.hashing import HASH_BITS
+
+        steps = min(max_steps, -(-examples.count() // batch_size))
+        batch = F.floor(F.col("batch_key") / F.lit(float(1 << HASH_BITS)) * steps)
+    if not steps:
+        return rows, None
+    vectors = rows.select("row_id", vec_col)
+    other = vectors.select(F.col("row_id").alias("other_row_id"), F.col(vec_col).alias("n" if loss == "triplet" else "v"))
+    ex = examples.withColumn("batch_id", batch.cast("int")).join(vectors.withColumnRenamed(vec_col, "p" if loss == "triplet" else "u"), "row_id").join(other, "other_row_id")
+    if loss == "triplet":
+        vec = anchors.select(F.col("anchor_key").cast(examples.schema["anchor_key"].dataType).alias("anchor_key"), F.col(vec_col).alias("a"))
+        ex = ex.join(vec, "anchor_key")
+    W, _ = AD.fit_adapter(ex, loss, steps, lr, margin, optimizer=optimizer)
+    return AD.apply_adapter(rows, W, vec_col), W
+
+
 def train_splits(
     rows: DataFrame,
     examples: DataFrame,
@@ -194,13 +258,18 @@ def train_splits(
     label_col: str = "label",
     vec_col: str = "embedding",
     batch_size: int = 16,
+    stream_rows: int | None = None,
+    max_steps: int = 200,
+    optimizer: str = "sgd",
 ) -> DataFrame:
     """Single-label: ``(keys, label, weights, bias)`` per split, adapter folded in.
 
     ``rows``: keys, row_id, label, embedding. ``examples``: keys, row_id, other_row_id, anchor_key
     (the label, triplets) or target (pairs), and either ``batch_id`` (``assign_batches``) or
     ``batch_key`` + ``iteration`` (``with_batch_key``). ``anchor_vectors``: a table
-    ``(anchor_key, <vec_col>)`` or a dict; each split gets those its examples use.
+    ``(anchor_key, <vec_col>)`` or a dict; each split gets those its examples use. A split of more
+    than ``stream_rows`` rows is trained by distributed steps (at most ``max_steps`` of them, where
+    the examples have no ``batch_id``) and a distributed fit; the others each stream through a task.
     """
     key_fields = [rows.schema[k] for k in keys]
     schema = T.StructType(key_fields + [
@@ -209,6 +278,8 @@ def train_splits(
         T.StructField("bias", T.DoubleType()),
     ])
     anchors = _anchor_table(rows.sparkSession, anchor_vectors, vec_col)
+    all_rows, all_examples = rows, examples
+    rows, examples, large = _routed(rows, examples, keys, stream_rows)
     both, order, by_id = _prepared(rows, examples, keys, ["row_id", label_col, vec_col], anchors, loss, vec_col, batch_size)
 
     def fit(key, parts):
@@ -219,7 +290,7 @@ def train_splits(
         W = np.eye(X.shape[1])
         if use_adapter:
             vecs = {int(k): np.asarray(v, dtype=np.float64) for k, v in zip(a["row_id"], a[vec_col])}
-            W = _adapt(X, pd.Index(r["row_id"].to_numpy()), ex, vecs, loss, lr, margin, int(r["_steps"].iloc[0]), batch_size, by_id)
+            W = _adapt(X, pd.Index(r["row_id"].to_numpy()), ex, vecs, loss, lr, margin, int(r["_steps"].iloc[0]), batch_size, by_id, optimizer)
         y = r[label_col].to_numpy().astype(np.int64)
         classes = np.unique(y)
         Hh, b = fit_head_np(head, X @ W.T, y, classes)
@@ -229,7 +300,14 @@ def train_splits(
         out["bias"] = b
         return pd.DataFrame(out)
 
-    return _stream(both, keys, order, fit, schema)
+    out = _stream(both, keys, order, fit, schema)
+    for split in large:
+        adapted, W = _large_rows(all_rows, all_examples, keys, split, anchors, loss, lr, margin, use_adapter, vec_col, batch_size, max_steps, optimizer)
+        classes, H, b = LG.fit_head(head, adapted, label_col, vec_col)
+        H = H if W is None else H @ W
+        got = [(*split, c.item(), w.tolist(), float(x)) for c, w, x in zip(classes, H, b, strict=True)]
+        out = out.unionByName(rows.sparkSession.createDataFrame(got, schema))
+    return out
 
 
 def train_splits_multilabel(
@@ -246,11 +324,14 @@ def train_splits_multilabel(
     vec_col: str = "embedding",
     batch_size: int = 16,
     head: str = "logistic_regression",
+    stream_rows: int | None = None,
+    max_steps: int = 200,
+    optimizer: str = "sgd",
 ) -> DataFrame:
     """Multi-label: per split and label ``(keys, label, weights, chain ARRAY<DOUBLE>, bias,
     constant INT)``. ``chain`` holds the weights of the earlier labels (classifier chain only);
     ``constant`` is set when a label column is constant in the split (one-vs-rest predicts it,
-    multi-output raises)."""
+    multi-output raises). Splits of more than ``stream_rows`` rows as in ``train_splits``."""
     key_fields = [rows.schema[k] for k in keys]
     schema = T.StructType(key_fields + [
         T.StructField("label", T.IntegerType()),
@@ -260,6 +341,8 @@ def train_splits_multilabel(
         T.StructField("constant", T.IntegerType()),
     ])
     anchors = _anchor_table(rows.sparkSession, anchor_vectors, vec_col)
+    all_rows, all_examples = rows, examples
+    rows, examples, large = _routed(rows, examples, keys, stream_rows)
     both, order, by_id = _prepared(rows, examples, keys, ["row_id", *label_cols, vec_col], anchors, loss, vec_col, batch_size)
 
     def fit(key, parts):
@@ -270,7 +353,7 @@ def train_splits_multilabel(
         W = np.eye(X.shape[1])
         if use_adapter:
             vecs = {int(k): np.asarray(v, dtype=np.float64) for k, v in zip(a["row_id"], a[vec_col])}
-            W = _adapt(X, pd.Index(r["row_id"].to_numpy()), ex, vecs, loss, lr, margin, int(r["_steps"].iloc[0]), batch_size, by_id)
+            W = _adapt(X, pd.Index(r["row_id"].to_numpy()), ex, vecs, loss, lr, margin, int(r["_steps"].iloc[0]), batch_size, by_id, optimizer)
         Xa = X @ W.T
         Y = r[label_cols].to_numpy().astype(np.int64)
         recs = []
@@ -296,7 +379,15 @@ def train_splits_multilabel(
         out["constant"] = pd.array([x[4] for x in recs], dtype="Int32")
         return pd.DataFrame(out)
 
-    return _stream(both, keys, order, fit, schema)
+    out = _stream(both, keys, order, fit, schema)
+    for split in large:
+        adapted, W = _large_rows(all_rows, all_examples, keys, split, anchors, loss, lr, margin, use_adapter, vec_col, batch_size, max_steps, optimizer)
+        fitted = LG.fit_label_centroids(adapted, label_cols, strategy, vec_col) if head == "centroid" else LG.fit_multilabel(adapted, label_cols, strategy, vec_col)[0]
+        got = [
+            (*split, j, (h.w if W is None else h.w @ W).tolist(), h.chain.tolist(), h.b, h.constant) for j, h in enumerate(fitted)
+        ]
+        out = out.unionByName(rows.sparkSession.createDataFrame(got, schema))
+    return out
 
 
 def predict_multilabel(

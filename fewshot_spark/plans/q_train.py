@@ -4,6 +4,9 @@ invariants are in the tests."""
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
@@ -16,8 +19,10 @@ from ..operators import large as LG
 from ..operators import losses as L
 from ..operators import metrics as V
 from ..operators import sampling as M
+from ..session import prepare_session
 from ..sources import catalogue as C
 from ..sources import readers as R
+from . import results as RS
 from . import runs as RN
 from .q_examples import EM_SQL, _neg_sql, grid_ml_select, grid_select
 from .q_models import _CENT_SQL, _EMV_SQL, _cos_sql, _encode_sql
@@ -353,6 +358,58 @@ def q_run_fewshot_plain(spark, sf):
     return _flat(RN.run_fewshot(spark, cfg, [_dl_set(spark, sf)], write=False), list(QUALITY.labels))
 
 
+@register("resume_records", f"""
+    WITH stored AS ({_centroid_run_sql([2, 4], SEEDS[:3])}),
+    wanted AS (SELECT s.sample_size, i.seed_idx FROM (VALUES (2), (4), (8)) s(sample_size), (VALUES (0), (1), (2), (3)) i(seed_idx))
+    SELECT sample_size, seed_idx, stored.macro_f1, stored.metric_value, stored.f1_0, stored.f1_1,
+           stored.sample_size IS NULL AS pending, true AS pending_with_other_settings
+    FROM wanted LEFT JOIN stored USING (sample_size, seed_idx)
+    """)
+def q_resume_records(spark, sf):
+    """A run of two sizes and three seeds whose records are committed two splits at a time, read
+    back from the shared folder, against a larger request: what is stored, what is pending, and what
+    would be pending under another setting."""
+    from dataclasses import replace
+
+    folder = f"{prepare_session(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
+    cfg = _plain("single", sample_sizes=(2, 4), seeds_num=3, setting_name="DRIVER", results_dir=folder, splits_per_commit=2)
+    ds = _dl_set(spark, sf)
+    RN.run_fewshot(spark, cfg, [ds])
+    stored = _flat(RS.read_results(spark, folder), list(QUALITY.labels))
+    wider = replace(cfg, sample_sizes=(2, 4, 8), seeds_num=4)
+    keys = ["sample_size", "seed_idx"]
+    wanted = RN.pending(spark, replace(wider, override_results=True), ds).select(*keys)
+    for name, asked in (("pending", wider), ("pending_with_other_settings", replace(wider, adapter_lr=0.1))):
+        left = RN.pending(spark, asked, ds).select(*keys, F.lit(True).alias(name))
+        wanted = wanted.join(left, keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return wanted.join(stored.select(*keys, "macro_f1", "metric_value", "f1_0", "f1_1"), keys, "left")
+
+
+@register("resume_records", f"""
+    WITH stored AS ({_centroid_run_sql([2, 4], SEEDS[:3])}),
+    wanted AS (SELECT s.sample_size, i.seed_idx FROM (VALUES (2), (4), (8)) s(sample_size), (VALUES (0), (1), (2), (3)) i(seed_idx))
+    SELECT sample_size, seed_idx, stored.macro_f1, stored.metric_value, stored.f1_0, stored.f1_1,
+           stored.macro_f1 IS NULL AS pending, true AS pending_with_other_settings
+    FROM wanted LEFT JOIN stored USING (sample_size, seed_idx)
+    """)
+def q_resume_records(spark, sf):
+    """A run of two sizes and three seeds whose records are committed two splits at a time, read
+    back from the shared folder, against a larger request: what is stored, what is pending, and what
+    would be pending under another setting."""
+    folder = f"{prepare_session(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
+    cfg = _plain("single", sample_sizes=(2, 4), seeds_num=3, setting_name="DRIVER", results_dir=folder, splits_per_commit=2)
+    ds = _dl_set(spark, sf)
+    RN.run_fewshot(spark, cfg, [ds])
+    stored = _flat(RS.read_results(spark, folder), list(QUALITY.labels))
+    wider = replace(cfg, sample_sizes=(2, 4, 8), seeds_num=4)
+    keys = ["sample_size", "seed_idx"]
+    wanted = RN.pending_splits(spark, replace(wider, override_results=True), ds).select(*keys)
+    for name, asked in (("pending", wider), ("pending_with_other_settings", replace(wider, adapter_lr=0.1))):
+        left = RN.pending_splits(spark, asked, ds).select(*keys, F.lit(True).alias(name))
+        wanted = wanted.join(left, keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return wanted.join(stored.select(*keys, "macro_f1", "metric_value", "f1_0", "f1_1"), keys, "left")
+
+
 TOXIC_SQL = DL_SQL.replace("l.quality AS label", "l.toxic AS label")
 
 

@@ -1,8 +1,9 @@
 """Result, embedding and manifest tables (the sinks of a run).
 
-Results are one Parquet table partitioned by ``run_id`` and the split keys, with one fixed schema
-for every kind of run; a split is finished when its row exists, which is what ``finished_splits``
-reads back for resuming. A write replaces the partitions of the splits it holds and no others
+Results are one Parquet table partitioned by ``run_id``, ``settings`` (fingerprint of all settings
+that change a record) and the split keys, with one fixed schema for every kind of run; a split is
+finished when its row exists for the same run and settings, which is what ``finished_splits`` reads
+back for resuming. A write replaces the partitions of the splits it holds and no others
 (committed per job), so a failed job leaves no partial rows, a rerun only adds the missing splits
 and an override leaves one row per split. Result folders must be on shared storage (the cluster's
 file system).
@@ -16,7 +17,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import RunConfig, run_id
+from ..config import RunConfig, run_id, settings_key
 
 SPLIT_KEYS = ["dataset", "sample_size", "seed_idx"]
 
@@ -33,7 +34,7 @@ def results_path(results_dir: str) -> str:
 
 
 RECORD_SCHEMA = (
-    "run_id string, dataset string, sample_size int, seed_idx int, macro_f1 double, micro_f1 double, weighted_f1 double, "
+    "run_id string, settings string, dataset string, sample_size int, seed_idx int, macro_f1 double, micro_f1 double, weighted_f1 double, "
     "metric string, metric_value double, per_class map<string,double>, skipped_rows bigint, shown_names map<int,string>"
 )
 
@@ -50,7 +51,7 @@ def write_results(records: DataFrame, results_dir: str) -> None:
     """Store the result rows (one per split: at most a few thousand per run), replacing any stored
     row of the same split."""
     out = as_records(records).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    out.partitionBy("run_id", *SPLIT_KEYS).parquet(results_path(results_dir))
+    out.partitionBy("run_id", "settings", *SPLIT_KEYS).parquet(results_path(results_dir))
 
 
 def read_results(spark: SparkSession, results_dir: str) -> DataFrame:
@@ -59,11 +60,12 @@ def read_results(spark: SparkSession, results_dir: str) -> DataFrame:
     return spark.read.schema(RECORD_SCHEMA).parquet(results_path(results_dir)).select(*names)
 
 
-def finished_splits(spark: SparkSession, results_dir: str | None, run: str) -> DataFrame | None:
-    """Split keys with a stored result for ``run`` (partition pruning on run_id), or None."""
-    if not results_dir or not _exists(spark, results_path(results_dir)):
+def finished_splits(spark: SparkSession, cfg: RunConfig) -> DataFrame | None:
+    """Split keys with a stored result of this run and these settings (partition pruning), or None."""
+    if not cfg.results_dir or not _exists(spark, results_path(cfg.results_dir)):
         return None
-    return read_results(spark, results_dir).where(F.col("run_id") == run).select(*SPLIT_KEYS).distinct()
+    mine = (F.col("run_id") == run_id(cfg)) & (F.col("settings") == settings_key(cfg))
+    return read_results(spark, cfg.results_dir).where(mine).select(*SPLIT_KEYS).distinct()
 
 
 def results_json(records: DataFrame) -> DataFrame:
@@ -84,7 +86,7 @@ def write_embeddings(emb: DataFrame, results_dir: str, name: str) -> None:
 
 def write_manifest(spark: SparkSession, cfg: RunConfig, results_dir: str) -> DataFrame:
     """Provenance row of a run: id, settings as JSON, start time, Spark version."""
-    row = [(run_id(cfg), json.dumps(cfg.as_dict(), sort_keys=True, default=str), int(time.time()), spark.version)]
-    df = spark.createDataFrame(row, "run_id string, config string, started_at long, spark_version string")
+    row = [(run_id(cfg), settings_key(cfg), json.dumps(cfg.as_dict(), sort_keys=True, default=str), int(time.time()), spark.version)]
+    df = spark.createDataFrame(row, "run_id string, settings string, config string, started_at long, spark_version string")
     df.write.mode("append").parquet(f"{results_dir.rstrip('/')}/runs")
     return df
