@@ -278,16 +278,17 @@ def lexicon(rows: list[tuple[str, bool, float]], sides: dict[str, int]) -> tuple
     return words, stems
 
 
-def _fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
-    """Logistic regression towards ``PRIOR``, no weight below 0, by Newton steps."""
+def _fit_weights(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Logistic regression of rows that stand for ``n`` texts each, towards ``PRIOR``, no weight
+    below 0, by Newton steps."""
     prior = np.array([*PRIOR, -2.0])
     z = np.column_stack([x, np.ones(len(x))])
     pull = np.array([1.0] * x.shape[1] + [1e-3])
     w = prior.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (p - y) + pull * (w - prior)
-        hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag(pull)
+        grad = z.T @ (n * (p - y)) + pull * (w - prior)
+        hess = (z * (n * p * (1 - p))[:, None]).T @ z + np.diag(pull)
         step = np.linalg.solve(hess, grad)
         w = w - np.clip(step, -1, 1)
         w[:-1] = np.maximum(w[:-1], 0)
@@ -338,9 +339,9 @@ def fit(
     sides = {r["word"]: r["count"] for r in around.groupBy("word").count().collect()}
     words, stems = lexicon([(r["term"], r["whole"], r["odds"]) for r in top if r["sure"]], sides)
     model = Model(words, stems)
-    got = rows.mapInArrow(_sample_features(model), "f array<double>, label int").orderBy("f", "label").toArrow()
-    x = np.array(got["f"].to_pylist())
-    model.weights, model.bias = _fit_weights(x, got["label"].to_numpy().astype(float))
+    got = rows.mapInArrow(_sample_features(model), "f array<double>, label int").groupBy("f", "label").count().toArrow()
+    got = sorted(got.to_pylist(), key=lambda r: (r["f"], r["label"]))  # texts of equal evidence are one row
+    model.weights, model.bias = _fit_weights(*(np.array([r[c] for r in got], float) for c in ("f", "label", "count")))
     return model
 
 
