@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from ..functions.hashing import h60
 from ..functions import ranking
 from ..functions.ranking import number_by_hash
+from . import label_sets as LS
 
 POS_BITS = None  # sub-group bits of the position numbering: chosen from the largest class
 MAX_BROADCAST_ANCHORS = 1_000_000
+PAIRED_LABELS = 12  # up to 4,096 label sets are paired; with more labels partners are drawn
+_LOW = (1 << LS.WORD) - 1
 
 
 # ---- anchors (G1, J1) ----------------------------------------------------------------------
@@ -267,11 +270,28 @@ def disjoint_negative(
     out_text: str | None = "negative",
     bits: int = POS_BITS,
     tag: str = "neg",
+    method: str | None = None,
 ) -> DataFrame:
     """Uniform row of the split whose label set shares no label with the example's row.
 
     ``on_empty='raise'`` fails when a row has no such partner; ``'skip'`` drops those examples.
+    ``method='pairs'`` pairs the distinct masks of a split, ``'draws'`` is
+    ``label_sets.disjoint_partners`` (the draws differ). Words always take the draws; masks take
+    the pairs unless told otherwise.
     """
+    if method not in (None, "pairs", "draws"):
+        raise ValueError("method is 'pairs' or 'draws'")
+    words = LS.is_words(rows, mask_col)
+    if words and method == "pairs":
+        raise ValueError("label sets as words take the method 'draws'")
+    if words or method == "draws":
+        as_words = F.col(mask_col) if words else F.array(F.col(mask_col).bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned(mask_col, LS.WORD))
+        found = LS.disjoint_partners(ex.withColumn("_words", as_words), rows.withColumn("_words", as_words), split_keys, seed,
+                                     "_words", id_col, out_id, on_empty, bits, tag).drop("_words")
+        if not (out_text and text_col):
+            return found
+        other = rows.select(*split_keys, F.col(id_col).alias(out_id), F.col(text_col).alias(out_text))
+        return found.join(other, [*split_keys, out_id]).select(*ex.columns, out_id, out_text)
     blocks = disjoint_blocks(rows, split_keys, mask_col)
     ex2 = ex.withColumn("a_mask", F.col(mask_col))
     joined = ex2.join(blocks, [*split_keys, "a_mask"], "left")
@@ -295,6 +315,11 @@ def disjoint_negative(
     return drawn.join(laid, [*split_keys, "_b", "_p"]).drop("_b", "_p")
 
 
+def _method(label_cols: list[str]) -> str:
+    """How disjoint partners are found: label sets are paired only where few can exist."""
+    return "pairs" if len(label_cols) <= PAIRED_LABELS else "draws"
+
+
 def gen_triplets_multilabel(
     rows: DataFrame,
     template: str,
@@ -314,10 +339,11 @@ def gen_triplets_multilabel(
     but may be negatives."""
     from .prepare import multilabel_anchor
 
-    ex = repeat_iterations(rows.where(F.col(mask_col) != 0), iterations).withColumn(
+    ex = repeat_iterations(rows.where(LS.has_label(rows, mask_col)), iterations).withColumn(
         "anchor", multilabel_anchor(template, label_cols, names)
     )
-    out = disjoint_negative(ex, rows, split_keys, seed, mask_col, text_col, id_col, on_empty, bits=bits)
+    out = disjoint_negative(ex, rows, split_keys, seed, mask_col, text_col, id_col, on_empty, bits=bits,
+                            method=_method(label_cols))
     texts = [F.col(text_col).alias("positive"), "negative"] if text_col else []
     return out.select(*split_keys, "iteration", id_col, mask_col, "neg_row_id", "anchor", *texts)
 
@@ -369,11 +395,18 @@ def gen_pairs_multilabel(
     allowed, target 1.0) and one negative sharing no label (target 0.0). Rows with no disjoint
     partner are skipped entirely. Output: ``split keys, iteration, row_id, label_id, other_row_id,
     text_a, text_b, target`` (label_id is -1 on negatives; no texts with ``text_col=None``)."""
-    blocks = disjoint_blocks(rows, split_keys, mask_col).select(*split_keys, F.col("a_mask").alias(mask_col))
-    eligible = rows.join(blocks, [*split_keys, mask_col], "left_semi")
-    ex = repeat_iterations(eligible, iterations)
+    method = _method(label_cols)
+    if method == "pairs":
+        blocks = disjoint_blocks(rows, split_keys, mask_col).select(*split_keys, F.col("a_mask").alias(mask_col))
+        eligible = rows.join(blocks, [*split_keys, mask_col], "left_semi")
+        ex = repeat_iterations(eligible, iterations)
+    else:
+        ex = repeat_iterations(rows, iterations)
     neg = disjoint_negative(ex, rows, split_keys, seed, mask_col, text_col, id_col, "skip",
-                            out_id="other_row_id", out_text="text_b" if text_col else None, bits=bits)
+                            out_id="other_row_id", out_text="text_b" if text_col else None, bits=bits, method=method)
+    if method == "draws":  # a row has a partner in every iteration or in none
+        partnered = neg.where(F.col("iteration") == 0).select(*split_keys, id_col)
+        eligible = rows.join(partnered, [*split_keys, id_col], "left_semi")
     texts = [F.col(text_col).alias("text_a"), "text_b"] if text_col else []
     neg = neg.select(*split_keys, "iteration", id_col, F.lit(-1).alias("label_id"), "other_row_id",
                      *texts, F.lit(0.0).alias("target"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .label_sets import either, holds, is_words, label_ids
+
 DIGITS = 9
 
 
@@ -75,7 +77,9 @@ def summary(pred: DataFrame, keys: list[str], y_true: str = "y_true", y_pred: st
 def multilabel_counts(pred: DataFrame, keys: list[str], n_labels: int, true_mask: str = "true_mask", pred_mask: str = "pred_mask",
                       n_col: str | None = None) -> DataFrame:
     """Per (split, label): ``tp``, ``support``, ``predicted`` from bitmasks, one pass over the rows
-    (3·L sums per split), then one row per label."""
+    (3·L sums per split), then one row per label. Label sets as words are counted by label."""
+    if is_words(pred, true_mask):
+        return _word_counts(pred, keys, n_labels, true_mask, pred_mask, n_col)
     t, p = F.col(true_mask), F.col(pred_mask)
 
     w = F.lit(1) if n_col is None else F.col(n_col)
@@ -100,6 +104,20 @@ def multilabel_counts(pred: DataFrame, keys: list[str], n_labels: int, true_mask
     return wide.select(*keys, "_rows", "_exact", per).select(*keys, "_rows", "_exact", "_l.*")
 
 
+def _word_counts(pred: DataFrame, keys: list[str], n_labels: int, true_set: str, pred_set: str, n_col: str | None) -> DataFrame:
+    """``multilabel_counts`` of words: only set labels are exploded, and added up before the shuffle."""
+    w = F.lit(1) if n_col is None else F.col(n_col)
+    t, p = F.col(true_set), F.col(pred_set)
+    rows = pred.groupBy(*keys).agg(F.sum(w).alias("_rows"), F.sum((t == p).cast("int") * w).alias("_exact"))
+    every = rows.withColumn("label", F.explode(F.sequence(F.lit(0), F.lit(n_labels - 1))))
+    seen = pred.select(*keys, t.alias("_t"), p.alias("_p"), w.alias("_w"), F.explode(label_ids(either(t, p))).alias("label"))
+    in_t, in_p = holds(F.col("_t"), F.col("label")).cast("int"), holds(F.col("_p"), F.col("label")).cast("int")
+    sums = seen.groupBy(*keys, "label").agg(
+        F.sum(in_t * in_p * F.col("_w")).alias("tp"), F.sum(in_t * F.col("_w")).alias("support"), F.sum(in_p * F.col("_w")).alias("predicted"))
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("tp", "support", "predicted")]
+    return every.join(sums, [*keys, "label"], "left").select(*keys, "_rows", "_exact", "label", *counts)
+
+
 def multilabel_f1_per_label(pred: DataFrame, keys: list[str], n_labels: int, zero_division: float = 0.0,
                             true_mask: str = "true_mask", pred_mask: str = "pred_mask", n_col: str | None = None) -> DataFrame:
     cc = multilabel_counts(pred, keys, n_labels, true_mask, pred_mask, n_col)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .label_sets import has_label
+
 
 def with_text(df: DataFrame, *cols: str, sep: str = " ", out: str = "text") -> DataFrame:
     """``out = c0 || sep || c1 ...``; a null part gives a null text (``concat``, not ``concat_ws``)."""
@@ -74,7 +76,7 @@ def multilabel_anchor(template: str, label_cols: list[str], names: list[str]) ->
 
 def filter_has_label(df: DataFrame, mask_col: str = "label_mask") -> DataFrame:
     """Rows with at least one label (unlabelled rows cannot be anchors)."""
-    return df.where(F.col(mask_col) != 0)
+    return df.where(has_label(df, mask_col))
 
 
 def dedup_rows(df: DataFrame, keys: list[str], id_col: str = "row_id") -> DataFrame:

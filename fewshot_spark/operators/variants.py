@@ -5,10 +5,12 @@ question template), ``A`` (other names and template, only for the sets that have
 ``PEM`` (names permuted so that no label keeps its own name), ``ALF`` (letters a, b, c, ...;
 at most 26 classes). ``B`` has no tables and is rejected.
 
-The permutation is a cyclic shift of a seeded hash order: labels are ordered by
-``h60(seed, group, label_id)`` and each takes the name of the next label in that cycle. For two
-or more labels no label keeps its name; it needs no enumeration of n! orders (it picks among
-the single-cycle derangements).
+``derange_labels`` draws uniformly among all derangements of a group without enumerating n!
+orders: the labels are put in the hash orders ``h60(seed, group, try, label_id)`` of ``TRIES``
+tries, and the first order in which no label stands at its own place counts (an order is one with
+probability about 1/e, so none of them is with 2e-13; such a group takes the cycle).
+``permute_labels`` is that cycle: a cyclic shift of one hash order, which reaches only the
+single-cycle derangements.
 """
 
 from __future__ import annotations
@@ -20,6 +22,43 @@ from ..functions.hashing import h60
 
 STORED = ("default", "SHORT", "QA", "A")
 ALPHABET_SIZE = 26
+TRIES = 64
+
+
+def _check_pairs(labels: DataFrame, group_cols: list[str]) -> None:
+    single = labels.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < 2).limit(1).collect()
+    if single:
+        raise ValueError(f"cannot permute a single label without a fixed point: {single[0].asDict()}")
+
+
+def derange_labels(
+    labels: DataFrame,
+    group_cols: list[str],
+    seed: int,
+    id_col: str = "label_id",
+    name_col: str = "label_name",
+    out: str = "shown_name",
+    tries: int = TRIES,
+) -> DataFrame:
+    """Add ``out``: the name of another label of the group, by a uniform derangement of each group.
+
+    Ids are unique in a group. A group with one label cannot be deranged and raises."""
+    cycle = permute_labels(labels, group_cols, seed, id_col, name_col, "_cycle")
+    own = Window.partitionBy(*group_cols).orderBy(id_col)
+    placed = cycle.withColumn("_at", F.row_number().over(own)).withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    h = h60(F.lit(int(seed)), *[F.col(g) for g in group_cols], F.col("_try"), F.col(id_col))
+    order = Window.partitionBy(*group_cols, "_try").orderBy("_h", id_col)
+    ranked = placed.withColumn("_h", h).withColumn("_to", F.row_number().over(order)).select(
+        *group_cols, "_try", "_at", "_to", F.col(name_col).alias("_name"))
+    good = ranked.groupBy(*group_cols, "_try").agg(F.max((F.col("_at") == F.col("_to")).cast("int")).alias("_fixed")).where("_fixed = 0")
+    first = good.groupBy(*group_cols).agg(F.min("_try").alias("_try"))
+    shown = ranked.join(first, [*group_cols, "_try"]).select(*group_cols, F.col("_to").alias("_at"), F.col("_name").alias("_shown"))
+    return (
+        cycle.withColumn("_at", F.row_number().over(own))
+        .join(shown, [*group_cols, "_at"], "left")
+        .withColumn(out, F.coalesce("_shown", "_cycle"))
+        .select(*labels.columns, out)
+    )
 
 
 def permute_labels(
@@ -34,9 +73,7 @@ def permute_labels(
 
     A group with one label cannot be deranged and raises.
     """
-    single = labels.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < 2).limit(1).collect()
-    if single:
-        raise ValueError(f"cannot permute a single label without a fixed point: {single[0].asDict()}")
+    _check_pairs(labels, group_cols)
     h = h60(F.lit(int(seed)), *[F.col(g) for g in group_cols], F.col(id_col))
     w = Window.partitionBy(*group_cols).orderBy("_h", id_col)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -68,7 +105,7 @@ def anchors_variant(catalogue: DataFrame, variant: str, seed: int = 0, datasets:
         rows = cat.where(F.col("variant") == variant).withColumn("shown_name", F.col("label_name"))
     elif variant == "PEM":
         base = cat.where(F.col("variant") == "default")
-        rows = permute_labels(base, ["dataset"], seed).withColumn("variant", F.lit("PEM"))
+        rows = derange_labels(base, ["dataset"], seed).withColumn("variant", F.lit("PEM"))
     elif variant == "ALF":
         base = cat.where(F.col("variant") == "default")
         rows = letter_labels(base).withColumn("variant", F.lit("ALF"))

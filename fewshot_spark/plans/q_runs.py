@@ -40,6 +40,30 @@ def q_permute_labels(spark, sf):
     return VA.permute_labels(labels, ["p_brand"], PERM_SEED).select("p_brand", "label_id", "label_name", "shown_name")
 
 
+@register(
+    "derange_labels",
+    f"""
+    WITH r AS (SELECT p_brand, p_type AS label_name,
+                      (dense_rank() OVER (PARTITION BY p_brand ORDER BY p_type) - 1)::INTEGER AS label_id
+               FROM (SELECT DISTINCT p_brand, p_type FROM part)),
+    o AS (SELECT r.*, t.try, label_id + 1 AS own,
+                 row_number() OVER (PARTITION BY p_brand, t.try ORDER BY {H(str(PERM_SEED), 'p_brand', 't.try', 'label_id')}, label_id) AS pos
+          FROM r CROSS JOIN (SELECT range AS try FROM range({VA.TRIES})) t),
+    f AS (SELECT p_brand, min(try) AS try FROM (SELECT p_brand, try FROM o GROUP BY ALL HAVING NOT bool_or(own = pos)) GROUP BY ALL)
+    SELECT r.p_brand, r.label_id, r.label_name, o.label_name AS shown_name
+    FROM r JOIN f ON f.p_brand = r.p_brand JOIN o ON o.p_brand = r.p_brand AND o.try = f.try AND o.pos = r.label_id + 1
+    """,
+)
+def q_derange_labels(spark, sf):
+    """Uniform derangement of the part types of each brand (label id = rank of the type inside the brand)."""
+    from pyspark.sql import Window
+
+    types = read_table(spark, sf, "part").select("p_brand", F.col("p_type").alias("label_name")).distinct()
+    labels = types.withColumn(
+        "label_id", (F.dense_rank().over(Window.partitionBy("p_brand").orderBy("label_name")) - 1).cast("int"))
+    return VA.derange_labels(labels, ["p_brand"], PERM_SEED).select("p_brand", "label_id", "label_name", "shown_name")
+
+
 _VARIANTS = ["default", "SHORT", "QA", "A", "PEM", "ALF"]
 
 

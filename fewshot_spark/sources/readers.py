@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.label_sets import flag_words
 from ..session import read_table
 from .catalogue import FLAGS6, LANG_CODES
 
+MASK_LABELS = 62  # labels a BIGINT mask holds
+
 
 def _col(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
@@ -75,8 +78,8 @@ def content_ids(df: DataFrame, id_col: str = "row_id") -> DataFrame:
 
 def with_label_mask(df: DataFrame, label_cols: list[str], out: str = "label_mask") -> DataFrame:
     """Add the bitmask of set flags (bit i = label i); at most 62 labels fit a BIGINT."""
-    if len(label_cols) > 62:
-        raise ValueError("label_mask holds at most 62 labels; use the long form (label_unpivot)")
+    if len(label_cols) > MASK_LABELS:
+        raise ValueError("label_mask holds at most 62 labels; use label_sets.flag_words or the long form (label_unpivot)")
     mask = F.lit(0).cast("bigint")
     for i, c in enumerate(label_cols):
         mask = mask + F.when(F.col(c).cast("int") == 1, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
@@ -91,7 +94,8 @@ def read_multilabel(
 ) -> DataFrame:
     """Wide multi-label table ``(row_id, text, <flags INT 0/1>, label_mask)``.
 
-    Flags may be INT or BOOLEAN; they are cast to INT. The label order is the order of
+    Above 62 labels ``label_mask`` is an array of words (``operators.label_sets``), which sampling,
+    partner draws and metrics take as well. Flags may be INT or BOOLEAN; they are cast to INT. The label order is the order of
     ``label_cols`` (it must equal the catalogue name order). Row ids as in ``read_labelled``.
     """
     out = df.select(
@@ -99,7 +103,10 @@ def read_multilabel(
         _col(text_col).cast("string").alias("text"),
         *[F.col(c).cast("int").alias(c) for c in label_cols],
     )
-    return with_label_mask(content_ids(out) if id_col is None else out, label_cols)
+    out = content_ids(out) if id_col is None else out
+    if len(label_cols) > MASK_LABELS:
+        return out.withColumn("label_mask", flag_words(label_cols))
+    return with_label_mask(out, label_cols)
 
 
 def read_csv_labelled(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
