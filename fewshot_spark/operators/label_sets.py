@@ -8,7 +8,7 @@ number of labels fits and sets are compared word by word in built-in functions.
 1. The ``HOT`` most frequent labels of a split cut its rows into at most ``2**HOT`` patterns. The
    rows of all patterns disjoint with an example's pattern are counted by a sum over subsets, so
    a draw never meets a row that shares a hot label.
-2. ``DRAWS`` seeded positions among those rows are fetched by an equi-join, and the first row that
+2. ``draws`` seeded positions among those rows are fetched by an equi-join, and the first row that
    shares none of the other labels either is the partner.
 3. Examples without one draw exactly: only their distinct label sets meet the label sets of the
    admissible patterns, by equi-joins on (split, pattern, lowest other label), and one of the
@@ -140,6 +140,7 @@ def disjoint_partners(
     on_empty: str = "skip",
     bits: int | None = None,
     tag: str = "neg",
+    draws: int = DRAWS,
 ) -> DataFrame:
     """``ex`` with ``out_id``: a uniform row of the split whose label set shares no label with the
     example's. ``ex`` has the split keys, ``iteration``, ``id_col`` and ``set_col``; ids are unique
@@ -149,9 +150,9 @@ def disjoint_partners(
         raise ValueError("on_empty is 'raise' or 'skip'")
     keys = [f"_k{i}" for i in range(max(1, len(split_keys)))]
     split = [F.col(k).alias(n) for k, n in zip(split_keys, keys)] or [F.lit(0).alias(keys[0])]
-    base = rows.select(*split, F.col(id_col).alias("_id"), F.col(set_col).alias("_set")).where("_set is not null and _id is not null")
-    hot = _hot_labels(base, keys)
-    laid = _placed(base, hot, keys).withColumn("_hp", h60(F.lit("pos"), F.col("_id"))).checkpoint()
+    base = rows.select(*split, F.col(id_col).alias("_id"), F.col(set_col).alias("_set")).where("_set is not null and _id is not null").checkpoint()
+    hot = _hot_labels(base, keys).checkpoint()
+    laid = _placed(base, hot, keys).withColumn("_hp", h60(F.lit("pos"), F.col("_id")))
     # the same example key decides every draw, as in the other partner draws
     part = [F.col(k) for k in (keys if split_keys else [])]
 
@@ -161,12 +162,14 @@ def disjoint_partners(
     asked = _placed(
         ex.select(*split, F.col("iteration").alias("_it"), F.col(id_col).alias("_id"), F.col(set_col).alias("_set")).where("_set is not null"), hot, keys)
     counts = laid.groupBy(*keys, "_pat").agg(F.count(F.lit(1)).alias("_n"))
-    pats = asked.select(*keys, F.col("_pat").alias("_a")).distinct()
+    # a pattern's admissible rows: those of the patterns that are subsets of its complement
+    split_rows = counts.select(*keys).distinct()
+    pats = split_rows.withColumn("_a", F.explode(F.sequence(F.lit(0), F.lit((1 << HOT) - 1))))
     free = pats.withColumn("_pat", F.explode(_free_patterns(F.col("_a")))).join(counts, [*keys, "_pat"])
     spread, totals = _bins(free, keys, "_pat")
     shots = (
         asked.withColumnRenamed("_pat", "_a").join(totals, [*keys, "_a"])
-        .select(*keys, "_it", "_id", "_set", "_a", "_tot", "_nb", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("_j"))
+        .select(*keys, "_it", "_id", "_set", "_a", "_tot", "_nb", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_j"))
         .withColumn("_r", draw(F.col("_j")) % F.col("_tot"))
         .withColumn("_bin", _bin_of(F.col("_r")))
         .join(spread, [*keys, "_a", "_bin"]).where("_r >= _lo and _r < _hi")

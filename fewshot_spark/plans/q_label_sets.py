@@ -1,8 +1,8 @@
 """Queries: label sets of more labels than a mask holds, and partners drawn without pairing sets.
 
 The multi-label rows are the orders: a label set of 100 labels (part keys of the order's lines), or
-of 28 labels of which 8 are in most orders (quantities, return flags, line status), so that many
-draws share a label and the exact way is taken.
+of 28 labels of which 8 are in most orders (quantities, return flags, line status) with one draw only,
+so that many examples take the exact way.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def _free(a: str, b: str, n_labels: int) -> str:
     return "(" + " AND ".join(f"({a}[{w + 1}] & {b}[{w + 1}]) = 0" for w in range(LS.n_words(n_labels))) + ")"
 
 
-def _partners_sql(n_labels: int) -> str:
+def _partners_sql(n_labels: int, draws: int) -> str:
     """First of the seeded draws among the rows without a common hot label that shares no label,
     else the row at a seeded rank among all rows that share none, ordered by set and hash."""
     draw = [str(SEED), "dataset", "iteration", "row_id", "'neg'"]
@@ -63,7 +63,7 @@ def _partners_sql(n_labels: int) -> str:
             FROM cnt a JOIN cnt b ON (a.pat & b.pat) = 0),
     ex AS (SELECT r.*, i.range AS iteration FROM pat r CROSS JOIN range({ITERS}) i),
     shot AS (SELECT e.*, j.range AS j, {H(*draw, 'j.range')} % t.tot::BIGINT AS r
-             FROM ex e JOIN (SELECT DISTINCT a, tot FROM blk) t ON t.a = e.pat CROSS JOIN range({LS.DRAWS}) j),
+             FROM ex e JOIN (SELECT DISTINCT a, tot FROM blk) t ON t.a = e.pat CROSS JOIN range({draws}) j),
     got AS (SELECT s.row_id, s.iteration, min(CASE WHEN {_free('s.s', 'o.s', n_labels)} THEN s.j END) AS j,
                    arg_min(o.row_id, s.j) FILTER (WHERE {_free('s.s', 'o.s', n_labels)}) AS other
             FROM shot s JOIN blk b ON b.a = s.pat AND s.r < b.hi AND s.r >= b.hi - b.n
@@ -76,25 +76,25 @@ def _partners_sql(n_labels: int) -> str:
     ranked AS (SELECT e.row_id, e.iteration, e.s, {H(*['e.' + d if d in ('dataset', 'iteration', 'row_id') else d for d in draw], "'rest'")} % t.tot::BIGINT AS r
                FROM rest e JOIN (SELECT DISTINCT a, tot FROM pr) t ON t.a = e.s),
     spos AS (SELECT row_id, s, row_number() OVER (PARTITION BY s ORDER BY {H("'pos'", 'row_id')}, row_id) - 1 AS p FROM rows)
-    SELECT row_id, iteration::INTEGER AS iteration, other AS neg_row_id, false AS by_rank FROM got WHERE j IS NOT NULL
+    SELECT row_id, iteration::INTEGER AS iteration, other AS neg_row_id FROM got WHERE j IS NOT NULL
     UNION ALL
-    SELECT k.row_id, k.iteration::INTEGER, o.row_id, true
+    SELECT k.row_id, k.iteration::INTEGER, o.row_id
     FROM ranked k JOIN pr b ON b.a = k.s AND k.r < b.hi AND k.r >= b.hi - b.n JOIN spos o ON o.s = b.b AND o.p = k.r - (b.hi - b.n)"""
 
 
-def _register_partners(name: str, n_labels: int) -> None:
-    sql = f"SELECT row_id, iteration, neg_row_id FROM ({_partners_sql(n_labels)})"
+def _register_partners(name: str, n_labels: int, draws: int) -> None:
+    sql = f"SELECT row_id, iteration, neg_row_id FROM ({_partners_sql(n_labels, draws)})"
 
     @register(name, sql)
     def run(spark, sf):
         rows = order_sets(spark, sf, n_labels)
         ex = X.repeat_iterations(rows, ITERS)
-        out = X.disjoint_negative(ex, rows, ["dataset"], SEED, "label_words", text_col=None)
+        out = LS.disjoint_partners(ex, rows, ["dataset"], SEED, draws=draws)
         return out.select("row_id", "iteration", "neg_row_id")
 
 
-_register_partners("negative_sample_100_labels", 100)
-_register_partners("negative_sample_crowded", 28)
+_register_partners("negative_sample_100_labels", 100, LS.DRAWS)
+_register_partners("negative_sample_crowded", 28, 1)
 
 
 @register(
