@@ -3,11 +3,13 @@
 Unit vectors are projected on ``PROJECTIONS`` random orthogonal directions. Two unit vectors at
 the cosine threshold differ by sqrt(2 - 2 cos) in length, so their difference on a direction is
 about normal with that deviation. A query's window on a projection is centred on it, ``WIDTH``
-deviations to either side; a vector inside collides. A pair is a candidate if it collides on all
-``SORTED`` leading projections and on enough of the rest: the needed count is the largest one that
-a pair at the threshold still reaches with probability 0.9999 (``needed_count``).
+deviations to either side; a vector inside collides. A pair is a candidate if it lies in the wider
+windows (``LEAD`` deviations) of all ``SORTED`` leading projections and collides on enough of all:
+the needed count is the largest one that a pair at the threshold still reaches with probability
+0.99999 (``needed_count``). A pair at the threshold misses a leading window with a chance of 2.1e-5
+each, so it is found with probability 0.9999 in all; closer pairs more surely (``joint_recall``).
 
-The leading projections are cut into strips two windows wide; a vector is a member of the one
+The leading projections are cut into strips two of their windows wide; a vector is a member of the one
 cell it lies in, and a query in the cells its windows touch (at most 2 per projection), so each
 ordered pair meets in exactly one cell. Inside a cell, members are sorted by the first projection
 and a query only sees its window. Cells are dealt to bounded blocks; a cell returns a link count
@@ -26,10 +28,10 @@ from pyspark.sql import functions as F
 
 from .graph import components, whole_groups
 
-PROJECTIONS, SORTED, WIDTH, BLOCK = 24, 4, 3.5, 2000
+PROJECTIONS, SORTED, WIDTH, LEAD, BLOCK = 24, 4, 3.5, 4.25, 2000
 
 
-def needed_count(window: float, deviation: float, projections: int, recall: float = 0.9999) -> int:
+def needed_count(window: float, deviation: float, projections: int, recall: float = 0.99999) -> int:
     """Largest collision count that a pair at the threshold reaches with at least ``recall``."""
     p = math.erf(window / deviation / math.sqrt(2))
     tail, k = 0.0, projections
@@ -41,6 +43,11 @@ def needed_count(window: float, deviation: float, projections: int, recall: floa
     return 0
 
 
+def joint_recall(recall: float = 0.99999) -> float:
+    """Least chance that a pair at the threshold passes the leading windows and the count."""
+    return 1 - SORTED * math.erfc(LEAD / math.sqrt(2)) - (1 - recall)
+
+
 @functools.lru_cache(maxsize=8)
 def directions(dims: int) -> np.ndarray:
     """Rows: projections of a fixed seed, orthogonal as far as the dimension allows."""
@@ -90,7 +97,7 @@ def _cells(window: float):
     return run
 
 
-def _count(cosine: float, window: float, need: int):
+def _count(cosine: float, window: float, lead: float, need: int):
     def run(batches):
         for table, groups in whole_groups(batches, ["cell", "mb", "qb"]):
             vkey, weight = table["vkey"].to_numpy(), table["copies"].to_numpy()
@@ -107,11 +114,11 @@ def _count(cosine: float, window: float, need: int):
                 members = members[np.argsort(proj[members, 0], kind="stable")]
                 line = proj[members, 0]
                 for q in np.flatnonzero(ask[s:e]):
-                    a, z = np.searchsorted(line, [proj[q, 0] - window, proj[q, 0] + window], "left")
+                    a, z = np.searchsorted(line, [proj[q, 0] - lead, proj[q, 0] + lead], "left")
                     near = members[a:z]
                     near = near[keys[near] != keys[q]]
-                    hit = np.abs(proj[near] - proj[q]) <= window
-                    near = near[hit[:, :SORTED].all(1) & (hit.sum(1) >= need)]
+                    gap = np.abs(proj[near] - proj[q])
+                    near = near[(gap[:, :SORTED] <= lead).all(1) & ((gap <= window).sum(1) >= need)]
                     if not len(near):
                         continue
                     cos = ((x[near] / norm[near, None]) * (x[q] / norm[q])).sum(1)
@@ -157,7 +164,7 @@ def near_vectors(
     Rows with a null id count as links and keep a null id. Other columns are ignored. No rows give
     no rows."""
     deviation = math.sqrt(2 - 2 * cosine)
-    window = WIDTH * deviation
+    window, lead = WIDTH * deviation, LEAD * deviation
     need = needed_count(window, deviation, PROJECTIONS)
     plain = vectors.select(vector_col).schema[0].dataType.simpleString() in ("array<float>", "array<double>")
     v = F.col(vector_col) if plain else F.col(vector_col).cast("array<double>")
@@ -171,7 +178,7 @@ def near_vectors(
         .checkpoint()
     )
     placed = nodes.select("vkey", F.col("label").cast("string").alias("label"), "v").mapInArrow(
-        _cells(window), "name string, vkey long, member boolean"
+        _cells(lead), "name string, vkey long, member boolean"
     )
     placed = placed.select(F.xxhash64("name").alias("cell"), "vkey", "member")
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("member").alias("any"))
@@ -193,7 +200,7 @@ def near_vectors(
         .repartition("cell", "mb", "qb")
         .sortWithinPartitions("cell", "mb", "qb")
     )
-    found = dealt.mapInArrow(_count(cosine, window, need), "a long, n long, b long").checkpoint()
+    found = dealt.mapInArrow(_count(cosine, window, lead, need), "a long, n long, b long").checkpoint()
     linked = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("vkey"), "component")
     counts = found.where("n is not null").groupBy(F.col("a").alias("vkey")).agg(F.sum("n").alias("others"))
     lowest = linked.join(nodes.select("vkey", "first_id"), "vkey").groupBy("component").agg(F.min("first_id").alias("low"))
