@@ -18,12 +18,36 @@ SUB, SALT = 16, 32
 TASK_BYTES = 64 << 20
 
 
-def min_cost_flow(supply: list[int], capacity: list[int], cost=lambda s, t: 0 if s == t else 1) -> dict[tuple[int, int], int]:
-    """Cheapest integer flow from supplies to capacities, by successive shortest paths.
+def _stay_or_move(supply: list[int], capacity: list[int]) -> dict[tuple[int, int], int]:
+    """Primal-dual flow for costs 0 (stay) and 1 (move): all residual paths of cost 0 are saturated
+    first, which are the shards' own edges; then every path from what is left to what is free costs
+    1, through the one hub that all moves share, so a single sweep over both sides is a blocking
+    flow of that level. No residual path is cheaper, so the flow is optimal. Linear in the shards."""
+    flow = {(k, k): min(a, b) for k, (a, b) in enumerate(zip(supply, capacity, strict=False)) if min(a, b)}
+    left = [[k, n - flow.get((k, k), 0)] for k, n in enumerate(supply)]
+    free = [[k, n - flow.get((k, k), 0)] for k, n in enumerate(capacity)]
+    left, free = [x for x in left if x[1]], [x for x in free if x[1]]
+    t = 0
+    for s, n in left:
+        while n:
+            step = min(n, free[t][1])
+            flow[s, free[t][0]] = step
+            n -= step
+            free[t][1] -= step
+            t += not free[t][1]
+    return dict(sorted(flow.items()))
+
+
+def min_cost_flow(supply: list[int], capacity: list[int], cost=None) -> dict[tuple[int, int], int]:
+    """Cheapest integer flow from supplies to capacities. Without ``cost`` a byte costs 0 in its own
+    shard and 1 elsewhere (two levels of shortest paths, linear in the shards); with ``cost(old, new)``
+    successive shortest paths are used, meant for tens of shards.
 
     ``sum(capacity)`` must not be below ``sum(supply)``. Returns the bytes per (old, new) edge."""
     if sum(capacity) < sum(supply):
         raise ValueError("capacities are below the supply")
+    if cost is None:
+        return _stay_or_move(supply, capacity)
     left, room = list(supply), list(capacity)
     flow: dict[tuple[int, int], int] = {}
     olds, news = range(len(supply)), range(len(capacity))
