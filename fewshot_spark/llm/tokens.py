@@ -22,7 +22,9 @@ SPECIAL = {MARK: 50256}
 
 BATCH_BYTES = 1 << 20
 PIECE_CHARS = 1 << 18
-_SAFE = re.compile(r"(?<=[^\s]) (?=[A-Za-z])")
+# Places where a token of PATTERN always begins: one blank between two other characters, and a
+# closing or parting mark after a letter of a script that is written without blanks.
+_SAFE = re.compile("(?<=\\S)[ \n\r\t](?=\\S)|(?<=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3])(?=[\u3001\u3002\uff01\uff0c\uff1f])")
 
 
 @functools.lru_cache(maxsize=2)
@@ -41,8 +43,8 @@ def encoder(path: str):
 
 
 def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
-    """Cut a long text before single spaces between a non-space and a letter. A token never spans
-    such a place, so the pieces' ids are the text's ids."""
+    """Cut a long text at safe places (``_SAFE``), whatever its script. A token never spans such a
+    place, so the pieces' ids are the text's ids. A run without any such place stays whole."""
     out, at = [], 0
     while len(text) - at > size:
         m = _SAFE.search(text, at + size)
@@ -86,7 +88,7 @@ def _count(path: str):
                 n_bytes[row] = len(text.encode())
                 for piece in pieces(text) if text else ():
                     queue.append((row, piece))
-                    held += len(piece)
+                    held += len(piece) if piece.isascii() else len(piece.encode())
                     if held >= BATCH_BYTES:
                         work()
                         held = 0

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -93,6 +94,24 @@ def test_flow_moves_the_fewest_bytes():
         assert moved == sum(max(0, a - b) for a, b in zip(supply, want, strict=True))
 
 
+def test_flow_equals_the_general_solver_and_takes_thousands_of_shards():
+    rng = random.Random(2)
+    cost = lambda s, t: int(s != t)
+    for _ in range(40):
+        supply = [rng.randrange(0, 9) for _ in range(rng.randrange(1, 6))]
+        want = [rng.randrange(0, 9) for _ in range(rng.randrange(1, 6))]
+        want[-1] += max(0, sum(supply) - sum(want))
+        two, general = sharding.min_cost_flow(supply, want), sharding.min_cost_flow(supply, want, cost)
+        for flow in (two, general):
+            assert [sum(f for (s, _), f in flow.items() if s == k) for k in range(len(supply))] == supply
+            assert all(sum(f for (_, t), f in flow.items() if t == k) <= want[k] for k in range(len(want)))
+        assert sum(f * cost(*e) for e, f in two.items()) == sum(f * cost(*e) for e, f in general.items())
+    supply = [rng.randrange(1 << 30) for _ in range(5000)]
+    start = time.perf_counter()
+    flow = sharding.min_cost_flow(supply, sharding.equal_capacities(sum(supply), 5000))
+    assert time.perf_counter() - start < 2 and len(flow) <= 15_000 and sum(flow.values()) == sum(supply)
+
+
 def test_flow_by_distance_equals_brute_force():
     cost = lambda s, t: abs(s - t)
     supply, want = [3, 0, 2], [1, 2, 2]
@@ -209,6 +228,24 @@ def test_pieces_do_not_change_ids(library):
     assert [i for p in cut for i in enc.encode_ordinary(p)] == library(text)
 
 
+SCRIPTS = {
+    "cyrillic": "Мама мыла раму, а папа — нет. 'sНет 42\n", "greek": "Ένα δύο τρία; «ναι»\tόχι ", "arabic": "مرحبا بالعالم، كيف الحال؟ ",
+    "chinese": "今天天气很好，我们去公园。你来吗？", "japanese": "これはペンです。あれは、本です！", "korean": "안녕하세요 세계, 좋은 아침。",
+    "lines": "one\ntwo\r\nthree\x1cfour\t5 'll <|endoftext|> x\u00a0y ", "marks": "a !? ' s 'd\n\n b . . c ",
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_pieces_of_any_script(library, script):
+    rng = random.Random(4)
+    enc = tokens.encoder(vocabulary())
+    parts = re.findall(r"\S+|\s", SCRIPTS[script])
+    text = SCRIPTS[script] * 200 + "".join(rng.choice([*parts, " ", "\n", "，", "。"]) for _ in range(2_000))
+    cut = tokens.pieces(text, 40)
+    assert len(cut) > 20 and "".join(cut) == text and max(map(len, cut[: len(SCRIPTS[script]) * 2])) < 400
+    assert [i for p in cut for i in enc.encode(p, allowed_special="all")] == library(text)
+
+
 def test_token_counts(spark, library, odd, none, monkeypatch):
     got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in tokens.count_tokens(odd, vocabulary()).collect())
     want = []
@@ -731,3 +768,17 @@ def test_vectors_at_the_threshold_are_found(spark):
     got = {r.vec_id: r for r in near_vectors(df).collect()}
     lost = sum(got[i].n_links != 1 or got[n + i].component_id != i for i in range(n))
     assert len(got) == 2 * n and lost <= 2  # 0.6 expected at most
+
+
+def test_language_vector_trigram_by_trigram(monkeypatch):
+    monkeypatch.setattr(langid, "pieces", lambda t: tokens.pieces(t, 30))
+    texts = ["", "a", "Über den Wolken, 42 mal -- muß die Freiheit", "ab\n\ncd  e1f 日本語。今天，好", "x" * 100 + " Привет мир " * 9]
+    codes, (first, second, third) = langid._codes(), langid._letters().astype(int)
+    got = langid.text_vectors(texts)
+    for v, t in zip(got, texts, strict=True):
+        code = [0, *(int(codes[ord(c)]) for c in t.lower()), 0]
+        want = np.zeros(langid.DIMS)
+        for a, b, c in zip(code, code[1:], code[2:], strict=False):
+            if b:
+                want += first[a] * second[b] * third[c]
+        assert np.array_equal(v, want)
