@@ -141,7 +141,7 @@ def q_triplet_loss(spark, sf):
     trip = X.negative_sample(ex, laid, ["dataset"], DRAW_SEED, out_text=None).select("row_id", "label", "neg_row_id")
     cents = L.mean_vectors(rows, ["label"], "embedding", out="a")
     vecs = rows.select("row_id", "embedding")
-    joined = (trip.join(F.broadcast(cents), "label")
+    joined = (trip.join(cents, "label")
               .join(vecs.withColumnRenamed("embedding", "p"), "row_id")
               .join(vecs.select(F.col("row_id").alias("neg_row_id"), F.col("embedding").alias("n")), "neg_row_id"))
     return L.triplet_loss(joined, ["label"], "a", "p", "n", 0.25)

@@ -100,17 +100,72 @@ def q_fit_adapter(spark, sf):
     return spark.createDataFrame(data, "step int, loss double")
 
 
-def _adapter_examples(spark, sf):
-    """Triplets (class centroid, row, random other-class row) x 5 iterations with their vectors."""
+def _adapter_examples(spark, sf, iterations: int = 5, batches: bool = False):
+    """Triplets (class centroid, row, random other-class row) x iterations with their vectors; with
+    ``batches`` each iteration is a mini-batch."""
     rows = R.embeddings_labelled(spark, sf).withColumn("dataset", F.lit("embeddings"))
     laid = X.lay_out(rows.select("dataset", "row_id", "label"), ["dataset"], "label")
-    trip = X.negative_sample(X.repeat_iterations(laid, 5), laid, ["dataset"], 0, out_text=None)
+    trip = X.negative_sample(X.repeat_iterations(laid, iterations), laid, ["dataset"], 0, out_text=None)
     cents = L.mean_vectors(rows, ["label"], "embedding", out="a")
     vecs = rows.select("row_id", "embedding")
-    ex = (trip.select("row_id", "label", "neg_row_id").join(F.broadcast(cents), "label")
+    ex = (trip.select("row_id", "label", "neg_row_id", "iteration").join(cents, "label")
           .join(vecs.withColumnRenamed("embedding", "p"), "row_id")
           .join(vecs.select(F.col("row_id").alias("neg_row_id"), F.col("embedding").alias("n")), "neg_row_id"))
-    return ex.select("a", "p", "n")
+    return ex.select("a", "p", "n", *([F.col("iteration").alias("batch_id")] if batches else []))
+
+
+STEPS, STEP_RATES = 3, {"sgd": 2.0, "adamw": 0.01}
+
+
+def _steps_sql(optimizer: str) -> str:
+    """The first steps of the adapter from the identity: W in long form and the loss before each step."""
+    ctes = [
+        "q AS (" + _neg_sql(EM_SQL, ["dataset"], "label", "d.iteration, d.row_id, d.label, o.row_id AS neg_row_id", iters=STEPS) + ")",
+        f"x AS MATERIALIZED (SELECT 'a' || label AS id, c AS x FROM {_CENT_SQL} UNION ALL SELECT 'r' || vec_id, v FROM {_EMV_SQL})",
+        "dims AS (SELECT unnest(range(1, (SELECT max(len(x)) FROM x) + 1)) AS i)",
+        "s0 AS (SELECT p.i, q.i AS j, (p.i = q.i)::INTEGER::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM dims p, dims q)",
+    ]
+    for k in range(STEPS):
+        rate = repr(AD.lr_at(k, STEPS, STEP_RATES[optimizer]))
+        ctes += [
+            f"u{k} AS MATERIALIZED (SELECT id, x, u, greatest(sqrt(list_dot_product(u, u)), 1e-8) AS n FROM ("
+            f"SELECT id, x, list(list_dot_product(w, x) ORDER BY i) AS u FROM x, (SELECT i, list(w ORDER BY j) AS w FROM s{k} GROUP BY i) GROUP BY ALL))",
+            f"e{k} AS MATERIALIZED (SELECT a.id AS a, p.id AS p, n.id AS n, a.n AS na, p.n AS np, n.n AS nn, "
+            f"list_dot_product(a.u, p.u) / (a.n * p.n) AS ap, list_dot_product(a.u, n.u) / (a.n * n.n) AS an FROM q "
+            f"JOIN u{k} a ON a.id = 'a' || q.label JOIN u{k} p ON p.id = 'r' || q.row_id JOIN u{k} n ON n.id = 'r' || q.neg_row_id WHERE q.iteration = {k})",
+            f"l{k} AS (SELECT avg(greatest(an - ap + 0.25, 0.0)) AS loss, count(*) AS n FROM e{k})",
+            f"act{k} AS (SELECT * FROM e{k} WHERE (1 - ap) - (1 - an) + 0.25 > 0)",
+            f"c{k} AS (SELECT t, s, sum(c) AS c FROM (SELECT a AS t, n AS s, 1 / (na * nn) AS c FROM act{k} "
+            f"UNION ALL SELECT a, p, -1 / (na * np) FROM act{k} UNION ALL SELECT a, a, (ap - an) / (na * na) FROM act{k} "
+            f"UNION ALL SELECT p, a, -1 / (na * np) FROM act{k} UNION ALL SELECT p, p, ap / (np * np) FROM act{k} "
+            f"UNION ALL SELECT n, a, 1 / (na * nn) FROM act{k} UNION ALL SELECT n, n, -an / (nn * nn) FROM act{k}) GROUP BY ALL)",
+            f"h{k} AS (SELECT c.t, d.i, sum(c.c * u.u[d.i]) AS h FROM c{k} c JOIN u{k} u ON u.id = c.s, dims d GROUP BY ALL)",
+            f"g{k} AS (SELECT h.i, d.i AS j, sum(h.h * x.x[d.i]) / (SELECT n FROM l{k}) AS g FROM h{k} h JOIN x ON x.id = h.t, dims d GROUP BY ALL)",
+        ]
+        if optimizer == "sgd":
+            ctes.append(f"s{k + 1} AS MATERIALIZED (SELECT s.i, s.j, s.w - {rate} * g.g AS w FROM s{k} s JOIN g{k} g ON g.i = s.i AND g.j = s.j)")
+            continue
+        ctes.append(
+            f"s{k + 1} AS MATERIALIZED (SELECT i, j, w - {rate} * (m / (1 - pow(0.9::DOUBLE, {k + 1})) / (sqrt(v / (1 - pow(0.999::DOUBLE, {k + 1}))) + 1e-8) "
+            f"+ 0.01 * (w - (i = j)::INTEGER)) AS w, m, v FROM (SELECT s.i, s.j, s.w, 0.9 * s.m + 0.1 * g.g AS m, 0.999 * s.v + 0.001 * g.g * g.g AS v "
+            f"FROM s{k} s JOIN g{k} g ON g.i = s.i AND g.j = s.j))")
+    losses = ", ".join(f"(SELECT round(loss, 6) FROM l{k}) AS loss_{k}" for k in range(STEPS))
+    return "WITH " + ", ".join(ctes) + f" SELECT i::INTEGER AS i, j::INTEGER AS j, round(w, 6) AS w, {losses} FROM s{STEPS}"
+
+
+def _register_steps(name: str, optimizer: str) -> None:
+    @register(name, _steps_sql(optimizer))
+    def q_steps(spark, sf):
+        """The adapter after its first mini-batch steps over all rows, one batch an iteration."""
+        ex = _adapter_examples(spark, sf, STEPS, batches=True)
+        W, losses = AD.fit_adapter(ex, "triplet", STEPS, STEP_RATES[optimizer], 0.25, optimizer=optimizer)
+        seen = [round(v, 6) for v in losses]
+        data = [(i + 1, j + 1, round(float(w), 6), *seen) for i, row in enumerate(W) for j, w in enumerate(row)]
+        return spark.createDataFrame(data, "i int, j int, w double, " + ", ".join(f"loss_{k} double" for k in range(STEPS)))
+
+
+_register_steps("adapter_steps", "sgd")
+_register_steps("adapter_steps_moments", "adamw")
 
 
 # ---- heads (T5-T9) and the split grid (T10) -------------------------------------------------------
