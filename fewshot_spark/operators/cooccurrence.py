@@ -19,6 +19,7 @@ a text without a known word.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import prepare_session
-from .encode import TOKEN_SPLIT, tokens
+from .encode import small_batches, token_pieces, tokens
 
 
 def word_counts(docs: DataFrame, min_count: int = 5, text_col: str = "text") -> DataFrame:
@@ -150,13 +151,13 @@ class WordVectors:
         def run(batches):
             words, W = sent.value
             place = {w: i for i, w in enumerate(words)}
-            for pdf in batches:
+            for pdf in small_batches(batches, text_col):
                 V = np.zeros((len(pdf), dim))
-                toks = pdf[text_col].fillna("").str.lower().str.split(TOKEN_SPLIT, regex=True)
-                for k, ws in enumerate(toks):
-                    ids, n = np.unique([place[w] for w in ws if w in place], return_counts=True)
-                    if len(ids):
-                        V[k] = n @ W[ids.astype(np.int64)]
+                for k, text in enumerate(pdf[text_col]):
+                    found = Counter(place[w] for ws in token_pieces(text) for w in ws if w in place)
+                    if found:
+                        ids = np.sort(np.fromiter(found, np.int64, len(found)))
+                        V[k] = np.array([found[i] for i in ids.tolist()]) @ W[ids]
                 norm = np.linalg.norm(V, axis=1, keepdims=True)
                 V = np.divide(V, norm, out=np.zeros_like(V), where=norm > 0)
                 yield pdf[[id_col]].assign(**{out: list(np.round(V, 6))})

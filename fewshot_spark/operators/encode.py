@@ -6,8 +6,8 @@
   without tokens gives the zero vector) and rounded to 6 digits. The whole text is encoded
   unless ``max_tokens`` is given. Two physical forms with equal output:
   - ``method="map"`` (default): documents are independent, so each partition encodes its rows in
-    Arrow batches (``mapInPandas``): no shuffle at all, one md5 per distinct token per task
-    (cached), ``numpy.bincount`` per row. This is the form that holds at corpus scale.
+    Arrow batches (``mapInPandas``): no shuffle at all, two md5 per distinct token and one
+    ``numpy.bincount`` per run of about a million characters. This is the form that holds at corpus scale.
   - ``method="sql"``: the same definition in Spark SQL only: explode -> partial aggregation on
     (row, bucket) -> shuffle of at most ``dim`` cells per row -> per-row aggregation. It is the
     relational statement of the encoder (and what the DuckDB oracle mirrors), but it shuffles
@@ -20,6 +20,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,8 @@ from pyspark.sql import types as T
 from ..functions.hashing import h60
 
 TOKEN_SPLIT = r"[ \t\r\n]+"
+_SPLIT = re.compile(TOKEN_SPLIT)
+SLICE_CHARS, SLICE_ROWS = 1 << 20, 1024  # what a task holds of its texts at a time
 
 
 def tokens(text: Column | str) -> Column:
@@ -82,38 +85,75 @@ def encode_hash(
     return per_row.select(id_col, dense.alias(out))
 
 
-def _h60_py(s: str) -> int:
+def small_batches(batches, text_col: str):
+    """Non-empty pandas batches cut into runs of about ``SLICE_CHARS`` characters of text and at most
+    ``SLICE_ROWS`` rows, so that what a task holds does not grow with the Arrow batches."""
+    import numpy as np
+
+    for pdf in batches:
+        ends, i = np.cumsum([len(t) if isinstance(t, str) else 0 for t in pdf[text_col]]), 0
+        while i < len(pdf):
+            j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE_CHARS, "right"))
+            j = min(max(i + 1, j), i + SLICE_ROWS, len(pdf))
+            yield pdf.iloc[i:j]
+            i = j
+
+
+def token_pieces(text):
+    """The tokens of a text as lists, each of about ``SLICE_CHARS`` characters cut between tokens
+    (one list unless the text is longer); a null text has none."""
+    at, end = 0, len(text) if isinstance(text, str) else 0
+    while at < end:
+        cut = _SPLIT.search(text, at + SLICE_CHARS) if end - at > SLICE_CHARS else None
+        to = cut.start() if cut else end
+        yield [t for t in text[at:to].lower().replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ") if t]
+        at = to
+
+
+def token_runs(texts: list, max_tokens: int | None = None):
+    """``(places, tokens)`` of a list of texts, a bounded number of characters at a time."""
+    place, toks, size = [], [], 0
+    for i, text in enumerate(texts):
+        left = max_tokens
+        for part in token_pieces(text):
+            if left is not None:
+                part, left = part[:left], left - len(part[:left])
+            place += [i] * len(part)
+            toks += part
+            size += sum(map(len, part)) + len(part)
+            if size >= SLICE_CHARS:
+                yield place, toks
+                place, toks, size = [], [], 0
+            if left == 0:
+                break
+    if toks:
+        yield place, toks
+
+
+def _h60_all(texts) -> "object":
+    """``h60`` of every text, as a numpy array."""
     import hashlib
 
-    return int(hashlib.md5(s.encode("utf-8")).hexdigest()[:15], 16)
+    import numpy as np
+
+    digests = b"".join([hashlib.md5(t.encode("utf-8")).digest()[:8] for t in texts])
+    return (np.frombuffer(digests, ">u8") >> 4).astype(np.int64)
 
 
-def hash_vectors(texts: list, dim: int, max_tokens: int | None = None, cache: dict | None = None):
+def hash_vectors(texts: list, dim: int, max_tokens: int | None = None):
     """The hashed encoding of a list of texts as a ``len(texts) x dim`` numpy array (the per-batch
-    kernel of ``encode_hash(method="map")``; also used for small bounded lists such as anchors)."""
+    kernel of ``encode_hash(method="map")``; also used for small bounded lists such as anchors).
+    Tokens and their hashes are held for about ``SLICE_CHARS`` characters at a time."""
     import numpy as np
     import pandas as pd
 
-    cache = {} if cache is None else cache
-    n = len(texts)
-    toks = pd.Series(texts, dtype=object).fillna("").str.lower().str.split(TOKEN_SPLIT, regex=True).explode()
-    toks = toks[toks.notna() & (toks != "")]
-    rowpos = toks.index.to_numpy()
-    if max_tokens is not None:
-        keep = (toks.groupby(level=0).cumcount() < max_tokens).to_numpy()
-        toks, rowpos = toks[keep], rowpos[keep]
-    codes, uniques = pd.factorize(toks.to_numpy())
-    ub = np.empty(len(uniques), dtype=np.int64)
-    us = np.empty(len(uniques), dtype=np.float64)
-    for i, t in enumerate(uniques):
-        e = cache.get(t)
-        if e is None:
-            e = (_h60_py(t) % dim, 1 - 2 * (_h60_py("s:" + t) % 2))
-            if len(cache) < 2_000_000:
-                cache[t] = e
-        ub[i], us[i] = e
-    pos = np.asarray(rowpos, dtype=np.int64)
-    M = np.bincount(pos * dim + ub[codes], weights=us[codes], minlength=n * dim).reshape(n, dim)
+    M = np.zeros((len(texts), dim))
+    for place, toks in token_runs(texts, max_tokens):
+        codes, uniques = pd.factorize(np.array(toks, dtype=object))
+        cell = np.array(place, dtype=np.int64) * dim + (_h60_all(uniques) % dim)[codes]
+        sign = (1.0 - 2.0 * (_h60_all(["s:" + t for t in uniques]) % 2))[codes]
+        lo, hi = place[0] * dim, (place[-1] + 1) * dim
+        M.ravel()[lo:hi] += np.bincount(cell - lo, weights=sign, minlength=hi - lo)
     nrm = np.sqrt(np.einsum("ij,ij->i", M, M))
     safe = np.where(nrm > 0, nrm, 1.0)
     return np.where(nrm[:, None] > 0, np.round(M / safe[:, None], 6), 0.0)
@@ -125,11 +165,8 @@ def _encode_hash_map(df: DataFrame, id_col: str, text_col: str, dim: int, max_to
     schema = T.StructType([*[df.schema[c] for c in cols], T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        cache: dict[str, tuple[int, int]] = {}
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            V = hash_vectors(pdf[text_col].tolist(), dim, max_tokens, cache)
+        for pdf in small_batches(batches, text_col):
+            V = hash_vectors(pdf[text_col].tolist(), dim, max_tokens)
             yield pdf[cols].assign(**{out: list(V)})
 
     return df.select(*cols, text_col).mapInPandas(run, schema)

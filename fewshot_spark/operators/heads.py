@@ -264,16 +264,14 @@ def scored_rows(rows: DataFrame, chunks: list, id_col: str, vec_col: str, label_
     written once (``checkpoint``), so no chunk encodes the texts again."""
     if len(chunks) <= 1 or not encode:
         return rows, encode
-    from .encode import hash_vectors
+    from .encode import hash_vectors, small_batches
 
     cols = [id_col, *([label_col] if label_col else [])]
     schema = T.StructType([*[rows.schema[c] for c in cols], T.StructField(vec_col, T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        cache: dict = {}
-        for pdf in batches:
-            if len(pdf):
-                yield pdf[cols].assign(**{vec_col: list(hash_vectors(pdf[encode[0]].tolist(), encode[1], cache=cache))})
+        for pdf in small_batches(batches, encode[0]):
+            yield pdf[cols].assign(**{vec_col: list(hash_vectors(pdf[encode[0]].tolist(), encode[1]))})
 
     return rows.select(*cols, encode[0]).mapInPandas(run, schema).checkpoint(), None
 
@@ -338,7 +336,7 @@ def predict(
 
 def _predict_packed(rows: DataFrame, packed: list, weights: DataFrame, keys: list[str], id_col: str, vec_col: str,
                     label_col: str | None, aggregate: bool, encode: tuple[str, int] | None = None) -> DataFrame:
-    from .encode import hash_vectors
+    from .encode import hash_vectors, small_batches
 
     sc = rows.sparkSession.sparkContext
     bc = sc.broadcast(packed)
@@ -357,12 +355,11 @@ def _predict_packed(rows: DataFrame, packed: list, weights: DataFrame, keys: lis
         groups = bc.value
         stacked = np.vstack([g[2] for g in groups]) if groups else None
         acc: dict = {}
-        cache: dict = {}
-        for pdf in batches:
+        for pdf in small_batches(batches, encode[0]) if encode else batches:
             if len(pdf) == 0:
                 continue
             if encode:
-                X = hash_vectors(pdf[encode[0]].tolist(), encode[1], cache=cache)
+                X = hash_vectors(pdf[encode[0]].tolist(), encode[1])
             else:
                 X = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64)
             y = pdf[label_col].to_numpy() if label_col else np.zeros(len(pdf))

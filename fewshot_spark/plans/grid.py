@@ -412,7 +412,7 @@ def predict_multilabel(
 
 
 def _predict_multilabel(rows, chosen_weights, weights, keys, id_col, vec_col, mask_col, encode):
-    from ..operators.encode import hash_vectors
+    from ..operators.encode import hash_vectors, small_batches
 
     groups: dict = {}
     for r in chosen_weights.toPandas().itertuples(index=False):
@@ -429,13 +429,12 @@ def _predict_multilabel(rows, chosen_weights, weights, keys, id_col, vec_col, ma
 
     def run(batches):
         acc: dict = {}
-        cache: dict = {}
         stacked = np.vstack([p[1] for p in bc.value]) if bc.value else None
-        for pdf in batches:
+        for pdf in small_batches(batches, encode[0]) if encode else batches:
             if len(pdf) == 0 or stacked is None:
                 continue
             if encode:
-                X = hash_vectors(pdf[encode[0]].tolist(), encode[1], cache=cache)
+                X = hash_vectors(pdf[encode[0]].tolist(), encode[1])
             else:
                 X = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64)
             true, t_code = np.unique(pdf[mask_col].to_numpy().astype(np.int64), return_inverse=True)

@@ -279,12 +279,10 @@ def dl_multilabel_predictions(spark, sf):
     shifts = 1 << np.arange(len(ML_LABELS))
 
     def score(batches):
-        cache: dict = {}
-        for pdf in batches:
-            if len(pdf):
-                X = E.hash_vectors(pdf["text"].tolist(), DIM, cache=cache)
-                s0, s1 = (np.round(X @ c.T, 9) for c in cents)
-                yield pdf[["row_id", "true_mask"]].assign(pred_mask=((s1 > s0) * shifts).sum(axis=1))
+        for pdf in E.small_batches(batches, "text"):
+            X = E.hash_vectors(pdf["text"].tolist(), DIM)
+            s0, s1 = (np.round(X @ c.T, 9) for c in cents)
+            yield pdf[["row_id", "true_mask"]].assign(pred_mask=((s1 > s0) * shifts).sum(axis=1))
 
     scored = rows.select("row_id", "text", F.col("label_mask").alias("true_mask"))
     return scored.mapInPandas(score, "row_id long, true_mask long, pred_mask long")
