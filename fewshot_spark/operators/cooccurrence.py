@@ -6,7 +6,7 @@ word vectors; a text is the mean of its words' vectors, rare words weighing more
 
 * Counting is one aggregation with map-side partial sums: each text meets its own shifted copy,
   so neighbours are paired by position and no join of tokens is needed. Unordered pairs are
-  shuffled and mirrored afterwards.
+  shuffled, kept once, and mirrored whenever they are read.
 * The factorised vocabulary is the ``max_words`` most frequent words, which bounds everything the
   driver holds or broadcasts (``max_words`` x (``dim`` + ``oversample``) doubles). The cells of the
   matrix stay in Spark, laid out by row once; each product with a block of vectors is one narrow
@@ -31,6 +31,8 @@ from pyspark.sql import types as T
 from ..session import prepare_session
 from .encode import small_batches, token_pieces, tokens
 
+BROADCAST_WORDS = 1_000_000  # words sent to all tasks at most (about 100 MB)
+
 
 def word_counts(docs: DataFrame, min_count: int = 5, text_col: str = "text") -> DataFrame:
     """``(word, n_tokens)`` of every word that stands at least ``min_count`` times in the texts."""
@@ -41,16 +43,28 @@ def word_counts(docs: DataFrame, min_count: int = 5, text_col: str = "text") ->
 def cooccurrence_counts(docs: DataFrame, words: DataFrame, window: int = 4, text_col: str = "text") -> DataFrame:
     """``(word, context, n)``: ordered pairs of positions at most ``window`` apart, both words in
     ``words`` (distances count all tokens). The table is symmetric; a word is its own context twice
-    for each unordered pair of its places."""
+    for each unordered pair of its places.
+
+    Up to ``BROADCAST_WORDS`` words are sent to all tasks: pairs with another word go before the
+    shuffle, which then carries two numbers for a pair. More words are filtered after the counts."""
     toks = docs.select(tokens(text_col).alias("_t"))
     apart = toks.select("_t", F.explode(F.sequence(F.lit(1), F.lit(int(window)))).alias("_k"))
     n = F.greatest(F.size("_t") - F.col("_k"), F.lit(0))
     met = apart.select(F.explode(F.arrays_zip(
-        F.slice("_t", F.lit(1), n).alias("x"), F.slice("_t", F.col("_k") + 1, n).alias("y"))).alias("p"))
-    half = met.groupBy(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    known = words.select("word")
-    for side in ("a", "b"):
-        half = half.join(known.withColumnRenamed("word", side), side, "left_semi")
+        F.slice("_t", F.lit(1), n).alias("x"), F.slice("_t", F.col("_k") + 1, n).alias("y"))).alias("p")).select("p.x", "p.y")
+    known = words.select("word").distinct().withColumn("i", F.monotonically_increasing_id()).checkpoint()
+    few = known.count() <= BROADCAST_WORDS
+    if few:
+        for side in ("x", "y"):
+            met = met.join(F.broadcast(known.select(F.col("word").alias(side), F.col("i").alias(f"_{side}"))), side).drop(side).withColumnRenamed(f"_{side}", side)
+    half = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    if not few:
+        for side in ("a", "b"):
+            half = half.join(known.select(F.col("word").alias(side)), side, "left_semi")
+    half = half.checkpoint()
+    if few:
+        for side in ("a", "b"):
+            half = half.join(F.broadcast(known.select(F.col("i").alias(side), F.col("word").alias(f"_{side}"))), side).drop(side).withColumnRenamed(f"_{side}", side)
     cell = lambda x, y, m: F.struct(F.col(x).alias("word"), F.col(y).alias("context"), m.alias("n"))
     both = F.when(F.col("a") == F.col("b"), F.array(cell("a", "b", F.col("n") * 2))).otherwise(
         F.array(cell("a", "b", F.col("n")), cell("b", "a", F.col("n"))))
@@ -59,11 +73,12 @@ def cooccurrence_counts(docs: DataFrame, words: DataFrame, window: int = 4, text
 
 def ppmi(counts: DataFrame, shift: float = 1.0) -> DataFrame:
     """Add ``ppmi = max(0, ln(n * N / (n_word * n_context)) - ln(shift))`` to ``(word, context, n)``;
-    N and the words' totals are those of ``counts``, which is read three times."""
-    totals = counts.groupBy("word").agg(F.sum("n").alias("_n"))
-    total = totals.agg(F.sum("_n").alias("n")).first()["n"] or 0
-    res = counts.join(totals.withColumnRenamed("_n", "_w"), "word").join(
-        totals.select(F.col("word").alias("context"), F.col("_n").alias("_c")), "context")
+    N and the words' totals are those of ``counts``, which is read twice."""
+    totals = counts.groupBy("word").agg(F.sum("n").alias("_n")).checkpoint()
+    size = totals.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("words")).first()
+    total, sent = size["n"] or 0, F.broadcast if size["words"] <= BROADCAST_WORDS else (lambda df: df)
+    res = counts.join(sent(totals.withColumnRenamed("_n", "_w")), "word").join(
+        sent(totals.select(F.col("word").alias("context"), F.col("_n").alias("_c"))), "context")
     ratio = F.col("n").cast("double") * F.lit(float(total)) / (F.col("_w").cast("double") * F.col("_c").cast("double"))
     return res.select("word", "context", "n", F.greatest(F.log(ratio) - F.lit(math.log(shift)), F.lit(0.0)).alias("ppmi"))
 
@@ -176,9 +191,9 @@ def fit_word_vectors(docs: DataFrame, dim: int = 128, window: int = 4, min_count
     if not words:
         return WordVectors([], counts, np.zeros((0, dim)), np.zeros(dim))
     ids = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, i int")
-    met = cooccurrence_counts(docs, ids, window, text_col).checkpoint()
+    met = cooccurrence_counts(docs, ids, window, text_col)
     scored = ppmi(met, shift).where(F.col("ppmi") > 0)
-    cells = scored.join(ids, "word").join(ids.select(F.col("word").alias("context"), F.col("i").alias("j")), "context")
+    cells = scored.join(F.broadcast(ids), "word").join(F.broadcast(ids.select(F.col("word").alias("context"), F.col("i").alias("j"))), "context")
     cells = cells.select("i", "j", F.col("ppmi").alias("v")).repartition("i").sortWithinPartitions("i", "j").checkpoint()
     U, s = truncated_svd(cells, len(words), dim, oversample, power, seed)
     return WordVectors(words, counts, U * np.sqrt(s), s)

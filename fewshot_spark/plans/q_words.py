@@ -36,7 +36,7 @@ def q_ppmi_counts(spark, sf):
     """Co-occurrence counts and positive pointwise mutual information over all documents, summed up
     for each word that stands at least five times."""
     docs = read_table(spark, sf, "documents").select("text")
-    words = CO.word_counts(docs, MIN_COUNT)
+    words = CO.word_counts(docs, MIN_COUNT).checkpoint()
     scored = CO.ppmi(CO.cooccurrence_counts(docs, words, WINDOW))
     per = scored.groupBy("word").agg(
         F.count(F.lit(1)).alias("n_contexts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n_squares"),
