@@ -19,6 +19,7 @@ from .registry import DL_SQL, dl, register
 
 DIM = 256
 ITERS_EM = 40
+SENT_VECTORS = 20_000  # vectors that a join sends to all tasks at most
 EMB = C.spec("embeddings")
 TOKENS_SQL = r"list_filter(string_split_regex(lower({t}), '[ \t\r\n]+'), lambda x: x <> '')"
 
@@ -165,9 +166,11 @@ def q_cosine_similarity_loss(spark, sf):
     pos = X.positive_sample(ex, laid, ["dataset"], DRAW_SEED, out_id="other", out_text=None).withColumn("target", F.lit(1.0))
     neg = X.negative_sample(ex, laid, ["dataset"], DRAW_SEED, out_id="other", out_text=None).withColumn("target", F.lit(0.0))
     pairs = pos.select("row_id", "label", "other", "target").unionByName(neg.select("row_id", "label", "other", "target"))
-    vecs = rows.select("row_id", "embedding")
+    # the pairs are many times the vectors: hashing the vectors spares sorting (and spilling) pairs with vectors
+    how = "broadcast" if rows.count() <= SENT_VECTORS else "shuffle_hash"
+    vecs = rows.select("row_id", "embedding").hint(how)
     joined = pairs.join(vecs.withColumnRenamed("embedding", "u"), "row_id").join(
-        vecs.select(F.col("row_id").alias("other"), F.col("embedding").alias("v")), "other")
+        vecs.select(F.col("row_id").alias("other"), F.col("embedding").alias("v")).hint(how), "other")
     return L.cosine_similarity_loss(joined, ["label"], "u", "v", "target")
 
 
