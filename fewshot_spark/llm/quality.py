@@ -25,6 +25,7 @@ from .words import word_hashes
 
 BUCKETS, DIMS, NONZERO, REACH = 1 << 14, 32, 4, 2
 BLOCK = 64
+WORDS, LONG = 25_000, 200_000  # words a task holds the vectors of at a time, and of one long text
 MAX_LABELLED = 20_000
 SEED = 11
 
@@ -52,14 +53,14 @@ def _contexts(batches):
             # texts are parted by REACH empty words (the zero row), so none sees its neighbour's words
             at = np.repeat(np.cumsum(counts), REACH)
             w = np.insert(_buckets(h), at, BUCKETS)
-            for i in range(0, len(w), 200_000):
-                lo, hi = max(0, i - REACH), min(len(w), i + 200_000 + REACH)
+            for i in range(0, len(w), WORDS):
+                lo, hi = max(0, i - REACH), min(len(w), i + WORDS + REACH)
                 vec = index[w[lo:hi]].astype(np.int16)
                 ctx = np.zeros_like(vec)
                 for k in range(1, REACH + 1):
                     ctx[k:] += vec[:-k]
                     ctx[:-k] += vec[k:]
-                own = slice(i - lo, i - lo + min(200_000, len(w) - i))
+                own = slice(i - lo, i - lo + min(WORDS, len(w) - i))
                 word, ctx = w[lo:hi][own], ctx[own]
                 for d in range(DIMS):
                     sums[:, d] += np.bincount(word, weights=ctx[:, d], minlength=BUCKETS + 1)[:BUCKETS].astype(np.int64)
@@ -94,6 +95,17 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0).astype(np.float32)
 
 
+def _parts(ends: np.ndarray):
+    """Ranges of about ``WORDS`` words, cut between texts; a text of more words is cut every ``LONG``."""
+    s = 0
+    while len(ends) and s < ends[-1]:
+        last = int(np.searchsorted(ends, s + WORDS, "right")) - 1
+        whole = last >= 0 and ends[last] > s
+        e = int(ends[last]) if whole else int(min(ends[np.searchsorted(ends, s, "right")], s + LONG))
+        yield s, e
+        s = e
+
+
 def _features(column, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
     out = np.zeros((len(column), 3 * DIMS + 4), np.float32)
     for i, j, h, counts in word_hashes(column):
@@ -101,8 +113,8 @@ def _features(column, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
         sums, pairs = np.zeros((3, j - i, DIMS)), np.zeros((2, j - i))
         w = _buckets(h)
         owner = np.repeat(np.arange(j - i), counts)
-        for s in range(0, len(w), 200_000):
-            part, own = w[s : s + 200_000], owner[s : s + 200_000]
+        for s, e in _parts(np.cumsum(counts)):
+            part, own = w[s:e], owner[s:e]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             v, plain = vectors[part], index[part].astype(np.float32)
             for k, x in enumerate((v, v * v, plain)):
