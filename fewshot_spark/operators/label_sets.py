@@ -9,7 +9,8 @@ number of labels fits and sets are compared word by word in built-in functions.
    rows of all patterns disjoint with an example's pattern are counted by a sum over subsets, so
    a draw never meets a row that shares a hot label.
 2. ``draws`` seeded positions among those rows are fetched by an equi-join, and the first row that
-   shares none of the other labels either is the partner.
+   shares none of the other labels either is the partner. The first two draws come one by one, the
+   later ones together, each only for the examples that have no partner yet.
 3. Examples without one draw exactly: only their distinct label sets meet the label sets of the
    admissible patterns, by equi-joins on (split, pattern, lowest other label), and one of the
    disjoint sets' rows is drawn by its rank.
@@ -27,6 +28,7 @@ from ..functions.hashing import h60
 from ..functions.ranking import number_by_hash
 
 WORD, HOT, DRAWS = 60, 8, 8
+SENT_SPLITS = 8  # splits whose table of patterns (at most 2**17 rows each) is sent to all tasks
 
 
 # ---- sets as words -------------------------------------------------------------------------
@@ -152,7 +154,7 @@ def disjoint_partners(
     split = [F.col(k).alias(n) for k, n in zip(split_keys, keys)] or [F.lit(0).alias(keys[0])]
     base = rows.select(*split, F.col(id_col).alias("_id"), F.col(set_col).alias("_set")).where("_set is not null and _id is not null").checkpoint()
     hot = _hot_labels(base, keys).checkpoint()
-    laid = _placed(base, hot, keys).withColumn("_hp", h60(F.lit("pos"), F.col("_id")))
+    laid = _placed(base, hot, keys).withColumn("_hp", h60(F.lit("pos"), F.col("_id"))).checkpoint()  # read six times
     # the same example key decides every draw, as in the other partner draws
     part = [F.col(k) for k in (keys if split_keys else [])]
 
@@ -161,29 +163,44 @@ def disjoint_partners(
 
     asked = _placed(
         ex.select(*split, F.col("iteration").alias("_it"), F.col(id_col).alias("_id"), F.col(set_col).alias("_set")).where("_set is not null"), hot, keys)
-    counts = laid.groupBy(*keys, "_pat").agg(F.count(F.lit(1)).alias("_n"))
+    counts = laid.groupBy(*keys, "_pat").agg(F.count(F.lit(1)).alias("_n")).checkpoint()
     # a pattern's admissible rows: those of the patterns that are subsets of its complement
     split_rows = counts.select(*keys).distinct()
+    # the table of patterns has a fixed size per split: with few splits every task gets it
+    sent = F.broadcast if split_rows.count() <= SENT_SPLITS else (lambda df: df)
     pats = split_rows.withColumn("_a", F.explode(F.sequence(F.lit(0), F.lit((1 << HOT) - 1))))
     free = pats.withColumn("_pat", F.explode(_free_patterns(F.col("_a")))).join(counts, [*keys, "_pat"])
-    spread, totals = _bins(free, keys, "_pat")
-    shots = (
-        asked.withColumnRenamed("_pat", "_a").join(totals, [*keys, "_a"])
-        .select(*keys, "_it", "_id", "_set", "_a", "_tot", "_nb", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_j"))
-        .withColumn("_r", draw(F.col("_j")) % F.col("_tot"))
-        .withColumn("_bin", _bin_of(F.col("_r")))
-        .join(spread, [*keys, "_a", "_bin"]).where("_r >= _lo and _r < _hi")
-        .select(*keys, "_it", "_id", "_set", "_j", "_pat", (F.col("_r") - F.col("_lo")).alias("_p"))
-    )
+    spread, totals = (t.checkpoint() for t in _bins(free, keys, "_pat"))
     there = number_by_hash(laid, [*keys, "_pat"], "_hp", "_id", out="_p", bits=bits).select(
-        *keys, "_pat", "_p", F.col("_id").alias("_other"), F.col("_set").alias("_other_set"))
-    first = F.min(F.when(disjoint(F.col("_set"), F.col("_other_set")), F.struct("_j", "_other")))
-    drawn = (
-        shots.join(there, [*keys, "_pat", "_p"])
-        .groupBy(*keys, "_it", "_id").agg(first.alias("_first"), F.any_value("_set").alias("_set"))
-        .select(*keys, "_it", "_id", "_set", F.col("_first._other").alias("_other"))
-        .checkpoint()
-    )
+        *keys, "_pat", "_p", F.col("_id").alias("_other"), F.col("_set").alias("_other_set")).checkpoint()
+
+    def shoot(some: DataFrame, draws: list[int]) -> DataFrame:
+        shots = (
+            some.join(sent(totals), [*keys, "_a"])
+            .select(*keys, "_it", "_id", "_set", "_a", "_tot", "_nb", F.explode(F.array(*[F.lit(j) for j in draws])).alias("_j"))
+            .withColumn("_r", draw(F.col("_j")) % F.col("_tot"))
+            .withColumn("_bin", _bin_of(F.col("_r")))
+            .join(sent(spread), [*keys, "_a", "_bin"]).where("_r >= _lo and _r < _hi")
+            .select(*keys, "_it", "_id", "_set", "_a", "_j", "_pat", (F.col("_r") - F.col("_lo")).alias("_p"))
+        )
+        first = F.min(F.when(disjoint(F.col("_set"), F.col("_other_set")), F.struct("_j", "_other")))
+        return (
+            shots.join(there, [*keys, "_pat", "_p"])
+            .groupBy(*keys, "_it", "_id").agg(first.alias("_first"), F.any_value("_set").alias("_set"), F.any_value("_a").alias("_a"))
+            .select(*keys, "_it", "_id", "_set", "_a", F.col("_first._other").alias("_other"))
+            .checkpoint()
+        )
+
+    # most examples have a partner after one or two draws: only the others draw again
+    some, rounds = asked.withColumnRenamed("_pat", "_a").drop("_low"), []
+    for js in ([0], [1], list(range(2, draws))):
+        if js[-1:] and js[-1] < draws:
+            rounds.append(shoot(some, js))
+            some = rounds[-1].where("_other is null").drop("_other")
+    drawn = rounds[-1]
+    for r in rounds[:-1]:
+        drawn = drawn.unionByName(r.where("_other is not null"))
+    drawn = drawn.drop("_a")
     rest = drawn.where("_other is null").drop("_other")
     found = drawn.where("_other is not null").drop("_set").unionByName(_exact(rest, laid, hot, keys, draw, bits))
     found = found.select(*[F.col(n).alias(k) for k, n in zip(split_keys, keys)], F.col("_it").alias("iteration"), F.col("_id").alias(id_col), F.col("_other").alias(out_id))

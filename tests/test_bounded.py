@@ -6,8 +6,15 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
+from conftest import SF001
+from fewshot_spark.llm import quality as QU
+from fewshot_spark.operators import cooccurrence as CO
 from fewshot_spark.operators import encode as E
+from fewshot_spark.operators import label_sets as LS
+from fewshot_spark.plans import queries as _  # noqa: F401
+from fewshot_spark.plans import q_models as Q
 
 
 def _brute(text, dim, max_tokens=None):
@@ -36,3 +43,39 @@ def test_hash_vectors_hold_a_bounded_part_of_the_tokens():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 130e6
+
+
+def test_pairs_of_words_do_not_depend_on_how_words_are_sent(spark, monkeypatch):
+    texts = ["a b c a", "b c d", None, "", "a a a rare", "c d b a b"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = CO.word_counts(docs, 2)
+    got = []
+    for most in (CO.BROADCAST_WORDS, 0):
+        monkeypatch.setattr(CO, "BROADCAST_WORDS", most)
+        got.append(sorted(map(tuple, CO.ppmi(CO.cooccurrence_counts(docs, words, 2)).collect())))
+    assert got[0] == got[1] and not any("rare" in r[:2] for r in got[0])
+
+
+def test_partners_do_not_depend_on_how_patterns_are_sent(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [i % 7, 7 + i % 3]) for i in range(60)], "row_id long, labels array<int>").select(
+        "row_id", LS.label_words(F.col("labels"), 10).alias("label_words"), F.lit(0).alias("iteration"))
+    for draws in (1, 2, 4):
+        got = []
+        for most in (LS.SENT_SPLITS, 0):
+            monkeypatch.setattr(LS, "SENT_SPLITS", most)
+            got.append(sorted((r.row_id, r.neg_row_id) for r in LS.disjoint_partners(rows, rows, [], 3, draws=draws).collect()))
+        assert got[0] == got[1] and len(got[0]) == 60
+        assert all(a % 7 != b % 7 and a % 3 != b % 3 for a, b in got[0])
+
+
+def test_cosine_loss_sorts_no_pairs_with_vectors(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SENT_VECTORS", 0)
+    plan = Q.q_cosine_similarity_loss(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan
+
+
+def test_parts_of_words_end_with_texts(monkeypatch):
+    monkeypatch.setattr(QU, "WORDS", 4)
+    monkeypatch.setattr(QU, "LONG", 6)
+    assert list(QU._parts(np.cumsum([3, 0, 1, 5, 14, 2]))) == [(0, 4), (4, 9), (9, 15), (15, 21), (21, 25)]
+    assert list(QU._parts(np.cumsum([0, 0]))) == [] and list(QU._parts(np.zeros(0, np.int64))) == []
