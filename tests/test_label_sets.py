@@ -84,6 +84,31 @@ def test_partners_odd_input(spark):
     assert {(r.row_id, r.neg_row_id) for r in no_keys.collect()} == {(1, 2), (2, 1)}
 
 
+@pytest.mark.parametrize("n_labels", [28, 70])
+def test_exact_partners_keep_no_pairs_of_sets(spark, monkeypatch, n_labels):
+    """The exact way keeps a row per asked set and block, and finds the same partners however the
+    sets are cut into blocks and the asks into pieces."""
+    sets = _sets(300, n_labels, 11, 9)
+    rows = _frame(spark, sets, n_labels)
+    kept, got, bins = [], [], LS._bins
+
+    def counted(parts, keys, part):
+        if part != "_pat":
+            kept.append(parts.count())
+        return bins(parts, keys, part)
+
+    monkeypatch.setattr(LS, "_bins", counted)
+    for bits, asks in ((LS.BLOCK_BITS, LS.ASKS_PER_TASK), (3, 7)):
+        monkeypatch.setattr(LS, "BLOCK_BITS", bits)
+        monkeypatch.setattr(LS, "ASKS_PER_TASK", asks)
+        found = LS.disjoint_partners(X.repeat_iterations(rows, 2), rows, ["dataset"], 1, draws=1).collect()
+        got.append(sorted((r.row_id, r.iteration, r.neg_row_id) for r in found))
+    distinct = {frozenset(s) for s in sets.values()}
+    pairs = sum(not a & b for a in distinct for b in distinct)
+    assert 0 < kept[0] <= len(distinct) < pairs / 3
+    assert got[0] == got[1] and all(not sets[a] & sets[b] for a, _, b in got[0])
+
+
 def test_draws_need_no_cross_join(spark):
     """Neither the hints of a small table nor a constant split key may turn a join into a product."""
     sets = _sets(300, 28, 5)
