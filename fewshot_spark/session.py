@@ -38,6 +38,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 _SHIPPED: set[str] = set()
+BATCH_BYTES, _BATCH_KEY = 1 << 22, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -56,8 +57,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def prepare_session(spark: SparkSession) -> str:
-    """Ship the package to the executors and return the checkpoint folder."""
+    """Ship the package to the executors, bound Arrow batches and return the checkpoint folder.
+
+    By default a batch holds 10,000 rows, up to 64 MB, several times over in a Python worker; with
+    about ``BATCH_BYTES`` a worker's memory does not grow with its partition. A session that names
+    its own bound keeps it."""
     ship_package(spark)
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, BATCH_BYTES)
     return ensure_checkpoint_dir(spark)
 
 

@@ -15,6 +15,7 @@ from fewshot_spark.operators import encode as E
 from fewshot_spark.operators import label_sets as LS
 from fewshot_spark.plans import queries as _  # noqa: F401
 from fewshot_spark.plans import q_models as Q
+from fewshot_spark.session import BATCH_BYTES, prepare_session
 
 
 def _brute(text, dim, max_tokens=None):
@@ -45,6 +46,31 @@ def test_hash_vectors_hold_a_bounded_part_of_the_tokens():
     assert peak < 130e6
 
 
+def test_batches_of_texts_and_vectors_are_bounded(spark):
+    rows = spark.range(9_000, numPartitions=1).select(
+        F.col("id").alias("row_id"), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" ")), 600).alias("text"))
+    vectors = rows.select("row_id", F.array_repeat(F.col("row_id").cast("double"), 256).alias("text"))
+    for df in (rows, vectors):
+        def size(batches):
+            for b in batches:
+                yield pd.DataFrame({"n": [len(b)], "size": [sum(len(x) * (1 if isinstance(x, str) else 8) for x in b["text"])]})
+
+        got = df.mapInPandas(size, "n long, size long").collect()
+        assert sum(r["n"] for r in got) == 9_000 and sum(r["size"] for r in got) > 4 * BATCH_BYTES
+        assert max(r["size"] for r in got) < 1.2 * BATCH_BYTES
+
+
+def test_a_session_keeps_its_own_bound_of_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "1m")
+        prepare_session(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_pairs_of_words_do_not_depend_on_how_words_are_sent(spark, monkeypatch):
     texts = ["a b c a", "b c d", None, "", "a a a rare", "c d b a b"]
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
