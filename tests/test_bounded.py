@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from conftest import SF001
@@ -60,6 +61,19 @@ def test_batches_of_texts_and_vectors_are_bounded(spark):
         assert max(r["size"] for r in got) < 1.2 * BATCH_BYTES
 
 
+def test_batches_that_heads_sum_up_are_bounded(spark):
+    """The Arrow form (``large._pass``) on vectors that a Python step made, as the heads of all rows read them."""
+    texts = spark.range(6_000, numPartitions=1).select(F.col("id").alias("row_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows]), "size": pa.array([8 * len(b.column(0).flatten())])})
+
+    got = E.encode_hash(texts, dim=256).select("embedding").mapInArrow(size, "n long, size long").collect()
+    assert sum(r["n"] for r in got) == 6_000 and sum(r["size"] for r in got) == 6_000 * 256 * 8
+    assert max(r["size"] for r in got) < 1.2 * BATCH_BYTES
+
+
 def test_a_session_keeps_its_own_bound_of_batches(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
