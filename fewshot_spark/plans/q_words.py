@@ -36,12 +36,12 @@ def q_ppmi_counts(spark, sf):
     """Co-occurrence counts and positive pointwise mutual information over all documents, summed up
     for each word that stands at least five times."""
     docs = read_table(spark, sf, "documents").select("text")
-    words = CO.word_counts(docs, MIN_COUNT).checkpoint()
-    scored = CO.ppmi(CO.cooccurrence_counts(docs, words, WINDOW))
+    words = CO.word_counts(docs, MIN_COUNT).withColumn("i", F.monotonically_increasing_id()).checkpoint()
+    scored = CO.ppmi(CO.cooccurrence_counts(docs, words, WINDOW, key="i", totals=True))
     per = scored.groupBy("word").agg(
         F.count(F.lit(1)).alias("n_contexts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n_squares"),
         F.round(F.sum("ppmi"), 6).alias("ppmi_sum"), F.round(F.max("ppmi"), 6).alias("ppmi_max"))
-    return per.join(words, "word")
+    return per.withColumnRenamed("word", "i").join(words, "i").select("word", *per.columns[1:], "n_tokens")
 
 
 @register("encode_words")
